@@ -1,0 +1 @@
+"""Left empty: the feature set has no stream source, window or state to rebuild."""
