@@ -17,7 +17,7 @@ def folder_digest(files: DataFrame, by: list[str], path: str = "path", md5: str
     Each file's entry is hashed and the four words are summed, so the order of files does
     not matter and no folder is ever gathered in one place.
     """
-    entry = F.md5(F.concat_ws("\u0000", F.col(path), F.col(md5)).cast("binary"))
+    entry = F.md5(F.concat_ws(" ", F.col(path), F.col(md5)).cast("binary"))
     words = files.select(*by, *[md5_word(entry, i).alias(f"w{i}") for i in range(4)])
     sums = [F.sum(f"w{i}").cast("string") for i in range(4)]
     return words.groupBy(*by).agg(

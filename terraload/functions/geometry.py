@@ -146,6 +146,11 @@ def layer_summary(df: DataFrame, geometry: str = "geometry", by: list[str] | Non
     )
 
 
+def rejected_layers(summary: DataFrame) -> DataFrame:
+    """Layers of a summary none of whose rows has a geometry."""
+    return summary.filter(F.col("n_geometries") == 0)
+
+
 def vertex_count(geometry: Column) -> Column:
     rings = F.flatten(geometry["coords"])
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.size(ring))

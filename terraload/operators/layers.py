@@ -60,7 +60,8 @@ def layer_groups(requested: DataFrame, new: DataFrame) -> DataFrame:
     )
     metas = layers.groupBy("group_id").agg(
         F.bool_or(F.col("name") == "meta").alias("has_meta"), F.bool_or(F.col("name") == "v_meta").alias("has_view"))
-    groups = matched.select("group_id", "token").distinct().join(metas, "group_id")
+    # Every token names a group: the layer it comes from holds it.
+    groups = tokens.join(metas, "group_id")
     leading = groups.select("group_id", "token", F.explode(F.filter(
         F.array(F.when(F.col("has_view"), F.struct(F.lit("v_meta").alias("name"), F.lit(0).alias("rank"))),
                 F.when(F.col("has_meta"), F.struct(F.lit("meta").alias("name"), F.lit(1).alias("rank")))),

@@ -33,9 +33,8 @@ def normalize(manifest: DataFrame) -> DataFrame:
     ])
 
 
-def describe(df: DataFrame, filename: str, table: str, schema_name: str, labels: dict[str, str] | None = None) -> DataFrame:
+def describe_rows(df: DataFrame, filename: str, table: str, schema_name: str) -> list[tuple]:
     """Manifest rows of one table; a layer is summarised in one pass over its data."""
-    spark = df.sparkSession
     shapes = geometry_columns(df.schema)
     found, srid = {}, 0
     for shape in shapes:
@@ -49,17 +48,20 @@ def describe(df: DataFrame, filename: str, table: str, schema_name: str, labels:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     rows = []
     for i, name in enumerate(columns):
-        label = (labels or {}).get(name) or found.get(name)
+        label = found.get(name)
         if label is None:
             label = types.type_label(kinds[name]) if name in kinds else "text"
         rows.append((filename, schema_name, table, name, label, name, True, False, srid, False, i))
-    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    return rows
 
 
-def error_row(spark: SparkSession, filename: str, schema_name: str, message: str) -> DataFrame:
+def error_row(filename: str, schema_name: str, message: str) -> tuple:
     """What the manifest says of a file that cannot be read."""
-    row = (filename, schema_name, f"Error {message}", ERROR_COLUMN, "Text", ERROR_COLUMN, False, False, 0, False, 0)
-    return spark.createDataFrame([row], MANIFEST_SCHEMA)
+    return (filename, schema_name, f"Error {message}", ERROR_COLUMN, "Text", ERROR_COLUMN, False, False, 0, False, 0)
+
+
+def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
 
 
 def importing_rows(manifest: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from terraload.constants import LOAD_MODES
 from terraload.functions.names import quote_name
-from terraload.runtime import stage
 from terraload.sources.tables import scan_table, table_exists
 
 DEFAULT_KEY = ("id",)
+MAX_LISTED_PARTITIONS = 200
 
 
 class DuplicateKeyError(ValueError):
@@ -30,7 +30,7 @@ def replace_table(df: DataFrame, schema: str, table: str, partition_by: Sequence
     writer.saveAsTable(quote_name(schema, table))
 
 
-def swap_table(df: DataFrame, schema: str, table: str, at_least: int = 0) -> None:
+def swap_table(df: DataFrame, schema: str, table: str, at_least: int = 0, partition_by: Sequence[str] = ()) -> None:
     """Replace a table by rows that may be read from it.
 
     The rows are written beside it and renamed when their number is right; after a failure
@@ -38,7 +38,7 @@ def swap_table(df: DataFrame, schema: str, table: str, at_least: int = 0) -> Non
     """
     spark = df.sparkSession
     passing = f"temp_{table}"
-    replace_table(df, schema, passing)
+    replace_table(df, schema, passing, partition_by)
     written = scan_table(spark, schema, passing).count()
     if written < at_least:
         raise RuntimeError(f"{schema}.{passing} holds {written} rows, {at_least} were expected")
@@ -96,14 +96,65 @@ def upsert(target: DataFrame, incoming: DataFrame, key: Sequence[str] = DEFAULT_
     return written.unionByName(untouched).unionByName(new)
 
 
+def partition_columns(spark: SparkSession, schema: str, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(quote_name(schema, table)) if c.isPartition]
+
+
+def touched_partitions(target: DataFrame, batch: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Target rows in partitions that the batch writes to.
+
+    Few partitions become a filter that prunes the scan; beyond that a semi join does the same.
+    """
+    values = batch.select(*partitions).distinct()
+    few = values.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(few) <= MAX_LISTED_PARTITIONS:
+        wanted = F.lit(False)
+        for row in few:
+            same = F.lit(True)
+            for c in partitions:
+                same = same & (F.col(quote_name(c)).isNull() if row[c] is None else (F.col(quote_name(c)) == row[c]))
+            wanted = wanted | same
+        return target.filter(wanted)
+    named = values.toDF(*[f"_part{i}" for i in range(len(partitions))])
+    same = [F.col(quote_name(c)).eqNullSafe(F.col(f"_part{i}")) for i, c in enumerate(partitions)]
+    return target.join(named, same, "left_semi")
+
+
+def overwrite_partitions(df: DataFrame, schema: str, table: str, partitions: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` has rows for; ``df`` may be read from them."""
+    spark = df.sparkSession
+    passing = f"temp_{table}"
+    replace_table(df, schema, passing, partitions)
+    # A session of its own, so that the caller's overwrite mode stays as it is.
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    columns = scan_table(spark, schema, table).columns
+    merged = scan_table(session, schema, passing).select(*columns)
+    merged.write.mode("overwrite").insertInto(quote_name(schema, table))
+    spark.sql(f"DROP TABLE {quote_name(schema, passing)}")
+    spark.catalog.refreshTable(quote_name(schema, table))
+
+
 def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DEFAULT_KEY) -> None:
-    """Upsert into a stored table."""
+    """Upsert into a stored table.
+
+    When the key holds the table's partition columns, only the partitions of the batch are
+    rewritten; otherwise a key may match anywhere and the whole table is.
+    """
     spark = df.sparkSession
     # The batch is read several times below; it is computed once.
-    batch = stage(df, f"temp_{table}")
+    batch_table = f"batch_{table}"
+    replace_table(df, schema, batch_table)
+    batch = scan_table(spark, schema, batch_table)
     check_unique(batch, key)
     target = scan_table(spark, schema, table)
-    swap_table(upsert(target, batch, key), schema, table, at_least=target.count())
+    partitions = partition_columns(spark, schema, table)
+    if partitions and set(partitions) <= set(key):
+        merged = upsert(touched_partitions(target, batch, partitions), batch, key)
+        overwrite_partitions(merged, schema, table, partitions)
+    else:
+        swap_table(upsert(target, batch, key), schema, table, target.count(), partitions)
+    spark.sql(f"DROP TABLE {quote_name(schema, batch_table)}")
 
 
 def effective_mode(spark: SparkSession, schema: str, table: str, mode: str) -> str:
@@ -113,11 +164,12 @@ def effective_mode(spark: SparkSession, schema: str, table: str, mode: str) -> s
     return mode if table_exists(spark, schema, table) else "replace"
 
 
-def load_table(df: DataFrame, schema: str, table: str, mode: str = "replace", key: Sequence[str] = DEFAULT_KEY) -> str:
+def load_table(df: DataFrame, schema: str, table: str, mode: str = "replace", key: Sequence[str] = DEFAULT_KEY,
+               partition_by: Sequence[str] = ()) -> str:
     """Write by the given mode and return the mode that was used."""
     used = effective_mode(df.sparkSession, schema, table, mode)
     if used == "replace":
-        replace_table(df, schema, table)
+        replace_table(df, schema, table, partition_by)
     else:
         append_table(df, schema, table, key)
     return used

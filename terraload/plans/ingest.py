@@ -8,13 +8,13 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraload.functions.geometry import geometry_columns, is_layer_schema, requested_srid, set_srid
-from terraload.functions.names import clean_name, quote_name, tag_tenant
+from terraload.functions.digest import folder_digest
+from terraload.functions.names import base_name, clean_name, quote_name, tag_tenant
 from terraload.operators import manifest as manifests
 from terraload.operators import registry
 from terraload.operators.sinks import DEFAULT_KEY, load_table
@@ -58,37 +58,49 @@ def _message(error: Exception) -> str:
     return (str(error).strip().splitlines() or [type(error).__name__])[0][:500]
 
 
-def _describe_file(spark, row, group_id: str) -> DataFrame:
+def _describe_file(spark, row, group_id: str) -> list[tuple]:
     try:
-        found = [manifests.describe(p.frame, row["filename"], p.table, group_id)
+        found = [manifests.describe_rows(p.frame, row["filename"], p.table, group_id)
                  for p in read_file(spark, row["path"], row["format"], row["table"], group_id)]
         if not found:
             raise ValueError("the workbook is empty")
-        return reduce(DataFrame.unionByName, found)
+        return [r for rows in found for r in rows]
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
-        return manifests.error_row(spark, row["filename"], group_id, _message(error))
+        return [manifests.error_row(row["filename"], group_id, _message(error))]
 
 
 def build_manifest(spark: SparkSession, found: DataFrame, group_id: str) -> DataFrame:
     """Manifest of all files of an inventory; a file that fails gives an error row.
 
-    The driver holds one row per file; the files' data stays with the executors.
+    The driver holds one row per file and column; the files' data stays with the executors.
     """
     files = found.select("path", "filename", "format", "table").orderBy("path").collect()
-    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        parts = list(pool.map(lambda row: _describe_file(spark, row, group_id), files))
-    if not parts:
+    if not files:
         raise ValueError("no readable file was found")
-    return reduce(DataFrame.unionByName, parts)
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        described = list(pool.map(lambda row: _describe_file(spark, row, group_id), files))
+    return manifests.from_rows(spark, [r for rows in described for r in rows])
+
+
+def upload_digest(spark: SparkSession, path: str) -> str:
+    """Digest of an archive, or one digest of a folder of archives."""
+    found = archive.content_md5(spark, path).withColumn("path", base_name(F.col("path")))
+    both = folder_digest(found.withColumn("root", F.lit(path)), ["root"]).join(
+        found.select(F.lit(path).alias("root"), "md5").groupBy("root").agg(F.min("md5").alias("md5")), "root")
+    row = both.first()
+    return row["md5"] if row["n_files"] == 1 else row["digest"]
 
 
 def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, path: str, target: str) -> tuple[int, DataFrame]:
-    """Unpack an archive, describe its files, record the upload; returns its id and the manifest."""
+    """Unpack an archive (or a folder of them), describe its files, record the upload.
+
+    Returns the upload's id and the manifest.
+    """
     ship_modules()
     entries = stage(archive.extract_archives(spark, path, target), "entries")
     found = archive.exclude_sidecars(archive.inventory(entries.select("path")))
-    manifest = stage(build_manifest(spark, found, group_id), "manifest")
-    digest = archive.content_md5(spark, path).select("md5").first()["md5"]
+    manifest = build_manifest(spark, found, group_id)
+    digest = upload_digest(spark, path)
     listed = [r["path"] for r in found.select("path").orderBy("path").collect()]
     request = [r.asDict() for r in manifest.orderBy("filename", "table", "position").collect()]
     upload = registry.insert_request(
@@ -121,7 +133,7 @@ class Outcome:
 OUTCOME_SCHEMA = "table string, filename string, ok boolean, elapsed double, have_geom boolean, error string"
 
 
-def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key) -> list[Outcome]:
+def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, partition_by) -> list[Outcome]:
     started = time.monotonic()
     outcomes: list[Outcome] = []
     try:
@@ -131,7 +143,7 @@ def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key) ->
             if part.table not in spec_by_table:
                 continue
             table = prepare(part.frame, spec_by_table[part.table], group_id, srid)
-            load_table(table, schema, part.table, mode, key)
+            load_table(table, schema, part.table, mode, key, partition_by)
             outcomes.append(Outcome(part.table, row["filename"], True, time.monotonic() - started, is_layer_schema(table.schema)))
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
         shape = row["format"] == "shapefile"
@@ -141,9 +153,13 @@ def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key) ->
 
 def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_id: str, manifest: DataFrame,
                schema: str = "public", srid: str | int | None = "auto", mode: str = "replace",
-               key: Sequence[str] = DEFAULT_KEY, skip_existing: bool = False,
+               key: Sequence[str] = DEFAULT_KEY, skip_existing: bool = False, partition_by: Sequence[str] = (),
                schema_location: str | None = None) -> tuple[int, DataFrame, dict]:
-    """Load the files a manifest asks for; returns the load's id, its outcomes and a summary."""
+    """Load the files a manifest asks for; returns the load's id, its outcomes and a summary.
+
+    Large shared tables want ``partition_by=["group_id"]`` with ``group_id`` in the key: an
+    append then rewrites the tenant's partition only.
+    """
     ship_modules()
     started = time.monotonic()
     override = requested_srid(srid)
@@ -168,11 +184,18 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
                       if all(table_exists(spark, target, t) for t in by_file[f["filename"]])]
         files = [f for f in files if f["filename"] not in duplicated]
 
+    # Two files must not write one table at the same time: the first one has it.
+    outcomes, owner = [], {}
+    for f in files:
+        if owner.setdefault(f["table"], f["path"]) != f["path"]:
+            message = f"table {f['table']} is loaded from {owner[f['table']]}"
+            outcomes.append(Outcome(f["table"], f["filename"], False, 0.0, False, message))
+    files = [f for f in files if owner[f["table"]] == f["path"]]
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        jobs = [pool.submit(_load_file, spark, f, by_file[f["filename"]], group_id, target, override, mode, key) for f in files]
-        outcomes = [o for job in jobs for o in job.result()]
-    failed = {o.table for o in outcomes if not o.ok}
-    layers = [o.table for o in outcomes if o.have_geom and o.table not in failed]
+        jobs = [pool.submit(_load_file, spark, f, by_file[f["filename"]], group_id, target, override, mode, key, partition_by)
+                for f in files]
+        outcomes = [o for job in jobs for o in job.result()] + outcomes
+    layers = [o.table for o in outcomes if o.have_geom and o.ok]
     if layers:
         publish_layers(spark, registry_schema, group_id, layers)
     summary = {

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraload.functions import names, parsing
 from terraload.functions.geometry import detect_geometry
+from terraload.runtime import stage
 from terraload.sources import files
 from terraload.sources.archive import list_paths
 
@@ -220,9 +221,11 @@ def _typed(cell: Column, mask: int | None) -> Column:
 
 def read_xlsx(spark: SparkSession, path: str, group_id: str | None = None) -> dict[str, DataFrame]:
     """Every sheet of one workbook as a table, by sheet name; empty sheets are left out."""
+    # Cells are taken out of the workbook once; naming and typing columns reads them again.
+    rows = stage(scan_sheets(spark, path), "cells")
     tables = {}
     for row in list_sheets(spark, path).orderBy("sheet_no").collect():
-        own = scan_sheets(spark, path, row["sheet"], partitions=1)
+        own = rows.filter(F.col("sheet") == row["sheet"])
         if own.limit(1).count():
             tables[row["sheet"]] = sheet_table(own, group_id)
     return tables
