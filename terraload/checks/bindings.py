@@ -126,22 +126,28 @@ def manifest(spark, sf_dir) -> DataFrame:
 
 # Layers to publish: every part is a layer, every brand a tenant.
 
-def requested_layers(spark, sf_dir) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    tenant = F.lower(F.translate("p_brand", "#", "_"))
+def _part_layers(part) -> DataFrame:
     tail = F.concat_ws("_", F.lower("p_type"), F.translate("p_name", " ", "_"), F.col("p_partkey").cast("string"))
     prefix = F.when(F.col("p_size") > 40, "v_").when(F.col("p_size") > 30, "base_").otherwise("infr_")
-    own = part.select(tenant.alias("group_id"), F.concat(prefix, tail).alias("name"))
-    metas = part.filter(F.col("p_brand").like("%1%")).select(tenant.alias("group_id"), F.lit("meta").alias("name")).distinct()
-    views = part.filter(F.col("p_brand").like("%2%")).select(tenant.alias("group_id"), F.lit("v_meta").alias("name")).distinct()
-    return own.unionByName(metas).unionByName(views)
+    return part.select(_tenant().alias("group_id"), F.concat(prefix, tail).alias("name"))
+
+
+def _tenant() -> Column:
+    return F.lower(F.translate("p_brand", "#", "_"))
+
+
+def requested_layers(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+
+    def meta(pattern, name):
+        return part.filter(F.col("p_brand").like(pattern)).select(_tenant().alias("group_id"), F.lit(name).alias("name")).distinct()
+
+    return _part_layers(part).unionByName(meta("%1%", "meta")).unionByName(meta("%2%", "v_meta"))
 
 
 def known_layers(spark, sf_dir) -> DataFrame:
     """Layers published before: those of parts that cost less than 950."""
-    return requested_layers(spark, sf_dir).join(
-        table(spark, sf_dir, "part").filter("p_retailprice < 950").select(F.col("p_partkey").cast("string").alias("key")),
-        F.element_at(F.split("name", "_"), -1) == F.col("key"), "left_semi")
+    return _part_layers(table(spark, sf_dir, "part").filter("p_retailprice < 950"))
 
 
 # Results of a batch: every order is a part of its customer's table.

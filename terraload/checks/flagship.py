@@ -13,9 +13,9 @@ from terraload.runtime import new_path, work_dir
 from terraload.sources import archive, tables
 
 _MODEL = """
-    SELECT c.kind, c.n_places, o.n_orders, o.total, %unit% AS unit
-    FROM (SELECT kind, count(*) AS n_places FROM places GROUP BY kind) c
-    CROSS JOIN (SELECT count(*) AS n_orders, CAST(sum(o_key) AS BIGINT) AS total FROM orders) o"""
+    SELECT kind, count(*) AS n_places, (SELECT count(*) FROM orders) AS n_orders,
+           (SELECT CAST(sum(o_key) AS BIGINT) FROM orders) AS total, %unit% AS unit
+    FROM places GROUP BY kind"""
 
 
 def archives(spark: SparkSession, sf_dir: str) -> str:

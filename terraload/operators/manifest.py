@@ -98,10 +98,11 @@ def render_ddl(manifest: DataFrame) -> DataFrame:
 
 
 def project_importing(df: DataFrame, spec: Sequence) -> DataFrame:
-    """Kept columns under their target names, in manifest order."""
+    """Kept columns under their target names, in manifest order; of two for one target the last wins."""
     have = set(df.columns)
-    kept = [r for r in sorted(spec, key=lambda r: r["position"]) if r["importing"] and r["column"] in have]
-    return df.select(*[F.col(quote_name(r["column"])).alias(r["column_name"]) for r in kept])
+    ordered = sorted(spec, key=lambda r: r["position"])
+    kept = {r["column_name"]: r["column"] for r in ordered if r["importing"] and r["column"] in have}
+    return df.select(*[F.col(quote_name(column)).alias(target) for target, column in kept.items()])
 
 
 def cast_targets(df: DataFrame, spec: Sequence) -> dict[str, str]:

@@ -142,19 +142,24 @@ def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DE
     rewritten; otherwise a key may match anywhere and the whole table is.
     """
     spark = df.sparkSession
+    absent = [k for k in key if k not in df.columns]
+    if absent:
+        raise ValueError(f"the batch has no key columns {absent}")
     # The batch is read several times below; it is computed once.
     batch_table = f"batch_{table}"
     replace_table(df, schema, batch_table)
-    batch = scan_table(spark, schema, batch_table)
-    check_unique(batch, key)
-    target = scan_table(spark, schema, table)
-    partitions = partition_columns(spark, schema, table)
-    if partitions and set(partitions) <= set(key):
-        merged = upsert(touched_partitions(target, batch, partitions), batch, key)
-        overwrite_partitions(merged, schema, table, partitions)
-    else:
-        swap_table(upsert(target, batch, key), schema, table, target.count(), partitions)
-    spark.sql(f"DROP TABLE {quote_name(schema, batch_table)}")
+    try:
+        batch = scan_table(spark, schema, batch_table)
+        check_unique(batch, key)
+        target = scan_table(spark, schema, table)
+        partitions = partition_columns(spark, schema, table)
+        if partitions and set(partitions) <= set(key):
+            merged = upsert(touched_partitions(target, batch, partitions), batch, key)
+            overwrite_partitions(merged, schema, table, partitions)
+        else:
+            swap_table(upsert(target, batch, key), schema, table, target.count(), partitions)
+    finally:
+        spark.sql(f"DROP TABLE {quote_name(schema, batch_table)}")
 
 
 def effective_mode(spark: SparkSession, schema: str, table: str, mode: str) -> str:

@@ -16,18 +16,26 @@ from terraload.sources import files
 
 BATCH_BYTES = 32 << 20
 BLOCK_BYTES = 1 << 20
-# Above this size a file is digested block by block in a task, below it as one value.
-WHOLE_VALUE_BYTES = 256 << 20
 
 ENTRY_SCHEMA = "archive string, entry string, size long"
 
 
-def list_paths(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Paths and sizes of all files below ``root``; no file is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", F.col("length").alias("size"))
+def list_paths(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
+    """Paths and sizes of all files below ``root``, empty ones included; no file is opened.
+
+    The driver lists the top folder and tasks walk the folders in it.
+    """
+    def walk(batches):
+        for batch in batches:
+            for path, is_folder, size in zip(*(batch.column(c).to_pylist() for c in ("path", "is_folder", "size"))):
+                found = files.list_files(path) if is_folder else [(path, size)]
+                found = [f for f in found if f[0].endswith(suffix)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64())],
+                    ["path", "size"])
+
+    top = spark.createDataFrame(files.list_folder(root), "path string, is_folder boolean, size long")
+    return top.mapInArrow(walk, "path string, size long")
 
 
 def suffix_format(path: Column) -> Column:
@@ -76,14 +84,15 @@ def archive_entries(spark: SparkSession, root: str) -> DataFrame:
                          pa.array([i.file_size for i in found], pa.int64())],
                         ["archive", "entry", "size"])
 
-    return list_paths(spark, root, "*.zip").select("path").mapInArrow(directory, ENTRY_SCHEMA)
+    archives = list_paths(spark, root, ".zip").select("path")
+    return spread(archives, ["path"]).mapInArrow(directory, ENTRY_SCHEMA)
 
 
-def _spread(entries: DataFrame, partitions: int | None) -> DataFrame:
-    """Give every entry its own place, so one big archive keeps many tasks busy."""
-    # The number is named because the listing is tiny and would otherwise be merged into one task.
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "archive", "entry").sortWithinPartitions("archive", "entry")
+def spread(listing: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
+    """Give every listed thing its own place, so that reading them keeps all tasks busy."""
+    # The number is named because a listing is tiny and would otherwise be merged into one task.
+    n = partitions or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listing.repartition(n, *by).sortWithinPartitions(*by)
 
 
 def _open_entries(batches, action):
@@ -118,8 +127,8 @@ def scan_archives(spark: SparkSession, root: str, partitions: int | None = None)
         if rows:
             yield _content_batch(rows)
 
-    spread = _spread(archive_entries(spark, root), partitions)
-    return spread.mapInArrow(contents, ENTRY_SCHEMA + ", content binary")
+    placed = spread(archive_entries(spark, root), ["archive", "entry"], partitions)
+    return placed.mapInArrow(contents, ENTRY_SCHEMA + ", content binary")
 
 
 def _content_batch(rows):
@@ -154,22 +163,21 @@ def extract_archives(spark: SparkSession, root: str, target: str, partitions: in
         for row in _open_entries(batches, copy):
             yield pa.RecordBatch.from_pylist([dict(zip(("archive", "entry", "size", "path"), row))])
 
-    return _spread(archive_entries(spark, root), partitions).mapInArrow(unpack, ENTRY_SCHEMA + ", path string")
+    placed = spread(archive_entries(spark, root), ["archive", "entry"], partitions)
+    return placed.mapInArrow(unpack, ENTRY_SCHEMA + ", path string")
 
 
-def content_md5(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, size, md5)`` of every file below ``root``, whatever its size."""
-    def streamed(batches):
+def content_md5(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """``(path, size, md5)`` of every file below ``root``, read in blocks whatever its size."""
+    def digest(batches):
         for batch in batches:
-            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
-                digest = hashlib.md5()
+            paths, sizes, found = batch.column("path"), batch.column("size"), []
+            for path in paths.to_pylist():
+                state = hashlib.md5()
                 with files.open_input(path) as handle:
                     while block := handle.read(BLOCK_BYTES):
-                        digest.update(block)
-                yield pa.RecordBatch.from_pylist([{"path": path, "size": size, "md5": digest.hexdigest()}])
-
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    small = reader.load(root).filter(F.col("length") <= WHOLE_VALUE_BYTES)
-    large = list_paths(spark, root).filter(F.col("size") > WHOLE_VALUE_BYTES)
-    return small.select("path", F.col("length").alias("size"), F.md5("content").alias("md5")).unionByName(
-        large.mapInArrow(streamed, "path string, size long, md5 string"))
+                        state.update(block)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([paths, sizes, pa.array(found, pa.string())], ["path", "size", "md5"])
+
+    return spread(list_paths(spark, root), ["path"], partitions).mapInArrow(digest, "path string, size long, md5 string")

@@ -28,15 +28,20 @@ def read_range(handle, start: int, length: int) -> bytes:
     return handle.read(length)
 
 
-def list_files(path: str) -> list[tuple[str, int]]:
-    """Files below ``path`` (or the file itself) with sizes, sorted by name."""
+def list_folder(path: str, recursive: bool = False) -> list[tuple[str, bool, int]]:
+    """``(path, is a folder, size)`` of what lies in a folder, or of the file itself, sorted."""
     filesystem, inner = resolve(path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.File:
-        return [(path, info.size)]
-    found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
-    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
+        return [(path, False, info.size)]
+    found = filesystem.get_file_info(fs.FileSelector(inner, recursive=recursive))
+    return sorted((prefix + f.path, f.type == fs.FileType.Directory, f.size or 0) for f in found)
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """Files below ``path`` (or the file itself) with sizes, sorted by name."""
+    return [(p, size) for p, is_folder, size in list_folder(path, recursive=True) if not is_folder]
 
 
 def file_size(path: str) -> int | None:

@@ -15,7 +15,7 @@ from terraload.functions import names, parsing
 from terraload.functions.geometry import detect_geometry
 from terraload.runtime import stage
 from terraload.sources import files
-from terraload.sources.archive import list_paths
+from terraload.sources.archive import list_paths, spread
 
 BATCH_ROWS = 8192
 
@@ -144,7 +144,7 @@ def list_sheets(spark: SparkSession, root: str) -> DataFrame:
                      pa.array(range(len(found)), pa.int32()), pa.array([p for _, p in found], pa.string())],
                     ["path", "sheet", "sheet_no", "part"])
 
-    return list_paths(spark, root, "*.xlsx").select("path").mapInArrow(sheets, SHEET_SCHEMA)
+    return spread(list_paths(spark, root, ".xlsx").select("path"), ["path"]).mapInArrow(sheets, SHEET_SCHEMA)
 
 
 def scan_sheets(spark: SparkSession, root: str, sheet: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -163,12 +163,10 @@ def scan_sheets(spark: SparkSession, root: str, sheet: str | None = None, partit
                     if held:
                         yield _row_batch(path, sheet, sheet_no, held)
 
-    # The number is named because the list of sheets is tiny and would be merged into one task.
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sheets = list_sheets(spark, root)
     if sheet is not None:
         sheets = sheets.filter(F.col("sheet") == sheet)
-    return sheets.repartition(n, "path", "sheet").mapInArrow(rows, ROW_SCHEMA)
+    return spread(sheets, ["path", "sheet_no"], partitions).mapInArrow(rows, ROW_SCHEMA)
 
 
 def _row_batch(path, sheet, sheet_no, held):
