@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terraload.runtime import ship_modules
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +17,12 @@ ORACLES: dict[str, str] = {}
 
 def check(name: str, oracle: str | None = None):
     def keep(query: Query) -> Query:
-        QUERIES[name] = query
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_modules(spark)
+            return query(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return query

@@ -218,7 +218,7 @@ def build_manifest(spark, sf_dir):
     first = paths.filter(F.col("path").endswith(".dbf")).agg(F.min("path").alias("path"))
     paths = paths.unionByName(first.select(F.concat("path", F.lit(".xls")).alias("path")))
     found = archive.exclude_sidecars(archive.inventory(paths))
-    rows = ingest.build_manifest(spark, found, "acme")
+    rows = ingest.build_manifest(spark, ingest.listed_files(found), "acme")
     return rows.select(F.substring_index("filename", ".", -1).alias("ext"), "column", "tipo", "srid", "importing").distinct()
 
 

@@ -30,8 +30,10 @@ WKT_NAMES = {
     "MULTIPOLYGON": "MultiPolygon",
 }
 
-_BREAK = r"\)\s*,\s*\("
-_DEEP_BREAK = r"\)\s*\)\s*,\s*\(\s*\("
+_WKT_HEAD = r"(?i)^\s*((MULTI)?(POINT|LINESTRING|POLYGON))\s*Z?M?\s*\("
+# Characters that stand for the breaks between parts and between rings.
+_PART_BREAK = "\u0001"
+_RING_BREAK = "\u0002"
 
 
 def is_layer_schema(schema: T.StructType) -> bool:
@@ -49,8 +51,12 @@ def _is_geometry(data_type: T.DataType) -> bool:
 
 def _geometry(srid: Column, gtype: Column, has_z: Column, coords: Column) -> Column:
     return F.struct(
-        srid.cast("int").alias("srid"), gtype.alias("gtype"), has_z.alias("has_z"), coords.alias("coords")
-    ).cast(GEOMETRY_TYPE)
+        srid.cast("int").alias("srid"), gtype.alias("gtype"), has_z.alias("has_z"), coords.alias("coords"))
+
+
+def _bind(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
 def point(x: Column, y: Column, z: Column | None = None, srid: int = GEOGRAPHIC_SRID) -> Column:
@@ -64,35 +70,44 @@ def point(x: Column, y: Column, z: Column | None = None, srid: int = GEOGRAPHIC_
 
 def from_wkt(text: Column, srid: int = GEOGRAPHIC_SRID) -> Column:
     """Geometry from well-known text; null when the text is not readable."""
-    head = F.regexp_extract(text, r"(?i)^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(Z?)M?\s*\(", 2)
-    multi = F.regexp_extract(text, r"(?i)^\s*(MULTI)", 1)
-    keyword = F.upper(F.concat(multi, head))
-    names = F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair])
-    body = F.regexp_replace(text, r"(?s)^[^(]*\(|\)\s*$", "")
-    parts = (
-        F.when(keyword == "MULTIPOLYGON", F.split(body, _DEEP_BREAK))
-        .when(keyword == "MULTILINESTRING", F.split(body, _BREAK))
-        .when(keyword == "MULTIPOINT", F.split(body, ","))
-        .otherwise(F.array(body))
-    )
-    coords = F.transform(parts, lambda part: F.transform(F.split(part, _BREAK), _ring))
-    numbers_ok = F.forall(
-        F.flatten(coords), lambda ring: F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    keyword = F.upper(F.regexp_extract(text, _WKT_HEAD, 1))
+    return _bind(keyword, lambda word: F.when(word != "", _parse_wkt(word, text, srid)))
+
+
+def _parse_wkt(keyword: Column, text: Column, srid: int) -> Column:
+    gtype = F.element_at(F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair]), keyword)
+    # Blanks around commas and brackets go first; breaks then are fixed texts, and each
+    # becomes one character, which splits without a pattern.
+    tight = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" ?([(),]) ?", "$1")
+    body = F.substr(tight, F.locate("(", tight))
+    parts_marked = (
+        F.when(keyword == "MULTIPOLYGON", F.replace(body, F.lit(")),(("), F.lit(_PART_BREAK)))
+        .when(keyword == "MULTILINESTRING", F.replace(body, F.lit("),("), F.lit(_PART_BREAK)))
+        .when(keyword == "MULTIPOINT", F.translate(body, ",", _PART_BREAK))
+        .otherwise(body)
     )
-    has_z = F.exists(F.flatten(coords), lambda ring: F.exists(ring, lambda v: v["z"].isNotNull()))
-    built = _geometry(F.lit(srid), F.element_at(names, keyword), has_z, coords)
-    return F.when((head != "") & numbers_ok, built)
+    marked = F.translate(F.replace(parts_marked, F.lit("),("), F.lit(_RING_BREAK)), "()", "")
+    coords = F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), _ring))
+
+    def checked(c):
+        rings = F.flatten(c)
+        readable = F.forall(rings, lambda ring: F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
+        has_z = F.exists(rings, lambda ring: F.exists(ring, lambda v: v["z"].isNotNull()))
+        return F.when(readable, _geometry(F.lit(srid), gtype, has_z, c))
+
+    return _bind(coords, checked)
 
 
 def _ring(text: Column) -> Column:
-    bare = F.trim(F.translate(text, "()", "  "))
-    return F.transform(F.split(bare, r"\s*,\s*"), _vertex)
+    return F.transform(F.split(text, ","), _vertex)
 
 
 def _vertex(text: Column) -> Column:
-    numbers = F.split(F.trim(text), r"\s+")
-    axis = [F.get(numbers, F.lit(i)).try_cast("double") for i in range(3)]
-    return F.struct(axis[0].alias("x"), axis[1].alias("y"), axis[2].alias("z"))
+    def axes(numbers):
+        axis = [F.get(numbers, F.lit(i)).try_cast("double") for i in range(3)]
+        return F.struct(axis[0].alias("x"), axis[1].alias("y"), axis[2].alias("z"))
+
+    return _bind(F.split(F.trim(text), " "), axes)
 
 
 def set_srid(geometry: Column, srid: int | None) -> Column:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from terraload.constants import MISSING_TEXTS, SEPARATORS
 
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Casts come behind these patterns: a failing cast costs far more than a pattern, and some
+# texts (1d, NaN) would be cast although they are not written as numbers.
+INTEGER_PATTERN = r"^[+-]?[0-9]++$"
+DECIMAL_PATTERN = r"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?$"
 
 # Bytes 0x80-0x9F mean control characters in ISO-8859-1 and these characters in Windows-1252.
 # The five bytes that Windows-1252 leaves undefined come last and are dropped.

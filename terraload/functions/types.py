@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraload.constants import LABEL_TYPES, TYPE_LABELS
-from terraload.functions.parsing import DECIMAL_PATTERN, INTEGER_PATTERN
+from terraload.functions.parsing import DECIMAL_PATTERN, parse_float, parse_integer
 
 # Bits a value sets, one per kind of text it is.
 _WHOLE, _DECIMAL, _BOOL, _DATE, _OTHER = 1, 2, 4, 8, 16
@@ -31,9 +31,11 @@ def spark_type(label: str) -> str:
 
 
 def value_kind(value: Column, dates: bool) -> Column:
+    # One pattern per value tells numbers from the rest; the tests behind it are cheap.
+    fraction = value.contains(".") | value.contains("e") | value.contains("E")
+    number = F.when(~fraction & value.try_cast("bigint").isNotNull(), F.lit(_WHOLE)).otherwise(F.lit(_DECIMAL))
     kind = (
-        F.when(value.rlike(INTEGER_PATTERN) & value.try_cast("bigint").isNotNull(), F.lit(_WHOLE))
-        .when(value.rlike(DECIMAL_PATTERN), F.lit(_DECIMAL))
+        F.when(value.rlike(DECIMAL_PATTERN), number)
         .when(value.isin("True", "False", "TRUE", "FALSE", "true", "false"), F.lit(_BOOL))
     )
     if dates:
@@ -78,9 +80,19 @@ def inferred_labels(df: DataFrame, dates: bool = True) -> dict[str, str]:
     return {r["column"]: r["tipo"] for r in infer_types(df, dates=dates).collect()}
 
 
+def cast_value(value: Column, source: T.DataType, target: str) -> Column:
+    """Value in another Spark type; what does not fit becomes null."""
+    if isinstance(source, T.StringType):
+        if target == "bigint":
+            return parse_integer(value)
+        if target == "double":
+            return parse_float(value)
+    return value.try_cast(target)
+
+
 def to_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Give text columns the types their labels name."""
     return df.select(*[
-        (F.col(f"`{c}`").try_cast(spark_type(labels[c])).alias(c) if c in labels else F.col(f"`{c}`"))
+        (cast_value(F.col(f"`{c}`"), T.StringType(), spark_type(labels[c])).alias(c) if c in labels else F.col(f"`{c}`"))
         for c in df.columns
     ])

@@ -53,27 +53,23 @@ def layer_groups(requested: DataFrame, new: DataFrame) -> DataFrame:
     The containment test becomes an equi-join on the texts behind each ``_`` of the name.
     """
     layers = requested.select(*KEY).distinct()
-    tokens = group_tokens(new)
-    matched = (
-        layers.select("*", F.explode(_token_starts(F.col("name"))).alias("token"))
-        .join(tokens, ["group_id", "token"])
-    )
     metas = layers.groupBy("group_id").agg(
         F.bool_or(F.col("name") == "meta").alias("has_meta"), F.bool_or(F.col("name") == "v_meta").alias("has_view"))
     # Every token names a group: the layer it comes from holds it.
-    groups = tokens.join(metas, "group_id")
-    leading = groups.select("group_id", "token", F.explode(F.filter(
-        F.array(F.when(F.col("has_view"), F.struct(F.lit("v_meta").alias("name"), F.lit(0).alias("rank"))),
-                F.when(F.col("has_meta"), F.struct(F.lit("meta").alias("name"), F.lit(1).alias("rank")))),
-        lambda m: m.isNotNull())).alias("m")).select("group_id", "token", "m.name", "m.rank")
-    members = matched.select("group_id", "token", "name", F.lit(2).alias("rank"))
-    # The tenant's meta flags are one row per tenant and decide the group's name.
-    return leading.unionByName(members).join(metas, "group_id").select(
-        "group_id",
+    groups = group_tokens(new).join(metas, "group_id").select(
+        "group_id", "token",
         F.concat(F.concat_ws("_", "group_id", "token"), F.when(F.col("has_view"), "_view").otherwise("")).alias("layer_group"),
-        "rank",
-        F.concat_ws(".", "group_id", "name").alias("member"),
+        F.array(F.when(F.col("has_view"), F.struct(F.lit(0).alias("rank"), F.lit("v_meta").alias("name"))),
+                F.when(F.col("has_meta"), F.struct(F.lit(1).alias("rank"), F.lit("meta").alias("name")))).alias("leading"),
+    )
+    leading = groups.select("group_id", "layer_group", F.inline(F.filter("leading", lambda m: m.isNotNull())))
+    members = (
+        layers.select("*", F.explode(_token_starts(F.col("name"))).alias("token"))
+        .join(groups.drop("leading"), ["group_id", "token"])
+        .select("group_id", "layer_group", F.lit(2).alias("rank"), "name")
     )
+    return leading.unionByName(members).select(
+        "group_id", "layer_group", "rank", F.concat_ws(".", "group_id", "name").alias("member"))
 
 
 def list_layers(layers: DataFrame, group_id: str) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraload.constants import LABEL_TYPES
 from terraload.functions import types
 from terraload.functions.geometry import geometry_columns, geometry_label, layer_summary
 from terraload.functions.names import quote_name
@@ -117,11 +116,15 @@ def cast_targets(df: DataFrame, spec: Sequence) -> dict[str, str]:
     return targets
 
 
+def _cast(df: DataFrame, column: str, target: str) -> Column:
+    return types.cast_value(F.col(quote_name(column)), df.schema[column].dataType, target)
+
+
 def cast_by_manifest(df: DataFrame, spec: Sequence) -> DataFrame:
     """Columns in the types the manifest asks for; values that do not fit become null."""
     targets = cast_targets(df, spec)
     return df.select(*[
-        F.col(quote_name(c)).try_cast(targets[c]).alias(c) if c in targets else F.col(quote_name(c)) for c in df.columns
+        _cast(df, c, targets[c]).alias(c) if c in targets else F.col(quote_name(c)) for c in df.columns
     ])
 
 
@@ -132,8 +135,8 @@ def cast_errors(df: DataFrame, spec: Sequence) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column string, n_errors long")
     lost = [
         F.struct(F.lit(c).alias("column"),
-                 F.count_if(F.col(quote_name(c)).isNotNull() & F.col(quote_name(c)).try_cast(t).isNull())
-                 .alias("n_errors")) for c, t in targets.items()
+                 F.count_if(F.col(quote_name(c)).isNotNull() & _cast(df, c, t).isNull()).alias("n_errors"))
+        for c, t in targets.items()
     ]
     return df.agg(F.array(*lost).alias("rows")).select(F.inline("rows"))
 
@@ -145,10 +148,7 @@ def to_json(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("filename").agg(F.to_json(rows).alias("json"))
 
 
-def from_json(text: Column) -> Column:
-    """Rows of a manifest kept as JSON ``{"data": […]}``."""
-    return F.from_json(text, f"data array<struct<{MANIFEST_SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")["data"]
-
-
-def known_label(label: Column) -> Column:
-    return F.lower(label).isin(*LABEL_TYPES) | label.startswith("geometry")
+def from_json(text: Column, fields: Sequence[str] | None = None) -> Column:
+    """Rows (or some fields) of a manifest kept as JSON ``{"data": […]}``."""
+    kept = [f.split() for f in MANIFEST_SCHEMA.split(", ") if fields is None or f.split()[0] in fields]
+    return F.from_json(text, "data array<struct<" + ", ".join(f"{n}:{t}" for n, t in kept) + ">>")["data"]

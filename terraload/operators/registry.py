@@ -118,7 +118,7 @@ def orphans(executions: DataFrame, models: DataFrame, uploads: DataFrame) -> Dat
 
 def execution_inputs(executions: DataFrame, loads: DataFrame) -> DataFrame:
     """Files an execution reads: those named by the load it refers to, each once."""
-    requested = loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.explode(from_json(F.col("REQUEST"))).alias("r"))
+    requested = loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.explode(from_json(F.col("REQUEST"), ["filename", "table"])).alias("r"))
     files = requested.select("FK_SHAPE", F.col("r.filename").alias("filename"), F.col("r.table").alias("table")).distinct()
     return executions.select("ID_EXECUTION", "FK_SHAPE").join(files, "FK_SHAPE").select(
         "ID_EXECUTION", "filename", "table",

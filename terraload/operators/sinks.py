@@ -85,8 +85,10 @@ def upsert(target: DataFrame, incoming: DataFrame, key: Sequence[str] = DEFAULT_
          if c in given else F.col(quote_name(c))) for c in target.columns
     ])
     untouched = target.filter(~_has_key(target, key))
-    # The keys that are already there: never more rows than the batch has.
-    present = old.select(*key).join(keyed.select(*key), list(key), "left_semi").distinct()
+    # The keys that are already there. Copies first shrink inside each partition: with a shuffle
+    # of its own behind it, the join may be split where a key is hot.
+    met = old.select(*key).join(keyed.select(*key), list(key), "left_semi")
+    present = met.select(*key, F.spark_partition_id().alias("_place")).distinct().select(*key).distinct()
     new = keyed.join(present, list(key), "left_anti").unionByName(incoming.filter(~_has_key(incoming, key)))
     types = {f.name: f.dataType for f in target.schema.fields}
     new = new.select(*[

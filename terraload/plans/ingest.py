@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from terraload.functions.geometry import geometry_columns, is_layer_schema, requested_srid, set_srid
@@ -69,12 +69,16 @@ def _describe_file(spark, row, group_id: str) -> list[tuple]:
         return [manifests.error_row(row["filename"], group_id, _message(error))]
 
 
-def build_manifest(spark: SparkSession, found: DataFrame, group_id: str) -> DataFrame:
-    """Manifest of all files of an inventory; a file that fails gives an error row.
+def listed_files(found: DataFrame) -> list[Row]:
+    """An inventory as rows of the driver, one per file."""
+    return found.select("path", "filename", "format", "table").orderBy("path").collect()
+
+
+def build_manifest(spark: SparkSession, files: list[Row], group_id: str) -> DataFrame:
+    """Manifest of listed files; a file that fails gives an error row.
 
     The driver holds one row per file and column; the files' data stays with the executors.
     """
-    files = found.select("path", "filename", "format", "table").orderBy("path").collect()
     if not files:
         raise ValueError("no readable file was found")
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
@@ -96,16 +100,15 @@ def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, pa
 
     Returns the upload's id and the manifest.
     """
-    ship_modules()
+    ship_modules(spark)
     entries = stage(archive.extract_archives(spark, path, target), "entries")
-    found = archive.exclude_sidecars(archive.inventory(entries.select("path")))
-    manifest = build_manifest(spark, found, group_id)
+    files = listed_files(archive.exclude_sidecars(archive.inventory(entries.select("path"))))
+    manifest = build_manifest(spark, files, group_id)
     digest = upload_digest(spark, path)
-    listed = [r["path"] for r in found.select("path").orderBy("path").collect()]
     request = [r.asDict() for r in manifest.orderBy("filename", "table", "position").collect()]
     upload = registry.insert_request(
         spark, registry_schema, registry.UPLOADS, SHAPEFILE=path.rsplit("/", 1)[-1], DATE_UPLOAD=datetime.datetime.now(),
-        STATUS="UPLOAD ZIP", GROUP_ID=group_id, PATH_SHAPEFILE=target, MD5=digest, USERFILE=listed,
+        STATUS="UPLOAD ZIP", GROUP_ID=group_id, PATH_SHAPEFILE=target, MD5=digest, USERFILE=[f["path"] for f in files],
         RESPONSE=json.dumps({"data": request}))
     return upload, manifest
 
@@ -160,7 +163,7 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
     Large shared tables want ``partition_by=["group_id"]`` with ``group_id`` in the key: an
     append then rewrites the tenant's partition only.
     """
-    ship_modules()
+    ship_modules(spark)
     started = time.monotonic()
     override = requested_srid(srid)
     target = clean_name(schema, reserved=())

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import importlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-WORKER_MODULES = (
-    "terraload.sources.files",
-    "terraload.sources.archive",
-    "terraload.sources.dbf",
-    "terraload.sources.shapefile",
-    "terraload.sources.xlsx",
-    "terraload.checks.sample_files",
-)
+from terraload.sources.files import publish_file
 
 _local_work_dirs: dict[str, str] = {}
-
-
-def ship_modules() -> None:
-    """Pickle our worker-side modules by value, so executors need no install."""
-    for name in WORKER_MODULES:
-        cloudpickle.register_pickle_by_value(importlib.import_module(name))
+_shipped: set[str] = set()
+
+
+def ship_modules(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; they need no install."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    bundle = f"{new_path(spark, 'modules')}/terraload.zip"
+    with publish_file(bundle) as out, zipfile.ZipFile(out, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(bundle)
+    _shipped.add(app)
 
 
 def work_dir(spark: SparkSession) -> str:

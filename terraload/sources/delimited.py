@@ -96,9 +96,11 @@ def well_formed(fields: Column, n_columns: int) -> Column:
 def skip_bad_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
     """Text columns; lines with too many fields are skipped, short ones get nulls."""
     columns = dialect.columns
-    parsed = lines.select(split_fields(F.col("line"), columns, dialect.separator).alias("r"))
-    return parsed.filter(well_formed(F.col("r"), len(columns))).select(*[
-        parsing.missing_to_null(F.nullif(F.col("r")[f"f{i}"], F.lit(END_MARK))).alias(c) for i, c in enumerate(columns)
+    fields = F.array(split_fields(F.col("line"), columns, dialect.separator))
+    # As a generator the parse is one step: a filter or projection would repeat it per column.
+    parsed = lines.select(F.inline(F.filter(fields, lambda r: well_formed(r, len(columns)))))
+    return parsed.select(*[
+        parsing.missing_to_null(F.nullif(F.col(f"f{i}"), F.lit(END_MARK))).alias(c) for i, c in enumerate(columns)
     ])
 
 

@@ -13,8 +13,9 @@ from terraload.sources.tables import create_schema  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    ship_modules()
-    return local_session()
+    session = local_session()
+    ship_modules(session)
+    return session
 
 
 @pytest.fixture
