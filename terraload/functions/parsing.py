@@ -59,7 +59,8 @@ def escape_quotes(value: Column, escape: str = "\\") -> Column:
 
 
 def missing_to_null(value: Column, texts: Sequence[str] = MISSING_TEXTS) -> Column:
-    return F.when(~F.trim(value).isin(*texts), value)
+    """Texts that mean "missing" become null; with blanks around them they are ordinary texts."""
+    return F.when(~value.isin(*texts), value)
 
 
 def decode_line(raw: Column, encoding: str = "auto") -> Column:

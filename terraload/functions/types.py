@@ -32,6 +32,7 @@ def spark_type(label: str) -> str:
 
 def value_kind(value: Column, dates: bool) -> Column:
     # One pattern per value tells numbers from the rest; the tests behind it are cheap.
+    value = F.trim(value)
     fraction = value.contains(".") | value.contains("e") | value.contains("E")
     number = F.when(~fraction & value.try_cast("bigint").isNotNull(), F.lit(_WHOLE)).otherwise(F.lit(_DECIMAL))
     kind = (

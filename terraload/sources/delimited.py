@@ -16,6 +16,8 @@ from terraload.sources import files
 HEAD_BLOCK = 1 << 16
 # Stands behind the last field of a line, so that lines with too many fields can be told.
 END_MARK = "\u0002"
+# A doubled quote stands for one, a backslash for itself.
+QUOTING = {"quote": '"', "escape": '"'}
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def split_fields(line: Column, columns: list[str], separator: str) -> Column:
     """Struct of text fields ``f0…`` plus ``extra``, quotes respected."""
     schema = ", ".join(f"f{i} string" for i in range(len(columns))) + ", extra string"
     marked = F.concat(line, F.lit(separator + END_MARK))
-    return F.from_csv(marked, schema, {"sep": separator, "maxColumns": str(max(20480, len(columns) + 2))})
+    return F.from_csv(marked, schema, {**QUOTING, "sep": separator, "maxColumns": str(max(20480, len(columns) + 2))})
 
 
 def well_formed(fields: Column, n_columns: int) -> Column:
@@ -104,21 +106,42 @@ def skip_bad_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
     ])
 
 
-def read_text_columns(spark: SparkSession, path: str, separator: str | None = None,
-                      encoding: str | None = None) -> DataFrame:
+def spanning_lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
+    """The same for files whose quoted fields hold line ends; such files cannot be split.
+
+    An empty field too many at the end of a line goes unseen here.
+    """
+    columns = dialect.columns
+    schema = ", ".join(f"f{i} string" for i in range(len(columns))) + ", extra string"
+    raw = (
+        spark.read.schema(schema).options(**QUOTING).option("sep", dialect.separator).option("header", "true")
+        .option("multiLine", "true").option("enforceSchema", "true").option("encoding", "ISO-8859-1")
+        .option("recursiveFileLookup", "true").csv(path)
+    )
+    return raw.filter(F.col("extra").isNull()).select(*[
+        parsing.missing_to_null(F.translate(parsing.decode_line(F.col(f"f{i}"), dialect.encoding), "'\r", "")).alias(c)
+        for i, c in enumerate(columns)
+    ])
+
+
+def read_text_columns(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
+                      line_ends_in_fields: bool = False) -> DataFrame:
     """All columns as text."""
     dialect = sniff(path, separator, encoding)
+    if line_ends_in_fields:
+        return spanning_lines(spark, path, dialect)
     return skip_bad_lines(raw_lines(spark, path, dialect.encoding), dialect)
 
 
 def read_delimited(spark: SparkSession, path: str, group_id: str | None = None, labels: dict[str, str] | None = None,
-                   separator: str | None = None, encoding: str | None = None) -> DataFrame:
+                   separator: str | None = None, encoding: str | None = None,
+                   line_ends_in_fields: bool = False) -> DataFrame:
     """Typed table, or layer when coordinates are found.
 
     Types come from ``labels`` where the caller knows them; only then is one pass over the
     file enough.
     """
-    text = read_text_columns(spark, path, separator, encoding)
+    text = read_text_columns(spark, path, separator, encoding, line_ends_in_fields)
     if labels is None:
         labels = types.inferred_labels(text, dates=False)
     known = {c: t for c, t in labels.items() if c in text.columns and not t.startswith("geometry")}

@@ -71,7 +71,7 @@ def test_other_fields(spark):
 
 
 def test_missing_texts(spark):
-    assert column(spark, ["NA", "", " ", "x", "NULL", "nan", "0"], parsing.missing_to_null) == [None, None, None, "x", None, None, "0"]
+    assert column(spark, ["NA", "", " ", "x", "NULL", "nan", "0"], parsing.missing_to_null) == [None, None, " ", "x", None, None, "0"]
 
 
 def test_decoding(spark):

@@ -50,6 +50,18 @@ def test_csv_column_names(spark, folder):
         delimited.read_delimited(spark, str(folder / "empty.csv"))
 
 
+def test_csv_quotes(spark, folder):
+    (folder / "a.csv").write_text('id;t\n1;"a""b"\n2;a\\b\n3;"c\\"\n4;5" pipe\n5; x \n')
+    df = delimited.read_delimited(spark, str(folder / "a.csv"))
+    assert [r["t"] for r in df.orderBy("id").collect()] == ['a"b', "a\\b", "c\\", '5" pipe', " x "]
+
+
+def test_csv_line_ends_in_fields(spark, folder):
+    (folder / "a.csv").write_bytes('id;città\r\n1;"a\nb"\r\n2;è\r\n3;x;over\r\n4\r\n'.encode("cp1252"))
+    df = delimited.read_delimited(spark, str(folder / "a.csv"), line_ends_in_fields=True)
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "a\nb"), (2, "è"), (4, None)]
+
+
 def test_csv_given_types_need_no_inference(spark, folder):
     (folder / "a.csv").write_text("a;b\n007;x\n")
     df = delimited.read_delimited(spark, str(folder / "a.csv"), labels={"a": "text", "b": "integer"})
