@@ -13,6 +13,7 @@ from terraload.constants import MISSING_TEXTS, SEPARATORS
 # texts (1d, NaN) would be cast although they are not written as numbers.
 INTEGER_PATTERN = r"^[+-]?[0-9]++$"
 DECIMAL_PATTERN = r"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?$"
+DAY_PATTERN = r"^(?!0000)[0-9]{4}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$"
 
 # Bytes 0x80-0x9F mean control characters in ISO-8859-1 and these characters in Windows-1252.
 # The five bytes that Windows-1252 leaves undefined come last and are dropped.
@@ -43,8 +44,8 @@ def parse_float(value: Column) -> Column:
 def parse_date(value: Column) -> Column:
     """D field ``YYYYMMDD``; zero parts and impossible days are missing."""
     text = F.trim(value)
-    readable = text.rlike("^[0-9]{8}$") & ~text.startswith("0000")
-    return F.when(readable, F.try_to_date(text, "yyyyMMdd"))
+    iso = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    return F.when(text.rlike(DAY_PATTERN), iso.try_cast("date"))
 
 
 def parse_bool(value: Column) -> Column:
@@ -70,19 +71,22 @@ def decode_line(raw: Column, encoding: str = "auto") -> Column:
     with a named encoding, bytes it cannot decode are dropped.
     """
     western = F.translate(raw, _C1_FROM, _C1_TO)
-    if encoding in ("windows-1252", "iso-8859-1"):
-        return western
     as_text = F.encode(raw, "ISO-8859-1").cast("string")
-    if encoding == "utf-8":
-        return F.translate(F.make_valid_utf8(as_text), "\ufffd", "")
-    if encoding == "auto":
-        return F.when(F.is_valid_utf8(as_text), as_text).otherwise(western)
-    raise ValueError(f"encoding {encoding!r} is not one of auto, utf-8, windows-1252, iso-8859-1")
+    if encoding in ("windows-1252", "iso-8859-1"):
+        decoded = western
+    elif encoding == "utf-8":
+        decoded = F.translate(F.make_valid_utf8(as_text), "\ufffd", "")
+    elif encoding == "auto":
+        decoded = F.when(F.is_valid_utf8(as_text), as_text).otherwise(western)
+    else:
+        raise ValueError(f"encoding {encoding!r} is not one of auto, utf-8, windows-1252, iso-8859-1")
+    # ASCII is the same in all of them and most lines are ASCII.
+    return F.when(F.octet_length(raw) == F.length(raw), raw).otherwise(decoded)
 
 
 def drop_marks(line: Column) -> Column:
-    """Lines lose single quotes and line ends."""
-    return F.translate(line, "'\r\n", "")
+    """Lines lose single quotes; their ends are gone already."""
+    return F.replace(line, F.lit("'"), F.lit(""))
 
 
 def sniff_separator(header: Column, separators: Sequence[str] = SEPARATORS) -> Column:

@@ -172,11 +172,12 @@ def typed(text, field: Field, as_double: bool = False):
         return parsing.parse_bool(text)
     if field.kind == "F" or field.decimals or as_double:
         return parsing.parse_float(text)
-    number = parsing.parse_float(text)
-    fraction = number.isNotNull() & parsing.parse_integer(text).isNull()
+    # Whole numbers take the first branch; only other numbers need a closer look.
+    bare = F.trim(text)
+    number = bare.try_cast("double")
     hint = F.lit(f"column {field.name} is declared whole but holds other numbers; read it with doubles=['{field.name}']")
-    return F.when(fraction & (number != F.floor(number)), F.raise_error(hint).cast("bigint")).otherwise(
-        F.coalesce(parsing.parse_integer(text), F.when(fraction, number.try_cast("bigint"))))
+    other = F.when(number == F.floor(number), number.try_cast("bigint")).otherwise(F.raise_error(hint).cast("bigint"))
+    return F.when(bare.rlike(parsing.INTEGER_PATTERN), bare.try_cast("bigint")).when(bare.rlike(parsing.DECIMAL_PATTERN), other)
 
 
 def typed_columns(layout: Layout, columns: list[str], doubles: list[str]):
