@@ -70,8 +70,11 @@ def point(x: Column, y: Column, z: Column | None = None, srid: int = GEOGRAPHIC_
 
 def from_wkt(text: Column, srid: int = GEOGRAPHIC_SRID) -> Column:
     """Geometry from well-known text; null when the text is not readable."""
-    keyword = F.upper(F.regexp_extract(text, _WKT_HEAD, 1))
-    return _bind(keyword, lambda word: F.when(word != "", _parse_wkt(word, text, srid)))
+    def parse(written):
+        keyword = F.upper(F.regexp_extract(written, _WKT_HEAD, 1))
+        return _bind(keyword, lambda word: F.when(word != "", _parse_wkt(word, written, srid)))
+
+    return _bind(text, parse)
 
 
 def _parse_wkt(keyword: Column, text: Column, srid: int) -> Column:
@@ -79,13 +82,13 @@ def _parse_wkt(keyword: Column, text: Column, srid: int) -> Column:
     # Blanks around commas and brackets go first; breaks then are fixed texts, and each
     # becomes one character, which splits without a pattern.
     tight = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" ?([(),]) ?", "$1")
-    body = F.substr(tight, F.locate("(", tight))
-    parts_marked = (
-        F.when(keyword == "MULTIPOLYGON", F.replace(body, F.lit(")),(("), F.lit(_PART_BREAK)))
-        .when(keyword == "MULTILINESTRING", F.replace(body, F.lit("),("), F.lit(_PART_BREAK)))
-        .when(keyword == "MULTIPOINT", F.translate(body, ",", _PART_BREAK))
-        .otherwise(body)
-    )
+    body = _bind(tight, lambda s: F.substr(s, F.locate("(", s)))
+    parts_marked = _bind(body, lambda s: (
+        F.when(keyword == "MULTIPOLYGON", F.replace(s, F.lit(")),(("), F.lit(_PART_BREAK)))
+        .when(keyword == "MULTILINESTRING", F.replace(s, F.lit("),("), F.lit(_PART_BREAK)))
+        .when(keyword == "MULTIPOINT", F.translate(s, ",", _PART_BREAK))
+        .otherwise(s)
+    ))
     marked = F.translate(F.replace(parts_marked, F.lit("),("), F.lit(_RING_BREAK)), "()", "")
     coords = F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), _ring))
 
