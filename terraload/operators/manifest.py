@@ -128,17 +128,25 @@ def cast_by_manifest(df: DataFrame, spec: Sequence) -> DataFrame:
     ])
 
 
+def _lost(df: DataFrame, column: str, target: str) -> Column:
+    return F.count_if(F.col(quote_name(column)).isNotNull() & _cast(df, column, target).isNull())
+
+
+def lost_values(df: DataFrame, spec: Sequence) -> Column:
+    """Aggregate that counts the values all casts of a manifest lose."""
+    total = F.lit(0).cast("bigint")
+    for column, target in cast_targets(df, spec).items():
+        total = total + _lost(df, column, target)
+    return total + F.count_if(F.lit(False))
+
+
 def cast_errors(df: DataFrame, spec: Sequence) -> DataFrame:
     """``(column, n_errors)``: values a cast would lose, counted in one pass."""
     targets = cast_targets(df, spec)
     if not targets:
         return df.sparkSession.createDataFrame([], "column string, n_errors long")
-    lost = [
-        F.struct(F.lit(c).alias("column"),
-                 F.count_if(F.col(quote_name(c)).isNotNull() & _cast(df, c, t).isNull()).alias("n_errors"))
-        for c, t in targets.items()
-    ]
-    return df.agg(F.array(*lost).alias("rows")).select(F.inline("rows"))
+    rows = [F.struct(F.lit(c).alias("column"), _lost(df, c, t).alias("n_errors")) for c, t in targets.items()]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def to_json(manifest: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from terraload.functions.geometry import geometry_columns, is_layer_schema, requested_srid, set_srid
@@ -20,7 +20,7 @@ from terraload.operators import registry
 from terraload.operators.sinks import DEFAULT_KEY, load_table
 from terraload.plans.publish import publish_layers, remove_layers
 from terraload.runtime import ship_modules, stage
-from terraload.sources import archive, dbf, delimited, shapefile, xlsx
+from terraload.sources import archive, dbf, delimited, files, shapefile, xlsx
 from terraload.sources.tables import create_schema, table_exists
 
 # Spark jobs in flight at once; each is spread over the cluster by itself.
@@ -36,10 +36,10 @@ class Part:
 
 
 def read_file(spark: SparkSession, path: str, format: str, table: str, group_id: str | None = None,
-              srid: int | None = None, labels: dict[str, dict[str, str]] | None = None) -> list[Part]:
-    """Tables of one file. ``labels`` (per table) spares text files the pass that infers types."""
+              srid: int | None = None, infer: bool = True) -> list[Part]:
+    """Tables of one file. Without ``infer`` text files keep text columns and are not read for their types."""
     if format == "csv":
-        return [Part(table, delimited.read_delimited(spark, path, group_id, (labels or {}).get(table)))]
+        return [Part(table, delimited.read_delimited(spark, path, group_id, None if infer else {}))]
     if format == "dbf":
         return [Part(table, dbf.read_dbf(spark, path, group_id))]
     if format == "shapefile":
@@ -74,15 +74,15 @@ def listed_files(found: DataFrame) -> list[Row]:
     return found.select("path", "filename", "format", "table").orderBy("path").collect()
 
 
-def build_manifest(spark: SparkSession, files: list[Row], group_id: str) -> DataFrame:
+def build_manifest(spark: SparkSession, listed: list[Row], group_id: str) -> DataFrame:
     """Manifest of listed files; a file that fails gives an error row.
 
     The driver holds one row per file and column; the files' data stays with the executors.
     """
-    if not files:
+    if not listed:
         raise ValueError("no readable file was found")
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        described = list(pool.map(lambda row: _describe_file(spark, row, group_id), files))
+        described = list(pool.map(lambda row: _describe_file(spark, row, group_id), listed))
     return manifests.from_rows(spark, [r for rows in described for r in rows])
 
 
@@ -102,23 +102,29 @@ def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, pa
     """
     ship_modules(spark)
     entries = stage(archive.extract_archives(spark, path, target), "entries")
-    files = listed_files(archive.exclude_sidecars(archive.inventory(entries.select("path"))))
-    manifest = build_manifest(spark, files, group_id)
+    listed = listed_files(archive.exclude_sidecars(archive.inventory(entries.select("path"))))
+    manifest = build_manifest(spark, listed, group_id)
     digest = upload_digest(spark, path)
     request = [r.asDict() for r in manifest.orderBy("filename", "table", "position").collect()]
     upload = registry.insert_request(
         spark, registry_schema, registry.UPLOADS, SHAPEFILE=path.rsplit("/", 1)[-1], DATE_UPLOAD=datetime.datetime.now(),
-        STATUS="UPLOAD ZIP", GROUP_ID=group_id, PATH_SHAPEFILE=target, MD5=digest, USERFILE=[f["path"] for f in files],
+        STATUS="UPLOAD ZIP", GROUP_ID=group_id, PATH_SHAPEFILE=target, MD5=digest, USERFILE=[f["path"] for f in listed],
         RESPONSE=json.dumps({"data": request}))
     return upload, manifest
 
 
-def prepare(frame: DataFrame, spec: Sequence, group_id: str, srid: int | None) -> DataFrame:
-    """A file's table as the manifest wants it: projected, renamed, cast, with tenant and reference system."""
-    table = manifests.cast_by_manifest(manifests.project_importing(frame, spec), spec)
+def prepare(frame: DataFrame, spec: Sequence, group_id: str, srid: int | None) -> tuple[DataFrame, Observation]:
+    """A file's table as the manifest wants it: projected, renamed, cast, with tenant and reference system.
+
+    The observation counts the values that casts lose, while the table is written.
+    """
+    projected = manifests.project_importing(frame, spec)
+    lost = Observation()
+    counted = projected.observe(lost, manifests.lost_values(projected, spec).alias("n_lost"))
+    table = manifests.cast_by_manifest(counted, spec)
     for shape in geometry_columns(table.schema):
         table = table.withColumn(shape, set_srid(F.col(quote_name(shape)), srid))
-    return tag_tenant(table, group_id)
+    return tag_tenant(table, group_id), lost
 
 
 @dataclass
@@ -130,10 +136,11 @@ class Outcome:
     ok: bool
     elapsed: float
     have_geom: bool
+    n_lost: int = 0
     error: str | None = None
 
 
-OUTCOME_SCHEMA = "table string, filename string, ok boolean, elapsed double, have_geom boolean, error string"
+OUTCOME_SCHEMA = "table string, filename string, ok boolean, elapsed double, have_geom boolean, n_lost long, error string"
 
 
 def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, partition_by) -> list[Outcome]:
@@ -141,16 +148,17 @@ def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, par
     outcomes: list[Outcome] = []
     try:
         # The manifest knows text files' types, so they are read once.
-        labels = {t: {r["column"]: r["tipo"] for r in spec} for t, spec in spec_by_table.items()}
-        for part in read_file(spark, row["path"], row["format"], row["table"], group_id, srid, labels):
+        for part in read_file(spark, row["path"], row["format"], row["table"], group_id, srid, infer=False):
             if part.table not in spec_by_table:
                 continue
-            table = prepare(part.frame, spec_by_table[part.table], group_id, srid)
+            table, lost = prepare(part.frame, spec_by_table[part.table], group_id, srid)
             load_table(table, schema, part.table, mode, key, partition_by)
-            outcomes.append(Outcome(part.table, row["filename"], True, time.monotonic() - started, is_layer_schema(table.schema)))
+            elapsed = time.monotonic() - started
+            outcomes.append(Outcome(
+                part.table, row["filename"], True, elapsed, is_layer_schema(table.schema), lost.get["n_lost"] or 0))
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
         shape = row["format"] == "shapefile"
-        outcomes.append(Outcome(row["table"], row["filename"], False, time.monotonic() - started, shape, _message(error)))
+        outcomes.append(Outcome(row["table"], row["filename"], False, time.monotonic() - started, shape, 0, _message(error)))
     return outcomes
 
 
@@ -172,39 +180,42 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
     rows = wanted.withColumn("schema_name", F.lit(target)).collect()
     load = registry.insert_request(
         spark, registry_schema, registry.LOADS, DATE_LOAD=datetime.datetime.now(), STATUS="LOAD SHAPEFILE",
-        GROUP_ID=group_id, REQUEST=json.dumps({"data": [r.asDict() for r in rows]}))
+        GROUP_ID=group_id, REQUEST=json.dumps({"data": [r.asDict() for r in rows], "upload": upload_id}))
     upload = registry.get_request(
         registry.stored(spark, registry_schema, registry.UPLOADS), registry.UPLOADS.key, upload_id)
     found = archive.inventory(upload.select(F.explode("USERFILE").alias("path")))
-    files = manifests.requested_files(found, wanted).orderBy("path").collect()
+    chosen = manifests.requested_files(found, wanted).orderBy("path").collect()
 
     by_file: dict[str, dict[str, list]] = {}
     for r in rows:
         by_file.setdefault(r["filename"], {}).setdefault(r["table"], []).append(r)
     duplicated = []
     if skip_existing:
-        duplicated = [f["filename"] for f in files
+        duplicated = [f["filename"] for f in chosen
                       if all(table_exists(spark, target, t) for t in by_file[f["filename"]])]
-        files = [f for f in files if f["filename"] not in duplicated]
+        chosen = [f for f in chosen if f["filename"] not in duplicated]
 
     # Two files must not write one table at the same time: the first one has it.
-    outcomes, owner = [], {}
-    for f in files:
-        if owner.setdefault(f["table"], f["path"]) != f["path"]:
-            message = f"table {f['table']} is loaded from {owner[f['table']]}"
-            outcomes.append(Outcome(f["table"], f["filename"], False, 0.0, False, message))
-    files = [f for f in files if owner[f["table"]] == f["path"]]
+    outcomes, owner, single = [], {}, []
+    for f in chosen:
+        taken = [t for t in by_file[f["filename"]] if owner.setdefault(t, f["path"]) != f["path"]]
+        if taken:
+            message = f"table {taken[0]} is loaded from {owner[taken[0]]}"
+            outcomes.append(Outcome(f["table"], f["filename"], False, 0.0, False, 0, message))
+        else:
+            single.append(f)
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
         jobs = [pool.submit(_load_file, spark, f, by_file[f["filename"]], group_id, target, override, mode, key, partition_by)
-                for f in files]
+                for f in single]
         outcomes = [o for job in jobs for o in job.result()] + outcomes
     layers = [o.table for o in outcomes if o.have_geom and o.ok]
     if layers:
         publish_layers(spark, registry_schema, group_id, layers)
     summary = {
-        "loaded": {o.filename: o.table for o in outcomes if o.ok},
+        "loaded": {o.table: o.filename for o in outcomes if o.ok},
         "errors": {o.filename: o.error for o in outcomes if not o.ok},
         "layers": layers,
+        "lost_values": {o.table: o.n_lost for o in outcomes if o.n_lost},
         "source_duplicated": duplicated,
         "elapsed": time.monotonic() - started,
     }
@@ -213,15 +224,35 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
 
 
 def delete_load(spark: SparkSession, registry_schema: str, load_id: int) -> list[str]:
-    """Drop a load's tables and layers, then its registry row; returns the tables dropped."""
+    """Drop a load's tables and layers, its upload's files and its registry row; returns the tables dropped.
+
+    Files stay as long as another load was made from the same upload.
+    """
     loads = registry.stored(spark, registry_schema, registry.LOADS)
-    one = registry.get_request(loads, registry.LOADS.key, load_id)
-    rows = one.select("GROUP_ID", F.explode(registry.from_json(F.col("REQUEST"))).alias("r")).select(
-        "GROUP_ID", "r.schema_name", "r.table").distinct().collect()
-    for r in rows:
-        spark.sql(f"DROP TABLE IF EXISTS {quote_name(r['schema_name'], r['table'])}")
-    if rows:
-        remove_layers(spark, registry_schema, rows[0]["GROUP_ID"], [r["table"] for r in rows])
+    upload = F.get_json_object("REQUEST", "$.upload").cast("bigint").alias("upload")
+    request = registry.get_request(loads, registry.LOADS.key, load_id).select(
+        "GROUP_ID", upload, registry.from_json(F.col("REQUEST"), ["schema_name", "table"]).alias("data")).first()
+    if request is None:
+        raise KeyError(f"no load {load_id}")
+    written = sorted({(r["schema_name"], r["table"]) for r in request["data"]})
+    for schema, table in written:
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(schema, table)}")
+    if written:
+        remove_layers(spark, registry_schema, request["GROUP_ID"], [t for _, t in written])
+    if request["upload"] is not None:
+        others = loads.filter(F.col(registry.LOADS.key) != load_id).select(upload).filter(F.col("upload") == request["upload"])
+        if not others.limit(1).count():
+            remove_upload_files(spark, registry_schema, request["upload"])
     registry.delete_stored(spark, registry_schema, registry.LOADS, load_id)
-    return sorted(r["table"] for r in rows)
-
+    return sorted(t for _, t in written)
+
+
+def remove_upload_files(spark: SparkSession, registry_schema: str, upload_id: int) -> None:
+    """Delete the folder an upload was unpacked into; it must hold the upload's files and nothing above them."""
+    uploads = registry.stored(spark, registry_schema, registry.UPLOADS)
+    row = registry.get_request(uploads, registry.UPLOADS.key, upload_id).first()
+    if row is None or not row["PATH_SHAPEFILE"] or not row["USERFILE"]:
+        return
+    folder = row["PATH_SHAPEFILE"].rstrip("/") + "/"
+    if all(path.startswith(folder) for path in row["USERFILE"]):
+        files.delete_folder(folder)

@@ -51,6 +51,11 @@ def file_size(path: str) -> int | None:
     return info.size if info.type == fs.FileType.File else None
 
 
+def delete_folder(path: str) -> None:
+    filesystem, inner = resolve(path)
+    filesystem.delete_dir(inner.rstrip("/"))
+
+
 def sibling(path: str, suffix: str) -> str | None:
     """The side-car of ``path`` with another suffix, in small or capital letters."""
     stem = path[: path.rindex(".")]

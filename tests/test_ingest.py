@@ -52,6 +52,7 @@ def test_archive_to_model(spark, schema, folder, archive_path):
         spark, schema, upload, "acme", edited, target, srid="3003", schema_location=str(folder / "tables"))
     assert summary["errors"] == {} and set(summary["layers"]) == {"condotte", "antenne"}
     assert {t.name for t in spark.catalog.listTables(target)} == {"condotte", "antenne", "book_a", "book_b"}
+    assert summary["lost_values"] == {"antenne": 1}
     pipes = tables.scan_table(spark, target, "condotte")
     assert pipes.columns == ["gid", "status", "geometry", "group_id"] and pipes.first()["geometry"]["srid"] == 3003
     towers = tables.scan_table(spark, target, "antenne").orderBy("longitudine").collect()
@@ -73,6 +74,12 @@ def test_archive_to_model(spark, schema, folder, archive_path):
     assert done["layers"] == ["kept"] and tables.scan_table(spark, tenant, "kept").count() == 1
 
     assert ingest.delete_load(spark, schema, load) == ["antenne", "book_a", "book_b", "condotte"]
+    assert (folder / "files").exists()  # other loads were made from the same upload
+    for other in [r["ID_SHAPE"] for r in registry.stored(spark, schema, registry.LOADS).collect()]:
+        ingest.delete_load(spark, schema, other)
+    assert not (folder / "files").exists() and (folder / "upload.zip").exists()
+    with pytest.raises(KeyError):
+        ingest.delete_load(spark, schema, load)
     assert spark.catalog.listTables(target) == []
     assert tables.scan_table(spark, schema, publish.LAYERS).count() == 0
 
@@ -84,7 +91,7 @@ def test_two_files_of_one_table(spark, schema, folder):
     path.write_bytes(zip_of({"a/t.csv": "id\n1\n", "b/t.csv": "id\n2\n"}))
     upload, manifest = ingest.analyze_archive(spark, schema, "g", str(path), str(folder / "files"))
     summary = ingest.load_batch(spark, schema, upload, "g", manifest, schema)[2]
-    assert summary["loaded"] == {"t.csv": "t"} and list(summary["errors"]) == ["t.csv"]
+    assert summary["loaded"] == {"t": "t.csv"} and list(summary["errors"]) == ["t.csv"]
     assert [r["id"] for r in tables.scan_table(spark, schema, "t").collect()] == [1]
 
 
