@@ -144,7 +144,7 @@ def _shape_scalars(df, *more):
     SELECT event_id, {LON} AS x, {LAT} AS y, 32633 AS srid, 'Point' AS gtype, false AS has_z, event_type AS kind,
            CAST(value AS DECIMAL(14, 3)) AS value FROM events""")
 def scan_shapefile(spark, sf_dir):
-    read = shapefile.read_shapefile(spark, b.point_files(spark, sf_dir, False), splitRecords=1000)
+    read = shapefile.read_shapefile(spark, b.point_files(spark, sf_dir, False), splitBytes=50_000)
     return _shape_scalars(read, "kind", F.col("value").cast("decimal(14,3)").alias("value"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from terraload.functions import names, parsing
 from terraload.sources import files
 
-DEFAULT_SPLIT_BYTES = 64 << 20
+DEFAULT_SPLIT_BYTES = 128 << 20
 CHUNK_BYTES = 8 << 20
 FIELD_TYPES = "CNDLF"
 DELETED_COLUMN = "_deleted"
@@ -119,7 +119,8 @@ class DbfReader(DataSourceReader):
         self.split_bytes = int(options.get("splitBytes", DEFAULT_SPLIT_BYTES))
 
     def partitions(self):
-        return [InputPartition(p) for p in files.byte_splits(data_files(self.path, ".dbf"), self.split_bytes)]
+        found = [(path, size, 1) for path, size in data_files(self.path, ".dbf")]
+        return [InputPartition(p) for p in files.pack_ranges(found, self.split_bytes)]
 
     def read(self, partition):
         for path, start, end in partition.value:

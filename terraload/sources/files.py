@@ -77,19 +77,25 @@ def publish_file(path: str):
     filesystem.move(passing, inner)
 
 
-def byte_splits(files: list[tuple[str, int]], split_bytes: int) -> list[list[tuple[str, int, int]]]:
-    """Cut large files into byte ranges and pack small ones together."""
+def pack_ranges(lengths: list[tuple[str, int, float]], limit: int) -> list[list[tuple[str, int, int]]]:
+    """Cut long files into ranges and pack short ones together.
+
+    A file has a length in units (bytes or records) and the bytes of one unit; a pack holds
+    about ``limit`` bytes.
+    """
     packs: list[list[tuple[str, int, int]]] = []
     current: list[tuple[str, int, int]] = []
-    filled = 0
-    for path, size in files:
-        for start in range(0, max(size, 1), split_bytes):
-            end = min(start + split_bytes, size)
-            if current and filled + (end - start) > split_bytes:
+    filled = 0.0
+    for path, length, unit_bytes in lengths:
+        step = max(1, int(limit / max(unit_bytes, 1e-9)))
+        for start in range(0, max(length, 1), step):
+            end = min(start + step, length)
+            weight = (end - start) * unit_bytes
+            if current and filled + weight > limit:
                 packs.append(current)
-                current, filled = [], 0
+                current, filled = [], 0.0
             current.append((path, start, end))
-            filled += end - start
+            filled += weight
     if current:
         packs.append(current)
     return packs

@@ -21,8 +21,9 @@ from terraload.sources import dbf, files
 
 INDEX_HEADER = 100
 INDEX_RECORD = 8
-DEFAULT_SPLIT_RECORDS = 262144
+# Records of one Arrow batch, and bytes of shapes read for it at most (one record may be more).
 CHUNK_RECORDS = 16384
+CHUNK_BYTES = 8 << 20
 GEOMETRY_COLUMN = "geometry"
 
 # Shape type code -> family; codes above 10 carry Z, above 20 only M.
@@ -136,10 +137,16 @@ def srid_of_text(text: str | None) -> int | None:
     return int(codes[-1]) if codes else None
 
 
+def index_spans(handle, at: int, count: int) -> np.ndarray:
+    """Where records lie and how long they are, in bytes."""
+    raw = files.read_range(handle, INDEX_HEADER + at * INDEX_RECORD, count * INDEX_RECORD)
+    return np.frombuffer(raw, ">i4").reshape(count, 2).astype(np.int64) * 2
+
+
 class ShapefileSource(DataSource):
     """``spark.read.format("shapefile").load(path)``: text attributes, ``_deleted``, ``geometry``.
 
-    Options: ``columns``, ``encoding``, ``srid`` (instead of the file's), ``splitRecords``.
+    Options: ``columns``, ``encoding``, ``srid`` (instead of the file's), ``splitBytes``.
     """
 
     @classmethod
@@ -180,17 +187,18 @@ class ShapefileReader(DataSourceReader):
         self.columns = field_names[:-2]
         self.encoding = options.get("encoding")
         self.srid = int(options["srid"]) if options.get("srid") else None
-        self.split_records = int(options.get("splitRecords", DEFAULT_SPLIT_RECORDS))
+        self.split_bytes = int(options.get("splitBytes", dbf.DEFAULT_SPLIT_BYTES))
 
     def partitions(self):
-        # Index ranges are cut from the .shx sizes; one size tells the number of records.
+        # The index size tells the number of records, the shape file's what they weigh.
         indexes = {p.lower()[:-4]: s for p, s in dbf.data_files(self.path_folder(), ".shx")}
         counted = []
-        for path, _ in dbf.data_files(self.path, ".shp"):
+        for path, size in dbf.data_files(self.path, ".shp"):
             if path.lower()[:-4] not in indexes:
                 raise ValueError(f"{path} has no .shx index")
-            counted.append((path, (indexes[path.lower()[:-4]] - INDEX_HEADER) // INDEX_RECORD))
-        return [InputPartition(p) for p in files.byte_splits(counted, self.split_records)]
+            n_records = (indexes[path.lower()[:-4]] - INDEX_HEADER) // INDEX_RECORD
+            counted.append((path, n_records, size / max(n_records, 1)))
+        return [InputPartition(p) for p in files.pack_ranges(counted, self.split_bytes)]
 
     def path_folder(self) -> str:
         return self.path.rsplit("/", 1)[0] if self.path.lower().endswith(".shp") else self.path
@@ -207,15 +215,18 @@ class ShapefileReader(DataSourceReader):
                     if layout:
                         dbf.check_columns(path, layout, self.columns)
                     for at in range(first, last, CHUNK_RECORDS):
-                        count = min(CHUNK_RECORDS, last - at)
-                        yield self.batch(shapes, offsets, table, layout, at, count, srid)
+                        spans = index_spans(offsets, at, min(CHUNK_RECORDS, last - at))
+                        # Cut where the shapes so far would fill another chunk.
+                        chunk = np.cumsum(spans[:, 1]) // CHUNK_BYTES
+                        for piece in np.split(spans, np.flatnonzero(np.diff(chunk)) + 1):
+                            yield self.batch(shapes, table, layout, at, piece, srid)
+                            at += len(piece)
                 finally:
                     if table:
                         table.close()
 
-    def batch(self, shapes, offsets, table, layout, at, count, srid):
-        raw = files.read_range(offsets, INDEX_HEADER + at * INDEX_RECORD, count * INDEX_RECORD)
-        spans = np.frombuffer(raw, ">i4").reshape(count, 2).astype(np.int64) * 2
+    def batch(self, shapes, table, layout, at, spans, srid):
+        count = len(spans)
         start = int(spans[:, 0].min())
         stretch = int((spans[:, 0] + spans[:, 1]).max()) + 8 - start
         if stretch <= 2 * int((spans[:, 1] + 8).sum()):

@@ -171,11 +171,25 @@ def test_shapefile_without_sidecars(spark, folder):
     assert not shapefile.has_geometry(shapefile.read_shapefile(spark, str(folder / "null.shp")))
 
 
-@pytest.mark.parametrize("split", [7, 100, 10000])
-def test_shapefile_splits_give_the_same_rows(spark, folder, split):
+@pytest.mark.parametrize("split,chunk", [(700, 100), (9000, 1000), (1 << 20, 2000), (1 << 20, 1 << 20)])
+def test_shapefile_splits_give_the_same_rows(folder, split, chunk, monkeypatch):
+    # Read without Spark, so that the chunk size can be set.
+    monkeypatch.setattr(shapefile, "CHUNK_BYTES", chunk)
     shapes = [(3, [[(i, i), (i + 1, i)] + [(i, j) for j in range(i % 5)]]) for i in range(300)]
     write_shapefile(folder, "a", shapes, ID, [[str(i).encode()] for i in range(300)])
-    df = shapefile.read_shapefile(spark, str(folder), splitRecords=split)
+    reader = shapefile.ShapefileReader({"path": str(folder), "splitBytes": str(split)}, ["id", "_deleted", "geometry"])
+    found = []
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            found += [(int(r["id"]), r["geometry"]["coords"][0][0][0]["x"], len(r["geometry"]["coords"][0][0])) for r in batch.to_pylist()]
+    assert found == [(i, float(i), 2 + i % 5) for i in range(300)]
+
+
+@pytest.mark.parametrize("split", [700, 9000, 1 << 20])
+def test_shapefile_splits_in_spark(spark, folder, split):
+    shapes = [(3, [[(i, i), (i + 1, i)] + [(i, j) for j in range(i % 5)]]) for i in range(300)]
+    write_shapefile(folder, "a", shapes, ID, [[str(i).encode()] for i in range(300)])
+    df = shapefile.read_shapefile(spark, str(folder), splitBytes=split)
     found = sorted((r["id"], r["geometry"]["coords"][0][0][0]["x"], len(r["geometry"]["coords"][0][0])) for r in df.collect())
     assert found == [(i, float(i), 2 + i % 5) for i in range(300)]
 
