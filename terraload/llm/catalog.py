@@ -1,0 +1,34 @@
+"""Keeps this package's queries and their SQL apart from the library's own."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from terraload.runtime import ship_modules
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def keep(query: Query) -> Query:
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_modules(spark)
+            return query(spark, sf_dir)
+
+        QUERIES[name] = run
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return run
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
