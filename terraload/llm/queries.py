@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terraload.llm.catalog import ORACLES, QUERIES, register, table
+from terraload.llm.decontaminate import contamination
 from terraload.llm.neardup import near_duplicates
+from terraload.llm.token_files import token_digests
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public vocabularies; installed on every machine at the same place."""
+    return str(Path(find_spec("public_tokenizers").origin).with_name(name))
+
+
+@register("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@register("op7_fm_index_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents"))

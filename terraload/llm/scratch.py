@@ -21,9 +21,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return new_path(self.spark, f"{self.label}-{name}")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = (kept, path)
         return kept
