@@ -5,10 +5,12 @@ from __future__ import annotations
 from importlib.util import find_spec
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terraload.llm import language, toxicity
 from terraload.llm.catalog import ORACLES, QUERIES, register, table
 from terraload.llm.decontaminate import contamination
+from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
 from terraload.llm.token_files import token_digests
 
@@ -20,11 +22,64 @@ def vocabulary(name: str) -> str:
     return str(Path(find_spec("public_tokenizers").origin).with_name(name))
 
 
+def fold(n: int) -> Column:
+    """The remainder that says which documents labels may be learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@register("op1_toxicity_mil")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @register("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+OP4_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
+        row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+    FROM sized GROUP BY source),
+weighed AS (SELECT *, (CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS weight FROM sources),
+filled AS (
+    SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS taken,
+        sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+        1.5 * (sum(source_size) OVER ())::BIGINT::DOUBLE AS budget
+    FROM weighed),
+price AS (SELECT arg_min((budget - taken) / open, cap / weight) AS price FROM filled WHERE cap > (budget - taken) / open * weight),
+goals AS (
+    SELECT source, source_size, CASE WHEN cap > price * weight THEN price * weight ELSE cap::DOUBLE END AS target
+    FROM weighed, price),
+placed AS (
+    SELECT sized.*, source_size, target, round(target)::BIGINT AS budget,
+        coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier
+    FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+    CASE WHEN source_size = 0 THEN 0 ELSE
+        (budget // source_size) * size + greatest(0, least(size, budget % source_size - earlier)) END::BIGINT AS taken
+FROM placed
+"""
+
+
+@register("op4_mix_sources", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs.where(fold(5) != 0)))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @register("op7_fm_index_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

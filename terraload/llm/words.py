@@ -6,7 +6,7 @@ do. A null text has no words. All sums and products of hashes wrap around at 64
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,29 +97,30 @@ def split(column, separators: np.ndarray = SPACES, lower: bool = True) -> Words:
 
 
 def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length.
+    """A 64-bit hash of each word."""
+    return range_hashes(lambda low, high: BYTE_VALUES[words.data[low:high]], len(words.data), words.starts, words.ends)
 
-    Prefix sums of ``byte * BASE**position`` give any word's polynomial by one subtraction; the
-    power at its start is divided out.
+
+def range_hashes(values: Callable[[int, int], np.ndarray], n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of ``n`` values: their polynomial, mixed with their number.
+
+    Prefix sums of ``value * BASE**position`` give any range's polynomial by one subtraction; the
+    power at its start is divided out. ``values`` gives the values of a stretch.
     """
-    data, starts, ends = words.data, words.starts, words.ends
     if not len(starts):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
         high = np.uint64(1)
-        for at in range(0, len(data), _STEP):
-            part = BYTE_VALUES[data[at:at + _STEP]] * _UP[:min(_STEP, len(data) - at)]
-            sums[at + 1:at + 1 + len(part)] = part * high
+        for at in range(0, n, _STEP):
+            end = min(at + _STEP, n)
+            sums[at + 1:end + 1] = values(at, end) * _UP[:end - at] * high
             high = high * _UP[-1] * BASE
         np.cumsum(sums, out=sums)
         h = sums[ends] - sums[starts]
-        blocks = np.arange(len(data) // _STEP + 1)
-        coarse = np.empty(len(blocks), np.uint64)
-        step_down, value = _DOWN[-1] * _BASE_INVERSE, np.uint64(1)
-        for i in blocks:
-            coarse[i] = value
-            value = value * step_down
+        coarse = np.full(n // _STEP + 1, _DOWN[-1] * _BASE_INVERSE)
+        coarse[0] = 1
+        np.multiply.accumulate(coarse, out=coarse)
         h *= _DOWN[starts % _STEP] * coarse[starts // _STEP]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
