@@ -12,8 +12,10 @@
 4. Stars: the most central class under each value (whose values are the most common) is compared
    with all others there. This links a large group of near copies by a linear number of pairs.
 5. Rest: under each value, classes outside the largest component are compared with all classes
-   of other components there, in blocks of bounded size; collisions are counted on
-   one-byte tags of the coordinates, so that only pairs with enough of them leave a task.
+   of other components there, in blocks of bounded size. Collisions are counted on one-byte
+   tags of the coordinates, and a parity sketch bounds how far two sets differ: each element flips
+   one of 2048 bits, so two sets differ in at least as many elements as their sketches in bits. Only
+   pairs that may still be linked leave a task, and only under the first value that they share.
 6. Every pair is confirmed on full shingle sets: ``100 * both >= 75 * either``.
 7. Components by hooking and contraction; the smallest ``doc_id`` names a component.
 """
@@ -34,6 +36,8 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 30
 BLOCK = 256
+SKETCH_BITS = 2048
+SKETCH_SHIFT = 64 - 11
 #: Shingles hashed at a time, so that they stay in a core's cache.
 STRIDE = 1 << 16
 
@@ -70,6 +74,9 @@ def _sets(texts) -> Iterator[np.ndarray]:
         yield part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
 
 
+_PLACES = np.arange(COORDINATES, dtype=np.uint64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(_sets(batch.column("text")))
@@ -79,11 +86,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = signatures(flat, bounds, FACTORS)
         with np.errstate(over="ignore"):
             digests = [(words.mix(s).sum(), words.mix(s ^ words.BASE).sum()) for s in sets]
+        parity = [np.packbits(np.bincount((s >> np.uint64(SKETCH_SHIFT)).astype(np.int64), minlength=SKETCH_BITS) & 1 > 0).tobytes() for s in sets]
         pairs = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]),
-             pa.array([r.tobytes() for r in rows], pa.binary())],
-            names=["doc_id", "n_shingles", "h1", "h2", "signature"])
+             pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(parity, pa.binary())],
+            names=["doc_id", "n_shingles", "h1", "h2", "signature", "parity"])
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +103,41 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((values + high).ravel()), pa.array(rep)], names=["key", "rep"])
 
 
-def _tags(column) -> np.ndarray:
-    """One byte of each coordinate."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+def _matrix(column, kind) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, kind).reshape(len(column), -1)
+
+
+class Sketches:
+    """Signatures, sketches and sizes of rows; says which pairs of rows may be linked."""
+
+    def __init__(self, rows, suffix: str = ""):
+        self.signature = _matrix(rows.column("signature" + suffix), np.uint32)
+        self.tags = self.signature.astype(np.uint8)
+        self.parity = _matrix(rows.column("parity" + suffix), np.uint64)
+        self.size = rows.column("n_shingles" + suffix).to_numpy()
+
+    def may_link(self, x: np.ndarray, other: "Sketches", y: np.ndarray) -> np.ndarray:
+        """Which pairs ``x, y`` pass: enough collisions, sizes and sketches that allow a link.
+
+        Sets of sizes a and b that differ in d elements are linked if ``a + b >= 7 * d``.
+        """
+        total = self.size[x] + other.size[y]
+        passed = np.flatnonzero(total >= 7 * np.abs(self.size[x] - other.size[y]))
+        x, y = x[passed], y[passed]
+        enough = (self.tags[x] == other.tags[y]).sum(1) >= MATCHES
+        passed, x, y = passed[enough], x[enough], y[enough]
+        apart = np.bitwise_count(self.parity[x] ^ other.parity[y]).sum(1, dtype=np.int64)
+        out = np.zeros(len(total), bool)
+        out[passed[total[passed] >= 7 * apart]] = True
+        return out
 
 
 def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            enough = (_tags(batch.column("sa")) == _tags(batch.column("sb"))).sum(1) >= MATCHES
-            yield batch.select(["a", "b"]).filter(pa.array(enough))
+            rows = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(Sketches(batch, "_a").may_link(rows, Sketches(batch, "_b"), rows)))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +170,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in words.grouped(batches, ["key", "qb", "mb"]):
         table = table.combine_chunks()
         key, qb, mb, rep, component, role = (table.column(c).to_numpy() for c in ("key", "qb", "mb", "rep", "component", "role"))
-        tags = _tags(table.column("signature"))
+        sketches = Sketches(table)
+        mask = table.column("mask").to_numpy().view(np.uint64)
         change = np.ones(len(key), bool)
         change[1:] = (key[1:] != key[:-1]) | (qb[1:] != qb[:-1]) | (mb[1:] != mb[:-1])
         group = np.cumsum(change)
@@ -152,9 +186,12 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             useful = (asks[left] & answers[right]) | (answers[left] & asks[right])
             useful &= component[left] != component[right]
             x, y = left[useful], right[useful]
-            enough = (tags[x] == tags[y]).sum(1) >= MATCHES
-            x, y = x[enough], y[enough]
+            passed = sketches.may_link(x, sketches, y)
+            x, y = x[passed], y[passed]
             if len(x):
+                shared = (sketches.signature[x] == sketches.signature[y]) & ((mask[x] & mask[y])[:, None] >> _PLACES & np.uint64(1) > 0)
+                here = shared.argmax(1) == key[x] >> 32
+                x, y = x[here], y[here]
                 swap = rep[x] > rep[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rep[x], rep[y], component[x], component[y])],
@@ -178,37 +215,39 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     scratch = scratch or Scratch(spark, "neardup")
     bounded_batches(spark, rows=4000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = scratch.keep(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, signature binary"), "prints")
+    prints = scratch.keep(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, parity binary"), "prints")
     same = ["h1", "h2", "n_shingles"]
     classes = scratch.keep(prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
                            .agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.keep(prints.select("doc_id", *same).where("doc_id IS NOT NULL").join(classes, same, "left")
                            .select("doc_id", "n_shingles", "rep"), "members")
     reps = scratch.keep(prints.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi")
-                        .select(F.col("doc_id").alias("rep"), "signature").distinct(), "reps")
+                        .select(F.col("doc_id").alias("rep"), "signature", "parity", "n_shingles").distinct(), "reps")
 
     posts = reps.mapInArrow(_posted, "key long, rep long")
     shared = scratch.keep(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     own = (posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
            .where(F.size("own") >= MATCHES))
     central = F.aggregate("own", F.lit(0).cast("long"), lambda total, v: total + v["n"])
-    prefix = scratch.keep(own.select("rep", central.alias("central"), F.explode(
-        F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("post"))
-        .select("rep", "central", F.col("post.key").alias("key")), "prefix")
+    rarest = own.select("rep", central.alias("central"), F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1)).alias("posts"))
+    mask = F.aggregate("posts", F.lit(0).cast("long"), lambda bits, v: bits.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(v["key"], 32).cast("int"))))
+    prefix = scratch.keep(rarest.select("rep", "central", mask.alias("mask"), F.explode("posts").alias("post"))
+                          .select("rep", "central", "mask", F.col("post.key").alias("key")), "prefix")
 
     pivots = scratch.keep(prefix.groupBy("key").agg(F.max(F.struct("central", "rep")).alias("p"), F.count("*").alias("n"))
                           .where("n > 1").select("key", F.col("p.rep").alias("pivot")), "pivots")
     stars = (prefix.join(pivots, "key").where("rep != pivot")
              .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-    left, right = reps.toDF("a", "sa"), reps.toDF("b", "sb")
-    stars = scratch.keep(stars.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    left, right = (reps.toDF(end, *(f"{c}_{end}" for c in reps.columns[1:])) for end in "ab")
+    stars = scratch.keep(stars.join(left, "a").join(right, "b")
                          .mapInArrow(_enough, "a long, b long"), "stars")
     sets = scratch.keep(docs.join(prefix.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                         .mapInArrow(_shingle_sets, "node long, shingles binary"), "sets")
     first = components(_confirm(stars, sets), scratch)
 
     placed = scratch.keep(prefix.join(first.withColumnRenamed("node", "rep"), "rep", "left")
-                          .select("rep", "key", F.coalesce("component", "rep").alias("component")), "placed")
+                          .select("rep", "key", "mask", F.coalesce("component", "rep").alias("component")), "placed")
     sizes = (placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
              .agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("total"))
              .where("total > main.n")
@@ -222,11 +261,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     answers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1),
                           lambda q: F.struct(q.alias("qb"), own_m.alias("mb"), F.lit(2).alias("role")))
     posted = F.when(F.col("outside"), F.concat(asks, answers)).otherwise(answers)
-    blocks = (spread.select("key", "rep", "component", F.explode(posted).alias("p"))
-              .select("key", "rep", "component", F.col("p.qb").alias("qb"), F.col("p.mb").alias("mb"), F.col("p.role").alias("role"))
-              .groupBy("key", "qb", "mb", "rep", "component").agg(F.sum("role").cast("int").alias("role")))
+    blocks = (spread.select("key", "rep", "mask", "component", F.explode(posted).alias("p"))
+              .select("key", "rep", "mask", "component", F.col("p.qb").alias("qb"), F.col("p.mb").alias("mb"), F.col("p.role").alias("role"))
+              .groupBy("key", "qb", "mb", "rep", "mask", "component").agg(F.sum("role").cast("int").alias("role")))
     pairs = (blocks.join(reps, "rep").repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
-             .select("key", "qb", "mb", "rep", "component", "role", "signature")
+             .select("key", "qb", "mb", "rep", "component", "role", "mask", "signature", "parity", "n_shingles")
              .mapInArrow(_block_pairs, "a long, b long, ca long, cb long").distinct())
     pairs = scratch.keep(pairs, "pairs")
     late = _confirm(pairs.select("a", "b").distinct(), sets)
