@@ -13,6 +13,8 @@ from terraload.llm.decontaminate import contamination
 from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
 from terraload.llm.token_files import token_digests
+from terraload.llm.vector_files import top_k
+from terraload.llm.warc import round_trip
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -34,6 +36,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+OP2_SQL = """
+WITH hashed AS (
+    SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+owned AS (
+    SELECT *, max(page_id) OVER (PARTITION BY hex) AS owner,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INTEGER, 1)
+            FOR i IN range(32)], '') AS payload_digest
+    FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM owned
+"""
+
+
+@register("op2_warc_round_trip", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 @register("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
@@ -86,6 +109,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+OP8_SQL = """
+WITH parts AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1),
+        lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM parts q JOIN parts c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@register("op8_vector_top_k", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

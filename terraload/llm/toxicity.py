@@ -21,13 +21,15 @@ from terraload.llm import letters
 from terraload.llm.scratch import Scratch, bounded_batches
 
 #: Labelled documents to learn from, about; chosen by a hash of their id.
-SAMPLE = 10_000
+SAMPLE = 20_000
 #: Features kept: those whose document frequencies differ most between the labels.
-FEATURES = 1_500
+FEATURES = 500
+#: A feature must stand in so many sampled documents, or it would explain single ones away.
+LEAST_DOCUMENTS = 5
 PREFIXES = range(3, 7)
-STEPS = 300
+STEPS = 400
 RATE = 0.1
-RIDGE = 1e-5
+RIDGE = 2e-5
 START = -6.0
 THRESHOLD = 0.7
 OFFENDING = 0.5
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, scratch: Scr
     p, q = (F.col("bad") + 0.5) / (bad + 1), (F.col("n") - F.col("bad") + 0.5) / (every - bad + 1)
     counts = chosen.mapInArrow(_count, "feature long, bad long, n long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     telling = F.abs(F.log(p / q)) * F.abs(p - q)
-    best = counts.where("n > 1").withColumn("telling", telling).orderBy(F.desc("telling"), "feature").limit(FEATURES).collect()
+    best = counts.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("telling", telling).orderBy(F.desc("telling"), "feature").limit(FEATURES).collect()
     features = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
     empty = Model(features, np.zeros(len(features)), START)
     rows = chosen.mapInArrow(_bags(empty), "toxic double, n long, features binary, sentences binary").collect()
