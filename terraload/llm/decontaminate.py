@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute known
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
@@ -166,6 +167,36 @@ def _scan(folder: str):
     return run
 
 
+def _clean(folder: str):
+    """Whole rows whose texts have no hit."""
+    scan = _scan(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
+
+        for found in scan(texts()):
+            table = pa.Table.from_batches(held).slice(0, found.num_rows)
+            rest = pa.Table.from_batches(held).slice(found.num_rows)
+            held[:] = rest.to_batches()
+            yield from table.filter(pa.compute.invert(found.column("contaminated"))).to_batches()
+    return run
+
+
+def _phrases(benchmark: DataFrame, window: int, scratch: Scratch) -> str:
+    """The folder of the written table ``item, phrase``."""
+    bounded_batches(benchmark.sparkSession, 8)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    folder = scratch.path("phrases")
+    items.mapInArrow(_windows(window), "item string, phrase string").distinct().write.parquet(folder)
+    return folder
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """What of each row of ``docs`` (``doc_id, text``) stands in ``benchmark`` (``item_id, text``).
 
@@ -174,10 +205,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words. Benchmark rows without id or text take no part; repeated rows count once. Each row of
     ``docs`` gives a row, whatever its id. Empty tables give no hits or no rows.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "decontaminate")
-    bounded_batches(spark, 8)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    folder = scratch.path("phrases")
-    items.mapInArrow(_windows(window), "item string, phrase string").distinct().write.parquet(folder)
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+    folder = _phrases(benchmark, window, scratch)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(folder), SCHEMA)
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text nothing of ``benchmark`` stands."""
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+    return docs.mapInArrow(_clean(_phrases(benchmark, window, scratch)), docs.schema)

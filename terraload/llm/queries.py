@@ -12,9 +12,12 @@ from terraload.llm.catalog import ORACLES, QUERIES, register, table
 from terraload.llm.decontaminate import contamination
 from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
+from terraload.llm.paragraphs import repeated_passages
+from terraload.llm.rollup import TokenRollup
 from terraload.llm.token_files import token_digests
 from terraload.llm.vector_files import top_k
 from terraload.llm.warc import round_trip
+from terraload.runtime import new_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -103,6 +106,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@register("op6_token_rollup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents go in, in a batch that comes twice; copies of earlier texts go out; texts that
+    lose marks by cleaning are counted again."""
+    docs = table(spark, sf_dir, "documents")
+    totals = TokenRollup(spark, new_path(spark, "rollup"))
+    version, tokenizer = "word_bpe_49k", vocabulary("word_bpe_49k.json")
+    totals.insert("load", docs, version, tokenizer)
+    totals.insert("load", docs, version, tokenizer)
+    keyed = docs.select("doc_id", F.md5("text").alias("text_key"))
+    firsts = keyed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    firsts.where("n > 1").write.parquet(path := new_path(spark, "firsts"))
+    copies = keyed.join(spark.read.parquet(path), "text_key").where("doc_id > first")
+    totals.delete("copies", copies)
+    cleaned = F.regexp_replace("text", "[*&$%#@]+", "")
+    totals.revise("clean", docs.where(cleaned != F.col("text")).withColumn("text", cleaned), version, tokenizer)
+    return totals.totals()
+
+
 @register("op7_fm_index_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -128,6 +150,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+@register("op9_paragraph_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
