@@ -73,18 +73,20 @@ def uploads(spark, sf_dir) -> DataFrame:
 
 
 def loads(spark, sf_dir) -> DataFrame:
-    def entry(filename, table_name, column):
+    """The load of an order was made from the upload of twice its number; every other owner file has points."""
+    def entry(filename, table_name, column, tipo):
         return F.struct(filename.alias("filename"), F.lit("public").alias("schema_name"), table_name.alias("table"),
-                        F.lit(column).alias("column"), F.lit("text").alias("tipo"))
+                        F.lit(column).alias("column"), tipo.alias("tipo"))
 
     key, owner = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     area = (F.concat(F.lit("area_"), key, F.lit(".shp")), F.concat(F.lit("area_"), key))
     names = (F.concat(F.lit("owner_"), owner, F.lit(".csv")), F.concat(F.lit("owner_"), owner))
-    rows = F.array(entry(*area, "a"), entry(*area, "b"), entry(*names, "c"))
+    points = F.when(F.col("o_custkey") % 2 == 0, "geometry(Point,4326)").otherwise("text")
+    rows = F.array(entry(*area, "a", F.lit("text")), entry(*area, "b", F.lit("geometry(Polygon,4326)")), entry(*names, "c", points))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ID_SHAPE"), F.col("o_orderdate").alias("DATE_LOAD"),
         F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("GROUP_ID"),
-        F.to_json(F.struct(rows.alias("data"))).alias("REQUEST"))
+        F.to_json(F.struct(rows.alias("data"), (F.col("o_orderkey") * 2).alias("upload"))).alias("REQUEST"))
 
 
 def models(spark, sf_dir) -> DataFrame:
@@ -128,7 +130,7 @@ def manifest(spark, sf_dir) -> DataFrame:
 
 def _part_layers(part) -> DataFrame:
     tail = F.concat_ws("_", F.lower("p_type"), F.translate("p_name", " ", "_"), F.col("p_partkey").cast("string"))
-    prefix = F.when(F.col("p_size") > 40, "v_").when(F.col("p_size") > 30, "base_").otherwise("infr_")
+    prefix = F.when(F.col("p_size") > 40, "v_").when(F.col("p_size") > 30, "base_").otherwise("net_")
     return part.select(_tenant().alias("group_id"), F.concat(prefix, tail).alias("name"))
 
 
@@ -234,3 +236,15 @@ def document_zips(spark, sf_dir) -> str:
     return once(spark, sf_dir, "zip", lambda path: samples.write_zips(
         table(spark, sf_dir, "documents").select(entry_name().alias("entry"), F.col("text").alias("content")).repartition(8), path))
 
+
+
+def same_entry_zips(spark, sf_dir) -> str:
+    """Archives in three folders, whose entries have the names of the others' entries."""
+    def write(path):
+        docs = table(spark, sf_dir, "documents")
+        for remainder in range(3):
+            own = docs.filter(F.col("doc_id") % 3 == remainder)
+            entry = F.concat(F.lit("data/r"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(".csv"))
+            samples.write_zips(own.select(entry.alias("entry"), F.col("text").alias("content")).repartition(2, "entry"), f"{path}/{remainder}")
+
+    return once(spark, sf_dir, "zip-same", write)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraload.checks import bindings as b
+from terraload.checks import sample_files as samples
 from terraload.checks.catalog import check
 from terraload.constants import ALLOWED_SRIDS
 from terraload.functions import geometry as geo
 from terraload.operators import layers, registry, reports
 from terraload.plans import ingest, publish
+from terraload.runtime import new_path
 from terraload.sources import tables
 
 LON = "(CAST(user_id % 360 AS DOUBLE) - 180)"
@@ -127,7 +129,7 @@ def reject_null_geometry(spark, sf_dir):
 
 _LAYERS = """
     WITH p AS (SELECT *, lower(replace(p_brand, '#', '_')) AS g FROM part),
-    own AS (SELECT g AS group_id, CASE WHEN p_size > 40 THEN 'v_' WHEN p_size > 30 THEN 'base_' ELSE 'infr_' END ||
+    own AS (SELECT g AS group_id, CASE WHEN p_size > 40 THEN 'v_' WHEN p_size > 30 THEN 'base_' ELSE 'net_' END ||
                    lower(p_type) || '_' || replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_retailprice < 950 AS known FROM p),
     req AS (SELECT group_id, name, known FROM own
             UNION ALL SELECT DISTINCT g, 'meta', false FROM p WHERE p_brand LIKE '%1%'
@@ -279,10 +281,10 @@ def assign_ids(spark, sf_dir):
 @check("execution_lineage", """
     SELECT l_orderkey * 10 + l_linenumber AS "ID_EXECUTION", l_partkey AS "FK_MODEL", l_orderkey AS "FK_SHAPE",
            p_brand AS model_status, o_orderstatus AS upload_status, 'order_' || o_orderkey || '.zip' AS upload_file
-    FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 40 LEFT JOIN orders ON o_orderkey = l_orderkey""")
+    FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 40 LEFT JOIN orders ON o_orderkey = 2 * l_orderkey""")
 def execution_lineage(spark, sf_dir):
     return registry.execution_lineage(
-        b.executions(spark, sf_dir), b.models(spark, sf_dir).filter("CAST(PARAMS AS INT) <= 40"), b.uploads(spark, sf_dir)
+        b.executions(spark, sf_dir), b.models(spark, sf_dir).filter("CAST(PARAMS AS INT) <= 40"), b.loads(spark, sf_dir), b.uploads(spark, sf_dir)
     ).select("ID_EXECUTION", "FK_MODEL", "FK_SHAPE", "model_status", "upload_status", "upload_file")
 
 
@@ -294,33 +296,99 @@ def execution_lineage(spark, sf_dir):
 def fk_orphans(spark, sf_dir):
     return registry.orphans(
         b.executions(spark, sf_dir), b.models(spark, sf_dir).filter("CAST(PARAMS AS INT) <= 40"),
-        b.uploads(spark, sf_dir).filter("STATUS <> 'P'"))
+        b.loads(spark, sf_dir).filter("STATUS <> 'P'"))
 
 
 @check("execution_inputs", """
     SELECT l_orderkey * 10 + l_linenumber AS "ID_EXECUTION", 'area_' || l_orderkey || '.shp' AS filename,
            'area_' || l_orderkey AS "table", 'layer' AS kind FROM lineitem UNION ALL
-    SELECT l_orderkey * 10 + l_linenumber, 'owner_' || o_custkey || '.csv', 'owner_' || o_custkey, 'table'
+    SELECT l_orderkey * 10 + l_linenumber, 'owner_' || o_custkey || '.csv', 'owner_' || o_custkey,
+           CASE o_custkey % 2 WHEN 0 THEN 'layer' ELSE 'table' END
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def execution_inputs(spark, sf_dir):
     return registry.execution_inputs(b.executions(spark, sf_dir), b.loads(spark, sf_dir))
 
 
+def _stored_loads(spark, sf_dir) -> str:
+    """A schema with every order's load; each wrote a table of its own and one for all."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    publish.create_catalog(spark, schema)
+    requests = b.loads(spark, sf_dir)
+    registry.insert_requests(requests.drop("ID_SHAPE"), schema, registry.LOADS, _by_request_number())
+    number = F.regexp_extract("REQUEST", r"area_([0-9]+)\.shp", 1)
+    tables_of = F.explode(F.array(F.concat(F.lit("area_"), number), F.lit("everybody"))).alias("table")
+    registry.stored(spark, schema, registry.LOADS).select(
+        "ID_SHAPE", "GROUP_ID", F.lit(schema).alias("schema_name"), tables_of, F.lit("f.csv").alias("filename"), F.lit("append").alias("mode"),
+        F.lit(True).alias("ok"), F.lit(False).alias("have_geom")).write.mode("append").insertInto(f"{schema}.{registry.OUTCOMES}")
+    return schema
+
+
 @check("delete_load", """
     SELECT 1 + o_orderkey AS "ID_SHAPE", o_orderstatus AS "STATUS", o_orderpriority AS "GROUP_ID", false AS table_left
     FROM orders WHERE o_orderkey <> 0""")
 def delete_load(spark, sf_dir):
-    schema = b.check_schema(spark)
-    registry.create_registries(spark, schema)
-    publish.create_catalog(spark, schema)
-    stored = b.loads(spark, sf_dir).withColumn("REQUEST", F.replace("REQUEST", F.lit('"public"'), F.lit(f'"{schema}"')))
-    registry.insert_requests(stored.drop("ID_SHAPE"), schema, registry.LOADS, _by_request_number())
+    schema = _stored_loads(spark, sf_dir)
     b.table(spark, sf_dir, "orders").write.saveAsTable(f"{schema}.area_0")
     ingest.delete_load(spark, schema, 1)
     left = tables.table_exists(spark, schema, "area_0")
     return registry.stored(spark, schema, registry.LOADS).select("ID_SHAPE", "STATUS", "GROUP_ID", F.lit(left).alias("table_left"))
 
 
+@check("delete_load_shared", """
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'mine' ELSE 'theirs' END AS group_id FROM lineitem
+    WHERE l_orderkey % 2 = 1""")
+def delete_load_shared(spark, sf_dir):
+    """Two tenants' loads wrote one table; one of the loads goes, and one that only skipped the table."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    publish.create_catalog(spark, schema)
+    tenant = F.when(F.col("l_orderkey") % 2 == 0, "mine").otherwise("theirs").alias("group_id")
+    b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tenant).write.saveAsTable(f"{schema}.lines")
+    request = {"data": [{"schema_name": schema, "table": "lines"}]}
+    ids = [registry.insert_request(spark, schema, registry.LOADS, GROUP_ID=g, REQUEST=request) for g in ("mine", "theirs", "skipped")]
+    for load, group in zip(ids, ("mine", "theirs")):
+        report = spark.createDataFrame([("lines", "f.csv", True, 0.1, False, 0, None, "append")], ingest.OUTCOME_SCHEMA)
+        ingest.record_outcomes(report, schema, load, group, schema)
+    ingest.delete_load(spark, schema, ids[2])
+    ingest.delete_load(spark, schema, ids[0])
+    return tables.scan_table(spark, schema, "lines")
+
+
+@check("delete_upload_files", r"""
+    SELECT 'f' || doc_id || '.csv' AS filename, length(text) AS n_chars FROM documents WHERE doc_id % 2 = 1""")
+def delete_upload_files(spark, sf_dir):
+    """Two uploads share a folder; the files of one go."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    folder = new_path(spark, "shared-upload")
+    docs = b.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), "text", "doc_id")
+    samples.write_texts(docs.select("name", "text"), folder)
+    listed = docs.groupBy((F.col("doc_id") % 2).alias("half")).agg(F.collect_list(F.concat(F.lit(folder + "/"), "name")).alias("USERFILE"))
+    requests = listed.select(
+        *[F.lit(None).cast(t).alias(c) for c, t in (("SHAPEFILE", "string"), ("DATE_UPLOAD", "timestamp_ntz"), ("STATUS", "string"),
+                                                      ("GROUP_ID", "string"), ("SRID", "int"), ("MD5", "string"), ("RESPONSE", "string"))],
+        F.lit(folder).alias("PATH_SHAPEFILE"), "USERFILE", "half")
+    registry.insert_requests(requests, schema, registry.UPLOADS, ["half"])
+    ingest.remove_upload_files(spark, schema, 1)
+    left = spark.read.text(folder, wholetext=True).select(F.col("value"), F.substring_index(F.input_file_name(), "/", -1).alias("filename"))
+    return left.select("filename", F.length("value").cast("bigint").alias("n_chars"))
+
+
+@check("assign_ids_after_delete", """
+    SELECT o_orderkey + 1 AS "ID_SHAPE" FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders)
+    UNION ALL SELECT o_orderkey + 2 + (SELECT max(o_orderkey) FROM orders) FROM orders""")
+def assign_ids_after_delete(spark, sf_dir):
+    """The newest load goes; the ones after it do not get its id again."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    requests = b.loads(spark, sf_dir).drop("ID_SHAPE")
+    registry.insert_requests(requests, schema, registry.LOADS, _by_request_number())
+    registry.delete_stored(spark, schema, registry.LOADS, registry.last_id(spark, schema, registry.LOADS))
+    registry.insert_requests(requests, schema, registry.LOADS, _by_request_number())
+    return registry.stored(spark, schema, registry.LOADS).select("ID_SHAPE")
+
+
 def _by_request_number():
     """Order of the requests' first file, ``area_<number>.shp``."""
     return [F.regexp_extract("REQUEST", r"area_([0-9]+)\.shp", 1).cast("bigint")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from itertools import groupby
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -106,17 +107,28 @@ def write_zips(df: DataFrame, path: str) -> int:
     return _write_tasks(df.select("entry", "content"), write)
 
 
+def write_texts(df: DataFrame, path: str) -> int:
+    """A file of its own for every row of ``name`` and ``text``."""
+    def write(part, table):
+        for name, text in zip(table.column("name").to_pylist(), table.column("text").to_pylist()):
+            with files.publish_file(f"{path}/{name}") as out:
+                out.write(text.encode())
+
+    return _write_tasks(df, write)
+
+
 def zip_each(paths: DataFrame, target: str) -> int:
-    """An archive of its own for every file of ``path``."""
+    """An archive for the files of each stem: a shapefile needs the files beside it."""
     def write(part, table):
-        for path in table.column("path").to_pylist():
-            name = path.rsplit("/", 1)[-1]
+        for stem, own in groupby(sorted(table.column("path").to_pylist()), lambda path: path.rsplit(".", 1)[0]):
+            name = stem.rsplit("/", 1)[-1]
             with files.publish_file(f"{target}/{name}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                with files.open_input(path) as source, z.open(name, "w") as entry:
-                    while block := source.read(1 << 20):
-                        entry.write(block)
+                for path in own:
+                    with files.open_input(path) as source, z.open(path.rsplit("/", 1)[-1], "w") as entry:
+                        while block := source.read(1 << 20):
+                            entry.write(block)
 
-    return _write_tasks(paths.select("path"), write)
+    return _write_tasks(paths.select("path").repartition(F.regexp_replace("path", r"\.[^./]*$", "")), write)
 
 
 def write_workbooks(df: DataFrame, sheets: dict[str, list[str]], path: str) -> int:

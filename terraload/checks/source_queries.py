@@ -8,6 +8,7 @@ from terraload.checks import bindings as b
 from terraload.checks.catalog import check
 from terraload.constants import SEPARATORS
 from terraload.functions import digest, geometry, names, parsing
+from terraload.runtime import new_path, stage
 from terraload.sources import archive, dbf, delimited, shapefile, tables, xlsx
 
 LON = "(CAST(user_id % 360 AS DOUBLE) - 180)"
@@ -26,6 +27,16 @@ def scan_zip(spark, sf_dir):
                         "size", F.md5("content").alias("md5"))
 
 
+@check("scan_zip_same_entries", "SELECT doc_id % 3 AS folder, doc_id // 3 AS number, md5(text) AS md5 FROM documents")
+def scan_zip_same_entries(spark, sf_dir):
+    """Archives whose entries have equal names are unpacked side by side."""
+    target = new_path(spark, "same-entries")
+    stage(archive.extract_archives(spark, b.same_entry_zips(spark, sf_dir), target), "entries")
+    place = r"/([0-9]+)/archive_[^/]+\.zip/data/r([0-9]+)\.csv$"
+    return archive.content_md5(spark, target).select(
+        F.regexp_extract("path", place, 1).cast("bigint").alias("folder"), F.regexp_extract("path", place, 2).cast("bigint").alias("number"), "md5")
+
+
 _EXT = "CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'dbf' WHEN 2 THEN 'shp' WHEN 3 THEN 'xlsx' ELSE 'txt' END"
 
 

@@ -10,8 +10,8 @@ from terraload.checks import bindings as b
 from terraload.checks.catalog import check
 from terraload.functions import names, templates, types
 from terraload.operators import manifest as manifests
-from terraload.operators import sinks
-from terraload.plans import ingest, models
+from terraload.operators import registry, sinks
+from terraload.plans import ingest, models, publish
 from terraload.runtime import new_path
 from terraload.sources import archive, tables
 
@@ -284,6 +284,50 @@ def sink_upsert_partitioned(spark, sf_dir):
     return tables.scan_table(spark, schema, "orders")
 
 
+@check("sink_neighbours_kept", """
+    SELECT 'temp_orders' AS "table", o_orderkey, o_totalprice FROM orders UNION ALL
+    SELECT 'batch_orders', o_orderkey, o_totalprice + 1 FROM orders UNION ALL
+    SELECT 'orders', o_orderkey, o_totalprice + 2 FROM orders""")
+def sink_neighbours_kept(spark, sf_dir):
+    """An append leaves tables alone whose names passing tables might have."""
+    schema = b.check_schema(spark)
+    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    names_ = ("temp_orders", "batch_orders", "orders")
+    for add, name in enumerate(names_):
+        sinks.load_table(orders.withColumn("o_totalprice", F.col("o_totalprice") + add), schema, name)
+    sinks.load_table(tables.scan_table(spark, schema, "orders"), schema, "orders", "append", ["o_orderkey"])
+    kept = [tables.scan_table(spark, schema, n).select(F.lit(n).alias("table"), "o_orderkey", "o_totalprice") for n in names_]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
+@check("sink_replace_failure", "SELECT *, true AS failed, 1 AS n_tables FROM orders")
+def sink_replace_failure(spark, sf_dir):
+    """A replace that fails on a row leaves the old rows, and no passing table."""
+    schema = b.check_schema(spark)
+    orders = b.table(spark, sf_dir, "orders")
+    sinks.load_table(orders, schema, "orders")
+    failed = False
+    try:
+        sinks.load_table(orders.withColumn("o_custkey", F.when(F.col("o_orderkey") >= 0, F.raise_error(F.lit("bad row")).cast("bigint"))), schema, "orders")
+    except Exception as error:  # noqa: BLE001 - the failure is what is asked for
+        failed = "bad row" in str(error)
+    n = len(spark.catalog.listTables(schema))
+    return tables.scan_table(spark, schema, "orders").select("*", F.lit(failed).alias("failed"), F.lit(n).alias("n_tables"))
+
+
+@check("sink_upsert_tenants", """
+    SELECT o_orderkey AS id, 'one' AS group_id, o_totalprice AS price FROM orders UNION ALL
+    SELECT o_orderkey, 'two', o_totalprice + 1 FROM orders""")
+def sink_upsert_tenants(spark, sf_dir):
+    """Two tenants append the same ids to one table."""
+    schema = b.check_schema(spark)
+    orders = b.table(spark, sf_dir, "orders")
+    for add, tenant in ((0, "one"), (5, "two"), (1, "two")):
+        batch = orders.select(F.col("o_orderkey").alias("id"), F.lit(tenant).alias("group_id"), (F.col("o_totalprice") + add).alias("price"))
+        sinks.load_table(batch, schema, "prices", "append")
+    return tables.scan_table(spark, schema, "prices")
+
+
 @check("sink_chunked", "SELECT *, true AS small_file FROM events")
 def sink_chunked(spark, sf_dir):
     path = new_path(spark, "chunked")
@@ -335,6 +379,33 @@ def run_sql_model(spark, sf_dir):
     return models.run_sql_model(spark, _MODEL, _model_tables(spark, sf_dir), _MODEL_PARAMS)["totals"]
 
 
+@check("run_sql_model_like", """
+    SELECT p_partkey, p_name, p_size % 7 AS rest, '%size%' AS mark FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE '%size%' AND p_size > 10""")
+def run_sql_model_like(spark, sf_dir):
+    """Per cent signs in quoted text, a remainder, and a parameter."""
+    code = """SELECT p_partkey, p_name, p_size %% 7 AS rest, '%size%' AS mark -- not %this%
+              FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE '%size%' AND p_size > %size%"""
+    return models.run_sql_model(spark, code, {"part": b.table(spark, sf_dir, "part")}, {"size": 10})[models.RESULT]
+
+
+@check("model_layers_published", r"""
+    SELECT group_id, name FROM (SELECT 'acme' AS group_id, 'areas_' || i AS name, i FROM range(2) t(i)) WHERE i < (SELECT count(*) FROM events)""")
+def model_layers_published(spark, sf_dir):
+    """An execution of given code over a load's tables makes its geometry outputs layers."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    publish.create_catalog(spark, schema)
+    load = registry.insert_request(spark, schema, registry.LOADS, GROUP_ID="acme", REQUEST={"data": []})
+    b.event_shapes(spark, sf_dir).select("event_id", "geometry").write.saveAsTable(f"{schema}.shapes")
+    rows = [("shapes", "f.csv", True, 0.1, True, 0, None, "replace"), ("broken", "g.csv", False, 0.1, True, 0, "bad", "replace")]
+    ingest.record_outcomes(spark.createDataFrame(rows, ingest.OUTCOME_SCHEMA), schema, load, "acme", schema)
+    code = {"all": "SELECT event_id, geometry FROM shapes", "some": "SELECT geometry FROM all WHERE event_id > %least%", "n": "SELECT count(*) AS n FROM some"}
+    tenant = f"tenant_{uuid.uuid4().hex[:8]}"
+    mapping = {"all": "areas_0", "some": "areas_1", "n": "numbers"}
+    models.ModelStore(spark, schema).execute(tenant, load, None, {"least": 3}, mapping, new_path(spark, tenant), code)
+    return tables.scan_table(spark, schema, publish.LAYERS).select(F.when(F.col("group_id") == tenant, "acme").alias("group_id"), "name")
+
+
 @check("model_output_sink", _MODEL_SQL)
 def model_output_sink(spark, sf_dir):
     tenant = f"tenant_{uuid.uuid4().hex[:8]}"

@@ -22,15 +22,20 @@ def fill(code: Column, values: dict[str, Column]) -> Column:
     return code
 
 
+# What bind looks at: quoted text and comments stay as they are, "%%" is a per cent sign.
+_PIECES = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|%%|%([A-Za-z_]\w*)%""", re.DOTALL)
+
+
 def bind(code: str, params: dict) -> tuple[str, dict]:
     """Turn ``%name%`` into named SQL markers with their values.
 
-    Values never enter the SQL text. A parameter without a value is an error.
+    Values never enter the SQL text. A name is an identifier outside of quoted text and comments, so
+    ``LIKE '%road%'`` stays what it is; ``%%`` stands for one sign. A parameter without a value is an error.
     """
-    names = list(dict.fromkeys(re.findall(PARAMETER, code)))
+    names = list(dict.fromkeys(m[1] for m in _PIECES.finditer(code) if m[1]))
     absent = [n for n in names if n not in params]
     if absent:
         raise KeyError(f"no value for model parameters {absent}")
-    markers = {n: f"p{i}_{re.sub(r'[^A-Za-z0-9_]', '_', n)}" for i, n in enumerate(names)}
-    text = re.sub(PARAMETER, lambda m: ":" + markers[m.group(1)], code)
+    markers = {n: f"p{i}_{n}" for i, n in enumerate(names)}
+    text = _PIECES.sub(lambda m: f":{markers[m[1]]}" if m[1] else "%" if m[0] == "%%" else m[0], code)
     return text, {markers[n]: params[n] for n in names}

@@ -13,17 +13,17 @@ from terraload.functions.names import quote_name
 
 MANIFEST_SCHEMA = (
     "filename string, schema_name string, table string, column string, tipo string, column_name string, "
-    "importing boolean, isVariable boolean, srid int, df_out boolean, position int"
+    "importing boolean, isVariable boolean, srid int, df_out boolean, position long"
 )
 ERROR_COLUMN = "Error"
 
 
 def normalize(manifest: DataFrame) -> DataFrame:
-    """Fill the fields a user may leave out."""
+    """Fill the fields a user may leave out; without ``position`` rows count in the order they are read."""
     have = set(manifest.columns)
     defaults = {
         "schema_name": F.lit("public"), "importing": F.lit(True), "isVariable": F.lit(False),
-        "srid": F.lit(0), "df_out": F.lit(False), "column_name": F.col("column"), "position": F.lit(0),
+        "srid": F.lit(0), "df_out": F.lit(False), "column_name": F.col("column"), "position": F.monotonically_increasing_id(),
     }
     wanted = [part.split()[0] for part in MANIFEST_SCHEMA.split(", ")]
     return manifest.select(*[

@@ -43,6 +43,14 @@ EXECUTIONS = Kind("executions", "ID_EXECUTION", (
     "FK_SHAPE bigint, PARAMS string, MAPPING_OUTPUT string, RESULTS string"))
 KINDS = (UPLOADS, LOADS, MODELS, EXECUTIONS)
 
+# Tables that each load wrote, or failed to.
+OUTCOMES = "load_outcomes"
+OUTCOMES_DDL = ("ID_SHAPE bigint, GROUP_ID string, schema_name string, table string, filename string, mode string, "
+                "ok boolean, have_geom boolean")
+# Ids of deleted requests, which are not given again.
+RETIRED = "retired_ids"
+RETIRED_DDL = "registry string, id bigint"
+
 
 # Operators on registry frames.
 
@@ -99,37 +107,48 @@ def to_json(registry: DataFrame, path_columns: tuple[str, ...] = ("PATH_SHAPEFIL
     ]), {"ignoreNullFields": "false"})
 
 
-def execution_lineage(executions: DataFrame, models: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Every execution with its model and upload, where they exist."""
+def load_uploads(loads: DataFrame) -> DataFrame:
+    """The upload each load was made from, as its request says: ``FK_SHAPE, upload``."""
+    return loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.get_json_object("REQUEST", "$.upload").cast("bigint").alias("upload"))
+
+
+def execution_lineage(executions: DataFrame, models: DataFrame, loads: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Every execution with its model, and the upload of the load it read, where they exist."""
     m = models.select(F.col("ID_MODEL").alias("FK_MODEL"), F.col("STATUS").alias("model_status"))
-    u = uploads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.col("STATUS").alias("upload_status"),
-                       F.col("SHAPEFILE").alias("upload_file"))
-    return executions.join(m, "FK_MODEL", "left").join(u, "FK_SHAPE", "left")
+    u = uploads.select(F.col("ID_SHAPE").alias("upload"), F.col("STATUS").alias("upload_status"), F.col("SHAPEFILE").alias("upload_file"))
+    made_from = load_uploads(loads).join(u, "upload").drop("upload")
+    return executions.join(m, "FK_MODEL", "left").join(made_from, "FK_SHAPE", "left")
+
 
+def orphans(executions: DataFrame, models: DataFrame, loads: DataFrame) -> DataFrame:
+    """Executions whose model or load is missing, with the reference that is broken.
 
-def orphans(executions: DataFrame, models: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Executions whose model or upload is missing, with the reference that is broken."""
+    An execution of given text has no model, which is no broken reference.
+    """
     m = models.select(F.col("ID_MODEL").alias("FK_MODEL"))
-    u = uploads.select(F.col("ID_SHAPE").alias("FK_SHAPE"))
+    u = loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"))
     ids = executions.select("ID_EXECUTION", "FK_MODEL", "FK_SHAPE")
-    return ids.join(m, "FK_MODEL", "left_anti").select("ID_EXECUTION", F.lit("FK_MODEL").alias("broken")).unionByName(
+    return ids.where("FK_MODEL IS NOT NULL").join(m, "FK_MODEL", "left_anti").select("ID_EXECUTION", F.lit("FK_MODEL").alias("broken")).unionByName(
         ids.join(u, "FK_SHAPE", "left_anti").select("ID_EXECUTION", F.lit("FK_SHAPE").alias("broken")))
 
 
 def execution_inputs(executions: DataFrame, loads: DataFrame) -> DataFrame:
-    """Files an execution reads: those named by the load it refers to, each once."""
-    requested = loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.explode(from_json(F.col("REQUEST"), ["filename", "table"])).alias("r"))
-    files = requested.select("FK_SHAPE", F.col("r.filename").alias("filename"), F.col("r.table").alias("table")).distinct()
+    """Files an execution reads: those named by the load it refers to, each once.
+
+    A file with a geometry column is a layer, whatever its format.
+    """
+    requested = loads.select(F.col("ID_SHAPE").alias("FK_SHAPE"), F.explode(from_json(F.col("REQUEST"), ["filename", "table", "tipo"])).alias("r"))
+    shape = F.bool_or(F.coalesce(F.col("r.tipo").startswith("geometry"), F.lit(False)))
+    files = requested.groupBy("FK_SHAPE", F.col("r.filename").alias("filename"), F.col("r.table").alias("table")).agg(shape.alias("shape"))
     return executions.select("ID_EXECUTION", "FK_SHAPE").join(files, "FK_SHAPE").select(
-        "ID_EXECUTION", "filename", "table",
-        F.when(F.lower("filename").endswith(".shp"), "layer").otherwise("table").alias("kind"))
+        "ID_EXECUTION", "filename", "table", F.when(F.col("shape"), "layer").otherwise("table").alias("kind"))
 
 
 # Stored registries.
 
 def create_registries(spark: SparkSession, schema: str) -> None:
-    for kind in KINDS:
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(schema, kind.table)} ({kind.ddl}) USING parquet")
+    for table, ddl in [*((k.table, k.ddl) for k in KINDS), (OUTCOMES, OUTCOMES_DDL), (RETIRED, RETIRED_DDL)]:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(schema, table)} ({ddl}) USING parquet")
 
 
 def stored(spark: SparkSession, schema: str, kind: Kind) -> DataFrame:
@@ -137,7 +156,14 @@ def stored(spark: SparkSession, schema: str, kind: Kind) -> DataFrame:
 
 
 def last_id(spark: SparkSession, schema: str, kind: Kind) -> int:
-    return stored(spark, schema, kind).agg(F.max(kind.key)).first()[0] or 0
+    """The largest id that was ever given."""
+    retired = scan_table(spark, schema, RETIRED).filter(F.col("registry") == kind.table).select("id")
+    return stored(spark, schema, kind).select(F.col(kind.key).alias("id")).union(retired).agg(F.max("id")).first()[0] or 0
+
+
+def retire(ids: DataFrame, schema: str, kind: Kind) -> None:
+    """Remember that ids in the column ``id`` were given."""
+    ids.select(F.lit(kind.table).alias("registry"), F.col("id").cast("bigint").alias("id")).write.mode("append").insertInto(quote_name(schema, RETIRED))
 
 
 def insert_request(spark: SparkSession, schema: str, kind: Kind, **fields) -> int:
@@ -166,7 +192,10 @@ def insert_requests(requests: DataFrame, schema: str, kind: Kind, order_by: list
 def delete_stored(spark: SparkSession, schema: str, kind: Kind, id: int) -> None:
     """Delete one request; a model takes its executions along."""
     if kind is MODELS:
-        swap_table(delete_request(stored(spark, schema, EXECUTIONS), "FK_MODEL", id), schema, EXECUTIONS.table)
+        executions = stored(spark, schema, EXECUTIONS)
+        retire(executions.filter(F.col("FK_MODEL") == id).select(F.col(EXECUTIONS.key).alias("id")), schema, EXECUTIONS)
+        swap_table(delete_request(executions, "FK_MODEL", id), schema, EXECUTIONS.table)
+    retire(spark.range(1).select(F.lit(id).alias("id")), schema, kind)
     swap_table(delete_request(stored(spark, schema, kind), kind.key, id), schema, kind.table)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,38 +13,97 @@ from terraload.functions.names import quote_name
 from terraload.sources.tables import scan_table, table_exists
 
 DEFAULT_KEY = ("id",)
-MAX_LISTED_PARTITIONS = 200
+TENANT = "group_id"
 
 
 class DuplicateKeyError(ValueError):
     """A batch holds a key twice, so it is not clear which row should win."""
 
 
+def passing_name() -> str:
+    """A table name that nobody else has."""
+    return f"passing_{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, schema: str, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {quote_name(schema, table)}")
+
+
+def _write_new(df: DataFrame, schema: str, table: str, max_records_per_file: int | None = None) -> None:
+    """Write a table that is not there yet; after a failure nothing of it is left."""
+    writer = df.write.mode("errorifexists")
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", max_records_per_file)
+    try:
+        writer.saveAsTable(quote_name(schema, table))
+    except Exception:
+        drop_table(df.sparkSession, schema, table)
+        raise
+
+
+def _rename(spark: SparkSession, schema: str, old: str, new: str) -> None:
+    spark.sql(f"ALTER TABLE {quote_name(schema, old)} RENAME TO {quote_name(schema, new)}")
+
+
+def _put_in_place(spark: SparkSession, schema: str, passing: str, table: str) -> None:
+    """Give a written table its name; the old table goes when that has worked."""
+    if not table_exists(spark, schema, table):
+        _rename(spark, schema, passing, table)
+        return
+    old = passing_name()
+    _rename(spark, schema, table, old)
+    try:
+        _rename(spark, schema, passing, table)
+    except Exception:
+        _rename(spark, schema, old, table)
+        raise
+    drop_table(spark, schema, old)
+
+
+def _rewrite(spark: SparkSession, schema: str, passing: str, table: str, partition_by: Sequence[str]) -> None:
+    """Write a partitioned table anew from a passing one.
+
+    Not every catalog moves partitions along when a table is renamed. Rows that cannot be computed have
+    failed before; if this write fails, the passing table stays, and the error names it.
+    """
+    rows = scan_table(spark, schema, passing)
+    try:
+        rows = rows.hint("rebalance", *[F.col(quote_name(c)) for c in partition_by])
+        rows.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(quote_name(schema, table))
+    except Exception as error:
+        raise RuntimeError(f"{schema}.{table} could not be written; its rows are in {schema}.{passing}") from error
+    drop_table(spark, schema, passing)
+
+
 def replace_table(df: DataFrame, schema: str, table: str, partition_by: Sequence[str] = (),
                   max_records_per_file: int | None = None) -> None:
-    """Make the table anew from ``df``."""
-    writer = df.write.mode("overwrite")
+    """Make the table anew from ``df``; until all rows are computed the old one stays."""
+    spark = df.sparkSession
+    passing = passing_name()
+    _write_new(df, schema, passing, max_records_per_file=max_records_per_file)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.saveAsTable(quote_name(schema, table))
+        _rewrite(spark, schema, passing, table, partition_by)
+    else:
+        _put_in_place(spark, schema, passing, table)
 
 
 def swap_table(df: DataFrame, schema: str, table: str, at_least: int = 0, partition_by: Sequence[str] = ()) -> None:
     """Replace a table by rows that may be read from it.
 
-    The rows are written beside it and renamed when their number is right; after a failure
-    the old table, or the table ``temp_…``, is still there.
+    The rows are written beside it and take its place when their number is right; after a failure
+    the old table is still there.
     """
     spark = df.sparkSession
-    passing = f"temp_{table}"
-    replace_table(df, schema, passing, partition_by)
+    passing = passing_name()
+    _write_new(df, schema, passing)
     written = scan_table(spark, schema, passing).count()
     if written < at_least:
-        raise RuntimeError(f"{schema}.{passing} holds {written} rows, {at_least} were expected")
-    spark.sql(f"DROP TABLE IF EXISTS {quote_name(schema, table)}")
-    spark.sql(f"ALTER TABLE {quote_name(schema, passing)} RENAME TO {quote_name(schema, table)}")
+        drop_table(spark, schema, passing)
+        raise RuntimeError(f"{written} rows were written for {schema}.{table}, {at_least} were expected")
+    if partition_by:
+        _rewrite(spark, schema, passing, table, partition_by)
+    else:
+        _put_in_place(spark, schema, passing, table)
 
 
 def _has_key(df: DataFrame, key: Sequence[str]):
@@ -103,21 +163,8 @@ def partition_columns(spark: SparkSession, schema: str, table: str) -> list[str]
 
 
 def touched_partitions(target: DataFrame, batch: DataFrame, partitions: Sequence[str]) -> DataFrame:
-    """Target rows in partitions that the batch writes to.
-
-    Few partitions become a filter that prunes the scan; beyond that a semi join does the same.
-    """
-    values = batch.select(*partitions).distinct()
-    few = values.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(few) <= MAX_LISTED_PARTITIONS:
-        wanted = F.lit(False)
-        for row in few:
-            same = F.lit(True)
-            for c in partitions:
-                same = same & (F.col(quote_name(c)).isNull() if row[c] is None else (F.col(quote_name(c)) == row[c]))
-            wanted = wanted | same
-        return target.filter(wanted)
-    named = values.toDF(*[f"_part{i}" for i in range(len(partitions))])
+    """Target rows in partitions that the batch writes to; the join prunes the scan where Spark can."""
+    named = batch.select(*partitions).distinct().toDF(*[f"_part{i}" for i in range(len(partitions))])
     same = [F.col(quote_name(c)).eqNullSafe(F.col(f"_part{i}")) for i, c in enumerate(partitions)]
     return target.join(named, same, "left_semi")
 
@@ -125,18 +172,28 @@ def touched_partitions(target: DataFrame, batch: DataFrame, partitions: Sequence
 def overwrite_partitions(df: DataFrame, schema: str, table: str, partitions: Sequence[str]) -> None:
     """Replace the partitions that ``df`` has rows for; ``df`` may be read from them."""
     spark = df.sparkSession
-    passing = f"temp_{table}"
-    replace_table(df, schema, passing, partitions)
-    # A session of its own, so that the caller's overwrite mode stays as it is.
-    session = spark.newSession()
-    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    columns = scan_table(spark, schema, table).columns
-    merged = scan_table(session, schema, passing).select(*columns)
-    merged.write.mode("overwrite").insertInto(quote_name(schema, table))
-    spark.sql(f"DROP TABLE {quote_name(schema, passing)}")
+    passing = passing_name()
+    _write_new(df, schema, passing)
+    try:
+        # A session of its own, so that the caller's overwrite mode stays as it is.
+        session = spark.newSession()
+        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        columns = scan_table(spark, schema, table).columns
+        merged = scan_table(session, schema, passing).select(*columns)
+        # Rows of a partition meet, and a large one is split, so that not every task writes every partition.
+        merged = merged.hint("rebalance", *[F.col(quote_name(c)) for c in partitions])
+        merged.write.mode("overwrite").insertInto(quote_name(schema, table))
+    finally:
+        drop_table(spark, schema, passing)
     spark.catalog.refreshTable(quote_name(schema, table))
 
 
+def tenant_key(key: Sequence[str], target: Sequence[str], batch: Sequence[str]) -> list[str]:
+    """The key with the tenant in it, where both sides know tenants: one never writes over another's rows."""
+    both = TENANT in target and TENANT in batch
+    return [*key, TENANT] if both and TENANT not in key else list(key)
+
+
 def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DEFAULT_KEY) -> None:
     """Upsert into a stored table.
 
@@ -148,12 +205,13 @@ def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DE
     if absent:
         raise ValueError(f"the batch has no key columns {absent}")
     # The batch is read several times below; it is computed once.
-    batch_table = f"batch_{table}"
-    replace_table(df, schema, batch_table)
+    batch_table = passing_name()
+    _write_new(df, schema, batch_table)
     try:
         batch = scan_table(spark, schema, batch_table)
-        check_unique(batch, key)
         target = scan_table(spark, schema, table)
+        key = tenant_key(key, target.columns, batch.columns)
+        check_unique(batch, key)
         partitions = partition_columns(spark, schema, table)
         if partitions and set(partitions) <= set(key):
             merged = upsert(touched_partitions(target, batch, partitions), batch, key)
@@ -161,7 +219,7 @@ def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DE
         else:
             swap_table(upsert(target, batch, key), schema, table, target.count(), partitions)
     finally:
-        spark.sql(f"DROP TABLE {quote_name(schema, batch_table)}")
+        drop_table(spark, schema, batch_table)
 
 
 def effective_mode(spark: SparkSession, schema: str, table: str, mode: str) -> str:

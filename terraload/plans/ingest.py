@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import time
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -17,11 +18,11 @@ from terraload.functions.digest import folder_digest
 from terraload.functions.names import base_name, clean_name, quote_name, tag_tenant
 from terraload.operators import manifest as manifests
 from terraload.operators import registry
-from terraload.operators.sinks import DEFAULT_KEY, load_table
+from terraload.operators.sinks import DEFAULT_KEY, TENANT, drop_table, load_table, partition_columns, swap_table
 from terraload.plans.publish import publish_layers, remove_layers
 from terraload.runtime import ship_modules, stage
 from terraload.sources import archive, dbf, delimited, files, shapefile, xlsx
-from terraload.sources.tables import create_schema, table_exists
+from terraload.sources.tables import create_schema, scan_table, table_exists
 
 # Spark jobs in flight at once; each is spread over the cluster by itself.
 JOBS_AT_ONCE = 8
@@ -55,7 +56,7 @@ def read_file(spark: SparkSession, path: str, format: str, table: str, group_id:
 
 
 def _message(error: Exception) -> str:
-    return (str(error).strip().splitlines() or [type(error).__name__])[0][:500]
+    return str(error).strip() or type(error).__name__
 
 
 def _describe_file(spark, row, group_id: str) -> list[tuple]:
@@ -101,6 +102,8 @@ def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, pa
     Returns the upload's id and the manifest.
     """
     ship_modules(spark)
+    # A folder of its own, so that deleting the upload cannot touch another one's files.
+    target = f"{target.rstrip('/')}/upload-{uuid.uuid4().hex}"
     entries = stage(archive.extract_archives(spark, path, target), "entries")
     listed = listed_files(archive.exclude_sidecars(archive.inventory(entries.select("path"))))
     manifest = build_manifest(spark, listed, group_id)
@@ -138,9 +141,11 @@ class Outcome:
     have_geom: bool
     n_lost: int = 0
     error: str | None = None
+    mode: str | None = None
 
 
-OUTCOME_SCHEMA = "table string, filename string, ok boolean, elapsed double, have_geom boolean, n_lost long, error string"
+OUTCOME_SCHEMA = ("table string, filename string, ok boolean, elapsed double, have_geom boolean, n_lost long, error string, "
+                  "mode string")
 
 
 def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, partition_by) -> list[Outcome]:
@@ -152,10 +157,10 @@ def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, par
             if part.table not in spec_by_table:
                 continue
             table, lost = prepare(part.frame, spec_by_table[part.table], group_id, srid)
-            load_table(table, schema, part.table, mode, key, partition_by)
+            used = load_table(table, schema, part.table, mode, key, partition_by)
             elapsed = time.monotonic() - started
             outcomes.append(Outcome(
-                part.table, row["filename"], True, elapsed, is_layer_schema(table.schema), lost.get["n_lost"] or 0))
+                part.table, row["filename"], True, elapsed, is_layer_schema(table.schema), lost.get["n_lost"] or 0, None, used))
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
         shape = row["format"] == "shapefile"
         outcomes.append(Outcome(row["table"], row["filename"], False, time.monotonic() - started, shape, 0, _message(error)))
@@ -220,39 +225,75 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
         "elapsed": time.monotonic() - started,
     }
     report = spark.createDataFrame([tuple(vars(o).values()) for o in outcomes], OUTCOME_SCHEMA)
+    record_outcomes(report, registry_schema, load, group_id, target)
     return load, report, summary
 
 
+def record_outcomes(report: DataFrame, registry_schema: str, load_id: int, group_id: str, schema: str) -> None:
+    """Keep what a load wrote; deleting it and running models on it go by this, not by the request."""
+    report.select(F.lit(load_id).cast("bigint").alias("ID_SHAPE"), F.lit(group_id).alias("GROUP_ID"), F.lit(schema).alias("schema_name"),
+                  "table", "filename", "mode", "ok", "have_geom").write.mode("append").insertInto(quote_name(registry_schema, registry.OUTCOMES))
+
+
 def delete_load(spark: SparkSession, registry_schema: str, load_id: int) -> list[str]:
-    """Drop a load's tables and layers, its upload's files and its registry row; returns the tables dropped.
+    """Delete what a load wrote, its upload's files and its registry row; returns the tables dropped.
 
-    Files stay as long as another load was made from the same upload.
+    A table that another load wrote, too, stays. If those loads are other tenants', this tenant's
+    rows and layer go from it; if one is the tenant's own, its rows cannot be told apart and stay. Files stay as
+    long as another load was made from the same upload.
     """
     loads = registry.stored(spark, registry_schema, registry.LOADS)
     upload = F.get_json_object("REQUEST", "$.upload").cast("bigint").alias("upload")
-    request = registry.get_request(loads, registry.LOADS.key, load_id).select(
-        "GROUP_ID", upload, registry.from_json(F.col("REQUEST"), ["schema_name", "table"]).alias("data")).first()
+    request = registry.get_request(loads, registry.LOADS.key, load_id).select("GROUP_ID", upload).first()
     if request is None:
         raise KeyError(f"no load {load_id}")
-    written = sorted({(r["schema_name"], r["table"]) for r in request["data"]})
-    for schema, table in written:
-        spark.sql(f"DROP TABLE IF EXISTS {quote_name(schema, table)}")
-    if written:
-        remove_layers(spark, registry_schema, request["GROUP_ID"], [t for _, t in written])
+    tenant = request["GROUP_ID"]
+    outcomes = scan_table(spark, registry_schema, registry.OUTCOMES)
+    written = outcomes.filter("ok").select("ID_SHAPE", "GROUP_ID", "schema_name", "table")
+    mine = written.filter(F.col("ID_SHAPE") == load_id).select("schema_name", "table").distinct()
+    others = written.filter(F.col("ID_SHAPE") != load_id).groupBy("schema_name", "table").agg(
+        F.bool_or(F.col("GROUP_ID").eqNullSafe(F.lit(tenant))).alias("own"))
+    # A row for each table of one load.
+    tables = mine.join(others, ["schema_name", "table"], "left").collect()
+    dropped, gone = [], []
+    for r in tables:
+        schema, table = r["schema_name"], r["table"]
+        if r["own"] is None:
+            drop_table(spark, schema, table)
+            dropped.append(table)
+        elif not r["own"] and table_exists(spark, schema, table):
+            rows = scan_table(spark, schema, table)
+            if TENANT in rows.columns:
+                swap_table(rows.filter(~F.col(TENANT).eqNullSafe(F.lit(tenant))), schema, table, 0, partition_columns(spark, schema, table))
+        if not r["own"]:
+            gone.append(table)
+    if gone:
+        remove_layers(spark, registry_schema, tenant, gone)
     if request["upload"] is not None:
-        others = loads.filter(F.col(registry.LOADS.key) != load_id).select(upload).filter(F.col("upload") == request["upload"])
-        if not others.limit(1).count():
+        rest = loads.filter(F.col(registry.LOADS.key) != load_id).select(upload).filter(F.col("upload") == request["upload"])
+        if rest.isEmpty():
             remove_upload_files(spark, registry_schema, request["upload"])
+    swap_table(registry.delete_request(outcomes, "ID_SHAPE", load_id), registry_schema, registry.OUTCOMES)
     registry.delete_stored(spark, registry_schema, registry.LOADS, load_id)
-    return sorted(t for _, t in written)
+    return sorted(dropped)
 
 
 def remove_upload_files(spark: SparkSession, registry_schema: str, upload_id: int) -> None:
-    """Delete the folder an upload was unpacked into; it must hold the upload's files and nothing above them."""
+    """Delete the folder an upload was unpacked into.
+
+    Where it holds files of another upload, only this one's recorded files go, with those that belong to them.
+    """
     uploads = registry.stored(spark, registry_schema, registry.UPLOADS)
     row = registry.get_request(uploads, registry.UPLOADS.key, upload_id).first()
     if row is None or not row["PATH_SHAPEFILE"] or not row["USERFILE"]:
         return
     folder = row["PATH_SHAPEFILE"].rstrip("/") + "/"
-    if all(path.startswith(folder) for path in row["USERFILE"]):
+    if not all(path.startswith(folder) for path in row["USERFILE"]):
+        return
+    inside = F.exists("USERFILE", lambda path: path.startswith(folder))
+    near = F.coalesce(inside, F.lit(False)) | F.coalesce(F.col("PATH_SHAPEFILE").startswith(folder.rstrip("/")), F.lit(False))
+    if uploads.filter((F.col(registry.UPLOADS.key) != upload_id) & near).isEmpty():
         files.delete_folder(folder)
+    else:
+        for path in row["USERFILE"]:
+            files.delete_with_sidecars(path)

@@ -17,6 +17,7 @@ from terraload.functions.geometry import is_layer_schema
 from terraload.functions.names import clean_name, quote_name
 from terraload.operators import registry
 from terraload.operators.sinks import replace_table
+from terraload.plans.publish import publish_layers
 from terraload.sources.tables import create_schema, scan_table
 
 # A function model takes tables and parameters by name and returns outputs by name.
@@ -108,28 +109,33 @@ class ModelStore:
         row = registry.get_request(models, registry.MODELS.key, model_id).first()
         if row is None:
             raise KeyError(f"no model {model_id}")
+        if row["CODE"].startswith("function "):
+            raise ValueError(f"model {model_id} is the {row['CODE']} of another session; register it in this one")
         return json.loads(row["CODE"])
 
     def _outputs(self, model, tables: dict[str, DataFrame], params: dict) -> dict:
         return model(tables, params) if callable(model) else run_sql_model(self.spark, model, tables, params)
 
     def input_tables(self, load_id: int) -> dict[str, DataFrame]:
-        """Tables written by a load, by name, from where the load put them."""
-        loads = registry.stored(self.spark, self.registry_schema, registry.LOADS)
-        one = registry.get_request(loads, registry.LOADS.key, load_id)
-        rows = registry.from_json(F.col("REQUEST"))
-        named = one.select(F.explode(rows).alias("r")).select("r.schema_name", "r.table").distinct().collect()
+        """Tables that a load wrote, by name, from where it put them; files that failed are left out."""
+        outcomes = scan_table(self.spark, self.registry_schema, registry.OUTCOMES)
+        named = outcomes.filter((F.col("ID_SHAPE") == load_id) & F.col("ok")).select("schema_name", "table").distinct().collect()
         return {r["table"]: scan_table(self.spark, r["schema_name"], r["table"]) for r in named}
 
-    def execute(self, group_id: str, load_id: int, model_id: int, params: dict, mapping: dict[str, str],
-                schema_location: str | None = None) -> dict:
-        """Run a model on a load's tables, write its mapped outputs and list them."""
+    def execute(self, group_id: str, load_id: int, model_id: int | None, params: dict, mapping: dict[str, str],
+                schema_location: str | None = None, code: str | dict[str, str] | Model | None = None) -> dict:
+        """Run a stored model, or given code without one, on a load's tables; write its mapped outputs, publish
+        those with geometry as layers, and list them."""
+        if (model_id is None) == (code is None):
+            raise ValueError("give either a model's id or code")
         store = self.registry_schema
         execution = registry.insert_request(
             self.spark, store, registry.EXECUTIONS, DATE_EXECUTION=datetime.datetime.now(), STATUS="Execution MODEL",
             GROUP_ID=group_id, FK_MODEL=model_id, FK_SHAPE=load_id, PARAMS=params, MAPPING_OUTPUT=mapping)
-        outputs = self._outputs(self.load(model_id), self.input_tables(load_id), params)
+        outputs = self._outputs(self.load(model_id) if code is None else code, self.input_tables(load_id), params)
         written = write_outputs(self.spark, outputs, mapping, group_id, schema_location)
+        if written["layers"]:
+            publish_layers(self.spark, store, group_id, written["layers"])
         results = json.dumps({**written, "results": outputs.get("output")})
         registry.update_stored(self.spark, store, registry.EXECUTIONS, execution, RESULTS=results)
         return {"id": execution, **written, "results": outputs.get("output")}

@@ -77,7 +77,8 @@ def archive_entries(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for archive in batch.column("path").to_pylist():
                 with files.open_input(archive) as handle, zipfile.ZipFile(handle) as z:
-                    found = [i for i in z.infolist() if not i.is_dir()]
+                    # Of entries with one name the last counts, as for every reader of archives.
+                    found = list({i.filename: i for i in z.infolist() if not i.is_dir()}.values())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([archive] * len(found), pa.string()),
                          pa.array([i.filename for i in found], pa.string()),
@@ -146,6 +147,12 @@ def safe_entry(entry: str) -> str:
     return clean
 
 
+def archive_folder(root: str, archive: str) -> str:
+    """Folder for an archive's entries: its path below the root, so that archives keep apart."""
+    below = archive[len(root.rstrip("/")):].strip("/") if archive.startswith(root.rstrip("/") + "/") else ""
+    return safe_entry(below or archive.rstrip("/").rsplit("/", 1)[-1])
+
+
 def extract_archives(spark: SparkSession, root: str, target: str, partitions: int | None = None) -> DataFrame:
     """Write all entries below ``target`` and return ``(archive, entry, size, path)``.
 
@@ -154,7 +161,7 @@ def extract_archives(spark: SparkSession, root: str, target: str, partitions: in
     """
     def unpack(batches):
         def copy(z, archive, entry, size):
-            path = f"{target}/{safe_entry(entry)}"
+            path = f"{target}/{archive_folder(root, archive)}/{safe_entry(entry)}"
             with z.open(entry) as source, files.publish_file(path) as out:
                 while block := source.read(BLOCK_BYTES):
                     out.write(block)

@@ -56,6 +56,20 @@ def delete_folder(path: str) -> None:
     filesystem.delete_dir(inner.rstrip("/"))
 
 
+def delete_with_sidecars(path: str) -> None:
+    """Delete a file; a shapefile takes the files of the same stem along."""
+    filesystem, inner = resolve(path)
+    stem = inner[: inner.rindex(".") + 1]
+    if not path.lower().endswith(".shp"):
+        doomed = [inner]
+    else:
+        found = filesystem.get_file_info(fs.FileSelector(inner.rsplit("/", 1)[0]))
+        doomed = [f.path for f in found if f.type == fs.FileType.File and f.path.startswith(stem)]
+    for name in doomed:
+        if filesystem.get_file_info(name).type == fs.FileType.File:
+            filesystem.delete_file(name)
+
+
 def sibling(path: str, suffix: str) -> str | None:
     """The side-car of ``path`` with another suffix, in small or capital letters."""
     stem = path[: path.rindex(".")]

@@ -160,10 +160,13 @@ def test_area(spark):
 
 
 def test_parameters():
-    sql, args = templates.bind("SELECT %a% + %b c% + %a%", {"a": 1, "b c": "'; DROP"})
+    sql, args = templates.bind("SELECT %a% + %b_c% + %a%", {"a": 1, "b_c": "'; DROP"})
     assert sql == "SELECT :p0_a + :p1_b_c + :p0_a" and args == {"p0_a": 1, "p1_b_c": "'; DROP"}
     with pytest.raises(KeyError):
         templates.bind("%x%", {})
+    quoted = """SELECT 'it''s %a%', "%a%", `%a%`, 5 %% 2, x % 3, y % z -- %a%
+        /* %a% */ FROM t WHERE n LIKE '%road%'"""
+    assert templates.bind(quoted + " AND m = %a%", {"a": 2}) == (quoted.replace("%%", "%") + " AND m = :p0_a", {"p0_a": 2})
 
 
 def test_folder_digest_ignores_order_and_splits(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraload.functions import geometry as geo
 from terraload.operators import layers, manifest, ordering, registry, reports, sinks
-from terraload.plans import models, publish
+from terraload.plans import ingest, models, publish
 from terraload.sources import tables
 
 
@@ -119,8 +119,7 @@ def test_partitioned_append_leaves_other_partitions_alone(spark, schema):
     assert before == after
 
 
-def test_many_partitions_are_found_by_a_join(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "MAX_LISTED_PARTITIONS", 1)
+def test_touched_partitions_are_found_by_a_join(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, g string")
     batch = spark.createDataFrame([("a",), (None,), ("z",)], "g string")
     assert rows(sinks.touched_partitions(target, batch, ["g"]), "id") == [(1, "a"), (3, None)]
@@ -186,7 +185,7 @@ def test_many_requests_at_once(spark, schema):
 
 # Layers.
 
-NAMES = ["infr_rt_estensione_l", "infr_rt_estensione_p", "nd_com", "tr_com", "tr_com_tr_com_tra_sg", "single", "v_com_view", "a__b"]
+NAMES = ["road_north_main", "road_north_side", "lake_deep", "hill_deep", "hill_deep_hill_deep_top_x", "alone", "v_deep_view", "x__y"]
 
 
 def groups_of(spark, names, known=()):
@@ -239,10 +238,10 @@ def test_reports(spark):
 
 
 def test_quadratic_features(spark):
-    df = spark.createDataFrame([("abc", 2, 1.2), ("def", 5, 3.0)], "a string, b bigint, c double")
+    df = spark.createDataFrame([(7, "oak", 0.5), (-3, None, 4.0)], "height bigint, tree string, girth double")
     out = models.quadratic_features(df)
-    assert out.columns == ["a", "b", "c", "b*b", "b*c", "c*c"]
-    assert rows(out)[0] == ("abc", 2, 1.2, 4, 2.4, 1.44)
+    assert out.columns == ["height", "tree", "girth", "girth*girth", "girth*height", "height*height"]
+    assert sorted(rows(out)) == [(-3, None, 4.0, 16.0, -12.0, 9), (7, "oak", 0.5, 0.25, 3.5, 49)]
 
 
 def test_output_classes(spark):
@@ -269,6 +268,8 @@ def test_model_store(spark, schema):
     sinks.replace_table(spark.range(4), schema, "nums")
     load = registry.insert_request(spark, schema, registry.LOADS, GROUP_ID="g", REQUEST={"data": [
         {"filename": "nums.csv", "schema_name": schema, "table": "nums", "column": "id", "tipo": "integer"}]})
+    written = [("nums", "nums.csv", True, 0.1, False, 0, None, "replace"), ("lost", "lost.csv", False, 0.1, False, 0, "bad", "replace")]
+    ingest.record_outcomes(spark.createDataFrame(written, ingest.OUTCOME_SCHEMA), schema, load, "g", schema)
     store = models.ModelStore(spark, schema)
 
     def trial(inputs, params):
@@ -283,3 +284,8 @@ def test_model_store(spark, schema):
     assert isinstance(kept["DATE_EXECUTION"], datetime.datetime)
     with pytest.raises(KeyError):
         store.load(99)
+    given = store.execute(schema, load, None, {}, {"result": "most"}, code="SELECT max(id) AS m FROM nums")
+    assert given["tables"] == ["most"] and rows(tables.scan_table(spark, schema, "most")) == [(3,)]
+    other = store.register("g", trial)["id"]
+    with pytest.raises(ValueError, match="another session"):
+        models.ModelStore(spark, schema).load(other)

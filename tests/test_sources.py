@@ -237,8 +237,8 @@ def test_archives(spark, folder):
 
     target = folder / "out"
     entries = archive.extract_archives(spark, str(folder / "a.zip"), str(target)).collect()
-    assert {r["path"] for r in entries} == {f"{target}/{e}" for e in inner}
-    assert (target / "x/y/Cities.dbf").read_bytes() == b"33"
+    assert {r["path"] for r in entries} == {f"{target}/a.zip/{e}" for e in inner}
+    assert (target / "a.zip/x/y/Cities.dbf").read_bytes() == b"33"
 
     found = archive.inventory(archive.list_paths(spark, str(target)))
     kept = {(r["filename"], r["format"]) for r in archive.exclude_sidecars(found).collect()}
