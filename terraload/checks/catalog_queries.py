@@ -9,7 +9,7 @@ from terraload.checks import sample_files as samples
 from terraload.checks.catalog import check
 from terraload.constants import ALLOWED_SRIDS
 from terraload.functions import geometry as geo
-from terraload.operators import layers, registry, reports
+from terraload.operators import layers, registry, reports, sinks
 from terraload.plans import ingest, publish
 from terraload.runtime import new_path
 from terraload.sources import tables
@@ -60,6 +60,41 @@ def geom_from_wkt(spark, sf_dir):
         F.element_at(F.element_at(F.element_at(g["coords"], -1), -1), -1)["x"].alias("last_x"), g["srid"].alias("srid"))
 
 
+@check("geom_from_wkt_broken", f"""
+    SELECT event_id, CASE event_type WHEN 'click' THEN NULL WHEN 'error' THEN NULL WHEN 'view' THEN {LON} WHEN 'signup' THEN {LON} END AS x,
+           event_type = 'signup' AS own_srid, false AS has_z
+    FROM events""")
+def geom_from_wkt_broken(spark, sf_dir):
+    """Texts without their last bracket, with letters among the numbers, with measures, with a reference system."""
+    x, y = F.col("lon").cast("string"), F.col("lat").cast("string")
+    text = (F.when(F.col("event_type") == "click", F.format_string("LINESTRING (%s %s, 1 1", x, y))
+            .when(F.col("event_type") == "error", F.format_string("POINT (%s %s x)", x, y))
+            .when(F.col("event_type") == "view", F.format_string("POINT M (%s %s 7)", x, y))
+            .when(F.col("event_type") == "signup", F.format_string("SRID=3003;POINT (%s %s)", x, y))
+            .otherwise("GEOMETRYCOLLECTION (POINT (1 2))"))
+    g = F.col("g")
+    return b.events(spark, sf_dir).select("event_id", geo.from_wkt(text).alias("g")).select(
+        "event_id", g["coords"][0][0][0]["x"].alias("x"), F.coalesce(g["srid"] == 3003, F.lit(False)).alias("own_srid"),
+        F.coalesce(g["has_z"], F.lit(False)).alias("has_z"))
+
+
+@check("lost_geometries", """
+    SELECT 'event_type' AS kept, count(*) FILTER (event_type IN ('click', 'error')) AS n_lost, count(*) FILTER (event_type = 'view') AS n_shapes FROM events""")
+def lost_geometries(spark, sf_dir):
+    """Texts that give no geometry are counted while the table is written."""
+    schema = b.check_schema(spark)
+    text = (F.when(F.col("event_type") == "click", "POINT (1").when(F.col("event_type") == "error", "nowhere")
+            .when(F.col("event_type") == "view", "POINT (1 2)"))
+    frame = geo.detect_geometry(b.events(spark, sf_dir).select("event_type", text.alias("geometry")))
+    rows = [("event_type", "text"), ("geometry", "geometry(Point,4326)")]
+    spec = [{"column": c, "column_name": c, "tipo": t, "importing": True, "position": i} for i, (c, t) in enumerate(rows)]
+    table, lost = ingest.prepare(frame, spec, "acme", None)
+    sinks.load_table(table, schema, "places")
+    n = sum(o.get["n_lost"] for o in lost)
+    stored = tables.scan_table(spark, schema, "places")
+    return stored.agg(F.lit(stored.columns[0]).alias("kept"), F.lit(n).cast("bigint").alias("n_lost"), F.count("geometry").alias("n_shapes"))
+
+
 @check("set_srid", f"SELECT event_id, 3857 AS forced, 4326 AS kept, {LON} AS x FROM events")
 def set_srid(spark, sf_dir):
     g = geo.point(F.col("lon"), F.col("lat"))

@@ -29,9 +29,9 @@ def dbf_record(fields: list[tuple[str, str, int, int]], values: list[Column], de
     return F.concat(mark, *padded)
 
 
-def dbf_header(fields, n_records: int) -> bytes:
+def dbf_header(fields, n_records: int, language: int = 0) -> bytes:
     size = 1 + sum(f[2] for f in fields)
-    head = struct.pack("<4BIHH20x", 3, 124, 1, 1, n_records, 32 + 32 * len(fields) + 1, size)
+    head = struct.pack("<4BIHH17xB2x", 3, 124, 1, 1, n_records, 32 + 32 * len(fields) + 1, size, language)
     for name, kind, width, decimals in fields:
         head += struct.pack("<11sc4xBB14x", name.encode(), kind.encode(), width, decimals)
     return head + b"\r"
@@ -48,12 +48,15 @@ def _write_tasks(df: DataFrame, write) -> int:
     return df.mapInArrow(task, "n long").agg(F.sum("n")).first()[0]
 
 
-def write_dbf(df: DataFrame, fields, path: str) -> int:
-    """``df`` has a column ``record``."""
+def write_dbf(df: DataFrame, fields, path: str, encoding: str = "latin-1", language: int = 0, cpg: str | None = None) -> int:
+    """``df`` has a column ``record``; the encoding may be told by the header's mark or a file beside the table."""
     def write(part, table):
         records = table.column("record").to_pylist()
         with files.publish_file(f"{path}/table_{part}.dbf") as out:
-            out.write(dbf_header(fields, len(records)) + "".join(records).encode("latin-1") + b"\x1a")
+            out.write(dbf_header(fields, len(records), language) + "".join(records).encode(encoding) + b"\x1a")
+        if cpg is not None:
+            with files.publish_file(f"{path}/table_{part}.cpg") as out:
+                out.write(cpg.encode())
 
     return _write_tasks(df.select("record"), write)
 
@@ -173,3 +176,18 @@ def write_lines(df: DataFrame, header: str, path: str) -> None:
     """Raw lines with CRLF and a header per file, in ISO-8859-1; ``df`` has one text column."""
     (df.toDF(header).write.option("sep", "\u0001").option("quote", "").option("escape", "").option("header", "true")
      .option("encoding", "ISO-8859-1").option("lineSep", "\r\n").csv(path))
+
+
+def write_file(df: DataFrame, header: str, path: str) -> int:
+    """One file of the given name; ``df`` has a text column ``line``. Lines pass through one task."""
+    def task(batches):
+        with files.publish_file(path) as out:
+            out.write((header + "\n").encode())
+            n = 0
+            for batch in batches:
+                lines = batch.column("line").to_pylist()
+                out.write("".join(line + "\n" for line in lines).encode())
+                n += len(lines)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.select("line").coalesce(1).mapInArrow(task, "n long").agg(F.sum("n")).first()[0]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraload.checks import bindings as b
+from terraload.checks import sample_files as samples
 from terraload.checks.catalog import check
 from terraload.constants import SEPARATORS
 from terraload.functions import digest, geometry, names, parsing
@@ -27,6 +31,51 @@ def scan_zip(spark, sf_dir):
                         "size", F.md5("content").alias("md5"))
 
 
+ODD_NAMES = ("part[1].csv", "part{a,b}*.csv", "_part.csv", ".part.csv")
+
+
+@check("scan_csv_odd_names", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def scan_csv_odd_names(spark, sf_dir):
+    """Files whose names are patterns, or begin with a mark."""
+    customer = b.table(spark, sf_dir, "customer")
+
+    def write(path):
+        line = F.concat_ws(";", "c_custkey", "c_name", "c_acctbal").alias("line")
+        for k, name in enumerate(ODD_NAMES):
+            samples.write_file(customer.filter(F.col("c_custkey") % len(ODD_NAMES) == k).select(line), "c_custkey;c_name;c_acctbal", f"{path}/{name}")
+
+    folder = b.once(spark, sf_dir, "csv-odd-names", write)
+    read = [delimited.read_text_columns(spark, f"{folder}/{name}") for name in ODD_NAMES]
+    return reduce(DataFrame.unionByName, read).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@check("scan_csv_control_marks", """
+    SELECT c_custkey, chr(1) || c_name || chr(2) AS name, c_mktsegment || chr(1) AS segment, c_acctbal FROM customer""")
+def scan_csv_control_marks(spark, sf_dir):
+    """Fields that hold control characters."""
+    def write(path):
+        line = F.concat_ws(";", "c_custkey", F.concat(F.lit("\u0001"), "c_name", F.lit("\u0002")), F.concat("c_mktsegment", F.lit("\u0001")), "c_acctbal")
+        samples.write_file(b.table(spark, sf_dir, "customer").select(line.alias("line")), "c_custkey;name;segment;c_acctbal", f"{path}/marks.csv")
+
+    text = delimited.read_text_columns(spark, b.once(spark, sf_dir, "csv-marks", write))
+    return text.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "name", "segment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@check("scan_csv_mixed_headers", """
+    SELECT c_custkey, c_name, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer""")
+def scan_csv_mixed_headers(spark, sf_dir):
+    """A folder whose files order their columns differently; one lacks a column."""
+    customer = b.table(spark, sf_dir, "customer")
+
+    def write(path):
+        for k, header in enumerate(("c_custkey;c_name;c_acctbal", "c_acctbal,c_name,c_custkey", "c_name;c_custkey")):
+            line = F.concat_ws("," if "," in header else ";", *header.replace(",", ";").split(";"))
+            samples.write_file(customer.filter(F.col("c_custkey") % 3 == k).select(line.alias("line")), header, f"{path}/{k}.csv")
+
+    text = delimited.read_text_columns(spark, b.once(spark, sf_dir, "csv-mixed", write))
+    return text.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
 @check("scan_zip_same_entries", "SELECT doc_id % 3 AS folder, doc_id // 3 AS number, md5(text) AS md5 FROM documents")
 def scan_zip_same_entries(spark, sf_dir):
     """Archives whose entries have equal names are unpacked side by side."""
@@ -144,6 +193,56 @@ def scan_dbf(spark, sf_dir):
     return dbf.read_dbf(spark, b.order_dbf(spark, sf_dir), splitBytes=200_000)
 
 
+@check("scan_dbf_wide_numbers", """
+    SELECT o_orderkey AS o_key, CAST('12345678901234567' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS DECIMAL(38, 0)) AS o_wide FROM orders""")
+def scan_dbf_wide_numbers(spark, sf_dir):
+    """Whole numbers of 25 digits."""
+    fields = [("O_KEY", "N", 12, 0), ("O_WIDE", "N", 25, 0)]
+
+    def write(path):
+        wide = F.concat(F.lit("12345678901234567"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+        record = samples.dbf_record(fields, [F.col("o_orderkey"), wide], F.lit(False))
+        samples.write_dbf(b.table(spark, sf_dir, "orders").select(record.alias("record")), fields, path)
+
+    return dbf.read_dbf(spark, b.once(spark, sf_dir, "dbf-wide", write))
+
+
+@check("scan_dbf_fractions", "SELECT o_orderkey AS o_key, o_totalprice AS o_price, o_custkey AS o_cust FROM orders")
+def scan_dbf_fractions(spark, sf_dir):
+    """A column declared whole that holds fractions."""
+    fields = [("O_KEY", "N", 12, 0), ("O_PRICE", "N", 14, 0), ("O_CUST", "N", 12, 0)]
+
+    def write(path):
+        record = samples.dbf_record(fields, [F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice"), F.col("o_custkey")], F.lit(False))
+        samples.write_dbf(b.table(spark, sf_dir, "orders").select(record.alias("record")), fields, path)
+
+    folder = b.once(spark, sf_dir, "dbf-fractions", write)
+    by_values = dbf.read_dbf(spark, folder)
+    by_labels = dbf.read_dbf(spark, folder, labels={"o_key": "integer", "o_price": "double precision", "o_cust": "integer"})
+    assert by_values.schema == by_labels.schema
+    return by_labels
+
+
+@check("scan_dbf_codepage", """
+    SELECT kind, c_custkey, 'Ж' || c_name AS c_name FROM customer, (VALUES ('header'), ('beside'), ('utf')) k(kind)""")
+def scan_dbf_codepage(spark, sf_dir):
+    """Letters of another code page, told by the header, by a file beside the table, or UTF-8."""
+    fields = [("C_CUSTKEY", "N", 12, 0), ("C_NAME", "C", 40, 0)]
+    name = F.concat(F.lit("Ж"), "c_name")
+    kinds = {"header": ("cp1251", 0xC9, None), "beside": ("cp866", 0, "866"), "utf": ("utf-8", 0x57, "UTF-8")}
+
+    def write(path):
+        for kind, (encoding, language, cpg) in kinds.items():
+            # In UTF-8 the letter takes two of the field's bytes.
+            own = fields if encoding != "utf-8" else [fields[0], ("C_NAME", "C", 39, 0)]
+            record = samples.dbf_record(own, [F.col("c_custkey"), name], F.lit(False))
+            samples.write_dbf(b.table(spark, sf_dir, "customer").select(record.alias("record")), fields, f"{path}/{kind}", encoding, language, cpg)
+
+    folder = b.once(spark, sf_dir, "dbf-codepage", write)
+    read = [dbf.read_dbf(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "c_custkey", "c_name") for kind in kinds]
+    return reduce(DataFrame.unionByName, read)
+
+
 def _shape_scalars(df, *more):
     v = F.col("geometry")["coords"][0][0][0]
     g = F.col("geometry")

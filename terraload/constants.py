@@ -13,6 +13,7 @@ TYPE_LABELS = {
     "float": "double precision",
     "double": "double precision",
     "boolean": "boolean",
+    "decimal(38,0)": "numeric",
 }
 
 # Type label -> Spark type a column is cast to.
@@ -23,6 +24,7 @@ LABEL_TYPES = {
     "boolean": "boolean",
     "date": "date",
     "timestamp": "timestamp_ntz",
+    "numeric": "decimal(38,0)",
 }
 
 # Schema names that tenants may not take; they get wrapped in double underscores.

@@ -30,7 +30,12 @@ WKT_NAMES = {
     "MULTIPOLYGON": "MultiPolygon",
 }
 
-_WKT_HEAD = r"(?i)^\s*((MULTI)?(POINT|LINESTRING|POLYGON))\s*Z?M?\s*\("
+_WKT_HEAD = r"(?i)^\s*(?:SRID=(\d{1,9});)?\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*(ZM|Z|M|)\s*\("
+# How brackets and commas may lie, v being a vertex: lists of vertices become L, lists of (L) become R, lists of (R) become P.
+_SHAPES = {"POINT": ["(v)"], "LINESTRING": ["(v)", "(L)"], "MULTIPOINT": ["(v)", "(L)", "(R)", "((v))"],
+           "POLYGON": ["(R)"], "MULTILINESTRING": ["(R)"], "MULTIPOLYGON": ["(P)"]}
+# True where a text gave no geometry; the column does not reach any table.
+LOST_GEOMETRY = "_lost_geometry"
 # Characters that stand for the breaks between parts and between rings.
 _PART_BREAK = "\u0001"
 _RING_BREAK = "\u0002"
@@ -69,46 +74,67 @@ def point(x: Column, y: Column, z: Column | None = None, srid: int = GEOGRAPHIC_
 
 
 def from_wkt(text: Column, srid: int = GEOGRAPHIC_SRID) -> Column:
-    """Geometry from well-known text; null when the text is not readable."""
+    """Geometry from well-known text; null when the text is not readable as a whole.
+
+    A leading ``SRID=…;`` names the reference system. The third of three numbers is a height, unless the
+    type says ``M``; measures are not kept. Empty shapes and collections are not readable.
+    """
     def parse(written):
-        keyword = F.upper(F.regexp_extract(written, _WKT_HEAD, 1))
-        return _bind(keyword, lambda word: F.when(word != "", _parse_wkt(word, written, srid)))
+        head = F.regexp_extract(written, _WKT_HEAD, 2)
+        return _bind(F.upper(head), lambda word: F.when(word != "", _parse_wkt(word, written, srid)))
 
     return _bind(text, parse)
 
 
 def _parse_wkt(keyword: Column, text: Column, srid: int) -> Column:
     gtype = F.element_at(F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair]), keyword)
+    own = F.regexp_extract(text, _WKT_HEAD, 1).try_cast("int")
+    measured = F.upper(F.regexp_extract(text, _WKT_HEAD, 3)) == "M"
     # Blanks around commas and brackets go first; breaks then are fixed texts, and each
     # becomes one character, which splits without a pattern.
-    tight = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" ?([(),]) ?", "$1")
+    tight = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
     body = _bind(tight, lambda s: F.substr(s, F.locate("(", s)))
-    parts_marked = _bind(body, lambda s: (
+    parts_marked = _bind(body, lambda s: F.when(_well_shaped(keyword, s), (
         F.when(keyword == "MULTIPOLYGON", F.replace(s, F.lit(")),(("), F.lit(_PART_BREAK)))
         .when(keyword == "MULTILINESTRING", F.replace(s, F.lit("),("), F.lit(_PART_BREAK)))
         .when(keyword == "MULTIPOINT", F.translate(s, ",", _PART_BREAK))
         .otherwise(s)
-    ))
+    )))
     marked = F.translate(F.replace(parts_marked, F.lit("),("), F.lit(_RING_BREAK)), "()", "")
-    coords = F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), _ring))
+    coords = F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), lambda ring: _ring(ring, measured)))
 
     def checked(c):
         rings = F.flatten(c)
         readable = F.forall(rings, lambda ring: F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
         has_z = F.exists(rings, lambda ring: F.exists(ring, lambda v: v["z"].isNotNull()))
-        return F.when(readable, _geometry(F.lit(srid), gtype, has_z, c))
+        return F.when(readable, _geometry(F.coalesce(own, F.lit(srid)), gtype, has_z, c))
 
     return _bind(coords, checked)
 
 
-def _ring(text: Column) -> Column:
-    return F.transform(F.split(text, ","), _vertex)
+def _well_shaped(keyword: Column, body: Column) -> Column:
+    """Whether brackets and commas lie as the type wants them, from the first bracket to the end of the text."""
+    shape = F.regexp_replace(body, r"[^(),]+", "v")
+    for pattern, mark in ((r"v(?:,v)+", "L"), (r"\([vL]\)(?:,\([vL]\))*(?=[,)])", "R"), (r"\(R\)(?:,\(R\))*(?=\))", "P")):
+        shape = F.regexp_replace(shape, pattern, mark)
+    allowed = F.lit(False)
+    for word, shapes in _SHAPES.items():
+        allowed = F.when(keyword == word, shape.isin(*shapes)).otherwise(allowed)
+    return allowed
+
+
+def _ring(text: Column, measured: Column) -> Column:
+    return F.transform(F.split(text, ","), lambda v: _vertex(v, measured))
 
 
-def _vertex(text: Column) -> Column:
+def _vertex(text: Column, measured: Column) -> Column:
+    """Two to four numbers; with any other text among them the vertex has no coordinates."""
     def axes(numbers):
-        axis = [F.get(numbers, F.lit(i)).try_cast("double") for i in range(3)]
-        return F.struct(axis[0].alias("x"), axis[1].alias("y"), axis[2].alias("z"))
+        values = F.transform(numbers, lambda n: n.try_cast("double"))
+        whole = F.size(numbers).between(2, 4) & F.forall(values, lambda v: v.isNotNull())
+        x, y = (F.when(whole, F.get(values, F.lit(i))) for i in range(2))
+        z = F.when(whole & ~(measured & (F.size(numbers) == 3)), F.get(values, F.lit(2)))
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
     return _bind(F.split(F.trim(text), " "), axes)
 
@@ -174,15 +200,6 @@ def vertex_count(geometry: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.size(ring))
 
 
-def ring_area(ring: Column) -> Column:
-    """Signed area of a closed ring; clockwise rings are negative."""
-    n = F.size(ring)
-    cross = F.zip_with(
-        F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
-    )
-    return F.aggregate(cross, F.lit(0.0), lambda total, v: total + v) / 2
-
-
 def detect_geometry(df: DataFrame) -> DataFrame:
     """Turn a plain table into a layer when its columns say where rows lie.
 
@@ -193,5 +210,7 @@ def detect_geometry(df: DataFrame) -> DataFrame:
         if x in types and y in types:
             return df.withColumn("geometry", point(F.col(x).try_cast("double"), F.col(y).try_cast("double")))
     if isinstance(types.get("geometry"), T.StringType):
-        return df.withColumn("geometry", from_wkt(F.col("geometry")))
+        written = F.trim(F.coalesce("geometry", F.lit(""))) != ""
+        read = df.withColumn(LOST_GEOMETRY, written).withColumn("geometry", from_wkt(F.col("geometry")))
+        return read.withColumn(LOST_GEOMETRY, F.col(LOST_GEOMETRY) & F.col("geometry").isNull())
     return df

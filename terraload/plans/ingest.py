@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from terraload.functions.geometry import geometry_columns, is_layer_schema, requested_srid, set_srid
+from terraload.functions.geometry import LOST_GEOMETRY, geometry_columns, is_layer_schema, requested_srid, set_srid
 from terraload.functions.digest import folder_digest
 from terraload.functions.names import base_name, clean_name, quote_name, tag_tenant
 from terraload.operators import manifest as manifests
@@ -37,12 +37,13 @@ class Part:
 
 
 def read_file(spark: SparkSession, path: str, format: str, table: str, group_id: str | None = None,
-              srid: int | None = None, infer: bool = True) -> list[Part]:
-    """Tables of one file. Without ``infer`` text files keep text columns and are not read for their types."""
+              srid: int | None = None, infer: bool = True, labels: dict[str, str] | None = None) -> list[Part]:
+    """Tables of one file. Without ``infer`` text files keep text columns and are not read for their types;
+    ``labels`` say which numbers of a DBF file have fractions."""
     if format == "csv":
         return [Part(table, delimited.read_delimited(spark, path, group_id, None if infer else {}))]
     if format == "dbf":
-        return [Part(table, dbf.read_dbf(spark, path, group_id))]
+        return [Part(table, dbf.read_dbf(spark, path, group_id, labels=labels))]
     if format == "shapefile":
         layer = shapefile.read_shapefile(spark, path, group_id, srid)
         if not shapefile.has_geometry(layer):
@@ -61,7 +62,7 @@ def _message(error: Exception) -> str:
 
 def _describe_file(spark, row, group_id: str) -> list[tuple]:
     try:
-        found = [manifests.describe_rows(p.frame, row["filename"], p.table, group_id)
+        found = [manifests.describe_rows(p.frame.drop(LOST_GEOMETRY), row["filename"], p.table, group_id)
                  for p in read_file(spark, row["path"], row["format"], row["table"], group_id)]
         if not found:
             raise ValueError("the workbook is empty")
@@ -116,18 +117,20 @@ def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, pa
     return upload, manifest
 
 
-def prepare(frame: DataFrame, spec: Sequence, group_id: str, srid: int | None) -> tuple[DataFrame, Observation]:
+def prepare(frame: DataFrame, spec: Sequence, group_id: str, srid: int | None) -> tuple[DataFrame, list[Observation]]:
     """A file's table as the manifest wants it: projected, renamed, cast, with tenant and reference system.
 
-    The observation counts the values that casts lose, while the table is written.
+    The observations count what casts lose, and texts that give no geometry, while the table is written.
     """
-    projected = manifests.project_importing(frame, spec)
+    shapes_lost = F.count_if(F.col(LOST_GEOMETRY)) if LOST_GEOMETRY in frame.columns else F.count_if(F.lit(False))
+    lost_shapes = Observation()
+    projected = manifests.project_importing(frame.observe(lost_shapes, shapes_lost.alias("n_lost")), spec)
     lost = Observation()
     counted = projected.observe(lost, manifests.lost_values(projected, spec).alias("n_lost"))
     table = manifests.cast_by_manifest(counted, spec)
     for shape in geometry_columns(table.schema):
         table = table.withColumn(shape, set_srid(F.col(quote_name(shape)), srid))
-    return tag_tenant(table, group_id), lost
+    return tag_tenant(table, group_id), [lost, lost_shapes]
 
 
 @dataclass
@@ -153,14 +156,15 @@ def _load_file(spark, row, spec_by_table, group_id, schema, srid, mode, key, par
     outcomes: list[Outcome] = []
     try:
         # The manifest knows text files' types, so they are read once.
-        for part in read_file(spark, row["path"], row["format"], row["table"], group_id, srid, infer=False):
+        labels = {r["column"]: r["tipo"] for rows in spec_by_table.values() for r in rows}
+        for part in read_file(spark, row["path"], row["format"], row["table"], group_id, srid, infer=False, labels=labels):
             if part.table not in spec_by_table:
                 continue
             table, lost = prepare(part.frame, spec_by_table[part.table], group_id, srid)
             used = load_table(table, schema, part.table, mode, key, partition_by)
             elapsed = time.monotonic() - started
             outcomes.append(Outcome(
-                part.table, row["filename"], True, elapsed, is_layer_schema(table.schema), lost.get["n_lost"] or 0, None, used))
+                part.table, row["filename"], True, elapsed, is_layer_schema(table.schema), sum(o.get["n_lost"] or 0 for o in lost), None, used))
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
         shape = row["format"] == "shapefile"
         outcomes.append(Outcome(row["table"], row["filename"], False, time.monotonic() - started, shape, 0, _message(error)))

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraload.constants import SEPARATORS
 from terraload.functions import names, parsing, types
 from terraload.functions.geometry import detect_geometry
-from terraload.sources import files
+from terraload.runtime import new_path
+from terraload.sources import archive, files
 
 HEAD_BLOCK = 1 << 16
 # Stands behind the last field of a line, so that lines with too many fields can be told.
-END_MARK = "\u0002"
+END_MARK = "\ue001end\ue001"
+# Lines are read as ISO-8859-1, whose 256 characters this one is not among: no line is split.
+NEVER = "\ue000"
 # A doubled quote stands for one, a backslash for itself.
 QUOTING = {"quote": '"', "escape": '"'}
 
@@ -28,12 +33,9 @@ class Dialect:
 
 
 def header_bytes(path: str) -> bytes:
-    """First line of the (first) file."""
-    candidates = [p for p, size in files.list_files(path) if size and not p.rsplit("/", 1)[-1].startswith(("_", "."))]
-    if not candidates:
-        return b""
+    """First line of a file."""
     head = b""
-    with files.open_input(candidates[0]) as handle:
+    with files.open_input(path) as handle:
         while block := handle.read(HEAD_BLOCK):
             head += block
             if b"\n" in block or b"\r" in block:
@@ -41,12 +43,35 @@ def header_bytes(path: str) -> bytes:
     return head.splitlines()[0] if head else b""
 
 
-def sniff(path: str, separator: str | None = None, encoding: str | None = None) -> Dialect:
+def _hidden(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].startswith(("_", "."))
+
+
+def files_by_header(spark: SparkSession, path: str) -> list[tuple[bytes, list[str]]]:
+    """Header lines and the files of each; empty files have none. A folder's hidden files do not count.
+
+    The headers of a folder are read in tasks; the driver gets the paths, which the reader needs anyway.
+    """
+    found = [p for p, size in files.list_files(path) if size and (p == path or not _hidden(p))]
+    if len(found) <= 1:
+        return [(header_bytes(p), [p]) for p in found]
+
+    def heads(batches):
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([header_bytes(p) for p in paths], pa.binary()), batch.column("path")], names=["header", "path"])
+
+    listed = spark.createDataFrame([(p,) for p in found], "path string")
+    read = archive.spread(listed, ["path"]).mapInArrow(heads, "header binary, path string")
+    groups = read.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    return sorted(((bytes(g["header"]), list(g["paths"])) for g in groups), key=lambda g: g[1])
+
+
+def sniff_header(raw: bytes, path: str, separator: str | None = None, encoding: str | None = None) -> Dialect:
     """Columns, separator and encoding from the header line.
 
     A header with accents settles the encoding; an ASCII header leaves the choice to each line.
     """
-    raw = header_bytes(path)
     if not raw:
         raise ValueError(f"{path} is empty")
     if encoding is None:
@@ -59,7 +84,7 @@ def sniff(path: str, separator: str | None = None, encoding: str | None = None)
             except UnicodeDecodeError:
                 encoding = "windows-1252"
     text = raw.decode("utf-8" if encoding in ("auto", "utf-8") else "cp1252", errors="ignore")
-    text = text.lstrip("﻿").translate({ord(c): None for c in "'\r\n"})
+    text = text.lstrip("\ufeff").translate({ord(c): None for c in "'\r\n"})
     if separator is None:
         separator = next((s for s in SEPARATORS if s in text), SEPARATORS[-1])
     fields = next(csv.reader([text], delimiter=separator))
@@ -67,17 +92,50 @@ def sniff(path: str, separator: str | None = None, encoding: str | None = None)
     return Dialect(names.unique_names([names.clean_name(c) for c in columns]), separator, encoding)
 
 
-def raw_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def sniff(path: str, separator: str | None = None, encoding: str | None = None) -> Dialect:
+    """The same for a file, or the first one of a folder."""
+    found = [p for p, size in files.list_files(path) if size and (p == path or not _hidden(p))]
+    return sniff_header(header_bytes(found[0]) if found else b"", path, separator, encoding)
+
+
+def literal(path: str) -> str:
+    """A path whose marks are not taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def visible(spark: SparkSession, path: str) -> str:
+    """The path, or a copy under another name: Spark passes over files whose names begin with a mark."""
+    if not _hidden(path):
+        return path
+    target = f"{new_path(spark, 'visible')}/{path.rsplit('/', 1)[-1].lstrip('_.') or 'file'}"
+
+    def copy(batches):
+        for batch in batches:
+            if batch.num_rows:
+                with files.open_input(path) as source, files.publish_file(target) as out:
+                    while block := source.read(1 << 20):
+                        out.write(block)
+            yield batch
+
+    spark.range(1).mapInArrow(copy, "id long").count()
+    return target
+
+
+def _paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    return [literal(visible(spark, p)) for p in paths]
+
+
+def raw_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     """Lines below the header as text, still split by byte range.
 
     Bytes pass through ISO-8859-1 unharmed; the reader drops each file's header and blank lines.
     """
     lines = (
         spark.read.schema("line string")
-        .option("sep", "\u0001").option("quote", "").option("header", "true")
+        .option("sep", NEVER).option("quote", "").option("header", "true")
         .option("enforceSchema", "true").option("encoding", "ISO-8859-1")
         .option("recursiveFileLookup", "true")
-        .csv(path)
+        .csv(_paths(spark, paths))
     )
     return lines.select(parsing.drop_marks(parsing.decode_line(F.col("line"), encoding)).alias("line"))
 
@@ -106,7 +164,7 @@ def skip_bad_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
     ])
 
 
-def spanning_lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
+def spanning_lines(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
     """The same for files whose quoted fields hold line ends; such files cannot be split.
 
     An empty field too many at the end of a line goes unseen here.
@@ -116,7 +174,7 @@ def spanning_lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFram
     raw = (
         spark.read.schema(schema).options(**QUOTING).option("sep", dialect.separator).option("header", "true")
         .option("multiLine", "true").option("enforceSchema", "true").option("encoding", "ISO-8859-1")
-        .option("recursiveFileLookup", "true").csv(path)
+        .option("recursiveFileLookup", "true").csv(_paths(spark, paths))
     )
     return raw.filter(F.col("extra").isNull()).select(*[
         parsing.missing_to_null(F.translate(parsing.decode_line(F.col(f"f{i}"), dialect.encoding), "'\r", "")).alias(c)
@@ -126,11 +184,19 @@ def spanning_lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFram
 
 def read_text_columns(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
                       line_ends_in_fields: bool = False) -> DataFrame:
-    """All columns as text."""
-    dialect = sniff(path, separator, encoding)
-    if line_ends_in_fields:
-        return spanning_lines(spark, path, dialect)
-    return skip_bad_lines(raw_lines(spark, path, dialect.encoding), dialect)
+    """All columns as text. In a folder whose files differ in their headers, columns meet by name."""
+    groups = files_by_header(spark, path)
+    if not groups:
+        raise ValueError(f"{path} is empty")
+    table = None
+    for header, paths in groups:
+        dialect = sniff_header(header, paths[0], separator, encoding)
+        # One header for all: the folder is read as one path.
+        own = [path] if len(groups) == 1 else paths
+        part = (spanning_lines(spark, own, dialect) if line_ends_in_fields
+                else skip_bad_lines(raw_lines(spark, own, dialect.encoding), dialect))
+        table = part if table is None else table.unionByName(part, allowMissingColumns=True)
+    return table
 
 
 def read_delimited(spark: SparkSession, path: str, group_id: str | None = None, labels: dict[str, str] | None = None,

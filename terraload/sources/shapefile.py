@@ -212,6 +212,7 @@ class ShapefileReader(DataSourceReader):
                 table = files.open_input(side) if side else None
                 try:
                     layout = dbf.read_layout(table) if table else None
+                    encoding = self.encoding or (dbf.declared_encoding(path, layout) if layout else None)
                     if layout:
                         dbf.check_columns(path, layout, self.columns)
                     for at in range(first, last, CHUNK_RECORDS):
@@ -219,13 +220,13 @@ class ShapefileReader(DataSourceReader):
                         # Cut where the shapes so far would fill another chunk.
                         chunk = np.cumsum(spans[:, 1]) // CHUNK_BYTES
                         for piece in np.split(spans, np.flatnonzero(np.diff(chunk)) + 1):
-                            yield self.batch(shapes, table, layout, at, piece, srid)
+                            yield self.batch(shapes, table, layout, at, piece, srid, encoding)
                             at += len(piece)
                 finally:
                     if table:
                         table.close()
 
-    def batch(self, shapes, table, layout, at, spans, srid):
+    def batch(self, shapes, table, layout, at, spans, srid, encoding):
         count = len(spans)
         start = int(spans[:, 0].min())
         stretch = int((spans[:, 0] + spans[:, 1]).max()) + 8 - start
@@ -237,7 +238,7 @@ class ShapefileReader(DataSourceReader):
         if layout:
             records = files.read_range(
                 table, layout.header_bytes + at * layout.record_bytes, count * layout.record_bytes)
-            arrays, deleted = dbf.cut_records(records, layout, self.columns, self.encoding)
+            arrays, deleted = dbf.cut_records(records, layout, self.columns, encoding)
         else:
             arrays, deleted = [], np.zeros(count, bool)
         return pa.RecordBatch.from_arrays([*arrays, pa.array(deleted), geometry_array(parsed, srid)], self.names)

@@ -121,6 +121,9 @@ WKT = {
         "MultiPolygon", False,
         [[[(0, 0, None), (1, 0, None), (1, 1, None), (0, 0, None)]],
          [[(5, 5, None), (6, 5, None), (6, 6, None), (5, 5, None)], [(5.1, 5.1, None), (5.2, 5.1, None), (5.2, 5.2, None), (5.1, 5.1, None)]]]),
+    "POINT M (1 2 3)": ("Point", False, [[[(1, 2, None)]]]), "POINT ZM (1 2 3 4)": ("Point", True, [[[(1, 2, 3)]]]),
+    "LINESTRING (0 0, 1 1": None, "POINT (1 2 x)": None, "POINT (1)": None, "POLYGON (0 0, 1 1)": None, "POINT (1 2) x": None,
+    "LINESTRING ((0 0, 1 1))": None, "MULTIPOLYGON ((0 0,1 0,1 1,0 0))": None, "POINT EMPTY": None, "GEOMETRYCOLLECTION (POINT (1 2))": None,
     "CIRCLE (1 2)": None, "POINT (a b)": None, "": None, None: None,
 }
 
@@ -154,9 +157,9 @@ def test_layer_summary(spark):
     assert summary(None) == (0, None, None, None)
 
 
-def test_area(spark):
-    ring = "POLYGON ((0 0,4 0,4 3,0 3,0 0))"
-    assert column(spark, [ring], lambda c: geo.ring_area(geo.from_wkt(c)["coords"][0][0])) == [12.0]
+def test_reference_system_in_the_text(spark):
+    found = column(spark, ["SRID=3003;POINT (1 2)", "POINT (1 2)"], geo.from_wkt)
+    assert [g["srid"] for g in found] == [3003, 4326]
 
 
 def test_parameters():
