@@ -267,6 +267,14 @@ def registry_page(spark, sf_dir):
     return registry.page(found.select("ID_SHAPE", "GROUP_ID"), "ID_SHAPE", skip=200)
 
 
+@check("registry_page_after", """
+    SELECT o_orderkey AS "ID_SHAPE", o_orderpriority AS "GROUP_ID" FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderkey > 700
+    ORDER BY o_orderkey LIMIT 100""")
+def registry_page_after(spark, sf_dir):
+    found = registry.list_requests(b.uploads(spark, sf_dir), "ID_SHAPE", group_id="5-LOW")
+    return registry.page_after(found.select("ID_SHAPE", "GROUP_ID"), "ID_SHAPE", 700)
+
+
 @check("registry_get", """
     SELECT p_partkey AS "ID_MODEL", p_brand AS "STATUS", p_type AS "GROUP_ID", CAST(p_size AS VARCHAR) AS "PARAMS"
     FROM part WHERE p_partkey = 77""")

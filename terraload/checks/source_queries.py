@@ -280,6 +280,16 @@ def scan_xlsx_sheets(spark, sf_dir):
         F.when(first, cell[2].try_cast("double")).alias("c_acctbal"), F.when(~first, cell[1]).alias("c_mktsegment"))
 
 
+@check("read_xlsx_typed", """
+    SELECT c_custkey, c_name, c_acctbal, c_mktsegment AS segment, 'acme' AS group_id FROM customer""")
+def read_xlsx_typed(spark, sf_dir):
+    """Typed tables of all workbooks' sheets; the two sheets of a book meet again by their key."""
+    paths = [r["path"] for r in archive.list_paths(spark, b.customer_books(spark, sf_dir), ".xlsx").select("path").collect()]
+    books = [xlsx.read_xlsx(spark, path, "acme") for path in paths]
+    accounts, segments = (reduce(DataFrame.unionByName, [book[s] for book in books]) for s in ("accounts", "Market Segments"))
+    return accounts.join(segments.select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey")
+
+
 @check("scan_table", "SELECT * FROM orders")
 def scan_table(spark, sf_dir):
     schema = b.check_schema(spark)

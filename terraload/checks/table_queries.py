@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terraload.checks import bindings as b
 from terraload.checks.catalog import check
-from terraload.functions import names, templates, types
+from terraload.functions import names, parsing, templates, types
 from terraload.operators import manifest as manifests
 from terraload.operators import registry, sinks
 from terraload.plans import ingest, models, publish
@@ -24,6 +24,12 @@ def lower_columns(spark, sf_dir):
     return names.lower_columns(orders.toDF(*[c.upper() for c in orders.columns]))
 
 
+@check("escape_quotes", r"""SELECT doc_id, replace('"' || text || '"', '"', '\"') AS escaped FROM documents""")
+def escape_quotes(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), "text", F.lit('"'))
+    return b.table(spark, sf_dir, "documents").select("doc_id", parsing.escape_quotes(quoted).alias("escaped"))
+
+
 @check("clean_identifier", r"""
     WITH raw AS (
         SELECT p_partkey, 'brand' AS kind, p_brand || '-' || p_type || ' ' || p_size AS name FROM part UNION ALL

@@ -50,10 +50,6 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names([c.lower() for c in df.columns]))
 
 
-def clean_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*unique_names([clean_name(c) for c in df.columns]))
-
-
 def base_name(path: Column) -> Column:
     """Last part of a path with either slash."""
     return F.element_at(F.split(path, r"[/\\]"), -1)

@@ -23,11 +23,14 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # With the hash, a value that many rows share can still be cut into several ranges.
-    order = [*order_by, F.xxhash64(*df.columns)]
+    # With the hash, a value that many rows share can still be cut into several ranges; rows that are
+    # equal in all columns are told apart by where they lie.
+    order = [*order_by, F.xxhash64(*df.columns), F.col("_place")]
     local = (
-        df.repartitionByRange(n, *order)
+        df.withColumn("_place", F.monotonically_increasing_id())
+        .repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
+        .drop("_place")
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     kept = stage(local, "numbered")

@@ -73,6 +73,12 @@ def page(registry: DataFrame, key: str, skip: int = 0, limit: int = PAGE_ROWS) -
     return registry.orderBy(key).offset(skip).limit(limit)
 
 
+def page_after(registry: DataFrame, key: str, last: int | None = None, limit: int = PAGE_ROWS) -> DataFrame:
+    """The page behind the id that the page before ended with; no task holds more than one page."""
+    rest = registry if last is None else registry.filter(F.col(key) > last)
+    return rest.orderBy(key).limit(limit)
+
+
 def get_request(registry: DataFrame, key: str, id: int) -> DataFrame:
     return registry.filter(F.col(key) == id).limit(1)
 

@@ -115,7 +115,11 @@ def sheet_rows(z: zipfile.ZipFile, part: str):
     shared, moments, day_zero = shared_texts(z), date_styles(z), base_day(z)
     expected, row_no = 1, 0
     with z.open(part) as stream:
-        for _, element in ElementTree.iterparse(stream):
+        rows = None
+        for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                rows = element if element.tag == MAIN + "sheetData" else rows
+                continue
             if element.tag != MAIN + "row":
                 continue
             row_no = int(element.get("r", row_no + 1))
@@ -124,7 +128,8 @@ def sheet_rows(z: zipfile.ZipFile, part: str):
                 at = column_number(cell.get("r")) if cell.get("r") else len(cells)
                 cells.extend([None] * (at + 1 - len(cells)))
                 cells[at] = cell_value(cell, shared, moments, day_zero)
-            element.clear()
+            # Read rows leave the tree, so that memory does not grow with the sheet.
+            (element if rows is None else rows).clear()
             if any(c is not None for c in cells):
                 for blank in range(expected, row_no):
                     yield blank, []
@@ -187,21 +192,29 @@ def cell_kind(cell: Column) -> Column:
                   .when(cell["kind"] == "d", F.lit(8)).otherwise(F.lit(16)))
 
 
-def sheet_table(rows: DataFrame, group_id: str | None = None) -> DataFrame:
+def sheet_facts(rows: DataFrame) -> dict[str, tuple[list | None, dict[int, int]]]:
+    """First row and kinds of the columns of every sheet of one workbook, in one pass each.
+
+    Only masks are shuffled; the driver gets a row for each sheet and column.
+    """
+    heads = {r["sheet"]: r["cells"] for r in rows.filter(F.col("row_no") == 1).select("sheet", "cells").collect()}
+    kinds = rows.filter(F.col("row_no") > 1).select("sheet", F.posexplode("cells").alias("at", "cell")).groupBy("sheet", "at").agg(
+        F.bit_or(cell_kind(F.col("cell"))).alias("mask")).collect()
+    facts = {sheet: (cells, {}) for sheet, cells in heads.items()}
+    for r in kinds:
+        facts.setdefault(r["sheet"], (None, {}))[1][r["at"]] = r["mask"]
+    return facts
+
+
+def sheet_table(rows: DataFrame, head: list | None, masks: dict[int, int], group_id: str | None = None) -> DataFrame:
     """Typed table of one sheet (``rows`` holds one path and one sheet); the first row names the columns."""
-    head = rows.filter(F.col("row_no") == 1).select("cells").first()
-    body = rows.filter(F.col("row_no") > 1)
-    # One pass finds the width and the kinds of all columns; only masks are shuffled.
-    kinds = body.select(F.posexplode("cells").alias("at", "cell")).groupBy("at").agg(
-        F.bit_or(cell_kind(F.col("cell"))).alias("mask"))
-    masks = {r["at"]: r["mask"] for r in kinds.collect()}
-    labels = [c["value"] if c else None for c in (head["cells"] if head else [])]
+    labels = [c["value"] if c else None for c in (head or [])]
     labels += [None] * (max(masks, default=-1) + 1 - len(labels))
     columns = names.unique_names([names.clean_name(v if v else f"unnamed_{i}") for i, v in enumerate(labels)])
     if not columns:
         raise ValueError("the sheet is empty")
     values = [_typed(F.get(F.col("cells"), F.lit(i)), masks.get(i)).alias(c) for i, c in enumerate(columns)]
-    return detect_geometry(names.tag_tenant(body.select(*values), group_id))
+    return detect_geometry(names.tag_tenant(rows.filter(F.col("row_no") > 1).select(*values), group_id))
 
 
 def _typed(cell: Column, mask: int | None) -> Column:
@@ -221,12 +234,9 @@ def read_xlsx(spark: SparkSession, path: str, group_id: str | None = None) -> di
     """Every sheet of one workbook as a table, by sheet name; empty sheets are left out."""
     # Cells are taken out of the workbook once; naming and typing columns reads them again.
     rows = stage(scan_sheets(spark, path), "cells")
-    tables = {}
-    for row in list_sheets(spark, path).orderBy("sheet_no").collect():
-        own = rows.filter(F.col("sheet") == row["sheet"])
-        if own.limit(1).count():
-            tables[row["sheet"]] = sheet_table(own, group_id)
-    return tables
+    facts = sheet_facts(rows)
+    found = [r["sheet"] for r in list_sheets(spark, path).orderBy("sheet_no").collect()]
+    return {sheet: sheet_table(rows.filter(F.col("sheet") == sheet), *facts[sheet], group_id) for sheet in found if sheet in facts}
 
 
 def sheet_table_name(stem: str, sheet: str) -> str:

@@ -115,7 +115,8 @@ def test_dbf_refuses(spark, folder):
         dbf.read_dbf(spark, str(folder / "m.dbf"))
     write_dbf(folder / "n.dbf", [("N", "N", 8, 0)], [[b"1.5"], [b"2.0"]])
     with pytest.raises(Exception, match="declared whole"):
-        dbf.read_dbf(spark, str(folder / "n.dbf")).collect()
+        dbf.read_dbf(spark, str(folder / "n.dbf"), doubles=[]).collect()
+    assert [r["n"] for r in dbf.read_dbf(spark, str(folder / "n.dbf")).collect()] == [1.5, 2.0]
     assert [r["n"] for r in dbf.read_dbf(spark, str(folder / "n.dbf"), doubles=["n"]).collect()] == [1.5, 2.0]
 
 
