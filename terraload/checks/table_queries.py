@@ -144,8 +144,8 @@ _TABLES = {
 
 
 @check("infer_manifest", " UNION ALL ".join(
-    f"""SELECT '{t}' AS "table", "column", tipo, ordinal AS position FROM ({_infer_sql(t, cs)})
-        UNION ALL SELECT '{t}', 'group_id', 'text', {len(cs)}""" for t, cs in _TABLES.items()))
+    f"""SELECT '{t}' AS "table", "column", tipo, CAST(ordinal AS BIGINT) AS position FROM ({_infer_sql(t, cs)})
+        UNION ALL SELECT '{t}', 'group_id', 'text', CAST({len(cs)} AS BIGINT)""" for t, cs in _TABLES.items()))
 def infer_manifest(spark, sf_dir):
     found = []
     for name, columns in _TABLES.items():
@@ -193,7 +193,7 @@ def requested_files(spark, sf_dir):
 
 
 @check("manifest_json", """
-    SELECT 'part_' || p_partkey || '.csv' AS filename, c.n AS position, c.name AS "column", 'part_' || p_partkey AS "table",
+    SELECT 'part_' || p_partkey || '.csv' AS filename, CAST(c.n AS BIGINT) AS position, c.name AS "column", 'part_' || p_partkey AS "table",
            CASE c.n WHEN 0 THEN true WHEN 1 THEN p_size <= 30 WHEN 2 THEN p_size > 10 ELSE p_size > 20 END AS importing
     FROM part, (VALUES (0, 'code'), (1, 'label'), (2, 'price'), (3, 'cost')) c(n, name)""")
 def manifest_json(spark, sf_dir):

@@ -31,16 +31,17 @@ def spark_type(label: str) -> str:
 
 
 def value_kind(value: Column, dates: bool) -> Column:
-    # One pattern per value tells numbers from the rest; the tests behind it are cheap.
-    value = F.trim(value)
+    """Bit for the kind of a text without blanks around it."""
+    # The first character tells most texts from numbers and days; only the rest meet a pattern.
+    numeric = F.substring(value, 1, 1).between("+", "9")
     fraction = value.contains(".") | value.contains("e") | value.contains("E")
     number = F.when(~fraction & value.try_cast("bigint").isNotNull(), F.lit(_WHOLE)).otherwise(F.lit(_DECIMAL))
     kind = (
-        F.when(value.rlike(DECIMAL_PATTERN), number)
+        F.when(numeric & value.rlike(DECIMAL_PATTERN), number)
         .when(value.isin("True", "False", "TRUE", "FALSE", "true", "false"), F.lit(_BOOL))
     )
     if dates:
-        is_date = value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull()
+        is_date = numeric & value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull()
         kind = kind.when(is_date, F.lit(_DATE))
     return F.when(value.isNotNull(), kind.otherwise(F.lit(_OTHER)))
 
@@ -63,9 +64,11 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, dates: bool
     One pass with one bit mask per column, so nothing but the masks is shuffled.
     """
     names = list(columns or df.columns)
-    masks = df.agg(*[
-        F.struct(F.bit_or(value_kind(F.col(f"`{n}`"), dates)).alias("mask"), F.count(F.col(f"`{n}`")).alias("n"))
-        .alias(f"c{i}") for i, n in enumerate(names)
+    # As a generator the trimming is one step; below an aggregate it would be repeated in every test.
+    bare = df.select(F.inline(F.array(F.struct(*[F.trim(F.col(f"`{n}`")).alias(f"t{i}") for i, n in enumerate(names)]))))
+    masks = bare.agg(*[
+        F.struct(F.bit_or(value_kind(F.col(f"t{i}"), dates)).alias("mask"), F.count(F.col(f"t{i}")).alias("n"))
+        .alias(f"c{i}") for i in range(len(names))
     ])
     rows = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), F.col(f"c{i}.mask").alias("mask"),
