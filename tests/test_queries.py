@@ -3,15 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from terraload.checks.catalog import ORACLES, QUERIES
 from terraload.checks.runner import compare
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_contract(spark):
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
     assert entry_points.entry(spark).count() == 5
 
 
