@@ -190,7 +190,7 @@ def _clean(folder: str):
 
 def _phrases(benchmark: DataFrame, window: int, scratch: Scratch) -> str:
     """The folder of the written table ``item, phrase``."""
-    bounded_batches(benchmark.sparkSession, 8)
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
     folder = scratch.path("phrases")
     items.mapInArrow(_windows(window), "item string, phrase string").distinct().write.parquet(folder)

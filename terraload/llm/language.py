@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from terraload.llm import letters
-from terraload.llm.scratch import bounded_batches
+from terraload.llm.scratch import Scratch, bounded_batches
 
 #: Labelled documents to learn from, about; chosen by a hash of their id and text.
 SAMPLE = 20_000
@@ -124,12 +124,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = (chosen.select("text", "lang").mapInArrow(_count, "kind int, hash long, lang string, n long")
               .groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
               .groupBy("kind", "hash").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    counts = counts.persist()
-    try:
-        rows_of = {n: counts.where((F.col("kind") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash")
-                   .limit(GRAMS if n else WORDS).select("hash", "by").collect() for n in range(LONGEST + 1)}
-    finally:
-        counts.unpersist()
+    scratch = Scratch(spark, "language")
+    counts = scratch.keep(counts, "counts")
+    rows_of = {n: counts.where((F.col("kind") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash")
+               .limit(GRAMS if n else WORDS).select("hash", "by").collect() for n in range(LONGEST + 1)}
+    scratch.drop(counts)
     languages = sorted({lang for found in rows_of.values() for r in found for lang in r["by"]})
     place = {lang: k for k, lang in enumerate(languages)}
     hashes, logs = {}, {}

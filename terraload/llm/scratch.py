@@ -40,7 +40,7 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, mega_bytes: int = 16, rows: int = 10000) -> None:
+def bounded_batches(spark: SparkSession, mega_bytes: int = 4, rows: int = 10000) -> None:
     """Let Arrow batches of this session hold about so many bytes, however long its texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mega_bytes << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

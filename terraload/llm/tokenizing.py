@@ -21,7 +21,7 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from terraload.llm import words
 
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 AT_ONCE = 1000
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _open: dict[str, "WordTokenizer"] = {}
