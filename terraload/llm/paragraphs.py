@@ -3,12 +3,13 @@
 A paragraph is a line of at least ``PARAGRAPH`` words. Paragraphs are compared by MinHash banding: bands
 are tuned for a recall at a similarity of 0.75 on five-word shingles, paragraphs that collide in a
 band are joined, every candidate pair is confirmed by its exact Jaccard similarity, and
-confirmed pairs become components. Lines may hold more than the passage that they share, so their sentences of
-at least ``SENTENCE`` words are compared, too, but for equal words only (an edit distance of 0).
+confirmed pairs become components. Lines may hold more than the passage that they share, so their clauses (up to
+a full stop, comma or the like) of at least ``CLAUSE`` words are compared, too, but for equal words only (an edit
+distance of 0).
 
-In each document what repeats is merged to spans; shorter sentences between are taken along. Spans of fewer
-than ``LEAST`` words are left alone. A cluster stays in the first document that has it
-and is to be removed from the others.
+In each document what repeats is merged to spans; up to ``GAP`` words between, as of shorter clauses, are taken
+along. Spans with fewer than ``LEAST`` repeated words are left alone. A cluster stays in the first document that
+has it and is to be removed from the others.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from terraload.llm.scratch import Scratch, bounded_batches
 
 SHINGLE = 5
 PARAGRAPH = 20
-SENTENCE = 5
-LEAST = 25
+CLAUSE = 4
+GAP = 8
+LEAST = 20
 SIMILARITY = 0.75
 RECALL = 0.995
 ROWS = 2
 
 _STOPS = np.zeros(256, bool)
-_STOPS[[ord(c) for c in ".!?\n"]] = True
+_STOPS[[ord(c) for c in ".!?,;:\n"]] = True
 
 UNITS = "hash long, doc_id long, text_key long, first int, last int, start long, end long, line boolean"
 
@@ -75,25 +77,25 @@ def _bands(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def _parts(batch: pa.RecordBatch):
-    """Words, their hashes, and word ranges of lines and of sentences that are no whole paragraph."""
+    """Words, their hashes, and word ranges of paragraphs and of clauses that are no whole paragraph."""
     found = words.split(batch.column("text"), words.NOT_ALNUM)
     hashes, text = words.hashes(found), found.texts()
     lines = np.cumsum(found.data == 10)[found.starts]
-    sentences = np.cumsum(_STOPS[found.data])[found.starts]
+    clauses = np.cumsum(_STOPS[found.data])[found.starts]
     first, last = _runs(lines, text)
     long = last - first >= PARAGRAPH
     line_first, line_last = first[long], last[long]
-    first, last = _runs(sentences, text)
+    first, last = _runs(clauses, text)
     whole = np.isin(first, line_first) & np.isin(last, line_last)
-    seeds = (last - first >= SENTENCE) & ~(whole & (last - first >= PARAGRAPH))
+    seeds = (last - first >= CLAUSE) & ~(whole & (last - first >= PARAGRAPH))
     return found, hashes, text, (line_first, line_last), (first[seeds], last[seeds])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, hashes, text, lines, sentences = _parts(batch)
+        found, hashes, text, lines, clauses = _parts(batch)
         _, offsets = words.texts_of(batch.column("text"))
-        first, last = (np.concatenate(p) for p in zip(lines, sentences))
+        first, last = (np.concatenate(p) for p in zip(lines, clauses))
         owner = text[first]
         ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
         yield pa.RecordBatch.from_arrays(
@@ -155,7 +157,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, span, before = [], None, None
         for r in table.to_pylist():
             key = (r["doc_id"], r["text_key"])
-            if span is None or key != before or r["first"] - span["last"] >= SENTENCE:
+            if span is None or key != before or r["first"] - span["last"] > GAP:
                 if span is not None:
                     rows.append(span)
                 span, before = {**r, "n": 0, "other": 0}, key
@@ -166,7 +168,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             span["last"], span["end"] = max(span["last"], r["last"]), max(span["end"], r["end"])
         if span is not None:
             rows.append(span)
-        rows = [r for r in rows if r["last"] - r["first"] >= LEAST]
+        rows = [r for r in rows if r["n"] >= LEAST]
         if rows:
             yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("doc_id", "start", "end", "cluster", "kept_in")},
                                                "n_words": r["last"] - r["first"], "removed": 2 * r["other"] > r["n"]} for r in rows], kinds)
@@ -176,13 +178,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     """``doc_id, start, end, n_words, cluster, kept_in, removed`` for each span of a row of ``docs`` (``doc_id, text``).
 
     ``start`` and ``end`` are bytes of the UTF-8 text; ``cluster`` and ``kept_in`` belong to the first paragraph
-    or sentence in the span. A span is to be removed if most of its repeated words stay in an earlier document. What
+    or clause in the span. A span is to be removed if most of its repeated words stay in an earlier document. What
     repeats within one document alone gives no span. Rows without id take no part, null and empty texts have no
     paragraphs, and rows that repeat another wholly act as one. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "paragraphs")
-    bounded_batches(spark, 8)
+    bounded_batches(spark)
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     units = docs.mapInArrow(_units, UNITS)
