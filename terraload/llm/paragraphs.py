@@ -7,9 +7,9 @@ confirmed pairs become components. Lines may hold more than the passage that the
 a full stop, comma or the like) of at least ``CLAUSE`` words are compared, too, but for equal words only (an edit
 distance of 0).
 
-In each document what repeats is merged to spans; up to ``GAP`` words between, as of shorter clauses, are taken
-along. Spans with fewer than ``LEAST`` repeated words are left alone. A cluster stays in the first document that
-has it and is to be removed from the others.
+In each document what repeats is merged to spans; up to ``GAP`` words between that repeat nowhere, as of shorter
+clauses, are taken along. Spans with fewer than ``LEAST`` repeated words are left alone. A cluster stays in the first
+document that has it and is to be removed from the others; that is decided word by word.
 """
 
 from __future__ import annotations
@@ -149,36 +149,104 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             names=["rep", "signature", "parity", "n_shingles", "shingles"])
 
 
+def _covered(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of ``size`` words stand in one of the ranges."""
+    return np.cumsum(np.bincount(first, minlength=size + 1) - np.bincount(last, minlength=size + 1))[:size] > 0
+
+
+def _stretches(inside: np.ndarray, counted: np.ndarray, joins: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of words ``inside`` with at least ``LEAST`` counted ones; up to ``GAP`` words between that all ``joins`` allows link runs."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    merged: list[list[int]] = []
+    for low, high in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if merged and low - merged[-1][1] <= GAP and joins[merged[-1][1]:low].all():
+            merged[-1][1] = high
+        else:
+            merged.append([low, high])
+    return [(low, high) for low, high in merged if counted[low:high].sum() >= LEAST]
+
+
+def _pieces(low: int, high: int, label: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Cut a stretch where the label changes; a piece of fewer than ``LEAST`` words goes to the one before, or the first to the next."""
+    named = np.flatnonzero(label[low:high] >= 0)
+    at = label[low + named]
+    cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
+    edges = [0, *named[cuts].tolist(), high - low]
+    pieces: list[list[int]] = []
+    for a, b, number in zip(edges[:-1], edges[1:], at[np.concatenate([[0], cuts])].tolist()):
+        if pieces and (b - a < LEAST or pieces[-1][2] == number):
+            pieces[-1][1] = b
+        elif len(pieces) == 1 and pieces[0][1] - pieces[0][0] < LEAST:
+            pieces[0][1:] = [b, number]
+        else:
+            pieces.append([a, b, number])
+    for a, b, number in pieces:
+        yield low + a, low + b, number
+
+
+def _text_spans(table: pa.Table) -> list[dict]:
+    """Spans of one text from its marked units.
+
+    Words of a unit that stays in another document are to be removed where at least ``LEAST`` of them follow each other.
+    A passage of at least ``LEAST`` words that stays here is taken out of a near copy of another document's line. What
+    repeats and is not removed makes the other spans.
+    """
+    first, last, start, end, cluster, kept_in, line = (table.column(c).to_numpy() for c in ("first", "last", "start", "end", "cluster", "kept_in", "line"))
+    doc_id, base = table.column("doc_id")[0].as_py(), int(first.min())
+    first, last = first - base, last - base
+    size = int(last.max())
+    here = kept_in == doc_id
+    own, other = (_covered(size, first[x], last[x]) for x in (here & ~line, ~here & ~line))
+    marked, removed = _covered(size, first, last), _covered(size, first[~here], last[~here])
+    only_here = own & ~other
+    for low, high in _stretches(only_here, only_here, np.zeros(size, bool)):
+        removed[low:high] = False
+    # A label is a document and, for lines, a cluster; of a word's units the longest in the earliest document gives its label.
+    label = {True: np.full(size, -1), False: np.full(size, -1)}
+    names: dict[tuple[int, int | None], int] = {}
+    number_of = np.zeros(len(first), np.int64)
+    for i in np.lexsort((last - first, -kept_in)).tolist():
+        number_of[i] = names.setdefault((int(kept_in[i]), int(cluster[i]) if line[i] else None), len(names))
+        label[bool(here[i])][first[i]:last[i]] = number_of[i]
+    starts, ends = dict(zip(first.tolist(), start.tolist())), dict(zip(last.tolist(), end.tolist()))
+    taken, rows = np.zeros(size, bool), []
+
+    def add(low: int, high: int, kept: bool) -> None:
+        for a, b, number in _pieces(low, high, label[kept]):
+            longest = np.where(number_of == number, np.minimum(last, b) - np.maximum(first, a), 0).argmax()
+            rows.append({"doc_id": doc_id, "start": starts.get(a, ends.get(a)), "end": ends.get(b, starts.get(b)), "n_words": b - a,
+                         "cluster": int(cluster[longest]), "kept_in": int(kept_in[longest]), "removed": not kept})
+
+    for low, high in _stretches(removed, removed, ~marked):
+        taken[low:high] = True
+        add(low, high, False)
+    rest = marked & ~taken
+    for low, high in _stretches(rest, rest, ~taken):
+        if (label[True][low:high] >= 0).any():
+            add(low, high, True)
+    return rows
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the marked units of each text, sorted by place."""
+    """Spans of each text, from units sorted by text."""
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()),
                        ("cluster", pa.int64()), ("kept_in", pa.int64()), ("removed", pa.bool_())])
     for table in words.grouped(batches, ["doc_id", "text_key"]):
-        rows, span, before = [], None, None
-        for r in table.to_pylist():
-            key = (r["doc_id"], r["text_key"])
-            if span is None or key != before or r["first"] - span["last"] > GAP:
-                if span is not None:
-                    rows.append(span)
-                span, before = {**r, "n": 0, "other": 0}, key
-                span["last"] = r["first"]
-            new = max(0, r["last"] - max(span["last"], r["first"]))
-            span["n"] += new
-            span["other"] += new if r["kept_in"] != r["doc_id"] else 0
-            span["last"], span["end"] = max(span["last"], r["last"]), max(span["end"], r["end"])
-        if span is not None:
-            rows.append(span)
-        rows = [r for r in rows if r["n"] >= LEAST]
+        table = table.combine_chunks()
+        ids, keys = (table.column(c).to_numpy() for c in ("doc_id", "text_key"))
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1
+        cuts = [0, *cuts.tolist(), len(ids)]
+        rows = [r for low, high in zip(cuts[:-1], cuts[1:]) for r in _text_spans(table.slice(low, high - low))]
         if rows:
-            yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("doc_id", "start", "end", "cluster", "kept_in")},
-                                               "n_words": r["last"] - r["first"], "removed": 2 * r["other"] > r["n"]} for r in rows], kinds)
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, start, end, n_words, cluster, kept_in, removed`` for each span of a row of ``docs`` (``doc_id, text``).
 
-    ``start`` and ``end`` are bytes of the UTF-8 text; ``cluster`` and ``kept_in`` belong to the first paragraph
-    or clause in the span. A span is to be removed if most of its repeated words stay in an earlier document. What
+    ``start`` and ``end`` are bytes of the UTF-8 text; ``cluster`` and ``kept_in`` belong to the longest paragraph
+    or clause in the span. A span is to be removed exactly if it stays in an earlier document, ``kept_in``; where the
+    cluster of a paragraph, or the document that a passage stays in, changes for ``LEAST`` words, a span ends. What
     repeats within one document alone gives no span. Rows without id take no part, null and empty texts have no
     paragraphs, and rows that repeat another wholly act as one. Other columns are ignored.
     """
@@ -216,7 +284,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
                             .where("kept_in < last_in").drop("last_in"), "clusters")
     marks = scratch.keep(marked.select("hash", "cluster").distinct().join(clusters, "cluster"), "marks")
     repeats = units.join(marks, "hash").repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "first", "last")
-    spans = repeats.select("doc_id", "text_key", "first", "last", "start", "end", "cluster", "kept_in").mapInArrow(
+    spans = repeats.select("doc_id", "text_key", "first", "last", "start", "end", "cluster", "kept_in", "line").mapInArrow(
         _spans, "doc_id long, start long, end long, n_words long, cluster long, kept_in long, removed boolean")
     kept = scratch.keep(spans, "spans")
     scratch.drop(exact, lines, shared, posted, sets, first, second, near, marked, clusters, marks)

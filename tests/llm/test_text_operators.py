@@ -219,3 +219,25 @@ def test_repeated_passages(spark, none):
     assert len(texts) == len(rows) and passage in texts[3] and passage[20:-20] not in texts[4] and line in texts[1] and texts[5] == dict(rows)[5]
     assert paragraphs.repeated_passages(none).count() == 0
     assert paragraphs.tuned_bands(0.995, 0.75, 2) == 7
+
+
+@pytest.mark.parametrize("size, between", [(200, "\n"), (30, "\n"), (200, ". "), (30, ". ")])
+def test_each_passage_of_a_copied_document_stays_once(spark, size, between):
+    own, shared = (". ".join(prose(10) for _ in range(n // 10)) if between == ". " else prose(n) for n in (size, 60))
+    docs = frame(spark, [(1, prose(50) + between + shared), (2, own + between + shared), (3, own + between + shared)])
+    spans = paragraphs.repeated_passages(docs)
+    got = {(r.doc_id, r.kept_in, r.removed) for r in spans.collect()}
+    assert got == {(1, 1, False), (2, 2, False), (2, 1, True), (3, 2, True), (3, 1, True)}
+    clusters = {}
+    for r in spans.collect():
+        clusters.setdefault(r.kept_in, set()).add(r.cluster)
+    assert all(len(c) == 1 for c in clusters.values()) and clusters[1] != clusters[2]
+    texts = {r.doc_id: r.text for r in paragraphs.without_passages(docs, spans).collect()}
+    assert shared in texts[1] and own in texts[2] and shared not in texts[2] and not texts[3].strip(" .\n")
+
+
+def test_a_passage_that_stays_in_a_near_copy_is_not_lost(spark):
+    line, new = prose(150), ", ".join(prose(10) for _ in range(3))
+    docs = frame(spark, [(1, line), (2, line[:len(line) // 2] + ", " + new + ", " + line[len(line) // 2:]), (3, prose(60) + ", " + new + ".")])
+    texts = {r.doc_id: r.text for r in paragraphs.without_passages(docs, paragraphs.repeated_passages(docs)).collect()}
+    assert line in texts[1] and new in texts[2] and new not in texts[3] and len(texts[2].split()) < 40
