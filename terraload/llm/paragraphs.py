@@ -5,7 +5,9 @@ are tuned for a recall at a similarity of 0.75 on five-word shingles, paragraphs
 band are joined, every candidate pair is confirmed by its exact Jaccard similarity, and
 confirmed pairs become components. Lines may hold more than the passage that they share, so their clauses (up to
 a full stop, comma or the like) of at least ``CLAUSE`` words are compared, too, but for equal words only (an edit
-distance of 0).
+distance of 0). Passages need not be cut by stops: of any ``WINDOW`` neighbouring windows of ``WINDOW`` words the one with
+the least hash is compared, too (winnowing). Equal passages choose equal windows, except among their outermost
+``WINDOW - 1`` words, and the windows between leave no gap: every passage of ``LEAST + 2 * (WINDOW - 1)`` words is found.
 
 In each document what repeats is merged to spans; up to ``GAP`` words between that repeat nowhere, as of shorter
 clauses, are taken along. Spans with fewer than ``LEAST`` repeated words are left alone. A cluster stays in the first
@@ -30,6 +32,7 @@ from terraload.llm.scratch import Scratch, bounded_batches
 SHINGLE = 5
 PARAGRAPH = 20
 CLAUSE = 4
+WINDOW = 10
 GAP = 8
 LEAST = 20
 SIMILARITY = 0.75
@@ -76,6 +79,25 @@ def _bands(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _windows(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First words of the windows with the least hash among ``WINDOW`` neighbours of one text."""
+    n = len(hashes) - 2 * (WINDOW - 1)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(hashes) - WINDOW + 1)
+    values = _sequence_hashes(hashes, at, at + WINDOW)
+    least = values[:n].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, values[k:k + n], out=least)
+    whole = np.ones(len(hashes), bool)
+    for edge in bounds[1:-1].tolist():  # a text's words must hold all windows that are compared
+        whole[max(0, edge - 2 * (WINDOW - 1)):edge] = False
+    chosen = np.zeros(len(values), bool)
+    for k in range(WINDOW):
+        chosen[k:k + n] |= whole[:n] & (values[k:k + n] == least)
+    return np.flatnonzero(chosen)
+
+
 def _parts(batch: pa.RecordBatch):
     """Words, their hashes, and word ranges of paragraphs and of clauses that are no whole paragraph."""
     found = words.split(batch.column("text"), words.NOT_ALNUM)
@@ -95,7 +117,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, hashes, text, lines, clauses = _parts(batch)
         _, offsets = words.texts_of(batch.column("text"))
-        first, last = (np.concatenate(p) for p in zip(lines, clauses))
+        windows = _windows(hashes, found.first)
+        first, last = (np.concatenate(p) for p in zip(lines, clauses, (windows, windows + WINDOW)))
         owner = text[first]
         ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
         yield pa.RecordBatch.from_arrays(
@@ -283,11 +306,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     clusters = scratch.keep(marked.groupBy("cluster").agg(F.min("low").alias("kept_in"), F.max("high").alias("last_in"))
                             .where("kept_in < last_in").drop("last_in"), "clusters")
     marks = scratch.keep(marked.select("hash", "cluster").distinct().join(clusters, "cluster"), "marks")
+    scratch.drop(exact, lines, shared, posted, sets, first, second, near, marked, clusters)
+    spark._jvm.System.gc()  # shuffles that nothing reads any more leave the disk before the largest one
     repeats = units.join(marks, "hash").repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "first", "last")
     spans = repeats.select("doc_id", "text_key", "first", "last", "start", "end", "cluster", "kept_in", "line").mapInArrow(
         _spans, "doc_id long, start long, end long, n_words long, cluster long, kept_in long, removed boolean")
     kept = scratch.keep(spans, "spans")
-    scratch.drop(exact, lines, shared, posted, sets, first, second, near, marked, clusters, marks)
+    scratch.drop(marks)
     return kept
 
 

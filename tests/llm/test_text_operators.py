@@ -241,3 +241,26 @@ def test_a_passage_that_stays_in_a_near_copy_is_not_lost(spark):
     docs = frame(spark, [(1, line), (2, line[:len(line) // 2] + ", " + new + ", " + line[len(line) // 2:]), (3, prose(60) + ", " + new + ".")])
     texts = {r.doc_id: r.text for r in paragraphs.without_passages(docs, paragraphs.repeated_passages(docs)).collect()}
     assert line in texts[1] and new in texts[2] and new not in texts[3] and len(texts[2].split()) < 40
+
+
+def test_passages_without_stops(spark):
+    passages = [prose(51), prose(38), " ".join(c + "。" for c in prose(60).split()), ", ".join(prose(3) for _ in range(17))]
+    rows = [(10 * k + d, prose(rng.randrange(20, 90)) + " " + p + " " + prose(rng.randrange(20, 90))) for k, p in enumerate(passages) for d in range(3)]
+    docs = frame(spark, rows)
+    spans = paragraphs.repeated_passages(docs)
+    got = {(r.doc_id, r.kept_in, r.removed) for r in spans.collect()}
+    assert got == {(10 * k + d, 10 * k, d > 0) for k in range(4) for d in range(3)}
+    texts = {r.doc_id: r.text for r in paragraphs.without_passages(docs, spans).collect()}
+    for k, p in enumerate(passages):
+        inner = " ".join(p.split()[9:-9])
+        assert [inner in texts[10 * k + d] for d in range(3)] == [True, False, False]
+
+
+def test_windows_do_not_depend_on_what_is_around():
+    values = np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)
+    around = np.concatenate([values[100:160], values, values[:90]])
+    alone, within = paragraphs._windows(values, np.array([0, 300])), paragraphs._windows(around, np.array([0, 450]))
+    assert set(alone + 60) <= set(within) and np.diff(alone).max() <= paragraphs.WINDOW and alone[0] < paragraphs.WINDOW
+    apart = paragraphs._windows(np.concatenate([values, values]), np.array([0, 300, 600]))
+    assert apart.tolist() == [*alone, *(alone + 300)]
+    assert not len(paragraphs._windows(values[:18], np.array([0, 18]))) and not len(paragraphs._windows(values[:0], np.array([0, 0])))
