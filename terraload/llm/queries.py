@@ -13,6 +13,7 @@ from terraload.llm.decontaminate import contamination
 from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
 from terraload.llm.paragraphs import repeated_passages
+from terraload.llm.quality import BASE_FEATURES, judge
 from terraload.llm.rollup import TokenRollup
 from terraload.llm.token_files import token_digests
 from terraload.llm.vector_files import top_k
@@ -176,3 +177,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents),
+windows AS (
+    SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (VALUES (3), (10)) AS sizes(n))),
+again AS (SELECT * FROM windows QUALIFY count(*) OVER (PARTITION BY k, n, phrase) > 1),
+covered AS (
+    SELECT k, count(DISTINCT p) FILTER (n = 3) AS r3, count(DISTINCT p) FILTER (n = 10) AS r10
+    FROM (SELECT k, n, unnest(range(i, i + n)) AS p FROM again) GROUP BY k),
+facts AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r3, 0)::BIGINT AS n_repeat_words,
+        coalesce(r10, 0) AS r10, len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals,
+        length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
+        len(list_filter(w, lambda x: x LIKE '%!!')) AS exclaimed,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered,
+        coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest,
+        len(list_filter(lines, lambda l: l LIKE '-%' OR l LIKE '*%')) AS bullets,
+        len(list_filter(lines, lambda l: l LIKE '%...')) AS cut
+    FROM docs LEFT JOIN covered USING (k)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+        OR 10 * n_dup_lines > 3 * n_lines OR 2 * capitals > letters OR 10 * exclaimed > n_words OR 10 * lettered < 7 * n_words
+        OR longest > 1000 OR 10 * bullets > 9 * n_lines OR 10 * cut > 3 * n_lines OR 10 * r10 > 3 * n_words) AS kept
+FROM based
+"""
+
+
+@register("op13_quality_cascade", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", *BASE_FEATURES, "base_failed", "kept")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute known
 from pyspark.sql import DataFrame, SparkSession
 
 from terraload.runtime import new_path
@@ -44,3 +48,17 @@ def bounded_batches(spark: SparkSession, mega_bytes: int = 4, rows: int = 10000)
     """Let Arrow batches of this session hold about so many bytes, however long its texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mega_bytes << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mega_bytes: int = 4) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that texts of a piece hold about so many bytes; a longer text is a piece of its own."""
+    for batch in batches:
+        at, held = 0, 0
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > mega_bytes << 20:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if batch.num_rows > at:
+            yield batch.slice(at)
