@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from terraload.llm import language, toxicity
 from terraload.llm.catalog import ORACLES, QUERIES, register, table
 from terraload.llm.decontaminate import contamination
+from terraload.llm.merkle import manifest
 from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
 from terraload.llm.paragraphs import repeated_passages
@@ -179,6 +180,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: DuckDB SQL: a table for CRC-32, and the CRC-32 of a whole number's decimal digits.
+_CRC_TABLE = """
+crc_table(places) AS (
+    SELECT list(c ORDER BY i) FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, u: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS bytes(i)))"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+        lambda c, d: xor(places[1 + (xor(c, d) & 255)], c >> 8)))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (
+    SELECT row_number() OVER () AS k, doc_id, source, sha256({_HEAD} || {_field("text")}) AS leaf,
+        CASE WHEN {_CRC} % 5 = 0 THEN sha256({_HEAD} || {_field(_LOWERED)}) END AS other
+    FROM documents, crc_table),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+    FROM leaves),
+nodes(source, level, place, h, n) AS (
+    SELECT source, 0, place, leaf, n FROM placed
+    UNION ALL
+    SELECT source, level + 1, place // 16, sha256(string_agg(h, '' ORDER BY place)), (n + 15) // 16 FROM nodes WHERE n > 1
+    GROUP BY source, level, place // 16, n),
+runs AS (SELECT source, level, place // 16 AS parent, list(h ORDER BY place) AS run FROM nodes WHERE n > 1 GROUP BY ALL),
+walk(k, source, level, place, folded, proof) AS (
+    SELECT k, source, 0, place, coalesce(other, leaf), '' FROM placed
+    UNION ALL
+    SELECT k, walk.source, walk.level + 1, place // 16,
+        sha256(array_to_string(run[1:place % 16], '') || folded || array_to_string(run[place % 16 + 2:], '')),
+        proof || array_to_string(run[1:place % 16], '') || array_to_string(run[place % 16 + 2:], '')
+    FROM walk JOIN runs ON walk.source IS NOT DISTINCT FROM runs.source AND walk.level = runs.level AND place // 16 = parent),
+low AS (SELECT * FROM walk QUALIFY level = max(level) OVER (PARTITION BY k)),
+subroots AS (
+    SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, place, h, n) AS (
+    SELECT 0, place, subroot, n FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 16, sha256(string_agg(h, '' ORDER BY place)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, place // 16, n),
+top_runs AS (SELECT level, place // 16 AS parent, list(h ORDER BY place) AS run FROM tops WHERE n > 1 GROUP BY ALL),
+climb(k, level, place, folded, proof) AS (
+    SELECT k, 0, subroots.place, folded, proof FROM low JOIN subroots ON low.source IS NOT DISTINCT FROM subroots.source
+    UNION ALL
+    SELECT k, climb.level + 1, place // 16,
+        sha256(array_to_string(run[1:place % 16], '') || folded || array_to_string(run[place % 16 + 2:], '')),
+        proof || array_to_string(run[1:place % 16], '') || array_to_string(run[place % 16 + 2:], '')
+    FROM climb JOIN top_runs ON climb.level = top_runs.level AND place // 16 = parent),
+high AS (SELECT * FROM climb QUALIFY level = max(level) OVER (PARTITION BY k))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN high USING (k) JOIN subroots ON placed.source IS NOT DISTINCT FROM subroots.source, (SELECT h AS root FROM tops WHERE n = 1)
+"""
+
+
+@register("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's CRC-32 is divisible by 5 are checked with a text in small letters."""
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, small)
+    return manifest(table(spark, sf_dir, "documents"), changed).proofs().drop("source")
+
+
 OP13_SQL = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
