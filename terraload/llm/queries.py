@@ -14,6 +14,7 @@ from terraload.llm.merkle import manifest
 from terraload.llm.mixing import mix
 from terraload.llm.neardup import near_duplicates
 from terraload.llm.paragraphs import repeated_passages
+from terraload.llm.periods import periodic_runs
 from terraload.llm.quality import BASE_FEATURES, judge
 from terraload.llm.rollup import TokenRollup
 from terraload.llm.token_files import token_digests
@@ -190,6 +191,61 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(st
         lambda c, d: xor(places[1 + (xor(c, d) & 255)], c >> 8)))"""
 
 
+
+OP11_SQL = rf"""
+WITH {_CRC_TABLE},
+split AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_CRC} AS h
+    FROM documents, crc_table),
+shaped AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM split),
+marked AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM shaped),
+docs AS (
+    SELECT k, doc_id, n, CASE WHEN planted
+        THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[1 + a + (i - a) % p])) ELSE w END AS w FROM marked),
+words AS (SELECT k, n, unnest(range(n)) AS i, unnest(w) AS word FROM docs),
+numbered AS (SELECT k, n, i, dense_rank() OVER (ORDER BY word) AS word FROM words),
+equal AS (
+    SELECT x.k, y.i - x.i AS q, x.i FROM numbered x JOIN numbered y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+    SELECT k, q, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM equal) GROUP BY k, q, island
+    HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+    SELECT * FROM stretches AS s WHERE NOT EXISTS (
+        FROM stretches AS t WHERE t.k = s.k AND t.q < s.q AND s.q % t.q = 0 AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+best AS (SELECT k, count(*) AS n_runs, arg_max({{'s': start, 'l': length, 'q': q}}, (length / q, -start, -q)) AS b,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM runs GROUP BY k),
+dropped AS (SELECT DISTINCT k, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period,
+    (1000 * b.l // b.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by their id's CRC-32, repeat a stretch of their words up to the end."""
+    h, found = F.crc32(F.col("doc_id").cast("string")), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, found))
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.size("w").cast("long"))
+    rows = rows.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Exact: lengths and periods below 2**26 words have quotients that differ as doubles if they differ at all.
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("ratio"), (-r["start"]).alias("s"),
+                                                              (-r["period"]).alias("q"), r["length"].alias("length"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], F.concat_ws(",", r["length"], F.concat(r["period"].cast("string"), F.lit("\n"))))), "")
+    return found.withColumn("b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.q")).alias("period"),
+        F.expr("(1000 * b.length) div -b.q").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _field(value: str) -> str:
     return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
 
