@@ -28,7 +28,7 @@ from terraload.operators.ordering import number_rows
 
 FAN, SHIFT = 16, 4
 #: Levels of edges in a block; a block has ``16**HEIGHT`` leaves.
-HEIGHT = 4
+HEIGHT = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
