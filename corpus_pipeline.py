@@ -12,7 +12,7 @@ from terraload.llm import language
 from terraload.llm.catalog import register, table
 from terraload.llm.decontaminate import without_contamination
 from terraload.llm.mixing import mixed_documents
-from terraload.llm.neardup import near_duplicates
+from terraload.llm.neardup import one_of_each
 from terraload.llm.queries import fold, vocabulary
 from terraload.llm.scratch import Scratch
 from terraload.llm.token_files import token_digests
@@ -29,10 +29,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.identified(docs, language.train(docs.where(fold(5) != 0)), LEAST_SCORE)
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    others = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(Scratch(spark, "others").keep(others, "ids"), "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
-    ("near_dedup", one_of_each),
+    ("near_dedup", single),
     ("decontamination", uncontaminated),
     ("mixing", mixed),
     ("token_ids", tokens),

@@ -178,7 +178,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("group", "text_key")
 
 
 #: DuckDB SQL: a table for CRC-32, and the CRC-32 of a whole number's decimal digits.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from terraload.llm import decontaminate, language, mixing, neardup, paragraphs, rollup, toxicity
+from terraload.llm import decontaminate, language, linking, mixing, neardup, paragraphs, rollup, toxicity
 from terraload.llm.queries import vocabulary
 from terraload.llm.scratch import Scratch
 from terraload.llm.token_files import read_digests, read_tokens, token_digests, write_tokens
@@ -66,6 +66,39 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_of_each(spark, none):
+    x, y, z = prose(60), prose(60), prose(60)
+    rows = [(1, x), (5, x), (5, y), (6, edited(y, 1)), (7, z), (7, edited(z, 1)), (8, "same row here"), (8, "same row here"), (8, ""), (8, None), (8, "!"),
+            (None, x), (None, None), (9, z + " more")]
+    stays = sorted((str(r.doc_id), r.text or "") for r in neardup.one_of_each(frame(spark, rows)).collect())
+    sevens = [v for v in stays if v[0] == "7"]
+    assert len(sevens) == 1 and sevens[0][1] in (rows[4][1], rows[5][1])
+    assert [v for v in stays if v[0] != "7"] == sorted([("1", x), ("5", y), ("8", "same row here"), ("8", ""), ("8", ""), ("8", "!"), ("None", x), ("None", "")])
+    assert neardup.one_of_each(none).count() == 0 and neardup.one_of_each(none).schema == none.schema
+
+
+def hubless(n, changes=2):
+    """Copies of one text, each with words of its own, hardly any two of which are linked."""
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        r, w = random.Random(i), list(base)
+        for k in r.sample(range(60), changes):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_long_lists_are_compared_through_files(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 100)
+    monkeypatch.setattr(linking, "STRIPE", 3)
+    rows = hubless(700)
+    rows += [(1000 + i, edited(t, 1)) for i, t in rows[:40]] + [(5000 + i, t) for i, t in hubless(300, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows)
+    assert len({c for _, c in got.values()}) > 200
+
+
 def test_contamination(spark, docs, none):
     items = [(1, " ".join(BASE.split()[20:45])), (2, "One  two"), (3, ""), (4, None), (None, "one two three"), (1, prose(12)), (7, "one two"), (7, "one two")]
     bench = spark.createDataFrame([(i, t, 0.5) for i, t in items], "item_id long, text string, score double")
