@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from terraload.checks import bindings as b
 from terraload.checks import sample_files as samples
 from terraload.checks.catalog import check
+from terraload.checks.sample_files import projection_text
 from terraload.constants import ALLOWED_SRIDS
+from terraload.functions import crs
 from terraload.functions import geometry as geo
 from terraload.operators import layers, registry, reports, sinks
 from terraload.plans import ingest, publish
@@ -113,6 +115,38 @@ def srid_from_crs(spark, sf_dir):
     return b.events(spark, sf_dir).select("event_id", geo.srid_from_crs(text).alias("srid"))
 
 
+def _projection_texts() -> list[tuple[str, int | None]]:
+    """Texts of every known system in both dialects, with what they should be taken for, and of systems not known."""
+    first = {}
+    for system in sorted(crs.SYSTEMS):
+        first.setdefault(system[1:-1], system[0])
+    texts = []
+    for k, system in enumerate(crs.SYSTEMS):
+        plain, desktop = (projection_text(system, dialect, k) for dialect in ("plain", "desktop"))
+        # Systems that differ by their axes alone are told apart where a text has axes.
+        same = [s[0] for s in crs.SYSTEMS if s[1:] == system[1:]]
+        texts += [(plain, min(same)), (desktop, first[system[1:-1]])]
+    zone = dict((s[0], s) for s in crs.SYSTEMS)[32633]
+    text = projection_text(zone, "plain")
+    texts += [(text.replace("15.0", "16.0"), None), (text.replace("0.9996", "0.9999"), None), (text.replace("WGS_1984", "Tokyo"), None),
+              (text.replace("Transverse_Mercator", "Oblique_Mercator"), None), (text.replace('"metre",1.0', '"foot",0.3048'), None),
+              (text.replace("PROJCS", "LOCAL_CS"), None), ("", None), ("no text of this kind", None),
+              ("COMPD_CS[\"both\"," + text + ",VERT_CS[\"height\",VERT_DATUM[\"any\",2005],UNIT[\"foot\",0.3048],AXIS[\"Up\",UP]]]", 32633),
+              (text[:-1] + ',AUTHORITY["EPSG","32733"]]', 32733)]
+    return texts
+
+
+_TEXTS = _projection_texts()
+
+
+@check("srid_from_projection", f"""
+    SELECT event_id, [{", ".join("NULL" if code is None else str(code) for _, code in _TEXTS)}][1 + event_id % {len(_TEXTS)}]::INTEGER AS srid FROM events""")
+def srid_from_projection(spark, sf_dir):
+    texts = F.element_at(F.array(*[F.lit(t) for t, _ in _TEXTS]), (F.col("event_id") % len(_TEXTS) + 1).cast("int"))
+    rows = b.events(spark, sf_dir).select("event_id", F.replace(texts, F.lit("@"), F.col("event_id").cast("string")).alias("prj"))
+    return crs.with_srid(rows, "prj").drop("prj")
+
+
 @check("srid_allowed", f"""
     SELECT event_id, CAST(32500 + user_id AS INTEGER) AS srid,
            CAST(32500 + user_id AS INTEGER) IN {ALLOWED_SRIDS} AS allowed FROM events""")

@@ -100,6 +100,36 @@ def crs_text(srid: int) -> str:
             f'AUTHORITY["EPSG","{srid}"]]')
 
 
+#: Names by dialect, the last the newer keywords'.
+DIALECTS = {
+    "plain": {"wgs84": "WGS_1984", "ed50": "European_Datum_1950", "etrs89": "European_Terrestrial_Reference_System_1989", "monte mario": "Monte_Mario",
+              "rdn2008": "Rete_Dinamica_Nazionale_2008", "transverse mercator": "Transverse_Mercator", "web mercator": "Mercator_1SP"},
+    "desktop": {"wgs84": "D_WGS_1984", "ed50": "D_European_1950", "etrs89": "D_ETRS_1989", "monte mario": "D_Monte_Mario",
+                "rdn2008": "D_Rete_Dinamica_Nazionale_2008", "transverse mercator": "Gauss_Kruger", "web mercator": "Mercator_Auxiliary_Sphere"},
+}
+
+
+def projection_text(system: tuple, dialect: str, turn: int = 0) -> str:
+    """A reference system's text without its code, the parameters in another order for each ``turn``."""
+    _, datum, meridian, projection, latitude, longitude, scale, easting, northing, axes = system
+    names, desktop = DIALECTS[dialect], dialect == "desktop"
+    prime = "Greenwich" if not meridian else "Rome"
+    solid = ',AXIS["Lat",NORTH],AXIS["Lon",EAST],AXIS["Up",UP]' if projection == "three axes" else ""
+    base = (f'GEOGCS["GCS of @",DATUM["{names[datum]}",SPHEROID["any",6378137.0,298.257]],PRIMEM["{prime}",{meridian!r}],'
+            f'UNIT["{"Degree" if desktop else "degree"}",0.0174532925199433]{solid}]')
+    if projection in ("", "three axes"):
+        return base
+    values = {"False_Easting": easting, "False_Northing": northing, "Central_Meridian": longitude, "Scale_Factor": scale, "Latitude_Of_Origin": latitude}
+    if projection == "web mercator" and desktop:
+        values = {"False_Easting": easting, "False_Northing": northing, "Central_Meridian": longitude, "Standard_Parallel_1": 0.0, "Auxiliary_Sphere_Type": 0.0}
+    entries = [f'PARAMETER["{name if desktop else name.lower()}",{value!r}]' for name, value in values.items()]
+    entries = entries[turn % len(entries):] + entries[:turn % len(entries)]
+    order = {"EN": ',AXIS["Easting",EAST],AXIS["Northing",NORTH]', "NE": ',AXIS["Northing",NORTH],AXIS["Easting",EAST]'}[axes]
+    extension = ',EXTENSION["PROJ4","+proj=merc +a=6378137 +b=6378137 +lat_ts=0 +lon_0=0"]' if projection == "web mercator" and not desktop else ""
+    return (f'PROJCS["zone of @",{base},PROJECTION["{names[projection]}"],{",".join(entries)},UNIT["{"Meter" if desktop else "metre"}",1.0]'
+            f'{"" if desktop else order}{extension}]')
+
+
 def write_zips(df: DataFrame, path: str) -> int:
     """``df`` has the columns ``entry`` and ``content`` (text)."""
     def write(part, table):

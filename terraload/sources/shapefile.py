@@ -6,7 +6,7 @@ task joins the two by position and nothing is shuffled.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 
 import numpy as np
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terraload.functions import crs, names
 from terraload.functions import geometry as geo
-from terraload.functions import names
 from terraload.sources import dbf, files
 
 INDEX_HEADER = 100
@@ -123,18 +123,26 @@ def geometry_array(shapes, srid: int | None) -> pa.Array:
         ["srid", "gtype", "has_z", "coords"], mask=pa.array(~present))
 
 
-def crs_text(path: str) -> str | None:
-    side = files.sibling(path, ".prj")
-    if side is None:
-        return None
-    with files.open_input(side) as handle:
-        return handle.read().decode("utf-8", errors="ignore")
+def _texts(batches):
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with files.open_input(path) as handle:
+                text = handle.read().decode("utf-8", errors="ignore")
+            yield pa.RecordBatch.from_pydict({"path": [path], "crs": [text]})
 
 
-def srid_of_text(text: str | None) -> int | None:
-    """Code of the last EPSG authority, or None."""
-    codes = re.findall(r'(?i)EPSG["\s]*[,:]+\s*"?([0-9]+)', text or "")
-    return int(codes[-1]) if codes else None
+def layer_systems(spark: SparkSession, path: str) -> dict[str, int]:
+    """Codes of the reference systems of the layers in a folder, or of one layer, by path without suffix.
+
+    All ``.prj`` files are read in one job; the driver gets a row for each.
+    """
+    folder, stem = (path.rsplit("/", 1)[0], path[:-4]) if path.lower().endswith(".shp") else (path, None)
+    sides = [(p,) for p, _ in dbf.data_files(folder, ".prj") if stem is None or p[:-4] == stem]
+    if not sides:
+        return {}
+    texts = spark.createDataFrame(sides, "path string").mapInArrow(_texts, "path string, crs string")
+    found = crs.with_srid(texts, "crs").where("srid IS NOT NULL").select("path", "srid").collect()
+    return {r["path"][:-4]: r["srid"] for r in found}
 
 
 def index_spans(handle, at: int, count: int) -> np.ndarray:
@@ -146,7 +154,8 @@ def index_spans(handle, at: int, count: int) -> np.ndarray:
 class ShapefileSource(DataSource):
     """``spark.read.format("shapefile").load(path)``: text attributes, ``_deleted``, ``geometry``.
 
-    Options: ``columns``, ``encoding``, ``srid`` (instead of the file's), ``splitBytes``.
+    Options: ``columns``, ``encoding``, ``srid`` for all layers or ``srids`` (a JSON object by path without suffix), ``splitBytes``.
+    The reader itself looks at no reference system; ``read_shapefile`` gives it the codes of the files'.
     """
 
     @classmethod
@@ -187,6 +196,7 @@ class ShapefileReader(DataSourceReader):
         self.columns = field_names[:-2]
         self.encoding = options.get("encoding")
         self.srid = int(options["srid"]) if options.get("srid") else None
+        self.srids = json.loads(options.get("srids") or "{}")
         self.split_bytes = int(options.get("splitBytes", dbf.DEFAULT_SPLIT_BYTES))
 
     def partitions(self):
@@ -205,7 +215,7 @@ class ShapefileReader(DataSourceReader):
 
     def read(self, partition):
         for path, first, last in partition.value:
-            srid = self.srid if self.srid is not None else srid_of_text(crs_text(path))
+            srid = self.srid if self.srid is not None else self.srids.get(path[:-4])
             side = files.sibling(path, ".dbf")
             index = files.sibling(path, ".shx")
             with files.open_input(path) as shapes, files.open_input(index) as offsets:
@@ -254,6 +264,8 @@ def read_shapefile(spark: SparkSession, path: str, group_id: str | None = None,
         reader = reader.option("columns", ",".join(columns))
     if srid is not None:
         reader = reader.option("srid", str(srid))
+    else:
+        reader = reader.option("srids", json.dumps(layer_systems(spark, path)))
     raw = reader.load(path)
     shape = raw.columns[-1]
     attributes = [c for c in raw.columns if c not in (dbf.DELETED_COLUMN, shape)]

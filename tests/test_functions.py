@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from terraload.checks.sample_files import projection_text
+from terraload.functions import crs
 from terraload.functions import geometry as geo
 from terraload.functions import names, parsing, templates, types
 from terraload.functions.digest import folder_digest
@@ -178,3 +180,27 @@ def test_folder_digest_ignores_order_and_splits(spark):
     changed = spark.createDataFrame(rows[:-1] + [("r", "f49", "x")], one.schema)
     digests = [folder_digest(d, ["root"]).first()["digest"] for d in (one, other, changed)]
     assert digests[0] == digests[1] != digests[2]
+
+
+WKT2 = """PROJCRS["WGS 84 / UTM zone 32N",BASEGEOGCRS["WGS 84",ENSEMBLE["World Geodetic System 1984 ensemble",ELLIPSOID["WGS 84",6378137,298.25,
+LENGTHUNIT["metre",1]]],PRIMEM["Greenwich",0,ANGLEUNIT["degree",0.0174532925199433]]],CONVERSION["UTM zone 32N",METHOD["Transverse Mercator"],
+PARAMETER["Latitude of natural origin",0,ANGLEUNIT["degree",0.0174532925199433]],PARAMETER["Longitude of natural origin",9,ANGLEUNIT["degree",0.0174532925199433]],
+PARAMETER["Scale factor at natural origin",0.9996,SCALEUNIT["unity",1]],PARAMETER["False easting",500000,LENGTHUNIT["metre",1]],
+PARAMETER["False northing",0,LENGTHUNIT["metre",1]]],CS[Cartesian,2],AXIS["(E)",east],AXIS["(N)",north],LENGTHUNIT["metre",1]]"""
+
+
+def test_srid_from_parameters(spark):
+    zone = projection_text(dict((s[0], s) for s in crs.SYSTEMS)[25832], "desktop")
+    texts = {
+        zone: 25832, zone.replace("[", "(").replace("]", ")"): 25832, zone.lower(): 25832, "  " + zone: 25832, WKT2: 32632,
+        zone.replace("9.0", "10.0").replace('"Degree",0.0174532925199433', '"grad",0.015707963267949'): 25832,
+        zone.replace("500000.0", "500.0").replace('"Meter",1.0', '"kilometer",1000.0'): None,
+        zone.replace("9.0", "-9.0"): None, zone.replace("500000.0", "x"): None, zone.replace("False_Northing\",0.0", "False_Northing\",-0.0"): 25832,
+        zone.replace('"D_ETRS_1989"', '"D_ETRS_1989",AUTHORITY["EPSG","6258"]'): 25832, "EPSG:3004": 3004, WKT2[:-1] + ',ID["EPSG",32699]]': 32699,
+        'PROJCS["z",GEOGCS["g",AUTHORITY["EPSG","4326"]],PROJECTION["Other"]]': None, zone + zone: 25832, "PROJCS[": None, "": None, None: None, "x" * 100_000: None, 'GEOGCS["w",DATUM["D_WGS_1984"]]': 4326,
+        'GEOGCS["r",DATUM["RDN2008"]]': 6706}
+    rows = spark.createDataFrame([(t, i, "kept") for i, t in enumerate(texts)], "prj string, i int, codes string")
+    found = crs.with_srid(rows, "prj")
+    assert found.columns == ["prj", "i", "codes", "srid"]
+    assert {r["prj"]: r["srid"] for r in found.collect()} == texts
+    assert crs.with_srid(rows.where("false"), "prj").count() == 0

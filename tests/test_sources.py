@@ -161,6 +161,19 @@ def test_shapefile_reference_system_and_attributes(spark, folder):
     assert (v["x"], v["y"], v["z"]) == (1.0, 2.0, 3.0)
 
 
+def test_shapefile_reference_system_from_parameters(spark, folder):
+    """Each layer of a folder has the system of its own side-car, told by a code or by parameters."""
+    from terraload.checks.sample_files import projection_text
+    from terraload.functions.crs import SYSTEMS
+    known = {s[0]: s for s in SYSTEMS}
+    texts = {"a b": projection_text(known[3003], "desktop"), "b": projection_text(known[6875], "plain"), "c": None, "d": "nonsense", "e[1]": None}
+    for k, (stem, prj) in enumerate(texts.items()):
+        write_shapefile(folder, stem, [(1, [[(k, 2)]])], ID, [[str(k).encode()]], srid=32633 if stem.startswith("e") else None, prj=prj)
+    df = shapefile.read_shapefile(spark, str(folder))
+    assert {r["id"]: r["geometry"]["srid"] for r in df.collect()} == {0: 3003, 1: 6875, 2: None, 3: None, 4: 32633}
+    assert shapefile.read_shapefile(spark, str(folder / "a b.shp")).first()["geometry"]["srid"] == 3003
+
+
 def test_shapefile_without_sidecars(spark, folder):
     write_shapefile(folder, "bare", [(1, [[(1, 2)]])], srid=None)
     df = shapefile.read_shapefile(spark, str(folder / "bare.shp"))
