@@ -49,6 +49,28 @@ def scan_csv_odd_names(spark, sf_dir):
     return reduce(DataFrame.unionByName, read).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
 
 
+RANGE_SIZES = (997, 20_000, 1 << 24)
+
+
+@check("scan_csv_line_ends", f"""
+    SELECT range_bytes, c_custkey, c_name || chr(10) || '"' || c_mktsegment || '";' || chr(10) AS note, c_acctbal
+    FROM customer, (VALUES {", ".join(f"({n}::BIGINT)" for n in RANGE_SIZES)}) AS sizes(range_bytes)
+    WHERE range_bytes >= 20000 OR c_custkey % 10 = 0""")
+def scan_csv_line_ends(spark, sf_dir):
+    """Quoted fields over several lines, with quotes and separators in them, cut into ranges of several sizes."""
+    def write(path, customer):
+        note = F.concat("c_name", F.lit('\n""'), "c_mktsegment", F.lit('"";\n'))
+        line = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), note, F.lit('";'), F.col("c_acctbal").cast("string"))
+        samples.write_lines(customer.select(line.alias("line")), "c_custkey;note;c_acctbal", path)
+
+    customer = b.table(spark, sf_dir, "customer")
+    whole = b.once(spark, sf_dir, "csv-line-ends", lambda path: write(path, customer))
+    tenth = b.once(spark, sf_dir, "csv-line-ends-tenth", lambda path: write(path, customer.filter("c_custkey % 10 = 0")))
+    parts = [delimited.read_text_columns(spark, whole if n >= 20_000 else tenth, range_bytes=n).withColumn("range_bytes", F.lit(n).cast("bigint")) for n in RANGE_SIZES]
+    return reduce(DataFrame.unionByName, parts).select("range_bytes", F.col("c_custkey").cast("bigint").alias("c_custkey"), "note",
+                                                       F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
 @check("scan_csv_control_marks", """
     SELECT c_custkey, chr(1) || c_name || chr(2) AS name, c_mktsegment || chr(1) AS segment, c_acctbal FROM customer""")
 def scan_csv_control_marks(spark, sf_dir):

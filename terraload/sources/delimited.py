@@ -14,7 +14,7 @@ from terraload.constants import SEPARATORS
 from terraload.functions import names, parsing, types
 from terraload.functions.geometry import detect_geometry
 from terraload.runtime import new_path
-from terraload.sources import archive, files
+from terraload.sources import archive, files, quoted
 
 HEAD_BLOCK = 1 << 16
 # Stands behind the last field of a line, so that lines with too many fields can be told.
@@ -164,27 +164,20 @@ def skip_bad_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
     ])
 
 
-def spanning_lines(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
-    """The same for files whose quoted fields hold line ends; such files cannot be split.
-
-    An empty field too many at the end of a line goes unseen here.
-    """
-    columns = dialect.columns
-    schema = ", ".join(f"f{i} string" for i in range(len(columns))) + ", extra string"
-    raw = (
-        spark.read.schema(schema).options(**QUOTING).option("sep", dialect.separator).option("header", "true")
-        .option("multiLine", "true").option("enforceSchema", "true").option("encoding", "ISO-8859-1")
-        .option("recursiveFileLookup", "true").csv(_paths(spark, paths))
-    )
-    return raw.filter(F.col("extra").isNull()).select(*[
-        parsing.missing_to_null(F.translate(parsing.decode_line(F.col(f"f{i}"), dialect.encoding), "'\r", "")).alias(c)
-        for i, c in enumerate(columns)
-    ])
+def spanning_lines(spark: SparkSession, paths: list[str], dialect: Dialect, range_bytes: int) -> DataFrame | None:
+    """Records, as ``raw_lines`` gives lines, of files whose quoted fields hold line ends; None if none does."""
+    sized = [(p, size) for path in paths for p, size in files.list_files(path) if size and (p == path or not _hidden(p))]
+    lines = quoted.record_lines(spark, sized, dialect.separator, range_bytes)
+    return None if lines is None else lines.select(
+        parsing.drop_marks(F.replace(parsing.decode_line(F.col("line"), dialect.encoding), F.lit("\r"), F.lit(""))).alias("line"))
 
 
 def read_text_columns(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
-                      line_ends_in_fields: bool = False) -> DataFrame:
-    """All columns as text. In a folder whose files differ in their headers, columns meet by name."""
+                      line_ends_in_fields: bool | None = None, range_bytes: int = quoted.RANGE_BYTES) -> DataFrame:
+    """All columns as text. In a folder whose files differ in their headers, columns meet by name.
+
+    Whether quoted fields hold line ends is found out by one look at all quotes; ``line_ends_in_fields=False`` saves it.
+    """
     groups = files_by_header(spark, path)
     if not groups:
         raise ValueError(f"{path} is empty")
@@ -193,21 +186,21 @@ def read_text_columns(spark: SparkSession, path: str, separator: str | None = No
         dialect = sniff_header(header, paths[0], separator, encoding)
         # One header for all: the folder is read as one path.
         own = [path] if len(groups) == 1 else paths
-        part = (spanning_lines(spark, own, dialect) if line_ends_in_fields
-                else skip_bad_lines(raw_lines(spark, own, dialect.encoding), dialect))
+        lines = None if line_ends_in_fields is False else spanning_lines(spark, own, dialect, range_bytes)
+        part = skip_bad_lines(raw_lines(spark, own, dialect.encoding) if lines is None else lines, dialect)
         table = part if table is None else table.unionByName(part, allowMissingColumns=True)
     return table
 
 
 def read_delimited(spark: SparkSession, path: str, group_id: str | None = None, labels: dict[str, str] | None = None,
                    separator: str | None = None, encoding: str | None = None,
-                   line_ends_in_fields: bool = False) -> DataFrame:
+                   line_ends_in_fields: bool | None = None, range_bytes: int = quoted.RANGE_BYTES) -> DataFrame:
     """Typed table, or layer when coordinates are found.
 
     Types come from ``labels`` where the caller knows them; only then is one pass over the
     file enough.
     """
-    text = read_text_columns(spark, path, separator, encoding, line_ends_in_fields)
+    text = read_text_columns(spark, path, separator, encoding, line_ends_in_fields, range_bytes)
     if labels is None:
         labels = types.inferred_labels(text, dates=False)
     known = {c: t for c, t in labels.items() if c in text.columns and not t.startswith("geometry")}

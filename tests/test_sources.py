@@ -1,11 +1,13 @@
 import datetime
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from writers import workbook, write_dbf, write_shapefile, zip_of
 
-from terraload.sources import archive, dbf, delimited, shapefile, xlsx
+from terraload.sources import archive, dbf, delimited, quoted, shapefile, xlsx
 
 # Delimited text.
 
@@ -275,3 +277,61 @@ def test_md5_of_small_and_large_files(spark, folder):
         (folder / ("deep/er" if name == "large" else "") / name).write_bytes(content)
     found = {r["path"].rsplit("/", 1)[-1]: (r["size"], r["md5"]) for r in archive.content_md5(spark, str(folder)).collect()}
     assert found == {n: (len(c), hashlib.md5(c).hexdigest()) for n, c in contents.items()}
+
+
+# Records over several lines.
+
+
+def quoted_file(seed, n):
+    """Bytes of a file and its records as the parser should see them."""
+    rng = random.Random(seed)
+    out, rows = ["id;t;u\r\n"], []
+    for i in range(n):
+        fields = []
+        for _ in range(2):
+            kind = rng.random()
+            if kind < 0.4:
+                fields.append("".join(rng.choices(["a", "b c", ";", "\n", '""', "\r\n", "é", ";\n", '"";', "\n\n"], k=rng.randint(1, 7))))
+                out_field = '"' + fields[-1] + '"'
+            else:
+                fields.append("".join(rng.choices("xyz", k=rng.randint(1, 9))) + rng.choice(["", ' 5"', '"q"']))
+                out_field = fields[-1]
+            fields[-1] = (out_field, fields[-1].replace('""', '"') if out_field[0] == '"' else fields[-1])
+        out.append(f"{i};" + ";".join(f for f, _ in fields) + rng.choice(["\n", "\r\n"]) + rng.choice(["", "", "\n"]))
+        rows.append((i, *[v.replace("\r", "") for _, v in fields]))
+    return "".join(out).encode(), rows
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 64, 1000, 1 << 20])
+def test_records_are_the_same_for_every_range_size(folder, range_bytes):
+    """Read without Spark: each range by itself, its first state from those before it."""
+    for seed in range(6):
+        content, rows = quoted_file(seed, 60)
+        (folder / "a.csv").write_bytes(content)
+        path, size = str(folder / "a.csv"), len(content)
+        table = pa.table({"path": [path] * len(range(0, size, range_bytes)), "start": list(range(0, size, range_bytes)),
+                          "end": [min(a + range_bytes, size) for a in range(0, size, range_bytes)], "size": [size] * len(range(0, size, range_bytes))})
+        looked = [r for b in quoted._look(ord(";"))(table.to_batches()) for r in b.to_pylist()]
+        inside, found = False, []
+        for r in looked:
+            one = pa.RecordBatch.from_pylist([{**r, "inside": inside, "size": size}])
+            found += [line for b in quoted._records(ord(";"))([one]) for line in b.column("line").to_pylist()]
+            inside = r["end_1"] if inside else r["end_0"]
+        assert len(found) == len(rows) and [int(line.split(";")[0]) for line in found] == [r[0] for r in rows]
+        (folder / "a.csv").unlink()
+
+
+def test_quoted_line_ends_need_no_option(spark, folder):
+    expected = {}
+    for seed in range(3):
+        content, rows = quoted_file(seed, 80)
+        (folder / f"part {seed}.csv").write_bytes(content if seed else content + b'999;"open\nto the end')
+        expected[seed] = rows
+    df = delimited.read_text_columns(spark, str(folder), range_bytes=300)
+    found = sorted((int(r.id), r.t, r.u or "") for r in df.collect())
+    # A quote that is never closed spoils its record alone.
+    assert found == sorted(r for rows in expected.values() for r in rows)
+    assert df.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 3
+    (folder / "plain.csv").write_bytes(b'a;b\n1;x "y\n2;"z"\n')
+    assert quoted.record_lines(spark, [(str(folder / "plain.csv"), 19)], ";") is None
+    assert delimited.read_text_columns(spark, str(folder / "plain.csv")).collect() == [("1", 'x "y'), ("2", "z")]
