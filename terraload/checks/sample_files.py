@@ -221,3 +221,27 @@ def write_file(df: DataFrame, header: str, path: str) -> int:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return df.select("line").coalesce(1).mapInArrow(task, "n long").agg(F.sum("n")).first()[0]
+
+
+def write_named(df: DataFrame, folder: str) -> int:
+    """Files as the rows name them; ``df`` has text columns ``name, header, line``. A file is one task's."""
+    def task(batches):
+        n, name, held = 0, None, []
+
+        def close():
+            if held:
+                with files.publish_file(f"{folder}/{name}") as out:
+                    out.write("".join(line + "\n" for line in held).encode())
+
+        for batch in batches:
+            for named, header, line in zip(*(batch.column(c).to_pylist() for c in ("name", "header", "line"))):
+                if named != name:
+                    close()
+                    name, held = named, [header]
+                held.append(line)
+                n += 1
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    ordered = df.select("name", "header", "line").repartition("name").sortWithinPartitions("name")
+    return ordered.mapInArrow(task, "n long").agg(F.sum("n")).first()[0]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from terraload.checks import bindings as b
+from terraload.checks import sample_files as samples
 from terraload.checks.catalog import check
 from terraload.functions import names, parsing, templates, types
 from terraload.operators import manifest as manifests
@@ -228,6 +230,32 @@ def build_manifest(spark, sf_dir):
     return rows.select(F.substring_index("filename", ".", -1).alias("ext"), "column", "tipo", "srid", "importing").distinct()
 
 
+MANY_FILES = 2000
+MANY_HEADERS = (("c_custkey;c_name;c_acctbal", ("integer", "text", "double precision")), ("c_name,c_nationkey", ("text", "integer")),
+                ("c_mktsegment\tc_custkey\tc_acctbal", ("text", "integer", "double precision")))
+_MANY_ROWS = ", ".join(f"({k}, '{c}', '{t}', {i})" for k, (header, kinds) in enumerate(MANY_HEADERS)
+                       for i, (c, t) in enumerate([*zip(re.split("[;,\t]", header), kinds), ("group_id", "text")]))
+
+
+@check("manifest_many_files", f"""
+    SELECT 'part_' || n || '.csv' AS filename, 'part_' || n AS "table", "column", tipo, "position"::BIGINT AS "position"
+    FROM (SELECT DISTINCT c_custkey % {MANY_FILES} AS n FROM customer), (VALUES {_MANY_ROWS}) AS h(kind, "column", tipo, "position")
+    WHERE n % 3 = kind""")
+def manifest_many_files(spark, sf_dir):
+    """2000 files of three headers are described in as many jobs as three files are."""
+    def write(path):
+        lines = [F.concat_ws(re.search("[;,\t]", header)[0], *re.split("[;,\t]", header)) for header, _ in MANY_HEADERS]
+        n = F.col("c_custkey") % MANY_FILES
+        line = F.when(n % 3 == 0, lines[0]).when(n % 3 == 1, lines[1]).otherwise(lines[2])
+        rows = b.table(spark, sf_dir, "customer").select(F.format_string("part_%d.csv", n).alias("name"), line.alias("line"))
+        header = F.element_at(F.array(*[F.lit(h) for h, _ in MANY_HEADERS]), (F.regexp_extract("name", "[0-9]+", 0).cast("int") % 3 + 1))
+        samples.write_named(rows.withColumn("header", header), path)
+
+    folder = b.once(spark, sf_dir, "csv-many", write)
+    found = archive.inventory(archive.list_paths(spark, folder).select("path"))
+    return ingest.build_manifest(spark, ingest.listed_files(found), "acme").select("filename", "table", "column", "tipo", "position")
+
+
 # Sinks.
 
 def _base_and_batch(spark, sf_dir):

@@ -200,6 +200,11 @@ def vertex_count(geometry: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.size(ring))
 
 
+def is_layer_header(columns: list[str]) -> bool:
+    """Do the names of text columns make their table a layer?"""
+    return "geometry" in columns or any(x in columns and y in columns for x, y in COORDINATE_COLUMNS)
+
+
 def detect_geometry(df: DataFrame) -> DataFrame:
     """Turn a plain table into a layer when its columns say where rows lie.
 

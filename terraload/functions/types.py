@@ -58,15 +58,15 @@ def label_of_kinds(mask: Column) -> Column:
     )
 
 
-def infer_types(df: DataFrame, columns: Sequence[str] | None = None, dates: bool = True) -> DataFrame:
-    """Rows ``(ordinal, column, tipo, n_values)`` for text columns.
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None, dates: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(ordinal, column, tipo, n_values)`` for text columns, with ``by`` for each group of rows.
 
     One pass with one bit mask per column, so nothing but the masks is shuffled.
     """
-    names = list(columns or df.columns)
+    names = list(columns or [c for c in df.columns if c not in by])
     # As a generator the trimming is one step; below an aggregate it would be repeated in every test.
-    bare = df.select(F.inline(F.array(F.struct(*[F.trim(F.col(f"`{n}`")).alias(f"t{i}") for i, n in enumerate(names)]))))
-    masks = bare.agg(*[
+    bare = df.select(*by, F.inline(F.array(F.struct(*[F.trim(F.col(f"`{n}`")).alias(f"t{i}") for i, n in enumerate(names)]))))
+    masks = bare.groupBy(*by).agg(*[
         F.struct(F.bit_or(value_kind(F.col(f"t{i}"), dates)).alias("mask"), F.count(F.col(f"t{i}")).alias("n"))
         .alias(f"c{i}") for i in range(len(names))
     ])
@@ -74,8 +74,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, dates: bool
         F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), F.col(f"c{i}.mask").alias("mask"),
                  F.col(f"c{i}.n").alias("n_values")) for i, n in enumerate(names)
     ])
-    return masks.select(F.inline(rows)).select(
-        "ordinal", "column", label_of_kinds(F.col("mask")).alias("tipo"), "n_values"
+    return masks.select(*by, F.inline(rows)).select(
+        *by, "ordinal", "column", label_of_kinds(F.col("mask")).alias("tipo"), "n_values"
     )
 
 

@@ -17,8 +17,9 @@ from terraload.functions.geometry import LOST_GEOMETRY, geometry_columns, is_lay
 from terraload.functions.digest import folder_digest
 from terraload.functions.names import base_name, clean_name, quote_name, tag_tenant
 from terraload.operators import manifest as manifests
-from terraload.operators import registry
+from terraload.operators import registry, reports
 from terraload.operators.sinks import DEFAULT_KEY, TENANT, drop_table, load_table, partition_columns, swap_table
+from terraload.plans import batches
 from terraload.plans.publish import publish_layers, remove_layers
 from terraload.runtime import ship_modules, stage
 from terraload.sources import archive, dbf, delimited, files, shapefile, xlsx
@@ -79,13 +80,17 @@ def listed_files(found: DataFrame) -> list[Row]:
 def build_manifest(spark: SparkSession, listed: list[Row], group_id: str) -> DataFrame:
     """Manifest of listed files; a file that fails gives an error row.
 
-    The driver holds one row per file and column; the files' data stays with the executors.
+    Delimited files that are no layers are described together, in as many jobs for very many as for a few; other
+    files one by one, a row for each of their columns passing through the driver. The files' data stays with the executors.
     """
     if not listed:
         raise ValueError("no readable file was found")
+    texts, errors, left = batches.describe_texts(spark, [r for r in listed if r["format"] == "csv"], group_id)
+    single = [r for r in listed if r["format"] != "csv"] + left
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        described = list(pool.map(lambda row: _describe_file(spark, row, group_id), listed))
-    return manifests.from_rows(spark, [r for rows in described for r in rows])
+        described = list(pool.map(lambda row: _describe_file(spark, row, group_id), single))
+    others = manifests.from_rows(spark, [*errors, *(r for rows in described for r in rows)])
+    return others if texts is None else texts.unionByName(others)
 
 
 def upload_digest(spark: SparkSession, path: str) -> str:
@@ -200,9 +205,11 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
         by_file.setdefault(r["filename"], {}).setdefault(r["table"], []).append(r)
     duplicated = []
     if skip_existing:
-        duplicated = [f["filename"] for f in chosen
-                      if all(table_exists(spark, target, t) for t in by_file[f["filename"]])]
-        chosen = [f for f in chosen if f["filename"] not in duplicated]
+        existing = spark.sql(f"SHOW TABLES IN {quote_name(target)}").select(F.col("tableName").alias("table"))
+        asked = wanted.select("filename", F.lower("table").alias("table")).distinct()
+        open_ = {r["filename"] for r in reports.skip_loaded(asked, existing).select("filename").distinct().collect()}
+        duplicated = [f["filename"] for f in chosen if f["filename"] not in open_]
+        chosen = [f for f in chosen if f["filename"] in open_]
 
     # Two files must not write one table at the same time: the first one has it.
     outcomes, owner, single = [], {}, []
@@ -217,7 +224,8 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
         jobs = [pool.submit(_load_file, spark, f, by_file[f["filename"]], group_id, target, override, mode, key, partition_by)
                 for f in single]
         outcomes = [o for job in jobs for o in job.result()] + outcomes
-    layers = [o.table for o in outcomes if o.have_geom and o.ok]
+    report = spark.createDataFrame([tuple(vars(o).values()) for o in outcomes], OUTCOME_SCHEMA)
+    layers = [r["table"] for r in reports.publishable_layers(report).orderBy("table").collect()] if outcomes else []
     if layers:
         publish_layers(spark, registry_schema, group_id, layers)
     summary = {
@@ -228,7 +236,6 @@ def load_batch(spark: SparkSession, registry_schema: str, upload_id: int, group_
         "source_duplicated": duplicated,
         "elapsed": time.monotonic() - started,
     }
-    report = spark.createDataFrame([tuple(vars(o).values()) for o in outcomes], OUTCOME_SCHEMA)
     record_outcomes(report, registry_schema, load, group_id, target)
     return load, report, summary
 

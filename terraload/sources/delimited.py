@@ -53,6 +53,11 @@ def files_by_header(spark: SparkSession, path: str) -> list[tuple[bytes, list[st
     The headers of a folder are read in tasks; the driver gets the paths, which the reader needs anyway.
     """
     found = [p for p, size in files.list_files(path) if size and (p == path or not _hidden(p))]
+    return group_by_header(spark, found)
+
+
+def group_by_header(spark: SparkSession, found: list[str]) -> list[tuple[bytes, list[str]]]:
+    """Header lines and the files of each, for files that are not empty."""
     if len(found) <= 1:
         return [(header_bytes(p), [p]) for p in found]
 
@@ -153,23 +158,33 @@ def well_formed(fields: Column, n_columns: int) -> Column:
     return F.coalesce(fields["extra"] == END_MARK, F.lit(False)) | F.coalesce(short, F.lit(False))
 
 
-def skip_bad_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
-    """Text columns; lines with too many fields are skipped, short ones get nulls."""
+def skip_bad_lines(lines: DataFrame, dialect: Dialect, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns, behind the columns to ``keep``; lines with too many fields are skipped, short ones get nulls."""
     columns = dialect.columns
     fields = F.array(split_fields(F.col("line"), columns, dialect.separator))
     # As a generator the parse is one step: a filter or projection would repeat it per column.
-    parsed = lines.select(F.inline(F.filter(fields, lambda r: well_formed(r, len(columns)))))
-    return parsed.select(*[
+    parsed = lines.select(*keep, F.inline(F.filter(fields, lambda r: well_formed(r, len(columns)))))
+    return parsed.select(*keep, *[
         parsing.missing_to_null(F.nullif(F.col(f"f{i}"), F.lit(END_MARK))).alias(c) for i, c in enumerate(columns)
     ])
 
 
+def _plain_lines(records: DataFrame, encoding: str) -> DataFrame:
+    line = F.replace(parsing.decode_line(F.col("line"), encoding), F.lit("\r"), F.lit(""))
+    return records.withColumn("line", parsing.drop_marks(line))
+
+
 def spanning_lines(spark: SparkSession, paths: list[str], dialect: Dialect, range_bytes: int) -> DataFrame | None:
     """Records, as ``raw_lines`` gives lines, of files whose quoted fields hold line ends; None if none does."""
     sized = [(p, size) for path in paths for p, size in files.list_files(path) if size and (p == path or not _hidden(p))]
     lines = quoted.record_lines(spark, sized, dialect.separator, range_bytes)
-    return None if lines is None else lines.select(
-        parsing.drop_marks(F.replace(parsing.decode_line(F.col("line"), dialect.encoding), F.lit("\r"), F.lit(""))).alias("line"))
+    return None if lines is None else _plain_lines(lines, dialect.encoding).select("line")
+
+
+def text_of_files(spark: SparkSession, paths: list[tuple[str, int]], dialect: Dialect, path_column: str) -> DataFrame:
+    """Text columns of files with one header, and the path each row comes from; ``paths`` has sizes, too."""
+    lines = quoted.record_lines(spark, paths, dialect.separator, always=True)
+    return skip_bad_lines(_plain_lines(lines, dialect.encoding).withColumnRenamed("path", path_column), dialect, (path_column,))
 
 
 def read_text_columns(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,

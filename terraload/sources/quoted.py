@@ -104,6 +104,8 @@ def _records(separator: int):
         for batch in batches:
             for path, start, low, high, inside, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "low", "high", "inside", "size"))):
                 with files.open_input(path) as handle:
+                    if low is None:
+                        low, high = header_end(handle), size
                     data = files.read_range(handle, low, high - low)
                     before = files.read_range(handle, max(low - LOOK_BACK, 0), min(low, LOOK_BACK))
                     cuts, inside = _line_ends(data, before, separator, inside)
@@ -124,7 +126,8 @@ def _records(separator: int):
                 text = (data + b"".join(tail)).decode("latin-1")
                 ends = [b - 1 for b in begins[1:]] + [len(text)]
                 lines = [text[a:b].rstrip("\r\n") if b == len(text) else text[a:b].removesuffix("\r") for a, b in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([line for line in lines if line], pa.string())], names=["line"])
+                lines = [line for line in lines if line]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["path", "line"])
     return run
 
 
@@ -137,27 +140,32 @@ def _line_ends(data: bytes, before: bytes, separator: int, inside: bool) -> tupl
     return lines[~known[np.searchsorted(ends, lines, side="right")]], bool(known[-1])
 
 
-def record_lines(spark: SparkSession, sized: list[tuple[str, int]], separator: str, range_bytes: int = RANGE_BYTES) -> DataFrame | None:
-    """Records below the header line as ISO-8859-1 text, one a row, line ends in them and all; blank ones are dropped.
+def record_lines(spark: SparkSession, sized: list[tuple[str, int]], separator: str, range_bytes: int = RANGE_BYTES,
+                 always: bool = False) -> DataFrame | None:
+    """``path, line`` of the records below the header line as ISO-8859-1 text, line ends in them and all; blank ones are dropped.
 
-    None if no quoted field holds a line end, so that lines are records. ``sized`` has paths and sizes. The driver
-    gets a row for each range. A quoted field that is never closed goes on to the file's end, as one record, which the parser skips.
+    None if no quoted field holds a line end, so that lines are records, unless ``always`` is set. ``sized`` has paths and
+    sizes. The driver gets a row for each range; where ``always`` is set and each file is one range, nothing is looked at
+    beforehand. A quoted field that is never closed goes on to the file's end, as one record, which the parser skips.
     """
     ranges = [(p, a, min(a + range_bytes, n), n) for p, n in sized for a in range(0, max(n, 1), range_bytes)]
-    listed = archive.spread(spark.createDataFrame(ranges, "path string, start long, end long, size long"), ["path", "start"], _tasks(spark, ranges))
-    looked = listed.mapInArrow(_look(ord(separator)), "path string, start long, low long, high long, end_0 boolean, end_1 boolean, held_0 boolean, held_1 boolean")
-    rows = {(r["path"], r["start"]): r for r in looked.collect()}
-    inside, known, spans = False, [], False
-    for path, start, _, size in ranges:
-        row = rows[path, start]
-        inside = inside and start > 0
-        known.append((path, start, row["low"], row["high"], inside, size))
-        spans |= row["held_1"] if inside else row["held_0"]
-        inside = row["end_1"] if inside else row["end_0"]
-    if not spans:
-        return None
+    if always and len(ranges) == len(sized):
+        known = [(path, 0, None, None, False, size) for path, _, _, size in ranges]
+    else:
+        listed = archive.spread(spark.createDataFrame(ranges, "path string, start long, end long, size long"), ["path", "start"], _tasks(spark, ranges))
+        looked = listed.mapInArrow(_look(ord(separator)), "path string, start long, low long, high long, end_0 boolean, end_1 boolean, held_0 boolean, held_1 boolean")
+        rows = {(r["path"], r["start"]): r for r in looked.collect()}
+        inside, known, spans = False, [], always
+        for path, start, _, size in ranges:
+            row = rows[path, start]
+            inside = inside and start > 0
+            known.append((path, start, row["low"], row["high"], inside, size))
+            spans |= row["held_1"] if inside else row["held_0"]
+            inside = row["end_1"] if inside else row["end_0"]
+        if not spans:
+            return None
     table = spark.createDataFrame(known, "path string, start long, low long, high long, inside boolean, size long")
-    return archive.spread(table, ["path", "start"], _tasks(spark, ranges)).mapInArrow(_records(ord(separator)), "line string")
+    return archive.spread(table, ["path", "start"], _tasks(spark, ranges)).mapInArrow(_records(ord(separator)), "path string, line string")
 
 
 def _tasks(spark: SparkSession, ranges: list) -> int:

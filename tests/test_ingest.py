@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from writers import workbook, write_dbf, write_shapefile, zip_of
 
 from terraload.operators import registry
-from terraload.plans import ingest, models, publish
-from terraload.sources import tables
+from terraload.plans import batches, ingest, models, publish
+from terraload.sources import archive, tables
 
 
 @pytest.fixture
@@ -98,3 +98,51 @@ def test_two_files_of_one_table(spark, schema, folder):
 def test_unknown_reference_system_is_refused(spark, schema):
     with pytest.raises(ValueError):
         ingest.load_batch(spark, schema, 1, "g", None, schema, srid="1234")
+
+
+def jobs_of(spark, work):
+    group = f"counted-{len(list_of_groups)}"
+    list_of_groups.append(group)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+list_of_groups = []
+
+
+def test_jobs_do_not_grow_with_the_files(spark, folder):
+    """Two headers, 4 and 60 files: as many jobs, and the manifest that each file has by itself."""
+    def listed(n):
+        root = folder / str(n)
+        root.mkdir()
+        for k in range(n):
+            (root / f"f{k}.csv").write_text(f"id;v\n{k};x{k}\n" if k % 2 else f"a,b,group_id\n{k}.5,,z\n")
+        return ingest.listed_files(archive.inventory(archive.list_paths(spark, str(root)).select("path")))
+
+    few, many = listed(4), listed(60)
+    (manifest, errors, left), n_few = jobs_of(spark, lambda: batches.describe_texts(spark, few, "g"))
+    (more, _, _), n_many = jobs_of(spark, lambda: batches.describe_texts(spark, many, "g"))
+    assert n_few == n_many > 0 and errors == left == []
+    found = more.orderBy("filename", "position").collect()
+    assert len({r["filename"] for r in found}) == 60
+    assert [(r["table"], r["column"], r["tipo"], r["position"]) for r in found if r["filename"] in ("f1.csv", "f2.csv")] == [
+        ("f1", "id", "integer", 0), ("f1", "v", "text", 1), ("f1", "group_id", "text", 2),
+        ("f2", "a", "double precision", 0), ("f2", "b", "double precision", 1), ("f2", "group_id", "text", 2)]
+    by_itself = sorted((r for f in few for r in ingest._describe_file(spark, f, "g")), key=str)
+    assert sorted(map(tuple, manifest.collect()), key=str) == by_itself
+
+
+def test_files_that_cannot_be_described_stop_no_others(spark, folder):
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "bare.csv").write_text("a;b\n")
+    (folder / "points.csv").write_text("longitude;latitude\n1;2\n")
+    (folder / "lines.csv").write_text('a;b\n1;"two\nlines"\n')
+    found = ingest.listed_files(archive.inventory(archive.list_paths(spark, str(folder)).select("path")))
+    rows = {(r["filename"], r["column"]): r["tipo"] for r in ingest.build_manifest(spark, found, "g").collect()}
+    assert rows == {("empty.csv", "Error"): "Text", ("bare.csv", "a"): "double precision", ("bare.csv", "b"): "double precision", ("bare.csv", "group_id"): "text",
+                    ("points.csv", "longitude"): "integer", ("points.csv", "latitude"): "integer", ("points.csv", "geometry"): "geometry(Point,4326)",
+                    ("points.csv", "group_id"): "text", ("lines.csv", "a"): "integer", ("lines.csv", "b"): "text", ("lines.csv", "group_id"): "text"}
