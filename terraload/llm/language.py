@@ -1,9 +1,9 @@
 """Language identification, word first: known words by their frequency in each language, unseen
 words by character n-grams that get shorter until one is known.
 
-Training counts words and n-grams by language in tasks and adds the counts up in Spark; the model
-keeps the most frequent ``WORDS`` words and ``GRAMS`` n-grams of each length, so its size does not
-depend on the corpus. Words are runs of letters of the lower-cased text. Words and n-grams are
+Training counts words and n-grams by language in tasks and adds the counts up in Spark. Each language has an equal
+share of the sample, of the model's ``WORDS`` words and of its ``GRAMS`` n-grams of each length, and fills it with its own
+most frequent ones, so a rare language is not crowded out and the model's size does not depend on the corpus. Words are runs of letters of the lower-cased text. Words and n-grams are
 64-bit hashes throughout, and whole batches are scored at once.
 """
 
@@ -15,15 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from terraload.llm import letters
 from terraload.llm.scratch import Scratch, bounded_batches
 
-#: Labelled documents to learn from, about; chosen by a hash of their id and text.
+#: Labelled documents to learn from, about; an equal share for each language, all of those that have fewer. Chosen by a
+#: hash of their id and text.
 SAMPLE = 20_000
-WORDS = 50_000
-GRAMS = 20_000
+#: Places of the model, shared equally by the languages.
+WORDS = 200_000
+GRAMS = 80_000
 LONGEST = 4
 SMOOTHING = 0.5
 UNDEFINED = "und"
@@ -111,36 +113,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``doc_id, text, lang``; rows without text or language take no part.
 
-    With more than ``sample`` labelled rows about so many are used. Without any, the model knows
-    no language and calls every text undefined.
+    With more than ``sample / languages`` labelled rows of a language about so many are used. Without any rows, the model
+    knows no language and calls every text undefined.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    labelled = docs.where("lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rows = labelled.select("lang").count()
-    chosen = labelled.where("text IS NOT NULL")
-    if rows > sample:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * sample / rows))
-    counts = (chosen.select("text", "lang").mapInArrow(_count, "kind int, hash long, lang string, n long")
-              .groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
-              .groupBy("kind", "hash").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
     scratch = Scratch(spark, "language")
-    counts = scratch.keep(counts, "counts")
-    rows_of = {n: counts.where((F.col("kind") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash")
-               .limit(GRAMS if n else WORDS).select("hash", "by").collect() for n in range(LONGEST + 1)}
-    scratch.drop(counts)
-    languages = sorted({lang for found in rows_of.values() for r in found for lang in r["by"]})
-    place = {lang: k for k, lang in enumerate(languages)}
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = scratch.keep(docs.where("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("rows")), "rows")
+    languages = sorted(r["lang"] for r in rows.select("lang").collect())
+    share = sample / max(len(languages), 1)
+    chosen = labelled.join(rows, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit((1 << 30) * share) / F.col("rows"))
+    counts = scratch.keep(chosen.select("text", "lang").mapInArrow(_count, "kind int, hash long, lang string, n long")
+                          .groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n")), "counts")
+    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "hash"))
+    places = F.ceil(F.when(F.col("kind") == 0, F.lit(WORDS)).otherwise(F.lit(GRAMS)) / max(len(languages), 1))
+    kept = counts.withColumn("rank", rank).where(F.col("rank") <= places).select("kind", "hash").distinct()
+    table = counts.join(kept, ["kind", "hash"]).select("kind", "hash", "lang", "n").toArrow()
+    kind, hashed, n = (table.column(c).to_numpy() for c in ("kind", "hash", "n"))
+    place = np.searchsorted(np.array(languages), np.array(table.column("lang").to_pylist(), dtype=str)) if languages else np.zeros(0, np.int64)
+    scratch.drop(rows, counts)
     hashes, logs = {}, {}
-    for n, found in rows_of.items():
-        counted = np.zeros((len(found), len(languages)))
-        for i, r in enumerate(found):
-            for lang, c in r["by"].items():
-                counted[i, place[lang]] = c
-        keys = np.array([r["hash"] for r in found], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        smooth = counted[order] + SMOOTHING
-        hashes[n], logs[n] = keys[order], np.log(smooth / smooth.sum(0, keepdims=True)) if len(found) else smooth
+    for k in range(LONGEST + 1):
+        own = kind == k
+        hashes[k], at = np.unique(hashed[own].view(np.uint64), return_inverse=True)
+        smooth = np.full((len(hashes[k]), len(languages)), SMOOTHING)
+        np.add.at(smooth, (at, place[own]), n[own])
+        logs[k] = np.log(smooth / smooth.sum(0, keepdims=True)) if len(smooth) else smooth
     return Model(languages, hashes, logs)
 
 

@@ -39,7 +39,7 @@ def fold(n: int) -> Column:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
-    return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted", "offending")
 
 
 OP2_SQL = """

@@ -297,3 +297,40 @@ def test_windows_do_not_depend_on_what_is_around():
     apart = paragraphs._windows(np.concatenate([values, values]), np.array([0, 300, 600]))
     assert apart.tolist() == [*alone, *(alone + 300)]
     assert not len(paragraphs._windows(values[:18], np.array([0, 18]))) and not len(paragraphs._windows(values[:0], np.array([0, 0])))
+
+
+def made_up(seed, n_words=300):
+    r = random.Random(seed)
+    alphabet = r.sample("abcdefghijklmnopqrstuvwxyz", 12)
+    return ["".join(r.choices(alphabet, k=r.randint(3, 8))) for _ in range(n_words)]
+
+
+def test_a_rare_language_is_not_crowded_out(spark, monkeypatch):
+    """Forty documents among six thousand; the model has few places, of which each language has its share."""
+    monkeypatch.setattr(language, "WORDS", 600)
+    monkeypatch.setattr(language, "GRAMS", 400)
+    tongues, r = {f"l{k}": made_up(k) for k in range(4)}, random.Random(5)
+    write = lambda lang: " ".join(r.choices(tongues[lang], k=30))
+    rows = [(i, write(lang), lang) for i, lang in enumerate(["l0"] * 2000 + ["l1"] * 2000 + ["l2"] * 2000 + ["l3"] * 40)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    asked = [(i, write(lang), lang) for i, lang in enumerate(["l0", "l1", "l2", "l3"] * 50)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[i] == lang for i, _, lang in asked)
+
+
+def test_toxic_words_of_a_small_language_are_learned(spark):
+    big, small, r = made_up(1), made_up(2), random.Random(6)
+    rows, labels = [], []
+    for i in range(3000):
+        tongue, bad = (small, "smallbad") if i % 30 == 0 else (big, f"bigbad{i % 7}")
+        toxic = i % 11 in (0, 3)
+        words_ = r.choices(tongue, k=40) + ([bad] if toxic else [])
+        r.shuffle(words_)
+        rows.append((i, " ".join(words_)))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    asked = [(0, " ".join(small[:40])), (1, " ".join(small[:40]) + ". It is smallbad here. " + " ".join(small[40:50])), (2, " ".join(big[:40])), (3, " ".join(big[:40] + ["bigbad4"]))]
+    got = {x.doc_id: x for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[i].predicted for i in range(4)] == [0, 1, 0, 1]
+    [span] = got[1].offending
+    assert asked[1][1][span.start:span.end].strip() == "It is smallbad here."
