@@ -60,7 +60,7 @@ FROM owned
 
 @register("op2_warc_round_trip", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+    return round_trip(table(spark, sf_dir, "pages")).drop("url", "record_id", "refers_to_id", "payload")
 
 
 @register("op3_token_files")

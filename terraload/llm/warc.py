@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ RANGE_BYTES = 16 << 20
 _READ = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, record_id string, refers_to_id string"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -40,8 +41,9 @@ def _name(page_id: int | None) -> str:
 
 
 def _page(name: str | None) -> int | None:
-    number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The page of a record id written here; other archives' ids have none."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", name or "")
+    return int(found[1]) if found and -1 << 63 <= int(found[1]) < 1 << 63 else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -98,10 +100,10 @@ def write_warc(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, folder:
 
 
 class _Window:
-    """Bytes of a file from a place on, read as needed."""
+    """Bytes of a file from a place on, read as needed. What is read is appended, never copied as a whole."""
 
     def __init__(self, handle, start: int):
-        self.handle, self.base, self.data = handle, start, b""
+        self.handle, self.base, self.data = handle, start, bytearray()
         handle.seek(start)
 
     def fill(self) -> bool:
@@ -110,7 +112,7 @@ class _Window:
         return bool(more)
 
     def drop_before(self, place: int) -> None:
-        self.data = self.data[place - self.base:]
+        del self.data[:place - self.base]
         self.base = place
 
 
@@ -123,8 +125,9 @@ def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
         while not unpacker.eof:
             if at >= len(window.data) and not window.fill():
                 return None
-            piece = unpacker.decompress(window.data[at:])
-            at = len(window.data)
+            part = bytes(window.data[at:at + _READ])
+            piece = unpacker.decompress(part)
+            at += len(part)
             out.append(piece)
             if len(head) < 7:
                 head += piece[:7]
@@ -162,7 +165,12 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
-    return headers, rest[:int(headers.get("content-length") or 0)]
+    size = _number(headers.get("content-length"))
+    return headers, rest if size is None else rest[:size]
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text.strip()) else None
 
 
 def _fields(content: bytes) -> tuple | None:
@@ -170,18 +178,21 @@ def _fields(content: bytes) -> tuple | None:
     kind = headers.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
+    # Other protocols' blocks are payload as a whole.
+    http, _, payload = block.partition(b"\r\n\r\n") if headers.get("content-type", "").lower().startswith("application/http") else (b"", b"", block)
     if kind == "response":
         size, digest = len(payload), payload_digest(payload)
     else:
-        sizes = [line.partition(b":")[2] for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        size, digest = int(sizes[0]), headers["warc-payload-digest"].removeprefix("sha1:")
-    return _page(headers.get("warc-record-id")), size, digest, kind, _page(headers.get("warc-refers-to")), headers.get("warc-target-uri"), payload
+        sizes = [line.partition(b":")[2].decode("latin-1") for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        size, digest, payload = _number(sizes[0]) if sizes else None, headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, b""
+    name, refers_to = headers.get("warc-record-id"), headers.get("warc-refers-to")
+    return _page(name), size, digest, kind, _page(refers_to), headers.get("warc-target-uri"), payload, name, refers_to
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                       ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+                       ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
+                       ("record_id", pa.string()), ("refers_to_id", pa.string())])
     for batch in batches:
         for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
             rows, size = [], 0
@@ -201,14 +212,16 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of files given as ``path, bytes``: ids, payload sizes and digests, types, and payloads.
 
     A response's digest is taken from the payload that was read, a revisit's from its header; a
-    revisit's payload is empty. Records of other types are left out.
+    revisit's payload is empty. ``record_id`` and ``refers_to_id`` are the ids as the archive has them; ``page_id`` and
+    ``refers_to`` are null where these are not ids written here. What a revisit's header does not tell is null. Records of
+    other types are left out.
     """
     spark: SparkSession = files.sparkSession
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ranges = files.where("bytes > 0").select("path", "bytes", begin)
     ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end"))
     ranges = ranges.repartition(max(8, spark.sparkContext.defaultParallelism))
-    return ranges.mapInArrow(_read, RECORD + ", payload binary")
+    return ranges.mapInArrow(_read, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
+import gzip
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,3 +82,40 @@ def test_bounds_hold_and_save_reads(spark, tmp_path):
         order = np.lexsort((ids, -(rows @ rows[q])))
         assert found.tolist() == [i for i in order.tolist() if i != q][:10] and scores.tolist() == (rows[found] @ rows[q]).tolist()
     assert sum(reads) < 1000
+
+
+def foreign(kind, block, *lines):
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:6b8f-%s>" % kind, *lines, "", ""])
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_archives_written_elsewhere():
+    http = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    members = [
+        foreign("warcinfo", b"software: any", "Content-Type: application/warc-fields", "Content-Length: 13"),
+        foreign("response", http + b"<p>", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + 3}", "WARC-Target-URI: http://x/"),
+        foreign("revisit", b"", "Content-Type: application/http", "Content-Length: 0", "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: sha1:ABC"),
+        foreign("revisit", http, "Content-Type: application/http", "Content-Length: x"),
+        foreign("response", b"20240101\r\n\r\nx", "Content-Type: text/dns", "Content-Length: 13"),
+        foreign("response", b"", "WARC-Record-ID: <urn:page:99999999999999999999>"), warc.record(4, None, b"own", None, "d")]
+    whole = b"".join(members)
+    for size in (1, 50, len(whole)):
+        got = [warc._fields(c) for start in range(0, len(whole), size) for c in warc.members(io.BytesIO(whole), start, min(start + size, len(whole)))]
+        got = [g for g in got if g is not None]
+        assert [(g[0], g[1], g[3], g[4], g[6]) for g in got] == [
+            (None, 3, "response", None, b"<p>"), (None, None, "revisit", None, b""), (None, None, "revisit", None, b""),
+            (None, 13, "response", None, b"20240101\r\n\r\nx"), (None, 4, "response", None, b"\r\n\r\n"), (4, 3, "response", None, b"own")]
+        assert got[1][2] == "ABC" and got[2][2] is None and got[1][7:9] == ("<urn:uuid:6b8f-revisit>", "<urn:uuid:1>")
+
+
+def test_a_large_member_takes_linear_time():
+    took = {}
+    for megabytes in (8, 64):
+        payload = random.Random(1).randbytes(1 << 20) * megabytes
+        raw = warc.record(1, None, payload, None, "d")
+        # Stored, so that the member is as large as its payload.
+        started = time.process_time()
+        [content] = list(warc.members(io.BytesIO(raw), 0, len(raw)))
+        took[megabytes] = time.process_time() - started
+        assert len(content) > len(payload)
+    assert took[64] < 30 * took[8] + 1
