@@ -11,7 +11,7 @@ from terraload.checks.sample_files import projection_text
 from terraload.constants import ALLOWED_SRIDS
 from terraload.functions import crs
 from terraload.functions import geometry as geo
-from terraload.operators import layers, registry, reports, sinks
+from terraload.operators import layers, ownership, registry, reports, sinks
 from terraload.plans import ingest, publish
 from terraload.runtime import new_path
 from terraload.sources import tables
@@ -432,24 +432,55 @@ def delete_load_shared(spark, sf_dir):
     return tables.scan_table(spark, schema, "lines")
 
 
+def _uploaded(spark, docs, folder):
+    """Registered uploads ``u<number>.zip`` of documents: ``upload``, its folder ``place``, ``name`` below the common folder, ``text``."""
+    schema = b.check_schema(spark)
+    registry.create_registries(spark, schema)
+    samples.write_texts(docs.select("name", "text").distinct(), folder)
+    uploads = docs.select(F.concat(F.lit("u"), F.col("upload").cast("string"), F.lit(".zip")).alias("SHAPEFILE"), "place").distinct()
+    requests = uploads.select(
+        "SHAPEFILE", F.col("place").alias("PATH_SHAPEFILE"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("DATE_UPLOAD", "timestamp_ntz"), ("STATUS", "string"), ("GROUP_ID", "string"), ("SRID", "int"),
+                                                      ("MD5", "string"), ("USERFILE", "array<string>"), ("RESPONSE", "string"))])
+    registry.insert_requests(requests, schema, registry.UPLOADS, ["SHAPEFILE"])
+    number = F.regexp_extract("SHAPEFILE", "([0-9]+)", 1).cast("bigint").alias("upload")
+    ids = registry.stored(spark, schema, registry.UPLOADS).select("ID_SHAPE", number)
+    ownership.record_files(docs.join(ids, "upload").select("ID_SHAPE", F.concat(F.lit(folder + "/"), "name").alias("path")), schema)
+    return schema, ids
+
+
+def _left(spark, folder):
+    left = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    return left.select(F.substring_index(F.input_file_name(), "/", -1).alias("filename"), F.length("value").cast("bigint").alias("n_chars"))
+
+
 @check("delete_upload_files", r"""
     SELECT 'f' || doc_id || '.csv' AS filename, length(text) AS n_chars FROM documents WHERE doc_id % 2 = 1""")
 def delete_upload_files(spark, sf_dir):
-    """Two uploads share a folder; the files of one go."""
-    schema = b.check_schema(spark)
-    registry.create_registries(spark, schema)
+    """Uploads of at most 32 files share a folder; the files of every other one go."""
     folder = new_path(spark, "shared-upload")
-    docs = b.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), "text", "doc_id")
-    samples.write_texts(docs.select("name", "text"), folder)
-    listed = docs.groupBy((F.col("doc_id") % 2).alias("half")).agg(F.collect_list(F.concat(F.lit(folder + "/"), "name")).alias("USERFILE"))
-    requests = listed.select(
-        *[F.lit(None).cast(t).alias(c) for c, t in (("SHAPEFILE", "string"), ("DATE_UPLOAD", "timestamp_ntz"), ("STATUS", "string"),
-                                                      ("GROUP_ID", "string"), ("SRID", "int"), ("MD5", "string"), ("RESPONSE", "string"))],
-        F.lit(folder).alias("PATH_SHAPEFILE"), "USERFILE", "half")
-    registry.insert_requests(requests, schema, registry.UPLOADS, ["half"])
-    ingest.remove_upload_files(spark, schema, 1)
-    left = spark.read.text(folder, wholetext=True).select(F.col("value"), F.substring_index(F.input_file_name(), "/", -1).alias("filename"))
-    return left.select("filename", F.length("value").cast("bigint").alias("n_chars"))
+    docs = b.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), "text", F.lit(folder).alias("place"),
+        F.expr("doc_id div 64 * 2 + doc_id % 2").alias("upload"))
+    schema, ids = _uploaded(spark, docs, folder)
+    ownership.remove_files(spark, schema, ids.filter("upload % 2 = 0"))
+    return _left(spark, folder)
+
+
+@check("delete_uploads_owned_twice", r"""
+    SELECT 'f' || doc_id || '.csv' AS filename, length(text) AS n_chars,
+           (SELECT count(DISTINCT doc_id // 64) FROM documents WHERE (doc_id // 64) % 5 = 0) AS n_folders
+    FROM documents WHERE (doc_id // 64) % 5 <> 0 AND (doc_id % 2 = 1 OR doc_id % 3 = 0)""")
+def delete_uploads_owned_twice(spark, sf_dir):
+    """Two uploads to a folder, every third file owned by both; one of each two goes, of every fifth folder both."""
+    folder = new_path(spark, "owned-twice")
+    d = b.table(spark, sf_dir, "documents").withColumn("place", F.concat(F.lit(folder + "/d"), F.expr("doc_id div 64").cast("string")))
+    owners = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("doc_id") % 2).cast("int")))
+    docs = d.select(F.concat(F.lit("d"), F.expr("doc_id div 64").cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"),
+                    "text", "place", "doc_id", F.explode(owners).alias("owner")).withColumn("upload", F.expr("doc_id div 64 * 2 + owner"))
+    schema, ids = _uploaded(spark, docs, folder)
+    _, n_folders = ownership.remove_files(spark, schema, ids.filter("upload % 2 = 0 OR upload div 2 % 5 = 0"))
+    return _left(spark, folder).withColumn("n_folders", F.lit(n_folders).cast("bigint"))
 
 
 @check("assign_ids_after_delete", """

@@ -208,19 +208,15 @@ def write_lines(df: DataFrame, header: str, path: str) -> None:
      .option("encoding", "ISO-8859-1").option("lineSep", "\r\n").csv(path))
 
 
-def write_file(df: DataFrame, header: str, path: str) -> int:
-    """One file of the given name; ``df`` has a text column ``line``. Lines pass through one task."""
-    def task(batches):
-        with files.publish_file(path) as out:
-            out.write((header + "\n").encode())
-            n = 0
-            for batch in batches:
-                lines = batch.column("line").to_pylist()
-                out.write("".join(line + "\n" for line in lines).encode())
-                n += len(lines)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+def write_files(df: DataFrame, header: str, path: str, name: str) -> int:
+    """Files of the given name, a number before its suffix for each task; ``df`` has a text column ``line``."""
+    stem, suffix = name.rsplit(".", 1)
+
+    def write(part, table):
+        with files.publish_file(f"{path}/{stem}{part}.{suffix}") as out:
+            out.write("".join(line + "\n" for line in [header, *table.column("line").to_pylist()]).encode())
 
-    return df.select("line").coalesce(1).mapInArrow(task, "n long").agg(F.sum("n")).first()[0]
+    return _write_tasks(df.select("line"), write)
 
 
 def write_named(df: DataFrame, folder: str) -> int:

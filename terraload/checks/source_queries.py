@@ -13,7 +13,7 @@ from terraload.checks.catalog import check
 from terraload.constants import SEPARATORS
 from terraload.functions import digest, geometry, names, parsing
 from terraload.runtime import new_path, stage
-from terraload.sources import archive, dbf, delimited, shapefile, tables, xlsx
+from terraload.sources import archive, dbf, delimited, files, shapefile, tables, xlsx
 
 LON = "(CAST(user_id % 360 AS DOUBLE) - 180)"
 LAT = "(CAST(event_id % 181 AS DOUBLE) - 90)"
@@ -42,10 +42,10 @@ def scan_csv_odd_names(spark, sf_dir):
     def write(path):
         line = F.concat_ws(";", "c_custkey", "c_name", "c_acctbal").alias("line")
         for k, name in enumerate(ODD_NAMES):
-            samples.write_file(customer.filter(F.col("c_custkey") % len(ODD_NAMES) == k).select(line), "c_custkey;c_name;c_acctbal", f"{path}/{name}")
+            samples.write_files(customer.filter(F.col("c_custkey") % len(ODD_NAMES) == k).select(line), "c_custkey;c_name;c_acctbal", path, name)
 
     folder = b.once(spark, sf_dir, "csv-odd-names", write)
-    read = [delimited.read_text_columns(spark, f"{folder}/{name}") for name in ODD_NAMES]
+    read = [delimited.read_text_columns(spark, path) for path, _ in files.list_files(folder) if path.endswith(".csv")]
     return reduce(DataFrame.unionByName, read).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
 
 
@@ -77,7 +77,7 @@ def scan_csv_control_marks(spark, sf_dir):
     """Fields that hold control characters."""
     def write(path):
         line = F.concat_ws(";", "c_custkey", F.concat(F.lit("\u0001"), "c_name", F.lit("\u0002")), F.concat("c_mktsegment", F.lit("\u0001")), "c_acctbal")
-        samples.write_file(b.table(spark, sf_dir, "customer").select(line.alias("line")), "c_custkey;name;segment;c_acctbal", f"{path}/marks.csv")
+        samples.write_files(b.table(spark, sf_dir, "customer").select(line.alias("line")), "c_custkey;name;segment;c_acctbal", path, "marks.csv")
 
     text = delimited.read_text_columns(spark, b.once(spark, sf_dir, "csv-marks", write))
     return text.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "name", "segment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
@@ -92,7 +92,7 @@ def scan_csv_mixed_headers(spark, sf_dir):
     def write(path):
         for k, header in enumerate(("c_custkey;c_name;c_acctbal", "c_acctbal,c_name,c_custkey", "c_name;c_custkey")):
             line = F.concat_ws("," if "," in header else ";", *header.replace(",", ";").split(";"))
-            samples.write_file(customer.filter(F.col("c_custkey") % 3 == k).select(line.alias("line")), header, f"{path}/{k}.csv")
+            samples.write_files(customer.filter(F.col("c_custkey") % 3 == k).select(line.alias("line")), header, path, f"{k}_.csv")
 
     text = delimited.read_text_columns(spark, b.once(spark, sf_dir, "csv-mixed", write))
     return text.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))

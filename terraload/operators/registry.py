@@ -47,6 +47,9 @@ KINDS = (UPLOADS, LOADS, MODELS, EXECUTIONS)
 OUTCOMES = "load_outcomes"
 OUTCOMES_DDL = ("ID_SHAPE bigint, GROUP_ID string, schema_name string, table string, filename string, mode string, "
                 "ok boolean, have_geom boolean")
+# Files that each upload owns; a row without a path says that the upload's files were deleted.
+UPLOAD_FILES = "upload_files"
+UPLOAD_FILES_DDL = "ID_SHAPE bigint, path string, released boolean"
 # Ids of deleted requests, which are not given again.
 RETIRED = "retired_ids"
 RETIRED_DDL = "registry string, id bigint"
@@ -153,7 +156,7 @@ def execution_inputs(executions: DataFrame, loads: DataFrame) -> DataFrame:
 # Stored registries.
 
 def create_registries(spark: SparkSession, schema: str) -> None:
-    for table, ddl in [*((k.table, k.ddl) for k in KINDS), (OUTCOMES, OUTCOMES_DDL), (RETIRED, RETIRED_DDL)]:
+    for table, ddl in [*((k.table, k.ddl) for k in KINDS), (OUTCOMES, OUTCOMES_DDL), (UPLOAD_FILES, UPLOAD_FILES_DDL), (RETIRED, RETIRED_DDL)]:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(schema, table)} ({ddl}) USING parquet")
 
 

@@ -17,12 +17,12 @@ from terraload.functions.geometry import LOST_GEOMETRY, geometry_columns, is_lay
 from terraload.functions.digest import folder_digest
 from terraload.functions.names import base_name, clean_name, quote_name, tag_tenant
 from terraload.operators import manifest as manifests
-from terraload.operators import registry, reports
+from terraload.operators import ownership, registry, reports
 from terraload.operators.sinks import DEFAULT_KEY, TENANT, drop_table, load_table, partition_columns, swap_table
 from terraload.plans import batches
 from terraload.plans.publish import publish_layers, remove_layers
 from terraload.runtime import ship_modules, stage
-from terraload.sources import archive, dbf, delimited, files, shapefile, xlsx
+from terraload.sources import archive, dbf, delimited, shapefile, xlsx
 from terraload.sources.tables import create_schema, scan_table, table_exists
 
 # Spark jobs in flight at once; each is spread over the cluster by itself.
@@ -119,6 +119,7 @@ def analyze_archive(spark: SparkSession, registry_schema: str, group_id: str, pa
         spark, registry_schema, registry.UPLOADS, SHAPEFILE=path.rsplit("/", 1)[-1], DATE_UPLOAD=datetime.datetime.now(),
         STATUS="UPLOAD ZIP", GROUP_ID=group_id, PATH_SHAPEFILE=target, MD5=digest, USERFILE=[f["path"] for f in listed],
         RESPONSE=json.dumps({"data": request}))
+    ownership.record_files(entries.select(F.lit(upload).alias("ID_SHAPE"), "path"), registry_schema)
     return upload, manifest
 
 
@@ -290,21 +291,5 @@ def delete_load(spark: SparkSession, registry_schema: str, load_id: int) -> list
 
 
 def remove_upload_files(spark: SparkSession, registry_schema: str, upload_id: int) -> None:
-    """Delete the folder an upload was unpacked into.
-
-    Where it holds files of another upload, only this one's recorded files go, with those that belong to them.
-    """
-    uploads = registry.stored(spark, registry_schema, registry.UPLOADS)
-    row = registry.get_request(uploads, registry.UPLOADS.key, upload_id).first()
-    if row is None or not row["PATH_SHAPEFILE"] or not row["USERFILE"]:
-        return
-    folder = row["PATH_SHAPEFILE"].rstrip("/") + "/"
-    if not all(path.startswith(folder) for path in row["USERFILE"]):
-        return
-    inside = F.exists("USERFILE", lambda path: path.startswith(folder))
-    near = F.coalesce(inside, F.lit(False)) | F.coalesce(F.col("PATH_SHAPEFILE").startswith(folder.rstrip("/")), F.lit(False))
-    if uploads.filter((F.col(registry.UPLOADS.key) != upload_id) & near).isEmpty():
-        files.delete_folder(folder)
-    else:
-        for path in row["USERFILE"]:
-            files.delete_with_sidecars(path)
+    """Delete the folder an upload was unpacked into; where it holds files of another upload, only what this one alone owns."""
+    ownership.remove_files(spark, registry_schema, spark.range(upload_id, upload_id + 1).toDF("ID_SHAPE"))

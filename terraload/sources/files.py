@@ -51,23 +51,23 @@ def file_size(path: str) -> int | None:
     return info.size if info.type == fs.FileType.File else None
 
 
-def delete_folder(path: str) -> None:
+def delete_folder(path: str) -> int:
+    """Delete a folder with all in it; returns 0 when there is none."""
     filesystem, inner = resolve(path)
-    filesystem.delete_dir(inner.rstrip("/"))
+    inner = inner.rstrip("/")
+    if filesystem.get_file_info(inner).type != fs.FileType.Directory:
+        return 0
+    filesystem.delete_dir(inner)
+    return 1
 
 
-def delete_with_sidecars(path: str) -> None:
-    """Delete a file; a shapefile takes the files of the same stem along."""
+def delete_file(path: str) -> int:
+    """Delete a file; returns 0 when there is none."""
     filesystem, inner = resolve(path)
-    stem = inner[: inner.rindex(".") + 1]
-    if not path.lower().endswith(".shp"):
-        doomed = [inner]
-    else:
-        found = filesystem.get_file_info(fs.FileSelector(inner.rsplit("/", 1)[0]))
-        doomed = [f.path for f in found if f.type == fs.FileType.File and f.path.startswith(stem)]
-    for name in doomed:
-        if filesystem.get_file_info(name).type == fs.FileType.File:
-            filesystem.delete_file(name)
+    if filesystem.get_file_info(inner).type != fs.FileType.File:
+        return 0
+    filesystem.delete_file(inner)
+    return 1
 
 
 def sibling(path: str, suffix: str) -> str | None:

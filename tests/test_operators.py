@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraload.functions import geometry as geo
-from terraload.operators import layers, manifest, ordering, registry, reports, sinks
+from terraload.operators import layers, manifest, ordering, ownership, registry, reports, sinks
 from terraload.plans import ingest, models, publish
 from terraload.sources import tables
 
@@ -289,3 +289,41 @@ def test_model_store(spark, schema):
     other = store.register("g", trial)["id"]
     with pytest.raises(ValueError, match="another session"):
         models.ModelStore(spark, schema).load(other)
+
+
+def test_files_go_with_the_last_upload_that_owns_them(spark, schema, folder):
+    registry.create_registries(spark, schema)
+    for name in ("a/1.csv", "a/sub/2.csv", "a/3.csv", "b/4.csv", "c/5.csv", "elsewhere/6.csv"):
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+
+    def upload(place, names, listed=()):
+        new = registry.insert_request(spark, schema, registry.UPLOADS, PATH_SHAPEFILE=place and f"{folder}/{place}",
+                                      USERFILE=[f"{folder}/{n}" for n in listed])
+        ownership.record_files(spark.createDataFrame([(new, f"{folder}/{n}") for n in names] + [(new, None)], "ID_SHAPE long, path string"), schema)
+        return new
+
+    def remove(*ids):
+        return ownership.remove_files(spark, schema, spark.createDataFrame([(i, "x") for i in ids], "ID_SHAPE long, path string"))
+
+    def left():
+        return sorted(str(p.relative_to(folder)) for p in folder.rglob("*.csv"))
+
+    first = upload("a/", ["a/1.csv", "a/sub/2.csv", "a/gone.csv"])
+    second = upload("a", ["a/3.csv"], listed=["a/1.csv"])
+    outside = upload("b", ["b/4.csv", "elsewhere/6.csv"])
+    third = upload("c", [])
+    nowhere = upload(None, ["c/5.csv"])
+    assert remove() == (0, 0) and remove(None, 99) == (0, 0)
+    # What another upload owns, even by its list alone, stays, and so does the folder; repeated ids count once.
+    assert remove(first, first) == (1, 0) and "a/1.csv" in left() and "a/sub/2.csv" not in left() and "a/3.csv" in left()
+    assert remove(first) == (0, 0)
+    # A file outside the upload's folder is not touched, a folder that holds another's file stays.
+    assert remove(outside, third) == (1, 1) and left() == ["a/1.csv", "a/3.csv", "c/5.csv", "elsewhere/6.csv"]
+    assert remove(nowhere) == (0, 0)
+    # Paths of a deleted upload do not keep a later one's files.
+    assert remove(second) == (2, 1) and not (folder / "a").exists()
+    (folder / "a").mkdir()
+    (folder / "a/1.csv").write_text("again")
+    assert remove(upload("a", ["a/1.csv"])) == (1, 1)
