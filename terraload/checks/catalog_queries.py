@@ -73,13 +73,35 @@ def geom_from_wkt_broken(spark, sf_dir):
             .when(F.col("event_type") == "error", F.format_string("POINT (%s %s x)", x, y))
             .when(F.col("event_type") == "view", F.format_string("POINT M (%s %s 7)", x, y))
             .when(F.col("event_type") == "signup", F.format_string("SRID=3003;POINT (%s %s)", x, y))
-            .otherwise("GEOMETRYCOLLECTION (POINT (1 2))"))
+            .otherwise("GEOMETRYCOLLECTION (POINT (1 2)"))
     g = F.col("g")
     return b.events(spark, sf_dir).select("event_id", geo.from_wkt(text).alias("g")).select(
         "event_id", g["coords"][0][0][0]["x"].alias("x"), F.coalesce(g["srid"] == 3003, F.lit(False)).alias("own_srid"),
         F.coalesce(g["has_z"], F.lit(False)).alias("has_z"))
 
 
+@check("geom_from_wkt_nested", f"""
+    SELECT event_id, CASE event_type WHEN 'view' THEN 'Polygon' WHEN 'click' THEN 'MultiPoint' ELSE 'GeometryCollection' END AS gtype,
+           event_type = 'signup' AS has_z, CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 2 ELSE 0 END AS n_parts,
+           CASE event_type WHEN 'error' THEN {LON} + 1 + {LAT} WHEN 'signup' THEN {LON} + {LAT} END AS sum_x,
+           CASE event_type WHEN 'error' THEN '1 Point 1,1 GeometryCollection 0,2 MultiPoint 2' WHEN 'signup' THEN '1 GeometryCollection 0,2 GeometryCollection 0,3 Point 1,2 Polygon 0,1 Point 1'
+                           WHEN 'purchase' THEN '' END AS members
+    FROM events""")
+def geom_from_wkt_nested(spark, sf_dir):
+    """Collections, collections of collections, and shapes and collections without any part."""
+    x, y = F.col("lon").cast("string"), F.col("lat").cast("string")
+    kind = F.col("event_type")
+    text = (F.when(kind == "view", "Polygon EMPTY").when(kind == "click", " MULTIPOINT Z EMPTY ").when(kind == "purchase", "GEOMETRYCOLLECTION EMPTY")
+            .when(kind == "error", F.format_string("GEOMETRYCOLLECTION (POINT (%s 0), GEOMETRYCOLLECTION (MULTIPOINT (1 2, %s 3)))", x, y))
+            .otherwise(F.format_string("GeometryCollection(GEOMETRYCOLLECTION (GEOMETRYCOLLECTION(POINT Z (%s 0 1)) , POLYGON EMPTY), POINT (%s 3) )", x, y)))
+    g = F.col("g")
+    xs = F.transform(F.flatten(F.flatten(g["coords"])), lambda v: v["x"])
+    members = F.transform(g["members"], lambda m: F.concat_ws(" ", m["depth"].cast("string"), m["gtype"], m["parts"].cast("string")))
+    return b.events(spark, sf_dir).select("event_id", geo.from_wkt(text).alias("g")).select(
+        "event_id", g["gtype"].alias("gtype"), g["has_z"].alias("has_z"), F.size(g["coords"]).alias("n_parts"),
+        F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda n, v: n + v)).alias("sum_x"), F.array_join(members, ",").alias("members"))
+
+
 @check("lost_geometries", """
     SELECT 'event_type' AS kept, count(*) FILTER (event_type IN ('click', 'error')) AS n_lost, count(*) FILTER (event_type = 'view') AS n_shapes FROM events""")
 def lost_geometries(spark, sf_dir):

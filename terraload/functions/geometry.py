@@ -1,6 +1,8 @@
 """Geometry as a struct column, built and read with built-in functions only.
 
-``coords`` nests part > ring > vertex. A point is one part with one ring with one vertex.
+``coords`` nests part > ring > vertex. A point is one part with one ring with one vertex, an empty shape has no part.
+A collection's ``coords`` holds the parts of all its members one after the other; ``members`` lists these with their depth,
+their type and their number of parts, nested collections included, and is null for other shapes.
 """
 
 from __future__ import annotations
@@ -13,12 +15,16 @@ from terraload.constants import ALLOWED_SRIDS, COORDINATE_COLUMNS, GEOGRAPHIC_SR
 
 VERTEX_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z")])
 COORDS_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(VERTEX_TYPE)))
+MEMBERS_TYPE = T.ArrayType(T.StructType([
+    T.StructField("depth", T.IntegerType()), T.StructField("gtype", T.StringType()), T.StructField("parts", T.IntegerType())]))
 GEOMETRY_TYPE = T.StructType([
     T.StructField("srid", T.IntegerType()),
     T.StructField("gtype", T.StringType()),
     T.StructField("has_z", T.BooleanType()),
     T.StructField("coords", COORDS_TYPE),
+    T.StructField("members", MEMBERS_TYPE),
 ])
+COLLECTION = "GeometryCollection"
 
 # WKT keyword -> geometry type name.
 WKT_NAMES = {
@@ -30,10 +36,30 @@ WKT_NAMES = {
     "MULTIPOLYGON": "MultiPolygon",
 }
 
-_WKT_HEAD = r"(?i)^\s*(?:SRID=(\d{1,9});)?\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*(ZM|Z|M|)\s*\("
-# How brackets and commas may lie, v being a vertex: lists of vertices become L, lists of (L) become R, lists of (R) become P.
-_SHAPES = {"POINT": ["(v)"], "LINESTRING": ["(v)", "(L)"], "MULTIPOINT": ["(v)", "(L)", "(R)", "((v))"],
-           "POLYGON": ["(R)"], "MULTILINESTRING": ["(R)"], "MULTIPOLYGON": ["(P)"]}
+_WKT_WORD = r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)"
+_WKT_HEAD = rf"(?i)^\s*(?:SRID=(\d{{1,9}});)?\s*({_WKT_WORD}|GEOMETRYCOLLECTION)\s*(ZM|Z|M|)\s*(\(|EMPTY)"
+
+
+def _listed(item: str) -> str:
+    """Pattern of one or more items in brackets. Nothing in it is tried twice, so that texts of any length match in one pass."""
+    return rf"\(\s*+{item}\s*+(?:,\s*+{item}\s*+)*+\)"
+
+
+_NUMBER = r"(?:[-+]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:E[-+]?+\d++)?+|NAN|[-+]?+INF(?:INITY)?+)"
+_VERTEX = rf"{_NUMBER}(?:\s++{_NUMBER}){{1,3}}+"
+_LINE = _listed(_VERTEX)
+_LINES = _listed(_LINE)
+_BODIES = {
+    "POINT": rf"\(\s*+{_VERTEX}\s*+\)",
+    "LINESTRING": _LINE,
+    "POLYGON": _LINES,
+    "MULTIPOINT": _listed(rf"(?:{_VERTEX}|\(\s*+{_VERTEX}\s*+\))"),
+    "MULTILINESTRING": _LINES,
+    "MULTIPOLYGON": _listed(_LINES),
+}
+# The whole of a text that is no collection.
+_WKT_SHAPE = r"(?i)^\s*+(?:SRID=\d{1,9};)?+\s*+(?:" + "|".join(
+    rf"{word}\s*+(?:ZM|Z|M)?+\s*+(?:EMPTY|{body})" for word, body in _BODIES.items()) + r")\s*+$"
 # True where a text gave no geometry; the column does not reach any table.
 LOST_GEOMETRY = "_lost_geometry"
 # Characters that stand for the breaks between parts and between rings.
@@ -51,12 +77,14 @@ def geometry_columns(schema: T.StructType) -> list[str]:
 
 
 def _is_geometry(data_type: T.DataType) -> bool:
-    return isinstance(data_type, T.StructType) and data_type.fieldNames() == GEOMETRY_TYPE.fieldNames()
+    # Tables written before there were collections lack the members.
+    return isinstance(data_type, T.StructType) and data_type.fieldNames() in (GEOMETRY_TYPE.fieldNames(), GEOMETRY_TYPE.fieldNames()[:-1])
 
 
-def _geometry(srid: Column, gtype: Column, has_z: Column, coords: Column) -> Column:
-    return F.struct(
-        srid.cast("int").alias("srid"), gtype.alias("gtype"), has_z.alias("has_z"), coords.alias("coords"))
+def _geometry(srid: Column, gtype: Column, has_z: Column, coords: Column, members: Column | None = None) -> Column:
+    listed = F.lit(None) if members is None else members
+    return F.struct(srid.cast("int").alias("srid"), gtype.alias("gtype"), has_z.alias("has_z"), coords.alias("coords"),
+                    listed.cast(MEMBERS_TYPE).alias("members"))
 
 
 def _bind(value: Column, function) -> Column:
@@ -77,66 +105,97 @@ def from_wkt(text: Column, srid: int = GEOGRAPHIC_SRID) -> Column:
     """Geometry from well-known text; null when the text is not readable as a whole.
 
     A leading ``SRID=…;`` names the reference system. The third of three numbers is a height, unless the
-    type says ``M``; measures are not kept. Empty shapes and collections are not readable.
+    type says ``M``; measures are not kept. Empty shapes have no parts and no height. Collections may be nested.
     """
     def parse(written):
-        head = F.regexp_extract(written, _WKT_HEAD, 2)
-        return _bind(F.upper(head), lambda word: F.when(word != "", _parse_wkt(word, written, srid)))
+        # Most texts name no system, and a failing cast costs many times a look.
+        own = F.when(written.rlike(r"(?i)^\s*SRID="), F.regexp_extract(written, _WKT_HEAD, 1).try_cast("int")).otherwise(srid)
+        return (F.when(written.rlike(_WKT_SHAPE), _shape(written, own))
+                .when(F.upper(F.regexp_extract(written, _WKT_HEAD, 2)) == "GEOMETRYCOLLECTION", _collection(written, own)))
 
     return _bind(text, parse)
 
 
-def _parse_wkt(keyword: Column, text: Column, srid: int) -> Column:
-    gtype = F.element_at(F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair]), keyword)
-    own = F.regexp_extract(text, _WKT_HEAD, 1).try_cast("int")
+def _shape(text: Column, srid: Column) -> Column:
+    """Geometry of a text that the pattern of whole shapes matches: only breaks have to be found."""
+    gtype = F.element_at(F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair]), F.upper(F.regexp_extract(text, _WKT_HEAD, 2)))
     measured = F.upper(F.regexp_extract(text, _WKT_HEAD, 3)) == "M"
-    # Blanks around commas and brackets go first; breaks then are fixed texts, and each
-    # becomes one character, which splits without a pattern.
-    tight = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
-    body = _bind(tight, lambda s: F.substr(s, F.locate("(", s)))
-    parts_marked = _bind(body, lambda s: F.when(_well_shaped(keyword, s), (
-        F.when(keyword == "MULTIPOLYGON", F.replace(s, F.lit(")),(("), F.lit(_PART_BREAK)))
-        .when(keyword == "MULTILINESTRING", F.replace(s, F.lit("),("), F.lit(_PART_BREAK)))
-        .when(keyword == "MULTIPOINT", F.translate(s, ",", _PART_BREAK))
-        .otherwise(s)
-    )))
-    marked = F.translate(F.replace(parts_marked, F.lit("),("), F.lit(_RING_BREAK)), "()", "")
-    coords = F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), lambda ring: _ring(ring, measured)))
-
-    def checked(c):
-        rings = F.flatten(c)
-        readable = F.forall(rings, lambda ring: F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
-        has_z = F.exists(rings, lambda ring: F.exists(ring, lambda v: v["z"].isNotNull()))
-        return F.when(readable, _geometry(F.coalesce(own, F.lit(srid)), gtype, has_z, c))
-
-    return _bind(coords, checked)
-
-
-def _well_shaped(keyword: Column, body: Column) -> Column:
-    """Whether brackets and commas lie as the type wants them, from the first bracket to the end of the text."""
-    shape = F.regexp_replace(body, r"[^(),]+", "v")
-    for pattern, mark in ((r"v(?:,v)+", "L"), (r"\([vL]\)(?:,\([vL]\))*(?=[,)])", "R"), (r"\(R\)(?:,\(R\))*(?=\))", "P")):
-        shape = F.regexp_replace(shape, pattern, mark)
-    allowed = F.lit(False)
-    for word, shapes in _SHAPES.items():
-        allowed = F.when(keyword == word, shape.isin(*shapes)).otherwise(allowed)
-    return allowed
-
-
-def _ring(text: Column, measured: Column) -> Column:
-    return F.transform(F.split(text, ","), lambda v: _vertex(v, measured))
-
-
-def _vertex(text: Column, measured: Column) -> Column:
-    """Two to four numbers; with any other text among them the vertex has no coordinates."""
-    def axes(numbers):
-        values = F.transform(numbers, lambda n: n.try_cast("double"))
-        whole = F.size(numbers).between(2, 4) & F.forall(values, lambda v: v.isNotNull())
-        x, y = (F.when(whole, F.get(values, F.lit(i))) for i in range(2))
-        z = F.when(whole & ~(measured & (F.size(numbers) == 3)), F.get(values, F.lit(2)))
-        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-
-    return _bind(F.split(F.trim(text), " "), axes)
+    # Breaks become one character each, which splits without a pattern; brackets and odd blanks then are of no use.
+    body = F.substr(text, F.locate("(", text))
+    parts = (F.when(gtype == "MultiPolygon", F.regexp_replace(body, r"\)\s*+\)\s*+,", _PART_BREAK))
+             .when(gtype == "MultiLineString", F.regexp_replace(body, r"\)\s*+,", _PART_BREAK))
+             .when(gtype == "MultiPoint", F.translate(body, ",", _PART_BREAK))
+             .otherwise(body))
+    rings = F.when(gtype.isin("Polygon", "MultiPolygon"), F.regexp_replace(parts, r"\)\s*+,", _RING_BREAK)).otherwise(parts)
+    marked = F.translate(rings, "()\t\n\r\f\u000b", " " * 7)
+
+    def coords(height):
+        def ring(written):
+            numbers = F.transform(F.split(written, ","), lambda v: F.array_remove(F.split(v, " "), ""))
+            return F.transform(numbers, lambda n: F.struct(
+                F.get(n, F.lit(0)).try_cast("double").alias("x"), F.get(n, F.lit(1)).try_cast("double").alias("y"), height(n).alias("z")))
+
+        return F.transform(F.split(marked, _PART_BREAK), lambda part: F.transform(F.split(part, _RING_BREAK), ring))
+
+    third = coords(lambda n: F.get(n, F.lit(2)).try_cast("double"))
+    third_of_four = coords(lambda n: F.when(F.size(n) == 4, F.get(n, F.lit(2)).try_cast("double")))
+    read = F.when(F.locate("(", text) == 0, F.array().cast(COORDS_TYPE)).when(measured, third_of_four).otherwise(third)
+    return _bind(read, lambda c: _geometry(srid, gtype, _any_height(c), c))
+
+
+def _any_height(coords: Column) -> Column:
+    return F.exists(coords, lambda part: F.exists(part, lambda ring: F.exists(ring, lambda v: v["z"].isNotNull())))
+
+
+def _collection(text: Column, srid: Column) -> Column:
+    """Geometry of a collection; null unless each member, each comma and each bracket is in its place.
+
+    The text is cut before each type's name. A piece that opens a collection goes one level down, the brackets that a
+    piece closes beyond its own go up. The work grows with members times nested collections.
+    """
+    whole = F.trim(F.regexp_replace(text, r"(?i)^\s*(?:SRID=\d{1,9};)?\s*", ""))
+    cut = F.split(whole, rf"(?i)(?=\b(?:GEOMETRYCOLLECTION|{_WKT_WORD})\b)")
+
+    def count(s, mark):
+        return F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
+
+    def piece(written, at):
+        bare = F.regexp_replace(written, r"\s*,?\s*$", "")
+        tail = F.regexp_extract(bare, r"[\s)]*+$", 0)
+        extra = count(bare, ")") - count(bare, "(")
+        own = F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.repeat(F.lit(")"), (count(tail, ")") - extra).cast("int")))
+        opens = written.rlike(r"(?i)^GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?\s*\(\s*$")
+        empty = own.rlike(r"(?i)^GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?\s*EMPTY\s*$")
+        nested = _geometry(srid, F.lit(COLLECTION), F.lit(False), F.array().cast(COORDS_TYPE))
+        read = (F.when(opens | empty, nested)
+                .when((extra >= 0) & (count(tail, ")") >= extra) & own.rlike(_WKT_SHAPE) & ~own.rlike(r"(?i)^\s*SRID"), _shape(own, srid)))
+        return F.struct(at.alias("at"), F.when(opens, F.lit(1)).otherwise(-extra).cast("int").alias("step"),
+                        written.rlike(r",\s*$").alias("comma"), opens.alias("opens"), read.alias("shape"))
+
+    def leveled(pieces):
+        turns = F.filter(pieces, lambda p: p["step"] != 0)
+        return F.transform(pieces, lambda p: F.struct(
+            p.alias("piece"),
+            F.aggregate(turns, F.lit(0), lambda level, t: F.when(t["at"] < p["at"], level + t["step"]).otherwise(level)).alias("depth")))
+
+    def built(found):
+        last = F.size(found) - 1
+
+        def in_place(f):
+            p = f["piece"]
+            end = p["at"] == last
+            after = f["depth"] + p["step"]
+            return (p["shape"].isNotNull() & F.when(end, after == 0).otherwise(after >= 1)
+                    & (p["comma"] == (~end & ~p["opens"])))
+
+        inner = F.slice(found, F.lit(2), F.greatest(last, F.lit(0)))
+        shapes = F.transform(inner, lambda f: f["piece"]["shape"]["coords"])
+        members = F.transform(inner, lambda f: F.struct(
+            f["depth"].alias("depth"), f["piece"]["shape"]["gtype"].alias("gtype"), F.size(f["piece"]["shape"]["coords"]).alias("parts")))
+        has_z = F.exists(inner, lambda f: f["piece"]["shape"]["has_z"])
+        return F.when(F.forall(found, in_place), _geometry(srid, F.lit(COLLECTION), has_z, F.flatten(shapes), members))
+
+    return _bind(F.transform(cut, piece), lambda pieces: _bind(leveled(pieces), built))
 
 
 def set_srid(geometry: Column, srid: int | None) -> Column:

@@ -30,7 +30,10 @@ GEOMETRY_COLUMN = "geometry"
 FAMILIES = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 
 GEOMETRY_DDL = ("struct<srid:int,gtype:string,has_z:boolean,"
-                "coords:array<array<array<struct<x:double,y:double,z:double>>>>>")
+                "coords:array<array<array<struct<x:double,y:double,z:double>>>>,"
+                "members:array<struct<depth:int,gtype:string,parts:int>>>")
+# A shapefile has no collections, so this list is null in each of its shapes.
+MEMBERS = pa.list_(pa.struct([("depth", pa.int32()), ("gtype", pa.string()), ("parts", pa.int32())]))
 
 
 def signed_area(xy: np.ndarray) -> float:
@@ -119,8 +122,9 @@ def geometry_array(shapes, srid: int | None) -> pa.Array:
         [pa.array([srid if s else None for s in shapes], pa.int32()),
          pa.array([s[0] if s else None for s in shapes], pa.string()),
          pa.array([s[1] if s else None for s in shapes], pa.bool_()),
-         level],
-        ["srid", "gtype", "has_z", "coords"], mask=pa.array(~present))
+         level,
+         pa.nulls(len(shapes), MEMBERS)],
+        ["srid", "gtype", "has_z", "coords", "members"], mask=pa.array(~present))
 
 
 def _texts(batches):

@@ -124,7 +124,10 @@ WKT = {
          [[(5, 5, None), (6, 5, None), (6, 6, None), (5, 5, None)], [(5.1, 5.1, None), (5.2, 5.1, None), (5.2, 5.2, None), (5.1, 5.1, None)]]]),
     "POINT M (1 2 3)": ("Point", False, [[[(1, 2, None)]]]), "POINT ZM (1 2 3 4)": ("Point", True, [[[(1, 2, 3)]]]),
     "LINESTRING (0 0, 1 1": None, "POINT (1 2 x)": None, "POINT (1)": None, "POLYGON (0 0, 1 1)": None, "POINT (1 2) x": None,
-    "LINESTRING ((0 0, 1 1))": None, "MULTIPOLYGON ((0 0,1 0,1 1,0 0))": None, "POINT EMPTY": None, "GEOMETRYCOLLECTION (POINT (1 2))": None,
+    "LINESTRING ((0 0, 1 1))": None, "MULTIPOLYGON ((0 0,1 0,1 1,0 0))": None, "POINT(1\t2\n)": ("Point", False, [[[(1, 2, None)]]]), "POINT (1e3 -.5E-2)": ("Point", False, [[[(1000, -0.005, None)]]]),
+    "LINESTRING M (0 0 1,1 1 2)": ("LineString", False, [[[(0, 0, None), (1, 1, None)]]]),
+    "POINT EMPTY": ("Point", False, []), "multipolygon z empty": ("MultiPolygon", False, []),
+    "POINT (1d 2)": None, "POINT (1 2 3 4 5)": None, "LINESTRING (0 0, 1 1,)": None, "MULTIPOINT ((1 2, 3 4))": None,
     "CIRCLE (1 2)": None, "POINT (a b)": None, "": None, None: None,
 }
 
@@ -139,6 +142,40 @@ def test_well_known_text(spark):
             assert (got["gtype"], got["has_z"], coords) == expected, text
 
 
+COLLECTIONS = {
+    "GEOMETRYCOLLECTION EMPTY": (False, 0, []),
+    "GEOMETRYCOLLECTION (POINT (1 2))": (False, 1, [(1, "Point", 1)]),
+    "geometrycollection z(POINT Z (1 2 3), LINESTRING (0 0,1 1) ,GEOMETRYCOLLECTION (POLYGON ((0 0,1 0,1 1,0 0)) , POINT EMPTY, "
+    "GEOMETRYCOLLECTION EMPTY ), MULTIPOINT ((1 1),(2 2)))  ": (True, 5, [
+        (1, "Point", 1), (1, "LineString", 1), (1, "GeometryCollection", 0), (2, "Polygon", 1), (2, "Point", 0),
+        (2, "GeometryCollection", 0), (1, "MultiPoint", 2)]),
+    "SRID=3003; GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (POINT (5 6))), POINT (2 2))": (False, 2, [
+        (1, "GeometryCollection", 0), (2, "GeometryCollection", 0), (3, "Point", 1), (1, "Point", 1)]),
+}
+NO_COLLECTIONS = [
+    "GEOMETRYCOLLECTION (POINT (1 2)", "GEOMETRYCOLLECTION (POINT (1 2)))", "GEOMETRYCOLLECTION (POINT (1 2)),", "GEOMETRYCOLLECTION (, POINT (1 2))",
+    "GEOMETRYCOLLECTION (POINT (1 2), )", "GEOMETRYCOLLECTION (POINT (1 2) POINT (1 2))", "GEOMETRYCOLLECTION ()", "GEOMETRYCOLLECTION (EMPTY)",
+    "GEOMETRYCOLLECTION (POINT (1 2)), POINT (3 4)", "GEOMETRYCOLLECTION (SRID=3;POINT (1 2))", "GEOMETRYCOLLECTION (POINT (1 1), (2 2))",
+    "GEOMETRYCOLLECTION (POINT (1 x))", "GEOMETRYCOLLECTION (POINT (1 2), CIRCLE (1 2))",
+]
+
+
+def test_collections(spark):
+    found = column(spark, [*COLLECTIONS, *NO_COLLECTIONS], geo.from_wkt)
+    for text, got, (has_z, n_parts, members) in zip(COLLECTIONS, found, COLLECTIONS.values()):
+        assert got["gtype"] == "GeometryCollection" and got["srid"] == (3003 if text.startswith("SRID") else 4326)
+        assert (got["has_z"], len(got["coords"]), [tuple(m) for m in got["members"]]) == (has_z, n_parts, members), text
+    assert not any(found[len(COLLECTIONS):])
+
+
+def test_long_texts(spark):
+    """Neither many vertices nor many members are too much for the patterns."""
+    ring = ", ".join(f"{i}.5 {i}" for i in range(50_000))
+    points = ", ".join(f"POINT ({i} {i})" for i in range(5000))
+    found = column(spark, [f"POLYGON (({ring}))", f"POLYGON (({ring})", f"GEOMETRYCOLLECTION ({points})"], geo.from_wkt)
+    assert len(found[0]["coords"][0][0]) == 50_000 and found[1] is None and len(found[2]["members"]) == 5000
+
+
 def test_reference_systems(spark):
     texts = ['PROJCS["a",GEOGCS["b",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32633"]]', "EPSG:3003", 'GEOGCS["x"]', None]
     assert column(spark, texts, geo.srid_from_crs) == [32633, 3003, None, None]
@@ -155,6 +192,8 @@ def test_layer_summary(spark):
     assert summary("POINT (1 2)", None) == (1, "Point", False, 32633)
     assert summary("POINT Z (1 2 3)", "MULTIPOINT Z ((1 2 3),(3 4 5))") == (2, "MultiPoint", True, 32633)
     assert summary("POINT (1 2)", "LINESTRING (1 1,2 2)") == (2, "Geometry", False, 32633)
+    assert summary("GEOMETRYCOLLECTION (POINT (1 2))", "GEOMETRYCOLLECTION EMPTY") == (2, "GeometryCollection", False, 32633)
+    assert summary("GEOMETRYCOLLECTION (POINT (1 2))", "POINT (1 2)") == (2, "Geometry", False, 32633)
     assert summary(None) == (0, None, None, None)
 
 
