@@ -280,6 +280,14 @@ def scan_shapefile(spark, sf_dir):
     return _shape_scalars(read, "kind", F.col("value").cast("decimal(14,3)").alias("value"))
 
 
+@check("scan_shapefile_without_index", f"""
+    SELECT event_id, {LON} AS x, {LAT} AS y, 32633 AS srid, 'Point' AS gtype, true AS has_z, value AS z, event_type AS kind FROM events""")
+def scan_shapefile_without_index(spark, sf_dir):
+    """Many byte ranges a file, none of which begins at a record."""
+    read = shapefile.read_shapefile(spark, b.point_files(spark, sf_dir, True), index="false", splitBytes=5_001)
+    return _shape_scalars(read, F.col("geometry")["coords"][0][0][0]["z"].alias("z"), "kind")
+
+
 @check("geom_type_z", f"""
     SELECT event_id, {LON} AS x, {LAT} AS y, 32632 AS srid, 'Point' AS gtype, true AS has_z, value AS z,
            1 AS n_vertices, 'geometry(PointZ,32632)' AS label FROM events""")

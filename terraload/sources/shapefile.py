@@ -1,7 +1,8 @@
-"""Shapefiles as a data source that splits by index range.
+"""Shapefiles as a data source that splits by index range, or by byte range where there is no index.
 
 The index says where each geometry lies and the attribute record has the same number, so a
-task joins the two by position and nothing is shuffled.
+task joins the two by position and nothing is shuffled. Without an index a task looks for the first
+record that starts in its bytes (``shape_scan``), and a record's own number says where its attributes lie.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terraload.functions import crs, names
 from terraload.functions import geometry as geo
-from terraload.sources import dbf, files
+from terraload.sources import dbf, files, shape_scan
 
 INDEX_HEADER = 100
 INDEX_RECORD = 8
@@ -158,7 +159,8 @@ def index_spans(handle, at: int, count: int) -> np.ndarray:
 class ShapefileSource(DataSource):
     """``spark.read.format("shapefile").load(path)``: text attributes, ``_deleted``, ``geometry``.
 
-    Options: ``columns``, ``encoding``, ``srid`` for all layers or ``srids`` (a JSON object by path without suffix), ``splitBytes``.
+    Options: ``columns``, ``encoding``, ``srid`` for all layers or ``srids`` (a JSON object by path without suffix), ``splitBytes``,
+    ``index`` (false: read all files without their indexes, as for damaged ones).
     The reader itself looks at no reference system; ``read_shapefile`` gives it the codes of the files'.
     """
 
@@ -202,62 +204,79 @@ class ShapefileReader(DataSourceReader):
         self.srid = int(options["srid"]) if options.get("srid") else None
         self.srids = json.loads(options.get("srids") or "{}")
         self.split_bytes = int(options.get("splitBytes", dbf.DEFAULT_SPLIT_BYTES))
+        self.use_index = str(options.get("index", "true")).lower() != "false"
 
     def partitions(self):
         # The index size tells the number of records, the shape file's what they weigh.
-        indexes = {p.lower()[:-4]: s for p, s in dbf.data_files(self.path_folder(), ".shx")}
-        counted = []
+        indexes = {p.lower()[:-4]: s for p, s in dbf.data_files(self.path_folder(), ".shx")} if self.use_index else {}
+        counted, bare = [], []
         for path, size in dbf.data_files(self.path, ".shp"):
             if path.lower()[:-4] not in indexes:
-                raise ValueError(f"{path} has no .shx index")
+                bare.append((path, size, 1))
+                continue
             n_records = (indexes[path.lower()[:-4]] - INDEX_HEADER) // INDEX_RECORD
             counted.append((path, n_records, size / max(n_records, 1)))
-        return [InputPartition(p) for p in files.pack_ranges(counted, self.split_bytes)]
+        return [InputPartition((indexed, pack)) for indexed, lengths in ((True, counted), (False, bare))
+                for pack in files.pack_ranges(lengths, self.split_bytes)]
 
     def path_folder(self) -> str:
         return self.path.rsplit("/", 1)[0] if self.path.lower().endswith(".shp") else self.path
 
     def read(self, partition):
-        for path, first, last in partition.value:
+        indexed, ranges = partition.value
+        for path, first, last in ranges:
             srid = self.srid if self.srid is not None else self.srids.get(path[:-4])
             side = files.sibling(path, ".dbf")
-            index = files.sibling(path, ".shx")
-            with files.open_input(path) as shapes, files.open_input(index) as offsets:
+            with files.open_input(path) as shapes:
                 table = files.open_input(side) if side else None
                 try:
                     layout = dbf.read_layout(table) if table else None
                     encoding = self.encoding or (dbf.declared_encoding(path, layout) if layout else None)
                     if layout:
                         dbf.check_columns(path, layout, self.columns)
-                    for at in range(first, last, CHUNK_RECORDS):
-                        spans = index_spans(offsets, at, min(CHUNK_RECORDS, last - at))
+                    for at, spans in self.spans(path, shapes, first, last) if indexed else shape_scan.owned_spans(path, shapes, first, last, CHUNK_RECORDS):
                         # Cut where the shapes so far would fill another chunk.
                         chunk = np.cumsum(spans[:, 1]) // CHUNK_BYTES
                         for piece in np.split(spans, np.flatnonzero(np.diff(chunk)) + 1):
-                            yield self.batch(shapes, table, layout, at, piece, srid, encoding)
+                            yield self.batch(path, shapes, table, layout, at, piece, srid, encoding)
                             at += len(piece)
                 finally:
                     if table:
                         table.close()
 
-    def batch(self, shapes, table, layout, at, spans, srid, encoding):
+    def spans(self, path, shapes, first, last):
+        with files.open_input(files.sibling(path, ".shx")) as offsets:
+            for at in range(first, last, CHUNK_RECORDS):
+                yield at, index_spans(offsets, at, min(CHUNK_RECORDS, last - at))
+
+    def batch(self, path, shapes, table, layout, at, spans, srid, encoding):
         count = len(spans)
         start = int(spans[:, 0].min())
         stretch = int((spans[:, 0] + spans[:, 1]).max()) + 8 - start
         if stretch <= 2 * int((spans[:, 1] + 8).sum()):
             block = files.read_range(shapes, start, stretch)
-            parsed = [parse_shape(block[o - start + 8:o - start + 8 + n]) for o, n in spans.tolist()]
+            records = (block[o - start:o - start + 8 + n] for o, n in spans.tolist())
         else:  # records of an edited file may lie far apart
-            parsed = [parse_shape(files.read_range(shapes, o + 8, n)) for o, n in spans.tolist()]
+            records = (files.read_range(shapes, o, n + 8) for o, n in spans.tolist())
+        parsed = [parse_shape(checked_content(path, record, n)) for record, n in zip(records, spans[:, 1].tolist())]
         if layout:
-            records = files.read_range(
+            rows = files.read_range(
                 table, layout.header_bytes + at * layout.record_bytes, count * layout.record_bytes)
-            arrays, deleted = dbf.cut_records(records, layout, self.columns, encoding)
+            if len(rows) < count * layout.record_bytes:
+                raise ValueError(f"{path} has more shapes than rows of attributes")
+            arrays, deleted = dbf.cut_records(rows, layout, self.columns, encoding)
         else:
             arrays, deleted = [], np.zeros(count, bool)
         return pa.RecordBatch.from_arrays([*arrays, pa.array(deleted), geometry_array(parsed, srid)], self.names)
 
 
+def checked_content(path: str, record: bytes, length: int) -> bytes:
+    """What a record holds; an error where its own header tells another length than the index."""
+    if len(record) != length + 8 or int.from_bytes(record[4:8], "big") * 2 != length:
+        raise ValueError(f"the index of {path} does not fit its records; read it with index=false")
+    return record[8:]
+
+
 def read_shapefile(spark: SparkSession, path: str, group_id: str | None = None, srid: int | None = None,
                    columns: list[str] | None = None, doubles: list[str] | None = None, **options) -> DataFrame:
     """Layer with typed attributes; ``srid`` replaces the file's reference system."""

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import random
+import struct
 
 import pyarrow as pa
 import pytest
@@ -180,9 +181,8 @@ def test_shapefile_without_sidecars(spark, folder):
     write_shapefile(folder, "bare", [(1, [[(1, 2)]])], srid=None)
     df = shapefile.read_shapefile(spark, str(folder / "bare.shp"))
     assert df.columns == ["geometry"] and df.first()["geometry"]["srid"] is None
-    write_shapefile(folder, "noindex", [(1, [[(1, 2)]])], index=False)
-    with pytest.raises(Exception, match="no .shx index"):
-        shapefile.read_shapefile(spark, str(folder / "noindex.shp")).collect()
+    write_shapefile(folder, "noindex", [(1, [[(1, 2)]])], ID, [[b"1"]], index=False)
+    assert shapes_of(shapefile.read_shapefile(spark, str(folder / "noindex.shp"))) == [("Point", False, [[1]])]
     write_shapefile(folder, "null", [(0, None)], ID, [[b"1"]])
     assert not shapefile.has_geometry(shapefile.read_shapefile(spark, str(folder / "null.shp")))
 
@@ -210,6 +210,86 @@ def test_shapefile_splits_in_spark(spark, folder, split):
     assert found == [(i, float(i), 2 + i % 5) for i in range(300)]
 
 
+def read_apart(folder, split, **options):
+    """Rows without Spark, sorted by their number."""
+    reader = shapefile.ShapefileReader({"path": str(folder), "splitBytes": str(split), **options}, ["id", "_deleted", "geometry"])
+    found = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    return sorted(((int(r["id"]), r["geometry"]) for r in found), key=lambda r: r[0])
+
+
+BARE_SHAPES = {
+    "points": [(1, [[(i, -i)]]) if i % 7 else (0, None) for i in range(200)],
+    "points_z": [(11, [[(i, -i, 7)]]) for i in range(200)],
+    "lines": [(3, [[(i, i), (i + 1, i)] + [(i, j) for j in range(i % 50)]]) if i % 11 else (0, None) for i in range(200)],
+    "areas_z": [(15, [[(x + i, y, i) for x, y in SQUARE], [(x + i, y, i) for x, y in HOLE]]) for i in range(100)],
+    "many": [(8, [[(i, j) for j in range(1 + i % 9)]]) for i in range(100)],
+    "one": [(1, [[(1, 2)]])],
+}
+
+
+@pytest.mark.parametrize("split", [40, 130, 1001, 9000, 1 << 20])
+@pytest.mark.parametrize("kind", BARE_SHAPES)
+def test_shapefile_without_index_gives_the_same_rows(folder, kind, split):
+    shapes = BARE_SHAPES[kind]
+    write_shapefile(folder, "a", shapes, ID, [[str(i).encode()] for i in range(len(shapes))])
+    expected = read_apart(folder, 1 << 20)
+    assert len(expected) == len(shapes)
+    assert repr(read_apart(folder, split, index="false")) == repr(expected)
+    (folder / "bare").mkdir()
+    write_shapefile(folder / "bare", "a", shapes, ID, [[str(i).encode()] for i in range(len(shapes))], index=False)
+    assert repr(read_apart(folder / "bare", split)) == repr(expected)
+
+
+def test_shapefile_without_index_windows(folder, monkeypatch):
+    """Starts and headers on both sides of what is looked through at a time."""
+    from terraload.sources import shape_scan
+    shapes = BARE_SHAPES["lines"]
+    write_shapefile(folder, "a", shapes, ID, [[str(i).encode()] for i in range(len(shapes))])
+    expected = repr(read_apart(folder, 1 << 20))
+    for window in (4, 64, 1000):
+        monkeypatch.setattr(shape_scan, "WINDOW", window)
+        assert repr(read_apart(folder, 777, index="false")) == expected
+
+
+def test_shapefile_without_index_refuses_what_is_in_doubt(folder):
+    """Records inside a record, a gap, a wrong number, a short file: never wrong rows, never fewer."""
+    inner = b"".join(struct.pack(">ii", n, 10) + struct.pack("<idd", 1, n, n) for n in range(2, 14))
+    inner += b"\0" * (-len(inner) % 16)
+    fake = [struct.unpack_from("<dd", inner, k) for k in range(0, len(inner), 16)]
+    shapes = [(8, [[(1, 1)] * 5]), (8, [fake]), (8, [[(1, 1)] * 5])]
+    rows = [[str(i).encode()] for i in range(len(shapes))]
+    write_shapefile(folder, "a", shapes, ID, rows)
+    # Points inside a file of multipoints are no records of it.
+    assert len(read_apart(folder, 100, index="false")) == 3
+    record = struct.pack("<i4di2d", 8, 0, 0, 0, 0, 1, 0, 0)
+    inner = b"".join(struct.pack(">ii", n, len(record) // 2) + record for n in range(2, 20))
+    inner += b"\0" * (-len(inner) % 16)
+    shapes[1] = (8, [[struct.unpack_from("<dd", inner, k) for k in range(0, len(inner), 16)]])
+    write_shapefile(folder, "a", shapes, ID, rows)
+    assert len(read_apart(folder, 1 << 20, index="false")) == 3
+    with pytest.raises(ValueError, match="in doubt"):
+        read_apart(folder, 300, index="false")
+    assert len(read_apart(folder, 300)) == 3
+
+    write_shapefile(folder, "a", BARE_SHAPES["points"], ID, [[str(i).encode()] for i in range(200)])
+    whole = (folder / "a.shp").read_bytes()
+    for damaged in (whole[:-5], whole[:1000] + struct.pack(">i", 7) * 10 + whole[1040:]):
+        (folder / "a.shp").write_bytes(damaged)
+        for split in (130, 1 << 20):
+            with pytest.raises(ValueError):
+                read_apart(folder, split, index="false")
+
+
+def test_damaged_shapefile_index_is_found_out(folder):
+    write_shapefile(folder, "a", BARE_SHAPES["lines"], ID, [[str(i).encode()] for i in range(200)])
+    index = bytearray((folder / "a.shx").read_bytes())
+    index[100 + 8 * 50:104 + 8 * 50] = struct.pack(">i", 54)
+    (folder / "a.shx").write_bytes(index)
+    with pytest.raises(ValueError, match="does not fit"):
+        read_apart(folder, 1 << 20)
+    assert len(read_apart(folder, 1000, index="false")) == 200
+
+
 # Workbooks.
 
 
