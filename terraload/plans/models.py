@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,11 +61,13 @@ def run_sql_model(spark: SparkSession, code: str | dict[str, str], tables: dict[
                   params: dict | None = None) -> dict[str, DataFrame]:
     """Run SQL over tables known by name; several outputs run in order and see earlier ones.
 
-    ``%name%`` stands for a value and is bound, never pasted.
+    ``%name%`` stands for a value and is bound, never pasted. Temporary views of the caller with the same names are
+    put aside meanwhile and are there again afterwards, also when the SQL fails.
     """
     steps = {RESULT: code} if isinstance(code, str) else code
     outputs: dict[str, DataFrame] = {}
     views: list[str] = []
+    aside = _temporary_views(spark, [*tables, *steps])
     try:
         for name, table in tables.items():
             table.createOrReplaceTempView(quote_name(name))
@@ -77,9 +80,24 @@ def run_sql_model(spark: SparkSession, code: str | dict[str, str], tables: dict[
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
+        for name, view in aside.items():
+            view.createOrReplaceTempView(quote_name(name))
     return outputs
 
 
+def _temporary_views(spark: SparkSession, wanted: list[str]) -> dict[str, DataFrame]:
+    """The session's temporary views among some names."""
+    found = {}
+    for name in wanted:
+        try:
+            known = spark.catalog.getTable(quote_name(name))
+        except AnalysisException:  # no table or view has the name
+            continue
+        if known.isTemporary:
+            found[name] = spark.table(quote_name(name))
+    return found
+
+
 class ModelStore:
     """Models of one registry schema; functions are known to the session that registers them."""
 

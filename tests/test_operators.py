@@ -263,6 +263,19 @@ def test_sql_models(spark):
         models.write_outputs(spark, {}, {"x": "t"}, "g")
 
 
+def test_sql_models_leave_the_callers_views(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    try:
+        inner = {"mine": spark.range(10), "other": spark.range(4)}
+        out = models.run_sql_model(spark, "SELECT count(*) AS n FROM mine, other", inner)
+        assert out[models.RESULT].first()["n"] == 40 and spark.table("mine").count() == 3
+        with pytest.raises(Exception):
+            models.run_sql_model(spark, "SELECT nothing FROM mine", inner)
+        assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+    finally:
+        spark.catalog.dropTempView("mine")
+
+
 def test_model_store(spark, schema):
     registry.create_registries(spark, schema)
     sinks.replace_table(spark.range(4), schema, "nums")
