@@ -340,3 +340,16 @@ def test_files_go_with_the_last_upload_that_owns_them(spark, schema, folder):
     (folder / "a").mkdir()
     (folder / "a/1.csv").write_text("again")
     assert remove(upload("a", ["a/1.csv"])) == (1, 1)
+
+
+def test_layer_names_are_not_broadcast(spark):
+    """Small files may hold long names, so no size that Spark knows lets them go through the driver."""
+    req = spark.createDataFrame([("g", n) for n in NAMES], "group_id string, name string")
+    for kept in (layers.new_layers(req, req.limit(2)), layers.delete_layers(req, req.limit(2))):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_many_layer_groups(spark, monkeypatch):
+    monkeypatch.setattr(layers, "FEW_GROUPS", 0)
+    assert groups_of(spark, [*NAMES, "meta"], ["hill_deep"]) == expected_groups([*NAMES, "meta"], ["hill_deep"])
