@@ -14,6 +14,8 @@ from terraload.sources.tables import scan_table, table_exists
 
 DEFAULT_KEY = ("id",)
 TENANT = "group_id"
+# Rows of both sides that one task of an upsert joins.
+ROWS_PER_TASK = 500_000
 
 
 class DuplicateKeyError(ValueError):
@@ -194,6 +196,25 @@ def tenant_key(key: Sequence[str], target: Sequence[str], batch: Sequence[str])
     return [*key, TENANT] if both and TENANT not in key else list(key)
 
 
+def sized_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session with the caller's settings whose joins have as many partitions as so many rows need.
+
+    A join's task holds what it sorts. A fixed number of partitions would let it grow with the table, and so would merging
+    partitions by their compressed bytes, which say little about rows.
+    """
+    needed = -(-rows // ROWS_PER_TASK)
+    if needed <= 1:
+        return spark
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", max(needed, min(usual, 4 * needed)))
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return session
+
+
 def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DEFAULT_KEY) -> None:
     """Upsert into a stored table.
 
@@ -208,8 +229,10 @@ def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DE
     batch_table = passing_name()
     _write_new(df, schema, batch_table)
     try:
-        batch = scan_table(spark, schema, batch_table)
-        target = scan_table(spark, schema, table)
+        n_stored = scan_table(spark, schema, table).count()
+        session = sized_session(spark, n_stored + scan_table(spark, schema, batch_table).count())
+        batch = scan_table(session, schema, batch_table)
+        target = scan_table(session, schema, table)
         key = tenant_key(key, target.columns, batch.columns)
         check_unique(batch, key)
         partitions = partition_columns(spark, schema, table)
@@ -217,9 +240,11 @@ def append_table(df: DataFrame, schema: str, table: str, key: Sequence[str] = DE
             merged = upsert(touched_partitions(target, batch, partitions), batch, key)
             overwrite_partitions(merged, schema, table, partitions)
         else:
-            swap_table(upsert(target, batch, key), schema, table, target.count(), partitions)
+            swap_table(upsert(target, batch, key), schema, table, n_stored, partitions)
     finally:
         drop_table(spark, schema, batch_table)
+        # The caller's session has not seen that the table was written.
+        spark.catalog.refreshTable(quote_name(schema, table))
 
 
 def effective_mode(spark: SparkSession, schema: str, table: str, mode: str) -> str:

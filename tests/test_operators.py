@@ -353,3 +353,20 @@ def test_layer_names_are_not_broadcast(spark):
 def test_many_layer_groups(spark, monkeypatch):
     monkeypatch.setattr(layers, "FEW_GROUPS", 0)
     assert groups_of(spark, [*NAMES, "meta"], ["hill_deep"]) == expected_groups([*NAMES, "meta"], ["hill_deep"])
+
+
+def test_upsert_by_rows_per_task(spark, schema, monkeypatch):
+    """More rows take more partitions; the caller's session sees the new table and keeps its settings."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    assert sinks.sized_session(spark, sinks.ROWS_PER_TASK) is spark
+    sized = sinks.sized_session(spark, 100 * sinks.ROWS_PER_TASK)
+    assert sized.conf.get("spark.sql.shuffle.partitions") == "100" and sized.conf.get("spark.sql.session.timeZone") == "UTC"
+    monkeypatch.setattr(sinks, "ROWS_PER_TASK", 3)
+    for partition_by in ((), ("group_id",)):
+        table = f"t{len(partition_by)}"
+        sinks.load_table(spark.range(20).selectExpr("id", "'g' AS group_id", "'old' AS a"), schema, table, partition_by=partition_by)
+        assert tables.scan_table(spark, schema, table).count() == 20
+        sinks.load_table(spark.range(10, 30).selectExpr("id", "'g' AS group_id", "'new' AS a"), schema, table, "append")
+        found = rows(tables.scan_table(spark, schema, table).select("id", "a"), "id")
+        assert found == [(i, "old" if i < 10 else "new") for i in range(30)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual
