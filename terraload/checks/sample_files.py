@@ -1,4 +1,7 @@
-"""Writes geographic and tabular files from the given tables, one file per partition, in tasks."""
+"""Writes geographic and tabular files from the given tables, in tasks.
+
+A partition makes one file, or several where it has more rows or bytes than a task should hold.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 from terraload.sources import files
 
 POINT, POINT_Z = 1, 11
+# Bytes that a task holds for one file, and entries of one archive; a partition with more goes on with another file.
+FILE_BYTES = 128 << 20
+FILE_ENTRIES = 65_535
 
 
 def dbf_record(fields: list[tuple[str, str, int, int]], values: list[Column], deleted: Column) -> Column:
@@ -37,58 +43,88 @@ def dbf_header(fields, n_records: int, language: int = 0) -> bytes:
     return head + b"\r"
 
 
-def _write_tasks(df: DataFrame, write) -> int:
-    """Call ``write(part number, batches)`` in every partition; returns the rows written."""
+def _file_tables(batches, file_bytes: int):
+    """Tables of at most so many bytes, or of one row that is longer."""
+    held, n_bytes = [], 0
+    for batch in batches:
+        # Batches of long rows are cut, so that they fill a file well.
+        step = max(1, batch.num_rows * file_bytes // max(8 * batch.nbytes, 1))
+        for piece in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+            if held and n_bytes + piece.nbytes > file_bytes:
+                yield pa.Table.from_batches(held)
+                held, n_bytes = [], 0
+            held.append(piece)
+            n_bytes += piece.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _write_tasks(df: DataFrame, write, file_bytes: int = FILE_BYTES) -> int:
+    """Call ``write(part, table)`` in every partition, the part being its number, for further files of it with another behind; returns the rows written."""
     def task(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            write(TaskContext.get().partitionId(), pa.Table.from_batches(held))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in held)], pa.int64())})
+        part, n = TaskContext.get().partitionId(), 0
+        for k, table in enumerate(_file_tables(batches, file_bytes)):
+            write(f"{part}_{k}" if k else f"{part}", table)
+            n += table.num_rows
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return df.mapInArrow(task, "n long").agg(F.sum("n")).first()[0]
 
 
-def write_dbf(df: DataFrame, fields, path: str, encoding: str = "latin-1", language: int = 0, cpg: str | None = None) -> int:
+def write_dbf(df: DataFrame, fields, path: str, encoding: str = "latin-1", language: int = 0, cpg: str | None = None,
+              file_bytes: int = FILE_BYTES) -> int:
     """``df`` has a column ``record``; the encoding may be told by the header's mark or a file beside the table."""
     def write(part, table):
-        records = table.column("record").to_pylist()
         with files.publish_file(f"{path}/table_{part}.dbf") as out:
-            out.write(dbf_header(fields, len(records), language) + "".join(records).encode(encoding) + b"\x1a")
+            out.write(dbf_header(fields, table.num_rows, language))
+            _write_records(out, table, encoding)
         if cpg is not None:
             with files.publish_file(f"{path}/table_{part}.cpg") as out:
                 out.write(cpg.encode())
 
-    return _write_tasks(df.select("record"), write)
+    return _write_tasks(df.select("record"), write, file_bytes)
+
 
+def _write_records(out, table, encoding: str) -> None:
+    for batch in table.to_batches():
+        out.write("".join(batch.column("record").to_pylist()).encode(encoding))
+    out.write(b"\x1a")
 
-def write_points(df: DataFrame, fields, path: str, srid: int, with_z: bool) -> int:
+
+def write_points(df: DataFrame, fields, path: str, srid: int, with_z: bool, file_bytes: int = FILE_BYTES) -> int:
     """``df`` has the columns ``x``, ``y``, ``z`` and ``record``."""
     code = POINT_Z if with_z else POINT
     length = 36 if with_z else 20  # bytes of one record's content
     kind = np.dtype([("no", ">i4"), ("len", ">i4"), ("code", "<i4"), ("xy", "<f8", 2)] + ([("zm", "<f8", 2)] if with_z else []))
 
+    def shapes(out, table):
+        out.write(shape_header(100 + table.num_rows * kind.itemsize, code))
+        first = 1
+        for batch in table.to_batches():
+            rows = np.zeros(batch.num_rows, kind)
+            rows["no"], rows["len"], rows["code"] = np.arange(first, first + len(rows)), length // 2, code
+            rows["xy"][:, 0], rows["xy"][:, 1] = (batch.column(c).to_numpy(zero_copy_only=False) for c in "xy")
+            if with_z:
+                rows["zm"][:, 0] = batch.column("z").to_numpy(zero_copy_only=False)
+            out.write(rows.tobytes())
+            first += len(rows)
+
+    def index(out, table):
+        rows = np.zeros(table.num_rows, np.dtype([("at", ">i4"), ("len", ">i4")]))
+        rows["at"], rows["len"] = 50 + np.arange(len(rows)) * ((length + 8) // 2), length // 2
+        out.write(shape_header(100 + rows.nbytes, code) + rows.tobytes())
+
+    def attributes(out, table):
+        out.write(dbf_header(fields, table.num_rows))
+        _write_records(out, table, "latin-1")
+
     def write(part, table):
-        n = table.num_rows
-        shapes = np.zeros(n, kind)
-        shapes["no"], shapes["len"], shapes["code"] = np.arange(1, n + 1), length // 2, code
-        shapes["xy"][:, 0], shapes["xy"][:, 1] = table.column("x").to_numpy(), table.column("y").to_numpy()
-        if with_z:
-            shapes["zm"][:, 0] = table.column("z").to_numpy()
-        index = np.zeros(n, np.dtype([("at", ">i4"), ("len", ">i4")]))
-        index["at"], index["len"] = 50 + np.arange(n) * ((length + 8) // 2), length // 2
-        stem = f"{path}/points_{part}"
-        records = "".join(table.column("record").to_pylist()).encode("latin-1")
-        parts = {
-            ".shp": shape_header(100 + shapes.nbytes, code) + shapes.tobytes(),
-            ".shx": shape_header(100 + index.nbytes, code) + index.tobytes(),
-            ".dbf": dbf_header(fields, n) + records + b"\x1a",
-            ".prj": crs_text(srid).encode(),
-        }
+        parts = {".shp": shapes, ".shx": index, ".dbf": attributes, ".prj": lambda out, _: out.write(crs_text(srid).encode())}
         for suffix, content in parts.items():
-            with files.publish_file(stem + suffix) as out:
-                out.write(content)
+            with files.publish_file(f"{path}/points_{part}{suffix}") as out:
+                content(out, table)
 
-    return _write_tasks(df.select("x", "y", "z", "record"), write)
+    return _write_tasks(df.select("x", "y", "z", "record"), write, file_bytes)
 
 
 def shape_header(n_bytes: int, code: int) -> bytes:
@@ -130,14 +166,31 @@ def projection_text(system: tuple, dialect: str, turn: int = 0) -> str:
             f'{"" if desktop else order}{extension}]')
 
 
-def write_zips(df: DataFrame, path: str) -> int:
-    """``df`` has the columns ``entry`` and ``content`` (text)."""
-    def write(part, table):
-        with files.publish_file(f"{path}/archive_{part}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for entry, content in zip(table.column("entry").to_pylist(), table.column("content").to_pylist()):
-                z.writestr(entry, content.encode())
+def write_zips(df: DataFrame, path: str, file_entries: int = FILE_ENTRIES) -> int:
+    """``df`` has the columns ``entry`` and ``content`` (text). Entries are written as they come; a task holds an archive's directory."""
+    def archives(batches):
+        """Pieces of batches, with the number of their archive in this partition."""
+        k, room = 0, file_entries
+        for batch in batches:
+            while batch.num_rows:
+                if not room:
+                    k, room = k + 1, file_entries
+                piece = batch.slice(0, min(room, 1000))
+                yield k, piece
+                batch, room = batch.slice(piece.num_rows), room - piece.num_rows
+
+    def task(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for k, pieces in groupby(archives(batches), lambda piece: piece[0]):
+            name = f"archive_{part}_{k}" if k else f"archive_{part}"
+            with files.publish_file(f"{path}/{name}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, piece in pieces:
+                    for entry, content in zip(piece.column("entry").to_pylist(), piece.column("content").to_pylist()):
+                        z.writestr(entry, content.encode())
+                    n += piece.num_rows
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return _write_tasks(df.select("entry", "content"), write)
+    return df.select("entry", "content").mapInArrow(task, "n long").agg(F.sum("n")).first()[0]
 
 
 def write_texts(df: DataFrame, path: str) -> int:
