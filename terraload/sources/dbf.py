@@ -165,7 +165,7 @@ class DbfReader(DataSourceReader):
 
     def partitions(self):
         found = [(path, size, 1) for path, size in data_files(self.path, ".dbf")]
-        return [InputPartition(p) for p in files.pack_ranges(found, self.split_bytes)]
+        return [InputPartition(p) for p in files.task_packs(files.pack_ranges(found, self.split_bytes), self.split_bytes)]
 
     def read(self, partition):
         for path, start, end in partition.value:

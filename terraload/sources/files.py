@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from itertools import batched
 
 from pyarrow import fs
 
+# Bytes that a task takes where a reader's ranges are shorter.
+TASK_BYTES = 1 << 20
+
 
 def resolve(path: str):
     """Split a Spark path into a file system and the path inside it."""
@@ -113,3 +117,11 @@ def pack_ranges(lengths: list[tuple[str, int, float]], limit: int) -> list[list[
     if current:
         packs.append(current)
     return packs
+
+
+def task_packs(packs: list[list[tuple[str, int, int]]], limit: int) -> list[list[tuple[str, int, int]]]:
+    """Packs of ``limit`` bytes put together for tasks of about ``TASK_BYTES``; the ranges in them stay as they are.
+
+    A task takes longer to start than to read many short ranges, so short ranges must not each be a task.
+    """
+    return [[r for pack in group for r in pack] for group in batched(packs, max(1, TASK_BYTES // max(limit, 1)))]

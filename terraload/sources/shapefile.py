@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -217,14 +218,14 @@ class ShapefileReader(DataSourceReader):
             n_records = (indexes[path.lower()[:-4]] - INDEX_HEADER) // INDEX_RECORD
             counted.append((path, n_records, size / max(n_records, 1)))
         return [InputPartition((indexed, pack)) for indexed, lengths in ((True, counted), (False, bare))
-                for pack in files.pack_ranges(lengths, self.split_bytes)]
+                for pack in files.task_packs(files.pack_ranges(lengths, self.split_bytes), self.split_bytes)]
 
     def path_folder(self) -> str:
         return self.path.rsplit("/", 1)[0] if self.path.lower().endswith(".shp") else self.path
 
     def read(self, partition):
         indexed, ranges = partition.value
-        for path, first, last in ranges:
+        for path, own in groupby(ranges, lambda r: r[0]):
             srid = self.srid if self.srid is not None else self.srids.get(path[:-4])
             side = files.sibling(path, ".dbf")
             with files.open_input(path) as shapes:
@@ -234,12 +235,13 @@ class ShapefileReader(DataSourceReader):
                     encoding = self.encoding or (dbf.declared_encoding(path, layout) if layout else None)
                     if layout:
                         dbf.check_columns(path, layout, self.columns)
-                    for at, spans in self.spans(path, shapes, first, last) if indexed else shape_scan.owned_spans(path, shapes, first, last, CHUNK_RECORDS):
-                        # Cut where the shapes so far would fill another chunk.
-                        chunk = np.cumsum(spans[:, 1]) // CHUNK_BYTES
-                        for piece in np.split(spans, np.flatnonzero(np.diff(chunk)) + 1):
-                            yield self.batch(path, shapes, table, layout, at, piece, srid, encoding)
-                            at += len(piece)
+                    for _, first, last in own:
+                        for at, spans in self.spans(path, shapes, first, last) if indexed else shape_scan.owned_spans(path, shapes, first, last, CHUNK_RECORDS):
+                            # Cut where the shapes so far would fill another chunk.
+                            chunk = np.cumsum(spans[:, 1]) // CHUNK_BYTES
+                            for piece in np.split(spans, np.flatnonzero(np.diff(chunk)) + 1):
+                                yield self.batch(path, shapes, table, layout, at, piece, srid, encoding)
+                                at += len(piece)
                 finally:
                     if table:
                         table.close()

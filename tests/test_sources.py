@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from writers import workbook, write_dbf, write_shapefile, zip_of
 
-from terraload.sources import archive, dbf, delimited, quoted, shapefile, xlsx
+from terraload.sources import archive, dbf, delimited, files, quoted, shapefile, xlsx
 
 # Delimited text.
 
@@ -240,6 +240,20 @@ def test_shapefile_without_index_gives_the_same_rows(folder, kind, split):
     assert repr(read_apart(folder / "bare", split)) == repr(expected)
 
 
+def test_short_ranges_share_tasks(folder):
+    """As many tasks as bytes need; the ranges stay as short as they were asked for."""
+    shapes = BARE_SHAPES["points_z"]
+    write_shapefile(folder, "a", shapes, ID, [[str(i).encode()] for i in range(len(shapes))])
+    for index in ("true", "false"):
+        parts = shapefile.ShapefileReader({"path": str(folder), "splitBytes": "130", "index": index}, ["id", "_deleted", "geometry"]).partitions()
+        assert len(parts) == 1 and len(parts[0].value[1]) > 50
+    parts = dbf.DbfReader({"path": str(folder), "splitBytes": "13"}, ["id"]).partitions()
+    assert len(parts) == 1 and len(parts[0].value) > 50
+    packs = [[("a", i, i + 1)] for i in range(10)]
+    assert files.task_packs(packs, files.TASK_BYTES // 4) == [sum(packs[:4], []), sum(packs[4:8], []), sum(packs[8:], [])]
+    assert files.task_packs(packs, files.TASK_BYTES) == packs
+
+
 def test_shapefile_without_index_windows(folder, monkeypatch):
     """Starts and headers on both sides of what is looked through at a time."""
     from terraload.sources import shape_scan
