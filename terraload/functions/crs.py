@@ -72,10 +72,13 @@ def _plain(name: Column) -> Column:
 
 
 def _one_of(name: Column, names: dict[str, tuple[str, ...]]) -> Column:
-    found = F.lit(None).cast("string")
-    for known, spellings in names.items():
-        found = F.when(name.isin(*spellings), known).otherwise(found)
-    return found
+    known = F.create_map(*[F.lit(v) for kind, spellings in names.items() for spelling in spellings for v in (spelling, kind)])
+    return F.try_element_at(known, name)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)``, for which the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _rounded(value: Column, places: int) -> Column:
@@ -90,32 +93,42 @@ def crs_parameters(crs: Column) -> Column:
     the horizontal system are not looked at. ``axes`` is ``EN`` or ``NE`` where the text tells.
     """
     text = F.regexp_replace(crs, r"(?is),\s*VERT_?C(?:S|RS)\s*[\[(].*$", "")
+    return _with(text, lambda t: _with(_found_in(t), _parameters))
+
+
+def _found_in(text: Column) -> Column:
+    """What each pattern finds in a text, once for all its uses."""
     first = lambda pattern, group=1: F.regexp_extract(text, f"(?i){pattern}", group)
     every = lambda pattern, group=1: F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(group))
-    root = F.upper(first(r'^\s*(?:(?:COMPD_CS|COMPOUNDCRS)\s*[\[(]\s*"[^"]*"\s*,\s*)?([A-Z_]+)'))
-    projected = root.isin("PROJCS", "PROJCRS", "PROJECTEDCRS")
-    geographic = root.isin("GEOGCS", "GEOGCRS", "GEOGRAPHICCRS", "GEODCRS", "GEODETICCRS")
-    datum = _one_of(F.regexp_replace(_plain(first(rf'\b(?:DATUM|GEODETICDATUM|TRF|ENSEMBLE){_OPEN}([^"]*)"')), "^d(?!atum)", ""), DATUMS)
-    angle = F.coalesce(first(rf'\b(?:ANGLE)?UNIT{_OPEN}(?:{ANGLES})[^"]*"\s*,\s*{_NUMBER}').try_cast("double"), F.lit(math.radians(1)))
-    turn = F.round(angle / math.radians(1), 7)
-    meridian = F.coalesce(first(rf'\bPRIM(?:EM|EMERIDIAN){_OPEN}[^"]*"\s*,\s*{_NUMBER}').try_cast("double"), F.lit(0.0))
-    lengths = every(rf'\b(?:LENGTH)?UNIT{_OPEN}(?!{ANGLES}|unity)[^"]*"\s*,\s*{_NUMBER}')
-    unit = F.when(projected, F.coalesce(F.try_element_at(lengths, F.lit(-1)).try_cast("double"), F.lit(1.0))).otherwise(F.lit(1.0))
     entry = rf'\bPARAMETER{_OPEN}([^"]*)"\s*,\s*{_NUMBER}'
-    names, values = F.transform(every(entry), _plain), every(entry, 2)
+    return F.struct(
+        F.upper(first(r'^\s*(?:(?:COMPD_CS|COMPOUNDCRS)\s*[\[(]\s*"[^"]*"\s*,\s*)?([A-Z_]+)')).alias("root"),
+        _one_of(F.regexp_replace(_plain(first(rf'\b(?:DATUM|GEODETICDATUM|TRF|ENSEMBLE){_OPEN}([^"]*)"')), "^d(?!atum)", ""), DATUMS).alias("datum"),
+        first(rf'\b(?:ANGLE)?UNIT{_OPEN}(?:{ANGLES})[^"]*"\s*,\s*{_NUMBER}').try_cast("double").alias("angle"),
+        first(rf'\bPRIM(?:EM|EMERIDIAN){_OPEN}[^"]*"\s*,\s*{_NUMBER}').try_cast("double").alias("meridian"),
+        F.try_element_at(every(rf'\b(?:LENGTH)?UNIT{_OPEN}(?!{ANGLES}|unity)[^"]*"\s*,\s*{_NUMBER}'), F.lit(-1)).try_cast("double").alias("length"),
+        F.transform(every(entry), _plain).alias("names"), every(entry, 2).alias("values"),
+        _one_of(_plain(first(rf'\b(?:PROJECTION|METHOD){_OPEN}([^"]*)"')), PROJECTIONS).alias("method"),
+        # The sphere of web maps is told by an extension where the projection's name is that of the ellipsoid's.
+        text.rlike(r"(?i)EXTENSION\s*[\[(]\s*\"PROJ4\"[^\]]*\+a=6378137 [^\]]*\+b=6378137[ .]").alias("sphere"),
+        F.transform(every(rf'\bAXIS{_OPEN}[^"]*"\s*,\s*"?(north|south|east|west|up)'), lambda a: F.upper(F.substring(a, 1, 1))).alias("axes"))
+
+
+def _parameters(found: Column) -> Column:
+    projected = found["root"].isin("PROJCS", "PROJCRS", "PROJECTEDCRS")
+    geographic = found["root"].isin("GEOGCS", "GEOGCRS", "GEOGRAPHICCRS", "GEODCRS", "GEODETICCRS")
+    datum, axes = found["datum"], found["axes"]
+    turn = F.round(F.coalesce(found["angle"], F.lit(math.radians(1))) / math.radians(1), 7)
+    unit = F.when(projected, F.coalesce(found["length"], F.lit(1.0))).otherwise(F.lit(1.0))
 
     def parameter(name: str, default: float) -> Column:
-        found = [F.get(values, (F.array_position(names, spelling) - 1).cast("int")).try_cast("double") for spelling in PARAMETERS[name]]
-        return F.coalesce(*found, F.lit(default))
-
-    method = _plain(first(rf'\b(?:PROJECTION|METHOD){_OPEN}([^"]*)"'))
-    # The sphere of web maps is told by an extension where the projection's name is that of the ellipsoid's.
-    sphere = text.rlike(r"(?i)EXTENSION\s*[\[(]\s*\"PROJ4\"[^\]]*\+a=6378137 [^\]]*\+b=6378137[ .]")
-    axes = F.transform(every(rf'\bAXIS{_OPEN}[^"]*"\s*,\s*"?(north|south|east|west|up)'), lambda a: F.upper(F.substring(a, 1, 1)))
-    projection = F.when(projected, F.when(sphere, "web mercator").otherwise(_one_of(method, PROJECTIONS))).otherwise(
+        told = [F.get(found["values"], (F.array_position(found["names"], spelling) - 1).cast("int")).try_cast("double") for spelling in PARAMETERS[name]]
+        return F.coalesce(*told, F.lit(default))
+
+    projection = F.when(projected, F.when(found["sphere"], "web mercator").otherwise(found["method"])).otherwise(
         F.when(F.size(axes) == 3, "three axes").otherwise(""))
     row = F.struct(
-        datum.alias("datum"), _rounded(meridian, 5).alias("meridian"), projection.alias("projection"),
+        datum.alias("datum"), _rounded(F.coalesce(found["meridian"], F.lit(0.0)), 5).alias("meridian"), projection.alias("projection"),
         _rounded(parameter("latitude", 0.0) * turn, 6).alias("latitude"), _rounded(parameter("longitude", 0.0) * turn, 6).alias("longitude"),
         _rounded(parameter("scale", 1.0), 7).alias("scale"), _rounded(parameter("easting", 0.0) * unit, 2).alias("easting"),
         _rounded(parameter("northing", 0.0) * unit, 2).alias("northing"), _rounded(unit, 6).alias("unit"),

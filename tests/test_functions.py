@@ -243,3 +243,11 @@ def test_srid_from_parameters(spark):
     assert found.columns == ["prj", "i", "codes", "srid"]
     assert {r["prj"]: r["srid"] for r in found.collect()} == texts
     assert crs.with_srid(rows.where("false"), "prj").count() == 0
+
+
+def test_each_pattern_of_a_reference_system_is_matched_once(spark):
+    found = spark.createDataFrame([("x",)], "t string").select(crs.crs_parameters(F.col("t")).alias("p"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("VERT_?C") == 1
+    # The entries' names and their values.
+    assert plan.count("bPARAMETER") == 2
