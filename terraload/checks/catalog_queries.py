@@ -14,7 +14,7 @@ from terraload.functions import geometry as geo
 from terraload.operators import layers, ownership, registry, reports, sinks
 from terraload.plans import ingest, publish
 from terraload.runtime import new_path
-from terraload.sources import tables
+from terraload.sources import archive, tables
 
 LON = "(CAST(user_id % 360 AS DOUBLE) - 180)"
 LAT = "(CAST(event_id % 181 AS DOUBLE) - 90)"
@@ -454,11 +454,14 @@ def delete_load_shared(spark, sf_dir):
     return tables.scan_table(spark, schema, "lines")
 
 
-def _uploaded(spark, docs, folder):
-    """Registered uploads ``u<number>.zip`` of documents: ``upload``, its folder ``place``, ``name`` below the common folder, ``text``."""
+def _uploaded(spark, texts, docs, folder):
+    """Registered uploads ``u<number>.zip`` of documents: ``upload``, its folder ``place``, ``name`` below the common folder.
+
+    ``texts`` has ``name`` and ``text`` of each file; rows that come again write the same file again, so texts need no shuffle.
+    """
     schema = b.check_schema(spark)
     registry.create_registries(spark, schema)
-    samples.write_texts(docs.select("name", "text").distinct(), folder)
+    samples.write_texts(texts.select("name", "text"), folder)
     uploads = docs.select(F.concat(F.lit("u"), F.col("upload").cast("string"), F.lit(".zip")).alias("SHAPEFILE"), "place").distinct()
     requests = uploads.select(
         "SHAPEFILE", F.col("place").alias("PATH_SHAPEFILE"),
@@ -472,8 +475,8 @@ def _uploaded(spark, docs, folder):
 
 
 def _left(spark, folder):
-    left = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
-    return left.select(F.substring_index(F.input_file_name(), "/", -1).alias("filename"), F.length("value").cast("bigint").alias("n_chars"))
+    return archive.whole_texts(spark, folder).select(
+        F.substring_index("path", "/", -1).alias("filename"), F.length("value").cast("bigint").alias("n_chars"))
 
 
 @check("delete_upload_files", r"""
@@ -484,7 +487,7 @@ def delete_upload_files(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), "text", F.lit(folder).alias("place"),
         F.expr("doc_id div 64 * 2 + doc_id % 2").alias("upload"))
-    schema, ids = _uploaded(spark, docs, folder)
+    schema, ids = _uploaded(spark, docs, docs, folder)
     ownership.remove_files(spark, schema, ids.filter("upload % 2 = 0"))
     return _left(spark, folder)
 
@@ -496,11 +499,12 @@ def delete_upload_files(spark, sf_dir):
 def delete_uploads_owned_twice(spark, sf_dir):
     """Two uploads to a folder, every third file owned by both; one of each two goes, of every fifth folder both."""
     folder = new_path(spark, "owned-twice")
-    d = b.table(spark, sf_dir, "documents").withColumn("place", F.concat(F.lit(folder + "/d"), F.expr("doc_id div 64").cast("string")))
+    d = b.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit(folder + "/d"), F.expr("doc_id div 64").cast("string")).alias("place"),
+        F.concat(F.lit("d"), F.expr("doc_id div 64").cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), "text")
     owners = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("doc_id") % 2).cast("int")))
-    docs = d.select(F.concat(F.lit("d"), F.expr("doc_id div 64").cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"),
-                    "text", "place", "doc_id", F.explode(owners).alias("owner")).withColumn("upload", F.expr("doc_id div 64 * 2 + owner"))
-    schema, ids = _uploaded(spark, docs, folder)
+    docs = d.select("name", "place", "doc_id", F.explode(owners).alias("owner")).withColumn("upload", F.expr("doc_id div 64 * 2 + owner"))
+    schema, ids = _uploaded(spark, d, docs, folder)
     _, n_folders = ownership.remove_files(spark, schema, ids.filter("upload % 2 = 0 OR upload div 2 % 5 = 0"))
     return _left(spark, folder).withColumn("n_folders", F.lit(n_folders).cast("bigint"))
 

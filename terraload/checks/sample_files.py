@@ -23,6 +23,8 @@ POINT, POINT_Z = 1, 11
 # Bytes that a task holds for one file, and entries of one archive; a partition with more goes on with another file.
 FILE_BYTES = 128 << 20
 FILE_ENTRIES = 65_535
+# Bytes of small files that a task holds at once.
+TEXT_BYTES = 4 << 20
 
 
 def dbf_record(fields: list[tuple[str, str, int, int]], values: list[Column], deleted: Column) -> Column:
@@ -196,11 +198,12 @@ def write_zips(df: DataFrame, path: str, file_entries: int = FILE_ENTRIES) -> in
 def write_texts(df: DataFrame, path: str) -> int:
     """A file of its own for every row of ``name`` and ``text``."""
     def write(part, table):
-        for name, text in zip(table.column("name").to_pylist(), table.column("text").to_pylist()):
-            with files.publish_file(f"{path}/{name}") as out:
-                out.write(text.encode())
+        with files.passing_folder(path) as passing:
+            for name, text in zip(table.column("name").to_pylist(), table.column("text").to_pylist()):
+                with files.publish_file(f"{path}/{name}", passing) as out:
+                    out.write(text.encode())
 
-    return _write_tasks(df, write)
+    return _write_tasks(df, write, TEXT_BYTES)
 
 
 def zip_each(paths: DataFrame, target: str) -> int:

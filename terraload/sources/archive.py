@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import zipfile
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,9 @@ from terraload.sources import files
 
 BATCH_BYTES = 32 << 20
 BLOCK_BYTES = 1 << 20
+# Texts of whole files that a task holds, in bytes, and rows of one batch.
+TEXT_BYTES = 4 << 20
+BATCH_ROWS = 10_000
 
 ENTRY_SCHEMA = "archive string, entry string, size long"
 
@@ -38,6 +42,57 @@ def list_paths(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     return top.mapInArrow(walk, "path string, size long")
 
 
+def walk_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The column ``path`` of all files below ``root``; nothing of it passes through the driver.
+
+    A task lists the top folder and tasks walk the folders in it.
+    """
+    def top(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                for found in batched(files.folder_entries(path), BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p for p, _ in found], pa.string()), pa.array([f for _, f in found], pa.bool_())], ["path", "is_folder"])
+
+    def walk(batches):
+        for batch in batches:
+            own = (p for path, is_folder in zip(*(batch.column(c).to_pylist() for c in ("path", "is_folder")))
+                   for p in (files.walk_files(path) if is_folder else (path,)))
+            for found in batched(own, BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    start = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path"))
+    return spread(start.mapInArrow(top, "path string, is_folder boolean"), ["path"]).mapInArrow(walk, "path string")
+
+
+def whole_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``path, value`` of every file below ``root`` that is not empty, the whole text in one row.
+
+    Like Spark's own reader of whole texts; that one lists all files on the driver and takes a task for a few of them.
+    """
+    def read(batches):
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with files.open_input(path) as handle:
+                    content = handle.read()
+                if content:
+                    paths.append(path)
+                    contents.append(content)
+                    held += len(content)
+                if held >= TEXT_BYTES or len(paths) >= BATCH_ROWS:
+                    yield text_batch(paths, contents)
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield text_batch(paths, contents)
+
+    def text_batch(paths, contents):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "value"])
+
+    found = spread(walk_paths(spark, root), ["path"]).mapInArrow(read, "path string, value binary")
+    return found.select("path", F.col("value").cast("string").alias("value"))
+
+
 def suffix_format(path: Column) -> Column:
     """Format a file is read as, by suffix; null when none fits."""
     chosen = F.lit(None).cast("string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import batched
 
@@ -43,6 +45,32 @@ def list_folder(path: str, recursive: bool = False) -> list[tuple[str, bool, int
     return sorted((prefix + f.path, f.type == fs.FileType.Directory, f.size or 0) for f in found)
 
 
+def folder_entries(path: str) -> Iterator[tuple[str, bool]]:
+    """``(path, is a folder)`` of what lies in a folder, as it is found; on a local disk a folder of any size is never held.
+
+    Names that begin with a dot or an underscore are left out, as by Spark's readers: files being written have such names.
+    """
+    filesystem, inner = resolve(path)
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    if isinstance(filesystem, fs.LocalFileSystem):
+        with os.scandir(inner) as found:
+            yield from ((prefix + f.path, f.is_dir()) for f in found if not f.name.startswith((".", "_")))
+    else:
+        found = filesystem.get_file_info(fs.FileSelector(inner))
+        yield from ((prefix + f.path, f.type == fs.FileType.Directory) for f in found if not f.base_name.startswith((".", "_")))
+
+
+def walk_files(path: str) -> Iterator[str]:
+    """Files below a folder, as they are found."""
+    folders = [path]
+    while folders:
+        for found, is_folder in folder_entries(folders.pop()):
+            if is_folder:
+                folders.append(found)
+            else:
+                yield found
+
+
 def list_files(path: str) -> list[tuple[str, int]]:
     """Files below ``path`` (or the file itself) with sizes, sorted by name."""
     return [(p, size) for p, is_folder, size in list_folder(path, recursive=True) if not is_folder]
@@ -84,12 +112,27 @@ def sibling(path: str, suffix: str) -> str | None:
 
 
 @contextmanager
-def publish_file(path: str):
-    """Write a file under a passing name and rename it, so retried tasks leave no halves."""
+def passing_folder(path: str):
+    """A folder below ``path`` for the passing files of one task, deleted at the end.
+
+    Tasks that write many files into one folder otherwise wait for each other, longer the more files it has.
+    """
+    filesystem, inner = resolve(path)
+    passing = f"{inner}/.{uuid.uuid4().hex}"
+    filesystem.create_dir(passing, recursive=True)
+    try:
+        yield passing
+    finally:
+        filesystem.delete_dir(passing)
+
+
+@contextmanager
+def publish_file(path: str, passing: str | None = None):
+    """Write a file under a passing name and rename it, so retried tasks leave no halves; ``passing`` comes from ``passing_folder``."""
     filesystem, inner = resolve(path)
     folder = inner.rsplit("/", 1)[0]
     filesystem.create_dir(folder, recursive=True)
-    passing = f"{folder}/.{uuid.uuid4().hex}.part"
+    passing = f"{passing or folder}/.{uuid.uuid4().hex}.part"
     with filesystem.open_output_stream(passing) as out:
         yield out
     filesystem.move(passing, inner)

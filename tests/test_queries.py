@@ -26,3 +26,13 @@ def test_plan_has_no_cross_join_and_no_single_task_window(spark, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window ["):
         assert bad not in plan, name
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_reading_what_uploads_leave_takes_no_task_for_each_few_files(spark):
+    name, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        left = QUERIES["delete_upload_files"](spark, SF_DIR)
+        assert left.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) < left.count()
+    finally:
+        spark.conf.set(name, before)

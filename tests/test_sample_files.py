@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from terraload.checks import sample_files as samples
@@ -36,3 +38,14 @@ def test_archives_of_several_files(spark, folder):
     assert {p.name for p in Path(folder).iterdir()} == {"archive_0.zip", "archive_0_1.zip", "archive_0_2.zip"}
     found = {(r["entry"], bytes(r["content"])) for r in archive.scan_archives(spark, str(folder)).collect()}
     assert found == {(f"a/{i}", str(i).encode()) for i in range(2500)}
+
+
+def test_texts_pass_through_a_folder_that_goes(spark, folder, monkeypatch):
+    monkeypatch.setattr(samples, "TEXT_BYTES", 500)
+    texts = spark.range(0, 100, 1, 1).select(F.format_string("d%d/f%d.csv", F.col("id") % 3, "id").alias("name"), F.repeat(F.lit("è\n"), F.col("id").cast("int")).alias("text"))
+    assert samples.write_texts(texts, str(folder)) == 100
+    assert {str(p.relative_to(folder)): p.read_text() for p in Path(folder).rglob("*") if p.is_file()} == {r["name"]: r["text"] for r in texts.collect()}
+    assert sorted(p.name for p in Path(folder).iterdir()) == ["d0", "d1", "d2"]
+    with pytest.raises(PythonException):
+        samples.write_texts(texts.withColumn("text", F.nullif("text", F.lit("è\n"))), str(folder / "d0"))
+    assert not [p for p in Path(folder).rglob(".*")]

@@ -429,3 +429,20 @@ def test_quoted_line_ends_need_no_option(spark, folder):
     (folder / "plain.csv").write_bytes(b'a;b\n1;x "y\n2;"z"\n')
     assert quoted.record_lines(spark, [(str(folder / "plain.csv"), 19)], ";") is None
     assert delimited.read_text_columns(spark, str(folder / "plain.csv")).collect() == [("1", 'x "y'), ("2", "z")]
+
+
+def test_whole_texts_below_a_folder(spark, folder, monkeypatch):
+    texts = {f"{d}/f{i}.csv": f"{d} è\r\n" * i for i in range(40) for d in (".", "a", "a/b/c")}
+    for name, text in {**texts, ".x.part": "half", "_tmp/f1.csv": "x", "a/.x/f2.csv": "x"}.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(text.encode())
+    (folder / "empty").mkdir()
+    monkeypatch.setattr(archive, "TEXT_BYTES", 300)
+    monkeypatch.setattr(archive, "BATCH_ROWS", 7)
+    # The same rows as from Spark's own reader, which leaves out empty files.
+    expected = {(str(folder / name), text) for name, text in texts.items() if text}
+    for root in (str(folder), f"file://{folder}"):
+        found = [(r["path"], r["value"]) for r in archive.whole_texts(spark, root).collect()]
+        assert len(found) == len(set(found)) and {(p.removeprefix("file://"), v) for p, v in found} == expected
+    own = spark.read.option("recursiveFileLookup", True).text(str(folder), wholetext=True)
+    assert sorted(r["value"] for r in own.collect()) == sorted(v for _, v in expected)
