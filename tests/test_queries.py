@@ -36,3 +36,7 @@ def test_reading_what_uploads_leave_takes_no_task_for_each_few_files(spark):
         assert left.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) < left.count()
     finally:
         spark.conf.set(name, before)
+
+
+def test_files_that_uploads_leave_are_not_listed_on_the_driver(spark):
+    assert QUERIES["delete_uploads_owned_twice"](spark, SF_DIR).inputFiles() == []
